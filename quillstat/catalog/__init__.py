@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metrics"]
+MODULES = ["metrics", "derived"]
 
 
 def load():
