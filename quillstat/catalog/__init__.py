@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metrics", "derived"]
+MODULES = ["metrics", "derived", "text", "search"]
 
 
 def load():
