@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstat.catalog.base import query
 from quillstat.functions import fixed, textclean
+from quillstat.functions.expr import settled
 from quillstat.operators import chunking, topk
 from quillstat.plans.chunk_documents import chunk_documents
 from quillstat.plans.views import table
@@ -102,7 +103,7 @@ def footer_cleaning(spark, sf_dir):
 @query("clean_notes", "FN25 FN20 FN21 FN22 FN23 FN24", f"WITH {CLEAN} SELECT doc_id, length(text) n, md5(text) digest FROM cleaned")
 def clean_notes(spark, sf_dir):
     t = textclean.clean_all(F.col("text"))
-    return notes(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+    return settled(notes(spark, sf_dir).select("doc_id", "text"), t=t).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("note_metadata", "FN15", f"WITH {NOTES} SELECT doc_id, CAST(2015+doc_id%10 AS INTEGER) AS year, CASE doc_id%5 WHEN 0 THEN '年报点评' WHEN 1 THEN '三季报点评' WHEN 2 THEN '首次覆盖' WHEN 3 THEN '一季报点评' ELSE '公司点评' END report_type, "
@@ -174,11 +175,11 @@ def documents_by_source(spark, sf_dir):
     return topk.most_common(table(spark, sf_dir, "documents"), "source", 20)
 
 
-@query("whole_file_documents", "SRC6", "SELECT 'doc'||CAST(doc_id AS VARCHAR)||'.md' file_name, md5(regexp_replace(text, '\\s+', ' ', 'g')) digest FROM documents")
+@query("whole_file_documents", "SRC6", "SELECT 'doc'||CAST(item_id AS VARCHAR)||'.md' file_name, md5(regexp_replace(text, '\\s+', ' ', 'g')) digest FROM benchmark")
 def whole_file_documents(spark, sf_dir):
-    """Documents written one per file by Spark tasks and read back whole."""
+    """Texts written one per file by Spark tasks and read back whole."""
     path = work_path(spark, "notes")
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.regexp_replace("text", r"\s+", " ").alias("value"))
+    d = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("name"), F.regexp_replace("text", r"\s+", " ").alias("value"))
     d.write.partitionBy("name").text(path)
     files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(
         F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1), F.lit(".md")).alias("file_name"), F.col("value").alias("text"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstat.functions import fixed
+from quillstat.functions.expr import let
 
 HAN = r"\x{4E00}-\x{9FFF}"
 
@@ -23,9 +24,11 @@ def clean_latex(text: Column, keep_percent: bool = False) -> Column:
         part = F.regexp_replace(part, r"(\d)\s+(\.)", "$1$2")
         return F.regexp_replace(part, r"(\.)\s+(\d)", "$1$2")
 
-    parts = F.split(text, r"\$")
-    fixed_parts = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), join_digits(p)).otherwise(p))
-    out = F.when(text.contains("$"), F.array_join(fixed_parts, "")).otherwise(text)
+    def join_math(parts):
+        return F.array_join(F.transform(
+            parts, lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), join_digits(p)).otherwise(p)), "")
+
+    out = F.when(text.contains("$"), let(F.split(text, r"\$"), join_math)).otherwise(text)
     out = F.regexp_replace(out, r"\\[a-zA-Z]+", "")
     return out if keep_percent else F.replace(out, F.lit("%"), F.lit(""))
 
@@ -44,18 +47,19 @@ def _cells(row: Column) -> Column:
 
 def table_to_text(table: Column) -> Column:
     """One HTML table → ``header+value`` lines; rows of two or one cells are kept, ragged rows dropped."""
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    header = _cells(F.try_element_at(rows, F.lit(1)))
+    rows = F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), _cells)
 
-    def line(row):
-        values = _cells(row)
+    def line(header, values):
         paired = F.array_join(
             F.filter(F.zip_with(header, values, lambda h, v: F.when(v != "", F.concat(h, v))), lambda x: x.isNotNull()), "；")
-        return (F.when(F.size(header) == F.size(values), paired).when(F.size(values) == 2, F.array_join(values, ""))
-                .when(F.size(values) == 1, values[0]).otherwise(""))
+        return (F.when(F.size(header) == F.size(values), F.when(paired != "", paired)).when(F.size(values) == 2, F.array_join(values, ""))
+                .when(F.size(values) == 1, values[0]))
+
+    def lines(r):
+        body = F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+        return F.array_join(F.filter(F.transform(body, lambda v: line(r[0], v)), lambda x: x.isNotNull()), "；")
 
-    # a missing line is the empty text; two- and one-cell rows stay even when they are empty
-    return F.array_join(F.filter(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line), lambda x: x != ""), "；")
+    return let(rows, lambda r: F.when(F.size(r) > 0, lines(r)).otherwise(""))
 
 
 def clean_html_tables(text: Column) -> Column:
@@ -76,20 +80,21 @@ def clean_characters(text: Column) -> Column:
 def clean_footer(text: Column, guard: float = 0.05) -> Column:
     """Cut from the paragraph of the first disclaimer phrase; empty when less than ``guard`` is left."""
     phrases = "|".join(fixed.FOOTER_PHRASES)
-    lines = F.split(text, "\n")
-    hit = F.array_position(F.transform(lines, lambda x: x.rlike(phrases)), True)
-    blanks = F.transform(lines, lambda x, i: F.when((strip(x) == "") & (i < hit - 1), i + 1).otherwise(0))
-    cut = F.array_max(blanks)
-    kept = strip(F.array_join(F.slice(lines, 1, cut), "\n"))
-    kept = F.when(F.length(kept) < F.length(text) * guard, F.lit("")).otherwise(kept)
+
+    def cut(lines):
+        hit = F.array_position(F.transform(lines, lambda x: x.rlike(phrases)), True)
+        before = F.slice(lines, 1, F.greatest((hit - 1).cast("int"), F.lit(0)))
+        return let(before, lambda b: strip(F.array_join(F.slice(b, 1, F.coalesce(F.array_max(F.transform(
+            b, lambda x, i: F.when(x.rlike(r"^\s*$"), i + 1).otherwise(0))), F.lit(0))), "\n")))
+
+    kept = let(let(F.split(text, "\n"), cut), lambda k: F.when(F.length(k) < F.length(text) * guard, F.lit("")).otherwise(k))
     return F.when(text.rlike(phrases), kept).otherwise(text)
 
 
 def clean_all(text: Column, keep_percent: bool = False) -> Column:
-    out = clean_latex(text, keep_percent)
-    for step in (clean_images, clean_html_tables, clean_characters, clean_footer):
-        out = step(out)
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    out = clean_images(clean_latex(text, keep_percent))
+    out = clean_characters(let(out, clean_html_tables))
+    return strip(F.regexp_replace(let(out, clean_footer), r"\n{3,}", "\n\n"))
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions import fixed
+from quillstat.functions.expr import settled
 from quillstat.functions.textclean import base_name, classify_section, estimate_tokens, strip
 from quillstat.operators.matching import contains_join, either_contains_join
 from quillstat.operators.windows import first_rows, numbered
@@ -17,31 +18,31 @@ def _body(section: Column) -> Column:
     return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
 
 
-def sections(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, section_no, heading, body, is_last, raw): one row per heading; the first is the title.
+def sections(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep…, section_no, heading, body, is_last, raw): one row per heading; the first is the title.
 
     A document without a second heading is one row with heading null.
     """
     parts = F.split(F.col(text), r"(?m)^(?=[^\S\n]*##? )")
     headed = F.filter(parts, lambda p: p.rlike(r"^[^\S\n]*##? "))
-    n = F.size(headed)
-    rows = docs.withColumn("_h", headed).withColumn("_n", F.size("_h"))
+    keep = keep or []
+    rows = settled(docs.select(doc_id, *keep, text), _h=headed).withColumn("_n", F.size("_h"))
     many = (
-        rows.filter(F.col("_n") > 1).select(doc_id, "_n", F.posexplode("_h").alias("_i", "_s"))
+        rows.filter(F.col("_n") > 1).select(doc_id, *keep, "_n", F.posexplode("_h").alias("_i", "_s"))
         .select(
-            doc_id, (F.col("_i") + 1).alias("section_no"),
+            doc_id, *keep, (F.col("_i") + 1).alias("section_no"),
             strip(F.regexp_replace(F.regexp_extract("_s", r"^([^\n]*)", 1), r"^[^\S\n]*##? ", "")).alias("heading"),
             F.regexp_replace("_s", r"^[^\n]*\n?", "").alias("raw"), (F.col("_i") + 1 == F.col("_n")).alias("is_last"))
-        .withColumn("body", _body(F.col("raw")))
     )
+    many = settled(many, body=_body(F.col("raw")))
     whole = rows.filter(F.col("_n") <= 1).select(
-        doc_id, F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("heading"), F.col(text).alias("raw"),
+        doc_id, *keep, F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("heading"), F.col(text).alias("raw"),
         F.lit(True).alias("is_last"), strip(F.col(text)).alias("body"))
     return many.unionByName(whole)
 
 
 def pack(paragraphs: Column, minimum: int, maximum: int, carry: bool = False) -> Column:
-    """Greedy packing of a paragraph array into array<struct<text, tokens>>, in order.
+    """Greedy packing of paragraphs (array<struct<text, tokens>>) into chunks of the same type, in order.
 
     A remainder below ``minimum`` is dropped, or with ``carry`` joined to what follows.
     """
@@ -52,9 +53,9 @@ def pack(paragraphs: Column, minimum: int, maximum: int, carry: bool = False) ->
         full = (text != "") & (tokens >= minimum)
         return F.when(full, F.concat(done, F.array(F.struct(text.alias("text"), tokens.alias("tokens"))))).otherwise(done)
 
-    def step(acc, para):
+    def step(acc, item):
         done, text, tokens = acc.getField("done"), acc.getField("text"), acc.getField("tokens")
-        size = estimate_tokens(para)
+        para, size = item.getField("text"), item.getField("tokens")
         fits = tokens + size <= maximum
         fits = (fits | ((tokens > 0) & (tokens < minimum))) if carry else fits
         joined = F.when(text == "", para).otherwise(F.concat(text, F.lit("\n\n"), para))
@@ -67,30 +68,38 @@ def pack(paragraphs: Column, minimum: int, maximum: int, carry: bool = False) ->
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str, minimum: int = 100, maximum: int = 512, carry: bool = False,
-           keep_blank_lines: bool = True) -> DataFrame:
-    """(doc_id, section_no, part, section, text, token_count) of all chunks.
+           keep_blank_lines: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep…, section_no, part, section, text, token_count) of all chunks.
 
     Sections of at most ``maximum`` tokens are one chunk; longer ones are packed from their paragraphs.
     Without ``keep_blank_lines`` the paragraphs are looked for after blank lines were removed, which leaves
     a long section whole.
     """
-    s = sections(docs, doc_id, text)
-    s = s.withColumn("section", F.when(F.col("heading").isNull(), F.lit(fixed.WHOLE_TEXT)).otherwise(classify_section(F.col("heading"))))
-    s = s.withColumn("tokens", estimate_tokens(F.col("body")))
+    keep = keep or []
+    s = sections(docs, doc_id, text, keep)
+    section = F.when(F.col("heading").isNull(), F.lit(fixed.WHOLE_TEXT)).otherwise(classify_section(F.col("heading")))
+    s = settled(s.filter(F.coalesce(section, F.lit("")) != "目录").withColumn("section", section), tokens=estimate_tokens(F.col("body")))
     short = (F.col("tokens") < minimum) & (~F.col("is_last") | F.col("heading").isNull())
-    s = s.filter((F.col("body") != "") & (F.col("section") != "目录") & ~short)
+    s = s.filter((F.col("body") != "") & ~short)
     source = F.col("raw") if keep_blank_lines else F.col("body")
-    paragraphs = F.filter(F.transform(F.split(source, r"\n\s*\n"), _body), lambda p: p != "")
+    texts = F.filter(F.transform(F.split(source, r"\n\s*\n"), _body), lambda p: p != "")
+    sized = F.transform(texts, lambda p: F.struct(p.alias("text"), estimate_tokens(p).alias("tokens")))
     single = F.array(F.struct(F.col("body").alias("text"), F.col("tokens").alias("tokens")))
     whole = (F.col("tokens") <= maximum) | F.col("heading").isNull()
-    packed = F.when(whole, single).otherwise(pack(paragraphs, minimum, maximum, carry))
-    return s.select(doc_id, "section_no", "section", F.posexplode(packed).alias("part", "_c")).select(
-        doc_id, "section_no", "part", "section", F.col("_c.text").alias("text"), F.col("_c.tokens").alias("token_count"))
+    s = settled(s.select(doc_id, *keep, "section_no", "section", "raw", "body", "tokens", whole.alias("_whole")), _items=F.when(
+        F.col("_whole"), single).otherwise(sized))
+    packed = F.when(F.col("_whole"), F.col("_items")).otherwise(pack(F.col("_items"), minimum, maximum, carry))
+    return s.select(doc_id, *keep, "section_no", "section", F.posexplode(packed).alias("part", "_c")).select(
+        doc_id, *keep, "section_no", "part", "section", F.col("_c.text").alias("text"), F.col("_c.tokens").alias("token_count"))
 
 
 def number_chunks(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Corpus-wide chunk index from 0 in the given order."""
-    return numbered(rows, [F.col(c) for c in order], "_p").withColumn("chunk_index", F.col("_p") - 1).drop("_p")
+    """Corpus-wide chunk index from 0 in the given order; only the keys are sorted, not the texts.
+
+    The rows are read twice, so pass a stored frame.
+    """
+    keys = numbered(rows.select(*order), [F.col(c) for c in order], "_p")
+    return rows.join(keys, order).withColumn("chunk_index", F.col("_p") - 1).drop("_p")
 
 
 def heading_parts(text: Column) -> Column:
@@ -108,8 +117,12 @@ def company_from_heading(docs: DataFrame, doc_id: str, text: str, file_name: str
 
     ``names`` has (name, pos) and ``aliases`` (alias, name, pos). Each tier is a containment join on short texts.
     """
-    d = docs.select(doc_id, heading_parts(F.col(text)).alias("h"), base_name(F.col(file_name)).alias("_file"))
-    d = d.select(doc_id, "h.named", "h.code", "h.before_colon", "_file")
+    d = settled(docs.select(doc_id, text, file_name), h=heading_parts(F.col(text)), _file=base_name(F.col(file_name)))
+    return lookup_company(d.select(doc_id, "h.named", "h.code", "h.before_colon", "_file"), doc_id, names, aliases)
+
+
+def lookup_company(d: DataFrame, doc_id: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The lookup of :func:`company_from_heading` on (doc_id, named, code, before_colon, _file)."""
     by_name = names.select(F.col("name").alias("_term"), F.col("name").alias("_real"), "pos")
     by_alias = aliases.select(F.col("alias").alias("_term"), F.col("name").alias("_real"), "pos")
 

@@ -14,16 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.expr import settled
 from quillstat.functions.textclean import tokenize
 from quillstat.operators.windows import first_rows
-from quillstat.session import durable
+from quillstat.session import durable, spread
 
 K1, B = 1.5, 0.75
 
 
 def token_rows(docs: DataFrame, doc_id: str, text: str, tokens=tokenize) -> DataFrame:
     """(doc_id, tokens, doc_len); documents without tokens stay with length 0."""
-    return docs.select(doc_id, tokens(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens"))
+    rows = settled(spread(docs.select(doc_id, text), doc_id), tokens=tokens(F.col(text)))
+    return rows.select(doc_id, "tokens", F.size("tokens").alias("doc_len"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str, tokens=tokenize) -> DataFrame:

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.functions.textclean import clean_all, note_metadata
+from quillstat.functions.expr import settled
+from quillstat.functions.textclean import base_name, clean_all, note_metadata
 from quillstat.operators import chunking
 from quillstat.operators.filters import min_token_filter
+from quillstat.session import durable, spread
 
 
 def chunk_documents(notes: DataFrame, names: DataFrame, aliases: DataFrame, minimum: int = 100, maximum: int = 512,
                     floor: int = 50, number: bool = True, **options) -> DataFrame:
-    """``notes`` has (file_name, text). Chunks of at least ``floor`` tokens with their document metadata."""
-    docs = notes.select("file_name", clean_all(F.col("text")).alias("text")).filter(F.col("text") != "")
-    pieces = min_token_filter(chunking.chunks(docs, "file_name", "text", minimum, maximum, **options), floor)
-    company = chunking.company_from_heading(docs, "file_name", "text", "file_name", names, aliases)
-    out = pieces.join(company, "file_name").withColumn("_m", note_metadata(F.col("file_name"))).select(
+    """``notes`` has (file_name, text). Chunks of at least ``floor`` tokens with their document metadata.
+
+    Every note is cleaned and cut once; the chunks are stored before the company lookup and the numbering
+    read them.
+    """
+    docs = settled(spread(notes.select("file_name", "text"), "file_name"), text=clean_all(F.col("text"))).filter(F.col("text") != "")
+    docs = settled(docs, h=chunking.heading_parts(F.col("text")))
+    pieces = durable(min_token_filter(chunking.chunks(docs, "file_name", "text", minimum, maximum, keep=["h"], **options), floor))
+    headings = pieces.select("file_name", "h.named", "h.code", "h.before_colon", base_name(F.col("file_name")).alias("_file")).distinct()
+    company = chunking.lookup_company(headings, "file_name", names, aliases)
+    rows = chunking.number_chunks(pieces, ["file_name", "section_no", "part"]) if number else pieces
+    return rows.join(company, "file_name").withColumn("_m", note_metadata(F.col("file_name"))).select(
         F.col("file_name").alias("source_file"), "section_no", "part", "section", "text", "token_count", "company", "stock_code",
-        F.col("_m.year").alias("year"), F.col("_m.period").alias("period"), F.col("_m.report_type").alias("report_type"))
-    return chunking.number_chunks(out, ["source_file", "section_no", "part"]) if number else out
+        F.col("_m.year").alias("year"), F.col("_m.period").alias("period"), F.col("_m.report_type").alias("report_type"),
+        *(["chunk_index"] if number else []))

@@ -67,3 +67,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan with fewer splits than cores before CPU-heavy row work.
+
+    Large inputs have more splits than cores and are returned as they are. Frames that already contain a
+    shuffle are left alone, since asking for their partitions would run it.
+    """
+    execution = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in execution.executedPlan().getClass().getSimpleName():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
