@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metrics", "derived", "text", "search", "filings"]
+MODULES = ["metrics", "derived", "text", "search", "filings", "qlogs", "streams"]
 
 
 def load():

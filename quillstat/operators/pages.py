@@ -245,12 +245,17 @@ def assign_columns(words: DataFrame, bands: DataFrame, page: list[str], word_id:
 # cells: (table…, row, col, text)
 
 def sparse_columns(cells: DataFrame, table: list[str], threshold: float = 0.30) -> DataFrame:
-    """Cells without the columns filled in less than the threshold of the rows, unless only one would stay."""
-    filled = cells.groupBy(*table, "col").agg(F.count_if(F.trim("text") != "").alias("_f"))
-    n_rows = cells.groupBy(*table).agg((F.max("row") - F.min("row") + 1).alias("_r"))
-    keep = filled.join(n_rows, table).withColumn("_keep", F.col("_f") / F.col("_r") >= threshold)
-    enough = keep.groupBy(*table).agg((F.count_if("_keep") > 1).alias("_enough"))
-    return cells.join(keep.join(enough, table).filter(F.col("_keep") | ~F.col("_enough")).select(*table, "col"), [*table, "col"], "left_semi")
+    """Cells without the columns filled in less than the threshold of the rows, unless only one would stay.
+
+    The remaining columns are numbered again from 0.
+    """
+    filled = cells.groupBy(*table, "col").agg(F.count_if(F.trim("text") != "").alias("_f"), F.min("row").alias("_lo"), F.max("row").alias("_hi"))
+    per_table = W.partitionBy(*table)  # one row per column of a table
+    n_rows = F.max("_hi").over(per_table) - F.min("_lo").over(per_table) + 1
+    keep = filled.withColumn("_keep", F.col("_f") / n_rows >= threshold)
+    keep = keep.withColumn("_enough", F.sum(F.col("_keep").cast("int")).over(per_table) > 1).filter(F.col("_keep") | ~F.col("_enough"))
+    renumbered = keep.select(*table, "col", (F.row_number().over(per_table.orderBy("col")) - 1).alias("_new"))
+    return cells.join(renumbered, [*table, "col"]).withColumn("col", F.col("_new")).drop("_new")
 
 
 # Cell texts that count as empty.

@@ -27,9 +27,9 @@ PREFIX = {"income_sheet": "inc", "balance_sheet": "bal", "cash_flow_sheet": "cf"
 
 
 def filing_rows(facts: DataFrame, ids: list[str], table: str = "table_name", field: str = "field", value: str = "value") -> DataFrame:
-    """Long facts → one row per filing with the rule inputs as ``prefix__field`` (one map-side combining pass)."""
+    """Long facts → one row per filing: ``n_fields`` and the rule inputs as ``prefix__field``, in one combining pass."""
     long_name = {v: k for k, v in PREFIX.items()}
-    return facts.groupBy(*ids).agg(*[
+    return facts.groupBy(*ids).agg(F.count(F.lit(1)).alias("n_fields"), *[
         F.max(F.when((F.col(table) == long_name[p]) & (F.col(field) == f), F.col(value).cast("double"))).alias(f"{p}__{f}")
         for p, f in RULE_INPUTS])
 

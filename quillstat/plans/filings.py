@@ -70,12 +70,11 @@ def load_filings(records: DataFrame, catalog: DataFrame, companies: DataFrame) -
     code = F.when(F.coalesce("stock_code", F.lit("")).isin("", "None"), F.col("_code")).otherwise(F.col("stock_code"))
     keyed = records.join(codes, "stock_abbr", "left").withColumn("stock_code", code).drop("_code")
     ids = ["source_file", *FILING]
-    # the exploded facts are read for rules, counts and loading
+    # the exploded facts are read for the rules and for loading
     facts = durable(source.explode_facts(keyed, catalog, ids))
     wide = quality.filing_rows(facts, ids)
-    counts = facts.groupBy(*ids).agg(F.count(F.lit(1)).alias("n_fields"))
     passed, total = quality.rule_counts(wide)
-    checked = wide.select(*ids, passed.alias("passed"), total.alias("total")).join(counts, ids)
+    checked = wide.select(*ids, "n_fields", passed.alias("passed"), total.alias("total"))
     head = keyed.select(*ids, "report_type", "source", "confidence", "unit_info")
     rules = F.bround(F.col("passed") / F.greatest("total", F.lit(1)) * 100)
     p = F.coalesce("confidence", quality.source_score(F.coalesce("source", F.lit("pdfplumber_standard"))).cast("double"))
