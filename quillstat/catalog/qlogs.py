@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstat.catalog.base import query, values
 from quillstat.functions import fixed, timeparse
+from quillstat.functions.expr import settled
 from quillstat.operators import blocked, joins, matching, questions
 from quillstat.operators.windows import numbered
 from quillstat.plans.enrich_questions import enrich_questions
@@ -42,7 +43,7 @@ LOG = f"""lg AS (SELECT user_id session_id, event_id turn, CAST(event_id%8 AS IN
        "CAST(CASE k WHEN 2 THEN greatest(y,2024) WHEN 4 THEN 2025 END AS INTEGER) year_end, CASE k WHEN 4 THEN 3 END AS rolling, CASE k WHEN 3 THEN 'Q3' WHEN 5 THEN 'H1' END AS period, CASE k WHEN 0 THEN CAST(y AS VARCHAR)||'年' WHEN 2 THEN CAST(least(y,2024) AS VARCHAR)||'-'||CAST(greatest(y,2024) AS VARCHAR)||'年' WHEN 3 THEN CAST(y AS VARCHAR)||'年Q3' "
        "WHEN 4 THEN '近3年' WHEN 5 THEN CAST(y AS VARCHAR)||'年H1' WHEN 6 THEN '去年' WHEN 7 THEN CAST(y AS VARCHAR)||'年' ELSE '(未指定时间，默认显示最新数据)' END label FROM lg")
 def time_expressions(spark, sf_dir):
-    t = log(spark, sf_dir).select("turn", timeparse.parse_time_expression(F.col("text"), 2026).alias("t"))
+    t = settled(log(spark, sf_dir), t=timeparse.parse_time_expression(F.col("text"), 2026))
     return t.select("turn", *[f"t.{c}" for c in ("type", "year", "quarter", "half", "year_start", "year_end", "rolling", "period")], timeparse.time_label(F.col("t")).alias("label"))
 
 
