@@ -31,34 +31,35 @@ def _dec(value: str) -> Column:
 def statement_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year-to-date and life-to-date sums per supplier, year and quarter."""
     items = table(spark, sf_dir, "lineitem")
-    ep = F.col("l_extendedprice").cast("decimal(12,2)")
-    d = F.col("l_discount").cast("decimal(4,2)")
-    t = F.col("l_tax").cast("decimal(4,2)")
+    # Exact integer arithmetic in 1/10000: cents of the price times hundredths of the rates. Whole numbers
+    # stay in machine words for every row; an overflowing sum would fail (ANSI), never wrap.
+    ep = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    d = F.round(F.col("l_discount") * 100).cast("bigint")
+    t = F.round(F.col("l_tax") * 100).cast("bigint")
     returned = F.col("l_returnflag") == "R"
-    zero = F.lit("0").cast(_MONEY)
-    rev = ep * (_dec("1") - d)
-    cost = ep * (_dec("0.60") + t)
+    rev, cost = ep * (100 - d), ep * (60 + t)
     parts = {
         "rev": rev,
         "cost": cost,
         "disc": ep * d,
-        "np": rev - cost - F.when(returned, ep * _dec("0.90")).otherwise(zero),
-        "ast": ep,
-        "liab": ep * (_dec("0.50") + _dec("4") * d),
-        "ar": F.when(F.col("l_quantity") > 25, ep),
-        "inv": F.when(F.col("l_linenumber") >= 4, ep),
+        "np": rev - cost - F.when(returned, ep * 90).otherwise(0),
+        "ast": ep * 100,
+        "liab": ep * (50 + 4 * d),
+        "ar": F.when(F.col("l_quantity") > 25, ep * 100),
+        "inv": F.when(F.col("l_linenumber") >= 4, ep * 100),
         "taxed": ep * t,
-        "ocf": F.when(returned, -ep).otherwise(ep * _dec("0.50")),
+        "ocf": F.when(returned, ep * -100).otherwise(ep * 50),
     }
+    unit = F.lit("0.0001").cast("decimal(4,4)")
     quarterly = (
         items.select(
             "l_suppkey",
             F.year("l_shipdate").alias("y"),
             F.quarter("l_shipdate").alias("q"),
-            *[c.cast(_MONEY).alias(n) for n, c in parts.items()],
+            *[c.alias(n) for n, c in parts.items()],
         )
         .groupBy("l_suppkey", "y", "q")
-        .agg(*[F.coalesce(F.sum(n), zero).cast(_MONEY).alias(n) for n in parts])
+        .agg(*[(F.coalesce(F.sum(n), F.lit(0)).cast("decimal(20,0)") * unit).cast(_MONEY).alias(n) for n in parts])
     )
     ytd = W.partitionBy("l_suppkey", "y").orderBy("q").rowsBetween(W.unboundedPreceding, 0)
     ltd = W.partitionBy("l_suppkey").orderBy("y", "q").rowsBetween(W.unboundedPreceding, 0)
