@@ -16,9 +16,9 @@ from quillstat.operators.windows import first_rows
 
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, single: bool = True) -> DataFrame:
     """All pairs where the text contains the term; without ``single`` terms have at least two characters."""
-    left = texts.withColumn("_a", F.explode(bigrams(F.col(text), with_single=single)))
-    right = terms.filter(F.length(term) > 0).withColumn("_a", F.substring(term, 1, 2))
-    return left.join(right, "_a").filter(F.contains(F.col(text), F.col(term))).drop("_a")
+    left = texts.withColumn("_pair_key", F.explode(bigrams(F.col(text), with_single=single)))
+    right = terms.filter(F.length(term) > 0).withColumn("_pair_key", F.substring(term, 1, 2))
+    return left.join(right, "_pair_key").filter(F.contains(F.col(text), F.col(term))).drop("_pair_key")
 
 
 def either_contains_join(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
@@ -48,11 +48,11 @@ def similar_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: f
         single = F.array_distinct(F.split(c, ""))
         return F.when(F.length(c) == 1, single).otherwise(bigrams(c)) if threshold >= 70 else single
 
-    left_keys = left.withColumn("_g", F.explode(key(F.col(a))))
-    right_keys = right.withColumn("_g", F.explode(key(F.col(b))))
+    left_keys = left.withColumn("_match_key", F.explode(key(F.col(a))))
+    right_keys = right.withColumn("_match_key", F.explode(key(F.col(b))))
     la, lb = F.length(a), F.length(b)
     near = F.least(la, lb) * 100 >= F.greatest(la, lb) * threshold
-    pairs = left_keys.join(right_keys, "_g").filter(near).drop("_g").distinct()
+    pairs = left_keys.join(right_keys, "_match_key").filter(near).drop("_match_key").distinct()
     return pairs.withColumn("score", similarity(F.col(a), F.col(b))).filter(F.col("score") >= threshold)
 
 
