@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import fixed
 from quillstat.keys import KEYS, EntityKeys
+from quillstat.session import broadcast_if_small
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -150,7 +151,7 @@ def metric_projection(df: DataFrame, metrics: list[str], intent: str = "lookup",
 
 def exclude_labels(df: DataFrame, label: str, stop: DataFrame) -> DataFrame:
     """Drop rows whose label is on the stop list (column ``label``)."""
-    return df.join(F.broadcast(stop.select(F.col("label").alias(label))), label, "left_anti")
+    return df.join(broadcast_if_small(stop.select(F.col("label").alias(label))), label, "left_anti")
 
 
 def min_token_filter(chunks: DataFrame, minimum: int = 50) -> DataFrame:

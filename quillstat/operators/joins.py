@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from quillstat.functions import fixed
 from quillstat.keys import KEYS, EntityKeys, period_ordinal
 from quillstat.operators.windows import first_rows
+from quillstat.session import broadcast_if_small
 
 
 def owner_tables(metrics: list[str]) -> dict[str, str]:
@@ -22,7 +23,7 @@ def owner_tables(metrics: list[str]) -> dict[str, str]:
 def table_of_field(df: DataFrame, dictionary: DataFrame, field: str = "field") -> DataFrame:
     """Adds ``table_name`` from the dictionary, the core table as default."""
     d = dictionary.select(F.col("field").alias(field), F.col("table").alias("_t"))
-    return df.join(F.broadcast(d), field, "left").withColumn(
+    return df.join(broadcast_if_small(d), field, "left").withColumn(
         "table_name", F.coalesce("_t", F.lit(fixed.CORE_TABLE))).drop("_t")
 
 
@@ -85,15 +86,15 @@ def resolve_metric(requests: DataFrame, catalog: DataFrame, owners: DataFrame, s
         "_prio", F.when(order > 0, order).otherwise(F.lit(9)))
     own = owners.select("field", F.col("table").alias("_own"))
     direct = (
-        asked.withColumn("field", F.col(metric)).join(F.broadcast(tables), "field")
-        .join(F.broadcast(own), "field", "left")
+        asked.withColumn("field", F.col(metric)).join(broadcast_if_small(tables), "field")
+        .join(broadcast_if_small(own), "field", "left")
         .filter((F.col("_prio") < 9) | (F.col("_own") == F.col("table_name")))
         .withColumn("_prio", F.when(F.col("_own") == F.col("table_name"), 0).otherwise(F.col("_prio")))
         .withColumn("substituted", F.lit(False))
     )
     swapped = (
-        asked.join(F.broadcast(substitutes), F.col(metric) == F.col("missing")).drop("missing")
-        .join(F.broadcast(tables.filter(F.col("_prio") == 1)), "field")
+        asked.join(broadcast_if_small(substitutes), F.col(metric) == F.col("missing")).drop("missing")
+        .join(broadcast_if_small(tables.filter(F.col("_prio") == 1)), "field")
         .withColumn("_prio", F.lit(20)).withColumn("substituted", F.lit(True))
     )
     best = first_rows(

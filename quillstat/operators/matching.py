@@ -2,7 +2,7 @@
 
 A term contained in a text shares its leading character pair with the text, and two similar names share
 at least one pair, so both become equi-joins on pairs followed by the exact test. The term side is a
-dictionary; Spark broadcasts it when its size allows and shuffles (splitting hot pairs) otherwise.
+dictionary; it is broadcast when a row count proves it small, and shuffled (splitting hot pairs) otherwise.
 """
 
 from __future__ import annotations
@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.textclean import bigrams
 from quillstat.operators.windows import first_rows
+from quillstat.session import broadcast_if_small
 
 
-def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, single: bool = True) -> DataFrame:
-    """All pairs where the text contains the term; without ``single`` terms have at least two characters."""
+def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, single: bool = True, small: str = "terms") -> DataFrame:
+    """All pairs where the text contains the term; without ``single`` terms have at least two characters.
+
+    ``small`` names the dictionary side (terms or texts): it is broadcast when its row count allows.
+    """
     left = texts.withColumn("_pair_key", F.explode(bigrams(F.col(text), with_single=single)))
     right = terms.filter(F.length(term) > 0).withColumn("_pair_key", F.substring(term, 1, 2))
+    left, right = (left, broadcast_if_small(right)) if small == "terms" else (broadcast_if_small(left), right)
     return left.join(right, "_pair_key").filter(F.contains(F.col(text), F.col(term))).drop("_pair_key")
 
 
 def either_contains_join(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """All pairs where one text contains the other; pairs of equal texts appear once."""
+    """All pairs where one text contains the other; pairs of equal texts appear once. ``right`` is the dictionary."""
     forward = contains_join(left, a, right, b)
-    backward = contains_join(right, b, left, a).filter(F.col(a) != F.col(b))
+    backward = contains_join(right, b, left, a, small="texts").filter(F.col(a) != F.col(b))
     return forward.unionByName(backward)
 
 
@@ -49,7 +54,7 @@ def similar_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: f
         return F.when(F.length(c) == 1, single).otherwise(bigrams(c)) if threshold >= 70 else single
 
     left_keys = left.withColumn("_match_key", F.explode(key(F.col(a))))
-    right_keys = right.withColumn("_match_key", F.explode(key(F.col(b))))
+    right_keys = broadcast_if_small(right.withColumn("_match_key", F.explode(key(F.col(b)))))
     la, lb = F.length(a), F.length(b)
     near = F.least(la, lb) * 100 >= F.greatest(la, lb) * threshold
     pairs = left_keys.join(right_keys, "_match_key").filter(near).drop("_match_key").distinct()
@@ -80,14 +85,14 @@ def best_per_row(pairs: DataFrame, by: list[str], order: list[Column]) -> DataFr
 
 def synonym_join(terms: DataFrame, term: str, dictionary: DataFrame, synonym: str = "synonym") -> DataFrame:
     """Exact dictionary join: adds the dictionary columns and a score of 1."""
-    d = dictionary.withColumnRenamed(synonym, "_syn")
+    d = broadcast_if_small(dictionary.withColumnRenamed(synonym, "_syn"))
     return terms.join(d, F.col(term) == F.col("_syn")).drop("_syn").withColumn("score", F.lit(1.0))
 
 
 def synonym_substring_join(terms: DataFrame, term: str, dictionary: DataFrame, synonym: str = "synonym", top_k: int = 1) -> DataFrame:
     """Dictionary entries whose synonym contains the term, score = length ratio × 0.9, best k per term."""
     asked = terms.select(term).distinct().filter(F.length(term) > 0)
-    pairs = contains_join(dictionary, synonym, asked, term).withColumn("score", F.length(term) / F.length(synonym) * 0.9)
+    pairs = contains_join(dictionary, synonym, asked, term, small="texts").withColumn("score", F.length(term) / F.length(synonym) * 0.9)
     return first_rows(pairs, [term], [F.col("score").desc(), F.col(synonym)], top_k)
 
 
@@ -97,10 +102,10 @@ def expand_concepts(terms: DataFrame, by: list[str], term: str, concepts: DataFr
 
     Fields are de-duplicated per group at their first position; ``expanded_from`` names the concept.
     """
-    named = terms.join(aliases.withColumnRenamed("alias", term), term, "left")
+    named = terms.join(broadcast_if_small(aliases.withColumnRenamed("alias", term)), term, "left")
     named = named.withColumn("_concept", F.coalesce("concept", F.col(term))).drop("concept")
     children = concepts.select(F.col("concept").alias("_concept"), F.col("pos").alias("_pos"), F.col("field").alias("_field"))
-    rows = named.join(children, "_concept", "left").select(
+    rows = named.join(broadcast_if_small(children), "_concept", "left").select(
         *by, F.coalesce("_field", F.col(term)).alias("field"),
         F.when(F.col("_field").isNotNull(), F.col("_concept")).alias("expanded_from"),
         F.struct(F.col(position).alias("p"), F.coalesce("_pos", F.lit(0)).alias("q")).alias("_order"))

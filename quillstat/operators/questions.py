@@ -16,6 +16,7 @@ from quillstat.operators.blocked import carry_forward, running_sum
 from quillstat.operators.filters import contains_any
 from quillstat.operators.matching import contains_join
 from quillstat.operators.windows import first_rows
+from quillstat.session import broadcast_if_small
 
 
 # kinds
@@ -62,12 +63,12 @@ def first_named(texts: DataFrame, text_id: str, text: str, names: DataFrame, ter
 def label_of(df: DataFrame, field: str, dictionary: DataFrame, name: str = "label") -> DataFrame:
     """Field → label; the field itself when it is unknown."""
     d = dictionary.select(F.col("field").alias(field), F.col("label").alias("_label"))
-    return df.join(F.broadcast(d), field, "left").withColumn(name, F.coalesce("_label", F.col(field))).drop("_label")
+    return df.join(broadcast_if_small(d), field, "left").withColumn(name, F.coalesce("_label", F.col(field))).drop("_label")
 
 
 def field_of(df: DataFrame, label: str, dictionary: DataFrame, name: str = "field") -> DataFrame:
     d = dictionary.select(F.col("label").alias(label), F.col("field").alias("_field"))
-    return df.join(F.broadcast(d), label, "left").withColumn(name, F.col("_field")).drop("_field")
+    return df.join(broadcast_if_small(d), label, "left").withColumn(name, F.col("_field")).drop("_field")
 
 
 # sessions

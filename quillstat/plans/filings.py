@@ -11,7 +11,7 @@ from quillstat.functions import fixed
 from quillstat.functions.numbers import normalize
 from quillstat.operators import mapping, pages, quality
 from quillstat.operators.windows import first_rows
-from quillstat.session import durable
+from quillstat.session import broadcast_if_small, durable
 from quillstat.sources import filings as source
 from quillstat.sources import statements as store
 
@@ -44,7 +44,7 @@ def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame
         F.max(F.when(F.col("col") == F.col("target_col"), text)).alias("raw")).join(info, table)
     mapped = mapping.map_fields(durable(rows.filter(F.col("label").isNotNull())), dictionary, "label", "table_name", pool, history)
     units = fields.select("field", "unit")
-    valued = mapped.filter(F.col("field").isNotNull()).join(F.broadcast(units), "field").withColumn(
+    valued = mapped.filter(F.col("field").isNotNull()).join(broadcast_if_small(units), "field").withColumn(
         "value", normalize(F.col("raw"), F.col("unit_factor"), F.col("unit"), digits=digits))
     best = mapping.best_value_per_field(valued, [*filing, "table_name"])
     return mapping.cross_fill(durable(best.select(*filing, "table_name", "field", "value")), filing)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quillstat.functions import fixed
+from quillstat.session import broadcast_if_small
 
 FILING_SCHEMA = """stock_code string, stock_abbr string, report_year int, report_period string, report_type string, exchange string,
 source string, confidence double,
@@ -28,7 +29,7 @@ def explode_facts(filings: DataFrame, catalog: DataFrame, ids: list[str]) -> Dat
     tables = filings.select(*ids, F.explode("data").alias("table_name", "_fields"))
     facts = tables.select(*ids, "table_name", F.explode("_fields").alias("field", "value"))
     known = catalog.select("table_name", F.col("column_name").alias("field"))
-    return facts.join(F.broadcast(known), ["table_name", "field"], "left_semi").select(*ids, "table_name", "field", "value")
+    return facts.join(broadcast_if_small(known), ["table_name", "field"], "left_semi").select(*ids, "table_name", "field", "value")
 
 
 def read_field_dictionary(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
