@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstat.catalog.base import PERIOD_ORD, PREFER_CUM, PREFER_HALF, query, sql, values
+from quillstat.catalog.base import PERIOD_ORD, PREFER_CUM, PREFER_HALF, query, sql
 from quillstat.functions import fixed
 from quillstat.operators import filters, joins, topk, windows
 from quillstat.plans.metric_query import MetricRequest, metric_query
-from quillstat.plans.views import STATEMENTS, TABLE_NAMES, amount_facts, statement, statement_wide, statements, table
+from quillstat.plans.views import TABLE_NAMES, amount_facts, statement, statement_wide, statements, table
 from quillstat.session import work_path
 from quillstat.sources import statements as store
 
@@ -355,10 +355,6 @@ def upsert_rows(spark, sf_dir):
                         s["core"].filter("report_year >= 1998").select(*cols), ["stock_code", "report_year", "report_period"])
 
 
-CONDITION_TEXT = ("CASE CAST(event_id%6 AS INTEGER) WHEN 0 THEN '大于' WHEN 1 THEN '小于' WHEN 2 THEN '不低于' WHEN 3 THEN '不高于' WHEN 4 THEN '收入超过' ELSE '约' END "
-                  "|| CAST(user_id AS VARCHAR) || '万元'")
-
-
 @query("condition_from_text", "FLT6", 
     "SELECT event_id, user_id, op, number, CASE op WHEN '>' THEN value>number WHEN '<' THEN value<number WHEN '>=' THEN value>=number WHEN '<=' THEN value<=number END passes FROM ("
     "SELECT event_id, user_id, value, CASE CAST(event_id%6 AS INTEGER) WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '>=' WHEN 3 THEN '<=' WHEN 4 THEN '>' END op, CAST(user_id AS DOUBLE) number FROM events)")
@@ -411,6 +407,3 @@ def statement_row_counts(spark, sf_dir):
     return statement_wide(spark, sf_dir).groupBy("report_year", "report_period").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("total_operating_revenue").alias("revenue"),
         F.sum("asset_total_assets").alias("assets"), F.sum("net_cash_flow").alias("cash"))
-
-
-__all__ = ["STATEMENTS", "values"]

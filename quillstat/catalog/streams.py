@@ -15,23 +15,28 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def _wall_clock():
+    """Session bounds as text, the same in every session time zone."""
+    return [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")]
+
+
 SESSIONS = ("e AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END nw FROM events), "
             "g AS (SELECT *, SUM(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM e), "
             "ss AS (SELECT user_id, MIN(ts) session_start, MAX(ts) + INTERVAL 30 MINUTE session_end, COUNT(*) n_events FROM g GROUP BY user_id, g)")
 
 
-@query("session_activity", "SM1", f"WITH {SESSIONS} SELECT user_id, epoch_us(session_start) session_start, epoch_us(session_end) session_end, n_events FROM ss")
+@query("session_activity", "SM1", f"WITH {SESSIONS} SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') session_end, n_events FROM ss")
 def session_activity(spark, sf_dir):
     out = sessions.session_activity(table(spark, sf_dir, "events"), "user_id", "ts")
-    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n_events")
+    return out.select("user_id", *_wall_clock(), "n_events")
 
 
-@query("session_activity_stream", "SM1", f"WITH {SESSIONS} SELECT user_id, epoch_us(session_start) session_start, epoch_us(session_end) session_end, n_events FROM ss WHERE session_end <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)")
+@query("session_activity_stream", "SM1", f"WITH {SESSIONS} SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') session_end, n_events FROM ss WHERE session_end <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)")
 def session_activity_stream(spark, sf_dir):
     path = work_path(spark, "sessions")
     sessions.run_available(sessions.session_activity(event_stream(spark, sf_dir), "user_id", "ts"), path)
     out = spark.read.parquet(f"{path}/data")
-    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n_events")
+    return out.select("user_id", *_wall_clock(), "n_events")
 
 
 @query("carry_slots_stream", "SM2", "WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type='purchase' THEN 'C'||CAST(event_id%9 AS VARCHAR) END company, CASE WHEN event_type IN ('click','purchase') THEN 'I'||CAST(event_id%4 AS VARCHAR) END AS indicator, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstat.catalog.base import query
-from quillstat.functions import fixed, textclean
+from quillstat.functions import textclean
 from quillstat.functions.expr import settled
 from quillstat.operators import chunking, topk
 from quillstat.plans.chunk_documents import chunk_documents
@@ -15,8 +15,6 @@ from quillstat.sources import documents as sources
 
 # Notes: every document becomes a Markdown note with a title, headings, figures, a formula, a table, an image and,
 # for some, a disclaimer. The same text is built on both sides.
-TABLE_HTML = ("<table border=1><tr><th>营业收入</th><th> 净利润 </th></tr><tr><td>{a}</td><td>{b}</td></tr>"
-              "<tr><td>合计</td></tr><tr><td></td><td>7</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>")
 
 
 def notes(spark, sf_dir):
@@ -190,6 +188,3 @@ def whole_file_documents(spark, sf_dir):
 def page_headings(spark, sf_dir):
     md = F.concat(F.lit("# "), F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1))
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(chunking.heading_parts(md).getField("heading"), F.lit("")).alias("heading"))
-
-
-__all__ = ["TABLE_HTML", "fixed"]

@@ -93,8 +93,7 @@ def map_fields(labels: DataFrame, dictionary: DataFrame, label: str = "label", c
     scored = pairs.join(std, "standard").withColumn("_lex", lexical_score(a, s)).withColumn("_rest", stripped)
     bonus = F.when((F.col("_syn") == 0) & (F.length("_rest") >= 2), F.when(lexical_score(F.col("_rest"), s) > 20, 15).otherwise(0)).otherwise(0)
     prior = F.when(reduce(lambda x, y: x | y, [s.contains(w) for w in fixed.COMMON_NAMES]), 20).otherwise(10)
-    scored = scored.select("_a", "standard", "_f", "_tab", (a == s).alias("_same"), F.col("_lex") + F.col("_syn") + F.coalesce(bonus, F.lit(0)).alias("_base"), prior.alias("_prior"))
-    scored = scored.toDF("_a", "standard", "_f", "_tab", "_same", "_base", "_prior")
+    scored = scored.select("_a", "standard", "_f", "_tab", (a == s).alias("_same"), (F.col("_lex") + F.col("_syn") + F.coalesce(bonus, F.lit(0))).alias("_base"), prior.alias("_prior"))
     if history is not None:
         seen = history.select(F.col("label").alias("_a"), F.col("field").alias("_f"), "observations", "successes")
         scored = scored.join(seen, ["_a", "_f"], "left").withColumn("_learned", mapping_frequency_score(F.col("observations"), F.col("successes")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillstat.keys import KEYS, EntityKeys, period_ordinal
-from quillstat.operators.stats import duplicate_filings, duplicate_keys, mean_multiple_outliers, melt, profile_columns, three_sigma
+from quillstat.operators.stats import melt
 
 # Tolerances of the rules.
 TOLERANCE = 0.02
@@ -156,5 +156,3 @@ def logic_violations(rows: DataFrame, ids: list[str]) -> DataFrame:
         F.struct(F.lit("assets_ge_liabilities").alias("rule"), ((assets != 0) & (debt != 0) & (assets < debt)).alias("bad")))
     return rows.select(*ids, F.explode(issues).alias("i")).filter("i.bad").select(*ids, F.col("i.rule").alias("rule"))
 
-
-__all__ = ["duplicate_filings", "duplicate_keys", "mean_multiple_outliers", "profile_columns", "three_sigma"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.keys import KEYS, EntityKeys
 from quillstat.operators.windows import numbered
 
 
@@ -115,7 +114,3 @@ def duplicate_filings(df: DataFrame, keys: list[str], source: str, keep: int = 3
     names = first_rows(per_file, keys, [F.col(source)], keep).groupBy(*keys).agg(
         F.concat_ws(",", F.sort_array(F.collect_list(source))).alias("files"))
     return counts.join(names, keys)
-
-
-def keyed(df: DataFrame, keys: EntityKeys = KEYS) -> DataFrame:
-    return df.select(*keys.dims)

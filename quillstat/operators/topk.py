@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.keys import KEYS, EntityKeys, period_ordinal
-from quillstat.operators.windows import first_rows, rank
+from quillstat.operators.windows import rank
 
 
 def top_n(df: DataFrame, metric: str, n: int = 10, tie: list[str] | None = None, keys: EntityKeys = KEYS) -> DataFrame:
@@ -56,6 +56,3 @@ def intersect_top_n(df: DataFrame, fields: list[str], n: int, keys: EntityKeys =
         out = out.join(r.drop(keys.name), [*by, keys.code])
     return out
 
-
-__all__ = ["first_rows", "intersect_top_n", "most_common", "newest_first", "rank", "severity_ordinal", "top_n",
-           "trend_order", "union_tables"]

@@ -148,7 +148,6 @@ def statements(spark: SparkSession, sf_dir: str, names: list[str] = STATEMENTS)
 def statement_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct metrics of the four views in one row per key, from one scan."""
     cols = _columns()
-    core = [c for c in cols["core"] if "net_profit AS" not in str(c)]
     return statement_base(spark, sf_dir).select(
         *KEY_COLUMNS, *cols["income"], *cols["balance"], *cols["cashflow"],
         *[c for i, c in enumerate(cols["core"]) if i != 1],

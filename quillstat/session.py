@@ -22,7 +22,7 @@ def get_session(app: str = "quillstat", cores: int | str = "*", shuffle_partitio
         .config("spark.driver.memory", os.environ.get("QUILLSTAT_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.legacy.parquet.nanosAsLong", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
