@@ -118,8 +118,8 @@ def best_period_per_entity(spark, sf_dir):
 
 
 @query("sane_row_counts", "FLT9 FLT10", sql(
-    "SELECT report_year, COUNT(*) n_rows, SUM(CASE WHEN COALESCE(abs(roe)<=1,true) AND COALESCE(abs(gross_profit_margin)<=1,true) AND COALESCE(abs(net_profit_margin)<=1,true) THEN 1 ELSE 0 END) n_sane, "
-    "SUM((CASE WHEN eps IS NOT NULL THEN 1 ELSE 0 END)+(CASE WHEN roe IS NOT NULL THEN 1 ELSE 0 END)) n_values FROM core GROUP BY report_year"))
+    "SELECT report_year, COUNT(*) n_rows, CAST(SUM(CASE WHEN COALESCE(abs(roe)<=1,true) AND COALESCE(abs(gross_profit_margin)<=1,true) AND COALESCE(abs(net_profit_margin)<=1,true) THEN 1 ELSE 0 END) AS BIGINT) n_sane, "
+    "CAST(SUM((CASE WHEN eps IS NOT NULL THEN 1 ELSE 0 END)+(CASE WHEN roe IS NOT NULL THEN 1 ELSE 0 END)) AS BIGINT) n_values FROM core GROUP BY report_year"))
 def sane_row_counts(spark, sf_dir):
     rows = statement(spark, sf_dir, "core")
     return rows.groupBy("report_year").agg(

@@ -181,7 +181,7 @@ def training_pairs(spark, sf_dir):
     return questions.training_pairs(rows, "event_id", "q", "multi", ["company", "year"], ["company", "year"], by=["user_id"], block=500).select("event_id", "input", "output")
 
 
-@query("hash_split", "FN44", "SELECT part, COUNT(*) n, SUM(doc_id) s FROM (SELECT doc_id, CASE WHEN CAST(('0x'||substr(md5(CAST(doc_id AS VARCHAR)),1,8)) AS BIGINT)%100<80 THEN 'train' ELSE 'test' END part FROM documents) GROUP BY 1")
+@query("hash_split", "FN44", "SELECT part, COUNT(*) n, CAST(SUM(doc_id) AS BIGINT) s FROM (SELECT doc_id, CASE WHEN CAST(('0x'||substr(md5(CAST(doc_id AS VARCHAR)),1,8)) AS BIGINT)%100<80 THEN 'train' ELSE 'test' END part FROM documents) GROUP BY 1")
 def hash_split(spark, sf_dir):
     return questions.hash_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("s"))
 
@@ -266,7 +266,7 @@ def question_blocks(spark, sf_dir):
     return text_sources.read_questions(spark, path)
 
 
-@query("annotation_lines", "SRC17", "SELECT event_type, COUNT(*) n, SUM(user_id) s FROM events GROUP BY 1")
+@query("annotation_lines", "SRC17", "SELECT event_type, COUNT(*) n, CAST(SUM(user_id) AS BIGINT) s FROM events GROUP BY 1")
 def annotation_lines(spark, sf_dir):
     path = work_path(spark, "annotations")
     table(spark, sf_dir, "events").select(F.col("event_type").alias("intent"), F.col("user_id").alias("company")).write.json(path)
@@ -287,7 +287,7 @@ def dictionary_problems(spark, sf_dir):
     return dictionary_report(p.filter("p_size > 48").select(F.col("p_type").alias("label")), p.select(F.col("p_name").alias("synonym"), F.col("p_type").alias("label")))
 
 
-@query("running_positions", "WN18", "SELECT user_id, event_id, SUM(CASE WHEN event_type='error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) errors FROM events")
+@query("running_positions", "WN18", "SELECT user_id, event_id, CAST(SUM(CASE WHEN event_type='error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) errors FROM events")
 def running_positions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return blocked.running_sum(e, ["user_id"], "event_id", (F.col("event_type") == "error").cast("int"), "errors", block=2000).drop("event_type")

@@ -159,7 +159,7 @@ def whole_section_chunks(spark, sf_dir):
 
 
 @query("corpus_summary", "AG14 SRC8", f"WITH {SECTIONS}, ok AS (SELECT doc_id, {TOK} tok FROM bodies WHERE body<>'' AND heading<>'目录' AND ({TOK}>=100 OR section_no=4) AND {TOK}>=50) "
-       "SELECT (SELECT COUNT(*) FROM documents) files, COUNT(DISTINCT doc_id) ok, (SELECT COUNT(*) FROM documents)-COUNT(DISTINCT doc_id) failed, COUNT(*) chunks, SUM(tok) tokens, SUM(tok)/COUNT(*) mean_tokens, 50 min_tokens FROM ok")
+       "SELECT (SELECT COUNT(*) FROM documents) files, COUNT(DISTINCT doc_id) ok, (SELECT COUNT(*) FROM documents)-COUNT(DISTINCT doc_id) failed, COUNT(*) chunks, CAST(SUM(tok) AS BIGINT) tokens, SUM(tok)/COUNT(*) mean_tokens, 50 min_tokens FROM ok")
 def corpus_summary(spark, sf_dir):
     path = work_path(spark, "chunks")
     n = notes(spark, sf_dir)
