@@ -10,7 +10,7 @@ from quillstat.functions.expr import settled
 from quillstat.operators import chunking, topk
 from quillstat.plans.chunk_documents import chunk_documents
 from quillstat.plans.views import table
-from quillstat.session import work_path
+from quillstat.session import spread, work_path
 from quillstat.sources import documents as sources
 
 # Notes: every document becomes a Markdown note with a title, headings, figures, a formula, a table, an image and,
@@ -32,7 +32,8 @@ def notes(spark, sf_dir):
     year = (F.lit(2015) + F.col("doc_id") % 10).cast("string")
     name = F.concat(s("Supplier"), F.lpad((F.col("doc_id") % 100).cast("string"), 3, "0"), s("_"), year,
                     F.when(k == 0, "年报点评").when(k == 1, "三季报业绩").when(k == 2, "首次覆盖").when(k == 3, "Q1简评").otherwise("memo"), s("_"), i, s(".md"))
-    return table(spark, sf_dir, "documents").select("doc_id", name.alias("file_name"), text.alias("text"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return docs.select("doc_id", name.alias("file_name"), text.alias("text"))
 
 
 NOTES = """notes AS (SELECT doc_id, 'Supplier'||lpad(CAST(doc_id%100 AS VARCHAR),3,'0')||'_'||CAST(2015+doc_id%10 AS VARCHAR)||
