@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,8 +148,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     keywords = sorted({r[2] for r in rules()} | {p for p, _ in BASE})
     held = F.array_compact(F.array(*[F.when(F.col("words").contains(k), F.lit(k)) for k in keywords]))
     d = documents(docs, "text").select("doc_id", word_text(F.col("text")).alias("words"))
+    gate = reduce(or_, [F.col("words").contains(g) for g in GATE])
     n = F.when(F.col("words") == "  ", F.lit(0)).otherwise(_spaces(F.col("words")) - 1)
-    d = d.select("doc_id", "words", n.cast("long").alias("n_words"), F.when(F.col("words").rlike("|".join(GATE)), held).otherwise(F.array().cast("array<string>")).alias("held"))
+    d = d.select("doc_id", "words", n.cast("long").alias("n_words"), F.when(gate, held).otherwise(F.array().cast("array<string>")).alias("held"))
     constants = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(lb).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(pr).alias("priority"), F.lit(c).alias("confidence")) for r, lb, k, p, pr, c in rules()])
     base = F.array(*[F.struct(F.lit(lb).alias("label"), F.concat(F.lit("(?<= )"), F.lit(p), F.lit("(?= )")).alias("pattern")) for p, lb in BASE])
     some = F.size("held") > 0
