@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import licenses, quality
+from quillstat.llm import chat, licenses, packing, quality
 from quillstat.llm.common import table
 
 
@@ -17,7 +17,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def vocabulary() -> str:
+    """Place of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoting = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*[F.col(c).cast(t).alias(c) for c, t in extra.dtypes]).unionByName(extra)
+    return chat.conversation_digests(chat.format_turns(chat.text_messages(rows)))
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
