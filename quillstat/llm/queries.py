@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import chat, licenses, packing, quality
+from quillstat.llm import chat, licenses, neardup, packing, quality
 from quillstat.llm.common import table
 
 
@@ -24,6 +24,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
@@ -36,6 +40,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,

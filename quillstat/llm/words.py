@@ -20,7 +20,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (parted by ASCII white space) and the bounds of each text; a null text has none."""
-    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    texts = pc.fill_null(texts, "")
+    for space in "\t\n\x0b\x0c\r":
+        texts = pc.replace_substring(texts, space, " ")
+    cut = pc.split_pattern(texts, " ")
     bounds = np.asarray(cut.offsets.to_numpy(), dtype="int64")
     bounds = bounds - bounds[0]
     flat = cut.flatten().dictionary_encode()
@@ -28,7 +31,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in values), "uint64", len(values))
     index = flat.indices.to_numpy()
     out = hashes[index] if len(values) else np.zeros(0, "uint64")
-    if "" in values:  # white space at an end leaves an empty word
+    if "" in values:  # white space at an end or in a row leaves empty words
         real = index != values.index("")
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         out = out[real]
@@ -37,7 +40,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text in lower case (A-Z); a text of fewer words is one shingle, without words it has none."""
-    words, bounds = word_hashes(pc.ascii_lower(texts.cast(pa.large_string())))
+    words, bounds = word_hashes(pc.ascii_lower(texts))
     if len(words) >= size:
         rolled = words[: len(words) - size + 1].copy()
         for k in range(1, size):
