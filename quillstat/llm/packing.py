@@ -26,7 +26,7 @@ class Encoder:
     space or line break is encoded whole.
     """
 
-    CACHE = 300_000  # words in each half of a worker's cache; memory, not results, depends on it
+    CACHE = 500_000  # words in each half of a worker's cache; memory, not results, depends on it
 
     def __init__(self, path: str):
         import os
@@ -99,6 +99,13 @@ class Encoder:
         return out
 
 
+def vocabulary() -> str:
+    """Place of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -116,8 +123,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, separator: i
         enc = encoder(vocabulary)
         end = np.asarray([separator], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 rows: list[list] = [[] for _ in range(6)]
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids += end

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.llm import chat, licenses, linededup, neardup, packing, quality
+import corpus_pipeline
+from quillstat.llm import chat, licenses, linededup, mixing, neardup, packing, quality
 from quillstat.llm.common import table
 
 
@@ -17,13 +18,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
-def vocabulary() -> str:
-    """Place of the public byte-level vocabulary."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linededup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -34,7 +28,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.vocabulary(), with_ids=False).drop("ids")
+
+
+#: Production mixture: sources of one digit are web text, the others curated text.
+DOMAIN = "CASE WHEN source RLIKE '^src[0-9]$' THEN 'web' ELSE 'curated' END"
+WEIGHTS = {"domain": {"web": 1, "curated": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2, "src10": 3}}
+SHARE, EPOCHS, SEED = 0.8, 3, 11
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), DOMAIN, WEIGHTS, share=SHARE, max_epochs=EPOCHS, seed=SEED)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,15 +49,45 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_source_mixing": op6_source_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
 
+def _fill_sql(name: str, nodes: str, parent: str) -> str:
+    """CTE ``name``: the children of ``nodes`` with their share of the parent's budget, as water filling by its definition."""
+    w = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{name}_o AS (SELECT *, sum(capacity) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, coalesce(sum(weight) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after
+  FROM {nodes} WINDOW o AS ({w} ORDER BY CAST(capacity AS DOUBLE) / weight, {name})),
+{name}_f AS (SELECT *, upto * weight + capacity * after <= CAST(budget AS HUGEINT) * weight AS filled FROM {name}_o),
+{name}_b AS (SELECT * EXCLUDE (budget), CASE WHEN filled THEN capacity ELSE
+  (CAST(budget AS HUGEINT) - sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER ({w})) * weight // sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({w}) END AS budget FROM {name}_f)"""
+
+
+def _weight_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
+
+
 ORACLES = {
+    "op6_source_mixing": rf"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {EPOCHS} AS HUGEINT) AS capacity FROM d GROUP BY ALL),
+n1 AS (SELECT domain, sum(capacity) AS capacity, CAST({_weight_sql('domain')} AS HUGEINT) AS weight, CAST(floor((SELECT CAST(sum(tokens) AS BIGINT) FROM leaf) * CAST({SHARE} AS DOUBLE)) AS BIGINT) AS budget FROM leaf GROUP BY domain),
+{_fill_sql('domain', 'n1', '')},
+n2 AS (SELECT domain, lang, sum(leaf.capacity) AS capacity, CAST({_weight_sql('lang')} AS HUGEINT) AS weight, any_value(domain_b.budget) AS budget FROM leaf JOIN domain_b USING (domain) GROUP BY domain, lang),
+{_fill_sql('lang', 'n2', 'domain')},
+n3 AS (SELECT domain, lang, source, leaf.capacity, CAST({_weight_sql('source')} AS HUGEINT) AS weight, lang_b.budget FROM leaf JOIN lang_b USING (domain, lang)),
+{_fill_sql('source', 'n3', 'domain, lang')},
+e AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE -1 END AS rest FROM leaf JOIN source_b USING (domain, lang, source)),
+r AS (SELECT d.*, epochs, rest, sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))) AS running FROM d JOIN e USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN running <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r""",
     "op9_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS rows FROM d),
