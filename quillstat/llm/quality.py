@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import SPACE, WORD, documents
+from quillstat.llm.common import SPACE, WORD, documents, written
 
 #: Production limits: a line goes when more distinct texts of its host hold it than both limits allow.
 MAX_DOCS, MAX_SHARE = 20, 0.002
@@ -93,7 +93,8 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
 def apply_quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """The kept rows of ``docs``, all columns, without the lines that go. Rows with the same id, host and text share one verdict."""
     source = limits.get("source", "source")
-    verdicts = quality_rules(docs, **limits).where("kept").select(
+    # Written first: a filter on the verdict would be pushed below the measures, which would copy them many times over.
+    verdicts = written(quality_rules(docs, **limits).select("doc_id", "host", "content", "removed", "kept"), "verdicts").where("kept").select(
         F.col("doc_id").alias("_q_id"), F.col("host").alias("_q_host"), F.col("content").alias("_q_content"), F.col("removed").alias("_q_removed"))
     verdicts = verdicts.dropDuplicates(["_q_id", "_q_host", "_q_content"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
