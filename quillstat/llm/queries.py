@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstat.llm import ann, chat, licenses, linededup, mixing, neardup, packing, quality
+from quillstat.llm import ann, chat, langid, licenses, linededup, mixing, neardup, packing, quality
 from quillstat.llm.common import table
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs.where(fold != 2).select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("host", "content", "removed")
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
