@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstat.llm import ann, chat, langid, licenses, linededup, mixing, neardup, packing, quality
+from quillstat.llm import ann, chat, langid, licenses, linededup, mixing, neardup, packing, quality, repeats
 from quillstat.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.vocabulary(), with_ids=False).drop("ids")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Production mixture: sources of one digit are web text, the others curated text.
 DOMAIN = "CASE WHEN source RLIKE '^src[0-9]$' THEN 'web' ELSE 'curated' END"
 WEIGHTS = {"domain": {"web": 1, "curated": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2, "src10": 3}}
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_language_id": op8_language_id,
