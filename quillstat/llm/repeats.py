@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, ragged, taken, unpack
 from quillstat.llm.common import documents
 from quillstat.llm.linededup import text_bytes
 from quillstat.llm.suffixes import common_prefixes, suffix_array, words_at
@@ -26,53 +26,6 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary,
 ANCHOR = [("key", "<u8", 6), ("doc", "<i8", 8), ("tag", "<u2", 2), ("start", "<u4", 4), ("length", "u1", 1)]
 SPAN = [("doc", "<i8", 8), ("tag", "<u2", 2), ("start", "<u4", 4), ("end", "<u4", 4)]
 
-Columns = dict[str, np.ndarray]
-
-
-def pack(columns: Columns, layout: list, extra: bytes = b"") -> bytes:
-    """Columns by byte planes, then compressed: the high bytes of numbers are alike."""
-    n = len(columns[layout[0][0]])
-    planes = [np.ascontiguousarray(columns[c].astype(t).view("uint8").reshape(n, -1)[:, :width].T).tobytes() for c, t, width in layout]
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(planes) + extra, 1)
-
-
-def unpack(blob: bytes, layout: list) -> tuple[Columns, bytes]:
-    raw = zstandard.decompress(blob)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for c, t, width in layout:
-        whole = np.zeros((n, np.dtype(t).itemsize), "uint8")
-        whole[:, :width] = np.frombuffer(raw, "uint8", n * width, at).reshape(width, n).T
-        out[c] = whole.view(t).ravel()
-        at += n * width
-    return out, raw[at:]
-
-
-def joined(parts: list[Columns], layout: list) -> Columns:
-    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t, _ in layout}
-
-
-def taken(columns: Columns, rows: np.ndarray) -> Columns:
-    return {c: v[rows] for c, v in columns.items()}
-
-
-def dealt(columns: Columns, shard: np.ndarray, layout: list, kind: int, shards: int, text: np.ndarray | None = None, offsets: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
-    """``(shard, kind, blob)`` of rows by their shard; with ``text`` the bytes at ``offsets`` of each row go along."""
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    out = []
-    for s in np.flatnonzero(np.diff(cut)):
-        o = order[cut[s] : cut[s + 1]]
-        extra = ragged(text, offsets[o], columns["length"][o].astype("int64")).tobytes() if text is not None else b""
-        out.append((int(s), kind, pack(taken(columns, o), layout, extra)))
-    return out
-
-
-def ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``data[start : start + length]`` of all rows in a row."""
-    at = np.cumsum(lengths) - lengths
-    return data[np.repeat(starts - at, lengths) + np.arange(int(lengths.sum()))]
-
-
 def doc_shard(docs: np.ndarray, shards: int) -> np.ndarray:
     return (mix(docs.astype("int64").view("uint64") + np.uint64(3)) % np.uint64(shards)).astype("int64")
 
@@ -128,14 +81,6 @@ def _parts(table, doc: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         start = end
 
 
-def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    s, k, b = zip(*rows) if rows else ((), (), ())
-    return pa.table({"shard": pa.array(s, pa.int64()), "kind": pa.array(k, pa.int32()), "packed": pa.array(b, pa.binary())})
-
-
-BLOBS = "shard long, kind int, packed binary"
-
-
 def _deal_anchors(shards: int):
     """Anchors to the shards of their keys. A key that several documents of the batch hold is known to be repeated: its rows pass by (kind 1), and one row tells the shard (kind 2)."""
 
@@ -159,7 +104,7 @@ def _deal_anchors(shards: int):
             told = order[first[several]]
             rows = dealt(taken(c, ~known), by_key[~known], ANCHOR, 0, shards) + dealt(taken(c, told), by_key[told], ANCHOR, 2, shards)
             rows += dealt(taken(c, known), doc_shard(c["doc"][known], shards), ANCHOR, 1, shards)
-            yield from _table(rows).to_batches()
+            yield from blob_table(rows).to_batches()
 
     return run
 
@@ -184,7 +129,7 @@ def _repeated_anchors(shards: int):
             hit[order] = np.repeat(several, np.diff(np.concatenate([first, [len(key)]])))
             found = taken(c, hit)
             rows += dealt(found, doc_shard(found["doc"], shards), ANCHOR, 1, shards)
-        return _table(rows)
+        return blob_table(rows)
 
     return run
 
@@ -208,7 +153,7 @@ def _cut_segments(shards: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         rows: list = []
         if not texts.num_rows or not found.num_rows:
-            return _table(rows)
+            return blob_table(rows)
         c = joined([unpack(b, ANCHOR)[0] for b in found.column("packed").to_pylist()], ANCHOR)
         kept, bodies = [], []
         for data, bounds, ids, tags in _parts(texts, 1, 2):
@@ -221,7 +166,7 @@ def _cut_segments(shards: int):
             bodies.append(ragged(data, base + own["start"], own["length"].astype("int64")))
         c, data = joined(kept, ANCHOR), np.concatenate(bodies) if bodies else np.zeros(0, "uint8")
         if not len(c["key"]):
-            return _table(rows)
+            return blob_table(rows)
         lengths = c["length"].astype("int64")
         starts = np.cumsum(lengths) - lengths
         content = _content(data, starts, lengths)
@@ -235,7 +180,7 @@ def _cut_segments(shards: int):
         stay = taken(c, ~later)
         rows = dealt(stay, (stay["key"] % np.uint64(shards)).astype("int64"), ANCHOR, 0, shards, data, starts[~later])
         rows += dealt(gone, doc_shard(gone["doc"], shards), SPAN, 1, shards)
-        return _table(rows)
+        return blob_table(rows)
 
     return run
 
@@ -314,7 +259,7 @@ def _sort_segments(shards: int):
                 spans.append({"doc": c["doc"][row], "tag": c["tag"][row], "start": c["start"][row] + offset[low][which], "end": c["start"][row] + offset[high][which] + LENGTH})
             s = joined(spans, SPAN)
             rows += dealt(s, doc_shard(s["doc"], shards), SPAN, 1, shards)
-        return _table(rows)
+        return blob_table(rows)
 
     return run
 
