@@ -20,7 +20,7 @@ from quillstat.llm.words import Signer, mix, shingle_sets
 CHUNKS, WIDTH = 14, 5
 POSITIONS, DISTANCE = CHUNKS * WIDTH, 2 * CHUNKS - 1
 GROUP_BLOCK = 1024
-SHARD_KEYS = 4_000_000
+SHARD_KEYS = 1_000_000
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
@@ -55,7 +55,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), shingle)], pa.binary())], ["id", "shingles"])
 
-    wanted = documents(docs, "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # A merge join at every size: the ids grow with the input, and one shuffle of the texts also puts repeated ids together.
+    wanted = documents(docs, "text").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return wanted.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
@@ -74,7 +75,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(signatures: DataFrame, shards: int) -> DataFrame:
-    """``key, id, pivot, n_rows`` for every key that several signatures have; ``pivot`` is the smallest id with the key.
+    """``pivot, id`` for every key that several signatures have; ``pivot`` is the smallest id with the key. A shard gives a pair once.
 
     Keys travel packed, one row per batch and shard, and each shard sorts its own.
     """
@@ -98,12 +99,12 @@ def shared_keys(signatures: DataFrame, shards: int) -> DataFrame:
         keys, ids = keys[order], ids[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(np.concatenate([starts, [len(keys)]]))
-        rows = np.repeat(counts > 1, counts)
-        pivots, sizes = np.repeat(ids[starts], counts), np.repeat(counts, counts)
-        return pa.table({"key": keys[rows], "id": ids[rows], "pivot": pivots[rows], "n_rows": sizes[rows].astype("int64")})
+        pivots = np.repeat(ids[starts], counts)
+        pairs = np.unique(np.stack([pivots, ids])[:, pivots != ids], axis=1)
+        return pa.table({"pivot": pairs[0], "id": pairs[1]})
 
     dealt = signatures.select("id", "signature").mapInArrow(deal, "shard long, packed binary").repartition(shards, "shard")
-    return dealt.groupBy("shard").applyInArrow(meet, "key long, id long, pivot long, n_rows long")
+    return dealt.groupBy("shard").applyInArrow(meet, "pivot long, id long")
 
 
 def _differing(a: str, b: str) -> F.Column:
@@ -205,8 +206,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     are one node, named by the smallest doc_id. ``component_id`` is the smallest doc_id reachable. A null or wordless text has an empty set and is
     linked with nothing. Rows with the same doc_id are one node; a row without doc_id has no component and isn't kept, its set takes no part.
 
-    Every pair within the signature distance shares a key, so no such pair is lost: each key's rows are compared with the key's smallest id, and
-    those that this leaves in different components with each other, in cells of bounded size.
+    Every pair within the signature distance shares a key and so that key's smallest id, its pivot. Each id is compared with its pivots, and those that
+    this leaves in different components with each other, in cells of bounded size, so no such pair is lost.
     """
     base = written(signed(docs, shingle), "signed")
     named = base.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -217,17 +218,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ties = named.join(repeated, "doc_id").join(nodes.select(*names, "id"), names).where(F.col("doc_id") != F.col("id")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
     shards = max(1, -(-nodes.count() * POSITIONS // SHARD_KEYS))
-    keyed = written(shared_keys(nodes, shards), "keys")
     signature = lambda name: nodes.select(F.col("id").alias(name), F.col("signature").alias(f"s_{name}"))
-    pairs = keyed.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
+    pairs = shared_keys(nodes, shards).distinct()
     pairs = written(pairs.join(signature("pivot"), "pivot").join(signature("id"), "id").select("pivot", "id", (_differing("s_pivot", "s_id") <= DISTANCE).alias("near")), "pairs")
 
-    # Rows too far from the pivot are compared with the other rows of their key.
-    far = keyed.where("n_rows > 2").join(pairs.where("NOT near"), ["pivot", "id"]).select("key", "id", F.lit(True).alias("far"))
-    loose = far.select("key").distinct()
-    rows = keyed.join(loose, "key").join(far, ["key", "id"], "left").select("key", "id", F.coalesce("far", F.lit(False)).alias("stray"), "n_rows")
-    sizes = rows.select("key", "n_rows").distinct()
-    rows = cells(rows.drop("n_rows"), sizes, "key", "id", GROUP_BLOCK)
+    # Ids too far from their pivot are compared with all others of that pivot: two signatures that share a key share its pivot too.
+    sizes = pairs.groupBy(F.col("pivot").alias("key")).agg((F.count("*") + 1).alias("n_rows"), F.bool_and("near").alias("settled")).where("n_rows > 2 AND NOT settled").drop("settled")
+    rows = pairs.select(F.col("pivot").alias("key"), "id", (~F.col("near")).alias("stray")).unionByName(sizes.select("key", F.col("key").alias("id"), F.lit(False).alias("stray")))
+    rows = cells(rows, sizes, "key", "id", GROUP_BLOCK)
     rows = rows.join(nodes.select("id", "signature"), "id")
     live = written(_in_cells(rows, ["id", "stray", "signature"], _live, "key long, cell_a int, cell_b int, part int, id long"), "live")
 
