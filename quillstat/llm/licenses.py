@@ -98,7 +98,7 @@ FAMILIES = [
     ("proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", 45, 0.9, [""]),
     ("proprietary", "without prior written", "without (?:the )?prior written (?:permission|consent)", 35, 0.6, [""]),
     ("eula", "end user license agreement", "end user license agreement", 45, 0.9, [""]),
-    ("license-notice", "licensed under", "licensed under (?:the )?(?:terms of )?", 10, 0.3, [""]),
+    ("license-notice", "licensed under", "licensed under(?: the)?(?: terms of)?", 10, 0.3, [""]),
 ]
 
 #: Every keyword holds one of these, so one pass decides for most texts that no rule applies.
