@@ -107,7 +107,7 @@ def compare_rank_mode(spark, sf_dir):
 
 @query("infer_unit", "FN9", sql(
     f"SELECT {DIMS}, CASE WHEN u THEN {D('asset_total_assets')}/10000 ELSE {D('asset_total_assets')} END asset_total_assets, CASE WHEN u THEN '元' ELSE '万元' END source_unit FROM balance, (SELECT COALESCE(abs(arg_min({D('NULLIF(asset_total_assets,0)')}, stock_code||report_year||report_period))>1e8,false) u "
-    "FROM (SELECT * FROM balance ORDER BY stock_code, report_year, report_period LIMIT 5))"))
+    "FROM balance)"))
 def infer_unit(spark, sf_dir):
     rows = statement(spark, sf_dir, "balance").select(*KEY_COLUMNS, "asset_total_assets")
     return numbers.infer_unit(rows, ["asset_total_assets"], [F.col(k) for k in ("stock_code", "report_year", "report_period")], digits=None)
@@ -271,7 +271,7 @@ def duplicate_order_keys(spark, sf_dir):
 
 
 @query("duplicate_filings", "AG4", 
-    "SELECT user_id, event_type, n_files, files FROM (SELECT user_id, event_type, COUNT(*) n_files, array_to_string(list_sort(list(f))[1:3], ',') files FROM (SELECT DISTINCT user_id, event_type, 'f'||CAST(event_id%7 AS VARCHAR)||'.json' f FROM events) GROUP BY 1,2) WHERE n_files>1")
+    "SELECT user_id, event_type, n_files, files FROM (SELECT user_id, event_type, COUNT(*) n_files, array_to_string(list_sort(list(f)), ',') files FROM (SELECT DISTINCT user_id, event_type, 'f'||CAST(event_id%7 AS VARCHAR)||'.json' f FROM events) GROUP BY 1,2) WHERE n_files>1")
 def duplicate_filings(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string"), F.lit(".json")).alias("file"))
     return stats.duplicate_filings(rows, ["user_id", "event_type"], "file")
@@ -320,7 +320,7 @@ def consistency_checks(spark, sf_dir):
 
 @query("validation_and_decision", "AG7 AG8", sql(
     "SELECT stock_code, report_year, report_period, passed, total, CAST(round_even(passed/total*100, 0) AS INTEGER) score, conf confidence, CASE WHEN conf>=80 THEN 'auto' WHEN conf>=60 THEN 'flagged' ELSE 'rejected' END decision FROM (SELECT *, "
-    "CAST(ROUND(CAST(0.25 AS DECIMAL(3,2))*CAST(CASE WHEN report_period='FY' THEN 95 WHEN report_period='Q1' THEN 50 ELSE 75 END AS DECIMAL(10,2)) + CAST(0.25 AS DECIMAL(3,2))*95 + CAST(0.20 AS DECIMAL(3,2))*100 + CAST(0.30 AS DECIMAL(3,2))*CAST(round_even(passed/total*100,0) AS DECIMAL(10,2)), 1) AS DECIMAL(16,1)) conf FROM "
+    "CAST(ROUND(CAST(0.25 AS DECIMAL(3,2))*CAST(CASE WHEN report_period='FY' THEN 95 WHEN report_period='Q1' THEN 50 ELSE 75 END AS DECIMAL(10,2)) + CAST(0.25 AS DECIMAL(3,2))*80 + CAST(0.20 AS DECIMAL(3,2))*100 + CAST(0.30 AS DECIMAL(3,2))*CAST(round_even(passed/total*100,0) AS DECIMAL(10,2)), 1) AS DECIMAL(16,1)) conf FROM "
     "(SELECT stock_code, report_year, report_period, CAST(COUNT(*) FILTER (passed) AS INTEGER) passed, CAST(COUNT(passed) AS INTEGER) total FROM outcomes GROUP BY 1,2,3))", CHECK_CTE))
 def validation_and_decision(spark, sf_dir):
     rows = check_inputs(spark, sf_dir)
@@ -329,7 +329,7 @@ def validation_and_decision(spark, sf_dir):
     p = F.col("report_period")
     source = F.when(p == "FY", "pdfplumber_standard").when(p == "Q1", "llm_fallback").otherwise("pdfplumber_density")
     score = quality.validation_score(F.col("passed"), F.col("total"))
-    conf = quality.confidence(quality.source_score(source), quality.field_score(F.lit(80)), quality.volume_score(F.lit(13)), score)
+    conf = quality.confidence(quality.source_score(source), F.lit(80), quality.volume_score(F.lit(13)), score)
     return scored.withColumn("score", score).withColumn("confidence", conf.cast("decimal(16,1)")).withColumn(
         "decision", quality.decision(F.col("confidence")))
 

@@ -61,7 +61,7 @@ def normalize_values(spark, sf_dir):
 
 @query("detect_unit_texts", "FN8",
        "SELECT o_orderkey, factor, found, unit, source FROM (SELECT o_orderkey, CASE o_orderkey%7 WHEN 0 THEN 10000 WHEN 1 THEN 1 WHEN 2 THEN 1000 WHEN 3 THEN 100000000 WHEN 4 THEN 10000 WHEN 5 THEN 10000 ELSE 1 END factor, o_orderkey%7<>6 found, "
-       "CASE o_orderkey%7 WHEN 0 THEN '万元' WHEN 1 THEN '元' WHEN 2 THEN '千元' WHEN 3 THEN '亿元' WHEN 4 THEN '万元' WHEN 5 THEN '万元' ELSE '元' END unit, CASE o_orderkey%7 WHEN 0 THEN '单位：万元' WHEN 1 THEN '单位：元 ' WHEN 2 THEN '人民币千元' WHEN 3 THEN '单位:亿元' WHEN 4 THEN '人民币万元' WHEN 5 THEN '单位：万元' ELSE '' END source FROM orders)")
+       "CASE o_orderkey%7 WHEN 0 THEN '万元' WHEN 1 THEN '元' WHEN 2 THEN '千元' WHEN 3 THEN '亿元' WHEN 4 THEN '万元' WHEN 5 THEN '万元' ELSE '元' END unit, CASE o_orderkey%7 WHEN 0 THEN '单位：万元' WHEN 1 THEN '单位：元' WHEN 2 THEN '人民币千元' WHEN 3 THEN '单位:亿元' WHEN 4 THEN '人民币万元' WHEN 5 THEN '单位：万元' ELSE '' END source FROM orders)")
 def detect_unit_texts(spark, sf_dir):
     k = F.col("o_orderkey") % 7
     text = F.concat(F.lit("合并资产负债表 "), F.col("o_orderkey").cast("string"), F.when(k == 0, " 单位：万元 币种").when(k == 1, "单位：元 审计").when(k == 2, "金额为人民币千元").when(k == 3, "单位:亿元")
@@ -395,7 +395,7 @@ def statement_title_pages(spark, sf_dir):
 
 
 @query("nearest_units", "WN20", sql(
-    "SELECT doc, page, CASE WHEN page>1 THEN 1 WHEN CAST(stock_code AS INTEGER)%2=0 THEN 10000 ELSE 1 END factor, CASE WHEN page>1 THEN '元' WHEN CAST(stock_code AS INTEGER)%2=0 THEN '万元' ELSE '元' END unit, CASE WHEN page>1 THEN 'default' WHEN CAST(stock_code AS INTEGER)%2=0 THEN '单位：万元' ELSE '单位：元 ' END source FROM pt", PAGE_TEXTS))
+    "SELECT doc, page, CASE WHEN page>1 THEN 1 WHEN CAST(stock_code AS INTEGER)%2=0 THEN 10000 ELSE 1 END factor, CASE WHEN page>1 THEN '元' WHEN CAST(stock_code AS INTEGER)%2=0 THEN '万元' ELSE '元' END unit, CASE WHEN page>1 THEN 'default' WHEN CAST(stock_code AS INTEGER)%2=0 THEN '单位：万元' ELSE '单位：元' END source FROM pt", PAGE_TEXTS))
 def nearest_units(spark, sf_dir):
     return pages.nearest_unit(page_texts(spark, sf_dir), "doc", "page")
 
@@ -521,7 +521,7 @@ def explode_filing_facts(spark, sf_dir):
 CHECKS = ("chk AS (SELECT stock_code, stock_abbr, report_year, report_period, CAST(total_operating_revenue AS DOUBLE) rev, CAST(operating_expense_cost_of_sales AS DOUBLE) cost, CAST(net_profit AS DOUBLE) np, CAST(asset_total_assets AS DOUBLE) a, CAST(liability_total_liabilities AS DOUBLE) l, CAST(equity_total_equity AS DOUBLE) e, "
           f"CAST(net_cash_flow AS DOUBLE) ncf, CAST(operating_cf_net_amount AS DOUBLE) ocf, CAST(investing_cf_net_amount AS DOUBLE) icf, CAST(financing_cf_net_amount AS DOUBLE) fcf FROM {WIDE}), "
           "oc AS (SELECT *, list_filter([CASE WHEN abs(ncf)<100 THEN abs(ocf+icf+fcf)<200 ELSE abs((ncf-(ocf+icf+fcf))/ncf)<0.02 END, CASE WHEN a<>0 THEN abs(a-(l+e))/abs(a)<0.02 END, CASE WHEN abs(np)>100 AND abs(ocf)>100 THEN ocf/np>-0.2 AND ocf/np<5.0 END, CASE WHEN rev>0 THEN rev>cost END, rev>0], lambda x: x IS NOT NULL) o FROM chk), "
-          "dec AS (SELECT *, CAST(ROUND(CAST(CASE WHEN report_period='Q1' THEN 50 ELSE 80 END AS DECIMAL(10,2))*CAST(0.25 AS DECIMAL(3,2))+CAST(95 AS DECIMAL(10,2))*CAST(0.25 AS DECIMAL(3,2))+CAST(100 AS DECIMAL(10,2))*CAST(0.20 AS DECIMAL(3,2))+CAST(round_even(CAST(len(list_filter(o, lambda x: x)) AS DOUBLE)/greatest(len(o),1)*100,0) AS DECIMAL(10,2))*CAST(0.30 AS DECIMAL(3,2)),1) AS DECIMAL(16,1)) conf FROM oc), "
+          "dec AS (SELECT *, CAST(ROUND(CAST(CASE WHEN report_period='Q1' THEN 50 ELSE 80 END AS DECIMAL(10,2))*CAST(0.25 AS DECIMAL(3,2))+CAST(80 AS DECIMAL(10,2))*CAST(0.25 AS DECIMAL(3,2))+CAST(100 AS DECIMAL(10,2))*CAST(0.20 AS DECIMAL(3,2))+CAST(round_even(CAST(len(list_filter(o, lambda x: x)) AS DOUBLE)/greatest(len(o),1)*100,0) AS DECIMAL(10,2))*CAST(0.30 AS DECIMAL(3,2)),1) AS DECIMAL(16,1)) conf FROM oc), "
           "decided AS (SELECT *, CASE WHEN CAST(stock_code AS INTEGER)%20=9 THEN 'rejected' WHEN conf>=80 THEN 'auto' WHEN conf>=60 THEN 'flagged' ELSE 'rejected' END decision FROM dec)")
 
 

@@ -126,7 +126,7 @@ def carry_slots(spark, sf_dir):
     return questions.carry_slots(slot_turns(spark, sf_dir), ["session_id"], "turn", ["company", "indicator", "year"], block=1000)
 
 
-@query("recent_turns", "WN15", "SELECT conv_id, turn, role, substring(text, 1, 500) AS text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) rn FROM conversations) WHERE rn<=3")
+@query("recent_turns", "WN15", "SELECT conv_id, turn, role, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) rn FROM conversations) WHERE rn<=3")
 def recent_turns(spark, sf_dir):
     return questions.recent_turns(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", 3)
 
@@ -244,7 +244,7 @@ def suite_rollup(spark, sf_dir):
     return questions.suite_rollup(evaluated(spark, sf_dir))
 
 
-@query("failure_reasons", "AG21 TK8", f"WITH {EVAL} SELECT CASE status WHEN 'FAIL' THEN 'no data' ELSE 'timeout while reading' END reason, COUNT(*) n FROM st WHERE status IN ('FAIL','ERROR') GROUP BY 1".replace("'timeout while reading' END reason", "substr('timeout while reading',1,20) END reason"))
+@query("failure_reasons", "AG21 TK8", f"WITH {EVAL} SELECT CASE status WHEN 'FAIL' THEN 'no data' ELSE 'timeout while reading' END reason, COUNT(*) n FROM st WHERE status IN ('FAIL','ERROR') GROUP BY 1")
 def failure_reasons(spark, sf_dir):
     return questions.failure_reasons(evaluated(spark, sf_dir))
 

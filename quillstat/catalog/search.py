@@ -61,7 +61,7 @@ def bm25_filtered(spark, sf_dir):
 
 
 @query("bm25_report_corpus", "AG15 CP10", 
-       "WITH rep AS (SELECT doc_id, lower(substring(source||'.md '||text, 1, 2000)) t FROM documents), tok AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) term FROM rep), lens AS (SELECT doc_id, len(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) dl FROM rep), corpus AS (SELECT COUNT(*) n, AVG(dl) avgdl FROM lens), "
+       "WITH rep AS (SELECT doc_id, lower(source||'.md '||text) t FROM documents), tok AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) term FROM rep), lens AS (SELECT doc_id, len(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) dl FROM rep), corpus AS (SELECT COUNT(*) n, AVG(dl) avgdl FROM lens), "
        "qt AS (SELECT DISTINCT item_id query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) term FROM benchmark), tf AS (SELECT doc_id, term, COUNT(*) tf FROM tok WHERE term IN (SELECT term FROM qt) GROUP BY 1,2), df AS (SELECT term, COUNT(*) df FROM tf GROUP BY 1), "
        "w AS (SELECT doc_id, tf.term, ln((n-df+0.5)/(df+0.5)+1)*tf*2.5/(tf+1.5*(1-0.75+0.75*dl/avgdl)) w FROM tf JOIN df USING (term) JOIN lens USING (doc_id), corpus), scored AS (SELECT query_id, doc_id, SUM(w) score FROM qt JOIN w USING (term) GROUP BY 1,2) "
        "SELECT query_id, doc_id, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, doc_id) rank FROM scored) WHERE rank<=5")

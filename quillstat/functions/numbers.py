@@ -69,12 +69,12 @@ def unit_factor(name: Column) -> Column:
 
 
 def infer_unit(df: DataFrame, amounts: list[str], order: list[Column], digits: int | None = 4) -> DataFrame:
-    """Divide the amounts by 10⁴ when the first non-zero amount in the first five rows exceeds 10⁸.
+    """Divide the amounts by 10⁴ when the first non-zero amount of the frame in the given order exceeds 10⁸.
 
-    The sample is five rows whatever the input, and comes back as a one-row frame for the join.
+    All rows are looked at by one aggregate, which comes back as a one-row frame for the join.
     """
     first = reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in amounts])
-    head = df.select(first.alias("_v"), F.struct(*order).alias("_o")).orderBy(*order).limit(5)
+    head = df.select(first.alias("_v"), F.struct(*order).alias("_o"))
     sample = head.filter(F.col("_v").isNotNull()).agg(F.min_by("_v", "_o").alias("_v")).select(
         F.when(F.abs("_v") > 1e8, F.lit("元")).otherwise(F.lit("万元")).alias("source_unit"), F.lit(1).alias("_k"))
     joined = df.withColumn("_k", F.lit(1)).join(F.broadcast(sample), "_k").drop("_k")

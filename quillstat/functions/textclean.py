@@ -24,11 +24,14 @@ def clean_latex(text: Column, keep_percent: bool = False) -> Column:
         part = F.regexp_replace(part, r"(\d)\s+(\.)", "$1$2")
         return F.regexp_replace(part, r"(\.)\s+(\d)", "$1$2")
 
-    def join_math(parts):
-        return F.array_join(F.transform(
-            parts, lambda p, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), join_digits(p)).otherwise(p)), "")
-
-    out = F.when(text.contains("$"), let(F.split(text, r"\$"), join_math)).otherwise(text)
+    # the text between formulas and the formulas take turns; a lone dollar sign belongs to the text
+    pair = r"\$([^$]+?)\$"
+    def join_math(t):
+        inner = F.transform(F.regexp_extract_all(t, F.lit(pair), F.lit(1)), join_digits)
+        return F.array_join(F.zip_with(F.split(t, pair, -1), inner, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+    out = F.when(text.contains("$"), let(text, join_math)).otherwise(text)
+    out = F.replace(out, F.lit("$"), F.lit(""))
     out = F.regexp_replace(out, r"\\[a-zA-Z]+", "")
     return out if keep_percent else F.replace(out, F.lit("%"), F.lit(""))
 

@@ -78,9 +78,10 @@ def carry_slots(turns: DataFrame, session: list[str], turn: str, slots: list[str
     return carry_forward(turns, session, turn, slots, block)
 
 
-def recent_turns(turns: DataFrame, session: list[str], turn: str, answer: str, n: int = 20, limit: int = 500) -> DataFrame:
-    """The last n turns of each session with answers cut to the limit of the history."""
-    return first_rows(turns, session, [F.col(turn).desc()], n).withColumn(answer, F.substring(answer, 1, limit))
+def recent_turns(turns: DataFrame, session: list[str], turn: str, answer: str, n: int, limit: int | None = None) -> DataFrame:
+    """The last n turns of each session with whole answers (with ``limit``: their first characters)."""
+    last = first_rows(turns, session, [F.col(turn).desc(), F.col(answer)], n)
+    return last if limit is None else last.withColumn(answer, F.substring(answer, 1, limit))
 
 
 # merging of slots
@@ -228,7 +229,7 @@ def evaluate_questions(df: DataFrame, question: str = "question", rows: str = "n
     formula = needed_formula(q)
     status = (F.when(q.isNull() | (F.length(q) < 3), "SKIP").when(F.col(error).isNotNull(), "ERROR").when(F.coalesce(rows, F.lit(0)) == 0, "FAIL")
               .when(formula.isNotNull() & (F.coalesce(values, F.lit(0)) == 0), "PARTIAL").otherwise("OK"))
-    detail = (F.when(F.col("status") == "ERROR", F.substring(error, 1, 40)).when(F.col("status") == "FAIL", "no data")
+    detail = (F.when(F.col("status") == "ERROR", F.col(error)).when(F.col("status") == "FAIL", "no data")
               .when(F.col("status") == "PARTIAL", F.concat(F.col("formula"), F.lit(" without result"))))
     return df.withColumns({
         "formula": formula, "needs_compare": contains_any(q, fixed.COMPARE_WORDS), "needs_filter": contains_any(q, fixed.FILTER_WORDS),
@@ -242,6 +243,8 @@ def suite_rollup(results: DataFrame) -> DataFrame:
     return per.unionByName(total)
 
 
-def failure_reasons(results: DataFrame, n: int = 10) -> DataFrame:
+def failure_reasons(results: DataFrame, n: int | None = None) -> DataFrame:
+    """Whole reasons of failed questions by count (with ``n``: the most frequent ones)."""
     bad = results.filter(F.col("status").isin("FAIL", "ERROR"))
-    return bad.groupBy(F.substring("detail", 1, 20).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "reason").limit(n)
+    counts = bad.groupBy(F.col("detail").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return counts if n is None else counts.orderBy(F.col("n").desc(), "reason").limit(n)

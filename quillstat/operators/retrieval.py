@@ -88,9 +88,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "d
     return ranked(bm25_scores(candidates, weights, terms, doc_id, query_id), query_id, doc_id, k)
 
 
-def report_text(file_name: Column, text: Column, limit: int = 2000) -> Column:
-    """Text a report is indexed under: file name and text, cut as the report corpus defines it."""
-    return F.substring(F.concat(file_name, F.lit(" "), text), 1, limit)
+def report_text(file_name: Column, text: Column, limit: int | None = None) -> Column:
+    """Text a report is indexed under: file name and whole text (with ``limit``: its first characters)."""
+    whole = F.concat(file_name, F.lit(" "), text)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 # vectors

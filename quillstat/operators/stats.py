@@ -101,16 +101,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(dup.select(*keys), keys, "left_semi")
 
 
-def duplicate_filings(df: DataFrame, keys: list[str], source: str, keep: int = 3) -> DataFrame:
-    """Keys loaded from more than one file, with the number of files and the first few names.
-
-    The counts combine map-side and the names are the smallest ``keep`` by rank, so a hot key never builds
-    an unbounded list.
-    """
+def duplicate_filings(df: DataFrame, keys: list[str], source: str, keep: int | None = None) -> DataFrame:
+    """Keys loaded from more than one file, with the number of files and their names (with ``keep``: the smallest ones)."""
     from quillstat.operators.windows import first_rows
 
     per_file = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_n"))
     counts = per_file.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files")).filter(F.col("n_files") > 1)
-    names = first_rows(per_file, keys, [F.col(source)], keep).groupBy(*keys).agg(
+    named = per_file if keep is None else first_rows(per_file, keys, [F.col(source)], keep)
+    names = named.groupBy(*keys).agg(
         F.concat_ws(",", F.sort_array(F.collect_list(source))).alias("files"))
     return counts.join(names, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstat.functions.expr import settled
 from quillstat.functions.timeparse import parse_time_expression
 from quillstat.operators import matching, questions
+from quillstat.operators.windows import numbered
 from quillstat.session import durable
 
 
@@ -19,10 +20,10 @@ def enrich_questions(log: DataFrame, names: DataFrame, synonyms: DataFrame, conc
     inherited from the session. The split questions are stored once: four lookups read them.
     """
     parts = questions.split_requests(log.select(session, turn, text), text)
-    # position of a sub-question within its session; a question has at most a few parts
-    parts = parts.withColumn("_pos", F.col(turn).cast("long") * 1000 + F.col("part"))
-    parts = durable(settled(parts, t=parse_time_expression(F.col("sub_question"), current_year)).withColumn(
-        "_id", F.concat_ws("|", F.col(session).cast("string"), F.col("_pos").cast("string"))))
+    # position of a sub-question: dense over all sessions in the order of session, turn and part, so blocks of a session are full
+    parts = settled(parts, t=parse_time_expression(F.col("sub_question"), current_year))
+    parts = numbered(parts, [F.col(session), F.col(turn), F.col("part")], "_pos")
+    parts = durable(parts.withColumn("_id", F.concat_ws("|", F.col(session).cast("string"), F.col(turn).cast("string"), F.col("part").cast("string"))))
     company = questions.first_named(parts, "_id", "sub_question", names).select("_id", "company")
     hits = matching.fields_in_text(parts, "_id", "sub_question", synonyms, "synonym").select("_id", "field", F.length("synonym").alias("_len"))
     words = concepts.select("concept").unionByName(aliases.select(F.col("alias").alias("concept"))).distinct()

@@ -66,7 +66,9 @@ def load_filings(records: DataFrame, catalog: DataFrame, companies: DataFrame) -
     yuan already, so units are kept as metadata and not applied again.
     """
     need = records.select("stock_abbr").filter(F.col("stock_abbr").isNotNull()).distinct()
-    codes = mapping.entity_lookup(need, companies, "stock_abbr").select("stock_abbr", F.col("code").alias("_code"))
+    # exact names only: a code found by suffix or containment would load facts under another company
+    named = need.join(companies, F.replace("stock_abbr", F.lit(" "), F.lit("")) == F.col("entity"))
+    codes = first_rows(named, ["stock_abbr"], [F.col("pos"), F.col("code")]).select("stock_abbr", mapping.pad_code(F.col("code")).alias("_code"))
     code = F.when(F.coalesce("stock_code", F.lit("")).isin("", "None"), F.col("_code")).otherwise(F.col("stock_code"))
     keyed = records.join(codes, "stock_abbr", "left").withColumn("stock_code", code).drop("_code")
     ids = ["source_file", *FILING]
@@ -79,7 +81,7 @@ def load_filings(records: DataFrame, catalog: DataFrame, companies: DataFrame) -
     rules = F.bround(F.col("passed") / F.greatest("total", F.lit(1)) * 100)
     p = F.coalesce("confidence", quality.source_score(F.coalesce("source", F.lit("pdfplumber_standard"))).cast("double"))
     scored = _join_null_safe(head, checked, ids).withColumn("conf", quality.confidence(
-        p, quality.field_score(F.lit(80)), quality.volume_score(F.coalesce("n_fields", F.lit(0))), F.coalesce(rules, F.lit(0.0))))
+        p, F.lit(80), quality.volume_score(F.coalesce("n_fields", F.lit(0))), F.coalesce(rules, F.lit(0.0))))
     complete = F.col("stock_code").isNotNull() & (F.col("stock_code") != "") & F.col("report_year").isNotNull() & F.col("report_period").isNotNull()
     outcome = F.when(complete & F.col("n_fields").isNotNull(), quality.decision(F.col("conf"))).otherwise("rejected")
     decisions = durable(scored.withColumn("decision", outcome))

@@ -11,15 +11,15 @@ from quillstat.session import durable
 
 
 def risk_rows(tables: list[DataFrame], entities: list[str] | None = None, year: int | None = None,
-              period: str | None = None, recent: int = 30, keys: EntityKeys = KEYS) -> DataFrame:
-    """Merged rows the rules run on: filtered by request, or the newest rows of each statement."""
+              period: str | None = None, recent: int | None = None, keys: EntityKeys = KEYS) -> DataFrame:
+    """Merged rows the rules run on: filtered by request, or all rows (with ``recent``: the newest of each entity and statement)."""
     parts = []
     for t in tables:
         t = filters.match_entity(t, entities, keys=keys) if entities else t
         if year is not None:
             t = filters.at_year(t, year, keys)
             t = filters.at_period(t, period, keys) if period else t
-        else:
+        elif recent is not None:
             t = windows.recent_n(t, recent, keys)
         parts.append(t)
     return joins.merge_statements(parts, keys)

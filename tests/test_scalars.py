@@ -110,3 +110,11 @@ def test_request_kind(spark, text, kind, rank):
 def test_tag_line(spark):
     for line, tag in [("股票代码：600085", "metadata"), ("合并利润表", "table_header"), ("第一节 释义", "section_title"), ("目录", "toc"), ("正文", "text")]:
         assert one(spark, pages.tag_line(F.col("a")), a=line)["tag"] == tag
+
+
+@pytest.mark.parametrize("raw, want", [("$$ 1 2 . 5 $$", " 12.5 "), ("a $1 2$ 3 4 $5 6$", "a 12 3 4 56"), ("cost $ 5 6", "cost  5 6"), ("$1 2$$3 4$", "1234"), ("$%\\alpha", ""), ("", "")])
+def test_latex_pairs(spark, raw, want):
+    from quillstat.functions.textclean import clean_latex
+
+    row = spark.createDataFrame([(raw,)], "t string").select(clean_latex(F.col("t")).alias("x")).first()
+    assert row.x == want
