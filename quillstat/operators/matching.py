@@ -1,7 +1,7 @@
 """Containment and similarity joins without cross products.
 
-A term contained in a text shares its leading character pair with the text, and two similar names share
-at least one pair, so both become equi-joins on pairs followed by the exact test. The term side is a
+A text that contains a term contains all of its grams, and two similar names share at least one character
+pair, so both become equi-joins on grams followed by the exact test. The term side is a
 dictionary; it is broadcast when a row count proves it small, and shuffled (splitting hot pairs) otherwise.
 """
 
@@ -15,15 +15,36 @@ from quillstat.operators.windows import first_rows
 from quillstat.session import broadcast_if_small
 
 
+def grams(text: Column, n: int) -> Column:
+    """Distinct character n-grams of a text."""
+    places = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_gram(terms: DataFrame, term: str) -> DataFrame:
+    """Each distinct term with its gram (three characters, or the whole of a shorter term) that the fewest terms hold, as ``_gram``."""
+    t = terms.select(F.col(term).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    held = t.select("_needle", F.explode(F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(grams(F.col("_needle"), 3))).alias("_gram"))
+    counts = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return held.join(counts, "_gram").groupBy("_needle").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+
+
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, single: bool = True, small: str = "terms") -> DataFrame:
     """All pairs where the text contains the term; without ``single`` terms have at least two characters.
 
-    ``small`` names the dictionary side (terms or texts): it is broadcast when its row count allows.
+    A term meets the texts that hold its rarest gram, so terms with a common prefix don't share a key. Only hashes of texts are
+    exploded by gram; the texts join the candidates afterwards. ``small`` names the dictionary side (terms or texts): it is
+    broadcast when its row count allows.
     """
-    left = texts.withColumn("_pair_key", F.explode(bigrams(F.col(text), with_single=single)))
-    right = terms.filter(F.length(term) > 0).withColumn("_pair_key", F.substring(term, 1, 2))
+    c = F.col(text)
+    sizes = (3, 2, 1) if single else (3, 2)
+    named = texts.withColumn("_haystack", F.xxhash64(c))
+    left = named.filter(c.isNotNull()).select("_haystack", c.alias("_hay")).distinct().select("_haystack", F.explode(F.concat(*[grams(F.col("_hay"), n) for n in sizes])).alias("_gram"))
+    right = rarest_gram(terms if single else terms.filter(F.length(term) >= 2), term)
     left, right = (left, broadcast_if_small(right)) if small == "terms" else (broadcast_if_small(left), right)
-    return left.join(right, "_pair_key").filter(F.contains(F.col(text), F.col(term))).drop("_pair_key")
+    candidates = left.join(right, "_gram").select("_haystack", "_needle").distinct()
+    hits = named.join(candidates, "_haystack").filter(F.contains(c, F.col("_needle"))).drop("_haystack")
+    return hits.join(terms, F.col("_needle") == F.col(term)).drop("_needle")
 
 
 def either_contains_join(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:

@@ -202,3 +202,18 @@ def test_duplicates_with_a_hot_key(spark):
     df = spark.createDataFrame([(i % 50 if i % 3 else 0, i % 9) for i in range(900)], "k int, f int").withColumn("file", F.concat(F.lit("f"), F.col("f")))
     row = stats.duplicate_filings(df, ["k"], "file").filter("k = 0").first()
     assert row["n_files"] == len({f"f{i % 9}" for i in range(900) if (i % 50 if i % 3 else 0) == 0}) and len(row["files"].split(",")) <= 3
+
+
+def test_contains_join_common_prefix(spark):
+    """Names with one prefix meet few texts each: candidates grow with the input, not with its square."""
+    import random
+
+    from quillstat.operators import matching
+
+    r = random.Random(1)
+    names = ["股份有限" + "".join(chr(0x4E00 + r.randrange(400)) for _ in range(4)) for _ in range(1000)]
+    texts = spark.createDataFrame([(i, f"关于{n}的公告") for i, n in enumerate(names)], "id long, text string")
+    terms = spark.createDataFrame([(n,) for n in names], "name string")
+    left = texts.select("id", F.explode(matching.grams(F.col("text"), 3)).alias("_gram"))
+    assert left.join(matching.rarest_gram(terms, "name"), "_gram").count() < 3 * len(names)
+    assert matching.contains_join(texts, "text", terms, "name").count() == sum(m in f"关于{n}的公告" for n in names for m in set(names))
