@@ -134,7 +134,7 @@ def recent_turns(spark, sf_dir):
 @query("enriched_questions", "CP12", f"WITH {LOG}, p AS (SELECT session_id, turn, part, k, y, turn*1000+part pos, CASE WHEN k IN (0,4) OR (k=2 AND part=0) THEN 'C'||replace(replace(company,'企业',''),'号','') END company, "
        "CASE WHEN k=0 THEN 'total_operating_revenue' WHEN k=1 THEN 'net_profit' WHEN k=2 AND part=0 THEN 'asset_total_assets' WHEN k=2 THEN 'financing_cf_net_amount,investing_cf_net_amount,operating_cf_net_amount' WHEN k=3 THEN 'gross_profit_margin' WHEN k=4 THEN 'operating_expense_rnd_expenses' WHEN k=5 THEN 'net_profit' WHEN k=7 AND part=0 THEN 'gross_profit_margin,net_profit_margin,roe,roe_weighted_excl_non_recurring' WHEN k=7 THEN 'asset_inventory' END fields, "
        "CASE WHEN k IN (0,3,5) OR (k=7 AND part=1) THEN y WHEN k=6 THEN 2025 END yr, CASE WHEN k=3 THEN 'Q3' WHEN k=5 THEN 'H1' END per, CASE WHEN k=1 THEN 'indicator' WHEN k=3 THEN 'rank' WHEN k=4 THEN 'chart' WHEN k=6 OR (k=2 AND part=1) THEN 'analysis' WHEN k=7 AND part=1 THEN 'indicator' WHEN k=7 THEN 'indicator' ELSE 'normal' END kind "
-       "FROM lg, (SELECT unnest([0,1]) part) WHERE part=0 OR k IN (2,7)) SELECT session_id, turn, part, kind, last_value(company IGNORE NULLS) OVER w company, last_value(fields IGNORE NULLS) OVER w fields, CAST(last_value(yr IGNORE NULLS) OVER w AS INTEGER) AS year, last_value(per IGNORE NULLS) OVER w AS period FROM p WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
+       "FROM lg, (SELECT unnest([0,1]) part) WHERE part=0 OR k IN (2,7)) SELECT session_id, turn, part, CASE WHEN pos=MIN(pos) OVER (PARTITION BY session_id) THEN 'normal' ELSE kind END kind, last_value(company IGNORE NULLS) OVER w company, last_value(fields IGNORE NULLS) OVER w fields, CAST(last_value(yr IGNORE NULLS) OVER w AS INTEGER) AS year, last_value(per IGNORE NULLS) OVER w AS period FROM p WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def enriched_questions(spark, sf_dir):
     concepts, aliases = concept_frames(spark)
     out = enrich_questions(log(spark, sf_dir), company_terms(spark, sf_dir), synonyms(spark), concepts, aliases, 2026)

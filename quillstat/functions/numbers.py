@@ -11,7 +11,7 @@ from quillstat.functions import fixed
 
 
 # Texts that stand for a missing number.
-MISSING = ["", "-", "--", "—", "——", "不适", "N/A"]
+MISSING = ["-", "--", "—", "不适", "N/A", "", "——"]
 
 
 def parse_number(raw: Column) -> Column:

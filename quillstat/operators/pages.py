@@ -128,7 +128,7 @@ def page_kind(page: Column, text: Column) -> Column:
 
 def title_context(pages: DataFrame, doc: str, page: str, text: str = "text", above: int = 3) -> DataFrame:
     """(doc, page, titles): first title-like line of each of the pages above, by join on the page offset."""
-    title = F.trim(F.regexp_extract(text, rf"(?m)^([^\n]*[{fixed.TITLE_CHARACTERS}][^\n]*)$", 1))
+    title = F.trim(F.regexp_extract(text, rf"(?m)^([^\n]*[{''.join(fixed.TITLE_CHARACTERS)}][^\n]*)$", 1))
     source = pages.select(doc, page, title.alias("line")).filter("line <> ''")
     shifted = source.select(doc, "line", F.col(page).alias("_p"), F.explode(F.sequence(F.lit(1), F.lit(above))).alias("offset")).select(
         doc, (F.col("_p") + F.col("offset")).alias(page), "offset", "line")

@@ -21,11 +21,12 @@ from quillstat.session import broadcast_if_small
 
 # kinds
 
-def request_kind(text: Column, has_company: Column | None = None) -> Column:
-    """chart, report, rank, analysis, indicator (a short follow-up) or normal."""
-    return (F.when(contains_any(text, fixed.CHART_WORDS), "chart").when(contains_any(text, fixed.REPORT_WORDS), "report")
+def request_kind(text: Column, has_company: Column | None = None, earlier: Column | None = None) -> Column:
+    """chart, report, rank, analysis, indicator (a short follow-up) or normal; with ``earlier``, normal where no question went before."""
+    kind = (F.when(contains_any(text, fixed.CHART_WORDS), "chart").when(contains_any(text, fixed.REPORT_WORDS), "report")
             .when(contains_any(text, fixed.RANK_WORDS), "rank").when(contains_any(text, fixed.ANALYSIS_WORDS), "analysis")
             .when(is_short_followup(text, has_company), "indicator").otherwise("normal"))
+    return kind if earlier is None else F.when(earlier, kind).otherwise("normal")
 
 
 def is_short_followup(text: Column, has_company: Column | None = None) -> Column:

@@ -34,6 +34,8 @@ def enrich_questions(log: DataFrame, names: DataFrame, synonyms: DataFrame, conc
     rows = parts.join(company, "_id", "left").join(fields, "_id", "left").select(
         session, turn, "part", "_pos", "sub_question", "company", F.when(F.size("fields") > 0, F.array_join("fields", ",")).alias("fields"),
         F.col("t.year").alias("year"), F.col("t.period").alias("period"), F.col("t.type").alias("time_type"))
-    kind = questions.request_kind(F.col("sub_question"), F.col("company").isNotNull())
-    rows = durable(rows.withColumn("kind", kind))
+    opening = parts.groupBy(F.col(session).alias("_session")).agg(F.min("_pos").alias("_opening"))
+    kind = questions.request_kind(F.col("sub_question"), F.col("company").isNotNull(), F.col("_pos") > F.col("_opening"))
+    rows = rows.join(opening, F.col(session).eqNullSafe(F.col("_session"))).withColumn("kind", kind).drop("_session", "_opening")
+    rows = durable(rows)
     return questions.carry_slots(rows, [session], "_pos", ["company", "fields", "year", "period"]).drop("_pos")

@@ -59,14 +59,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be at most ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint only when rows and bytes (as JSON) are proven to be within both limits.
 
-    Above the limit the frame is returned unhinted and the join shuffles (with adaptive skew
+    Above a limit the frame is returned unhinted and the join shuffles (with adaptive skew
     splitting), so the result is the same either way.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(df) if size.n <= max_rows and (size.b or 0) <= max_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
