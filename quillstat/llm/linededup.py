@@ -11,16 +11,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, taken, unpack
 from quillstat.llm.common import cells, documents, written
 from quillstat.llm.neardup import _in_cells
 from quillstat.llm.words import mix
 
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
-BATCH_BYTES = 4 << 20
-SMALL_GROUP, GROUP_BLOCK = 64, 1024
-SHARD_BYTES = 96 << 20
+BATCH_BYTES = 512 << 10
+PAIR = [("doc", "<i8", 8), ("line", "<i4", 4), ("other_doc", "<i8", 8), ("other_line", "<i4", 4)]
+LARGE = [("key", "<u8", 8), ("doc", "<i8", 8), ("line", "<i4", 4), ("n", "<i4", 4), ("pos", "<i4", 4), ("b0", "<u8", 8), ("b1", "<u8", 8), ("n_rows", "<i8", 8)]
+SMALL_GROUP, GROUP_BLOCK = 256, 1024
+SHARD_BYTES = 16 << 20
 TOKEN_BITS = 42
 SEEN = 100_000
+# A token is common from one word in 2 ** COMMON_BITS on (64 occurrences at least). Two lines whose rarest shared token is common share a second such
+# token in prefixes that are one longer, so pairs of common tokens are keys. Lines of more than LONG words have too many pairs: those near that size
+# have both kinds of keys, longer ones single tokens.
+COMMON_BITS, LONG = 19, 160
 MATCHES = "kind int, key long, doc long, line int, n int, pos int, b0 long, b1 long, other_doc long, other_line int, n_rows long"
 
 _R = np.random.default_rng(7)
@@ -63,21 +70,27 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def line_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of every line that has a word: row number and line number of each line, bounds, and sorted tokens."""
+def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and bounds of the texts, where their words start, and a hash of each word."""
     data, bounds = text_bytes(texts)
-    nothing = np.zeros(0, "int64")
-    if not len(data):
-        return nothing, nothing, np.zeros(1, "int64"), np.zeros(0, "uint64")
     inside = ~_SPACES[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
-    starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
+    starts = np.flatnonzero(inside & (edge[:-1] | before))
+    ends = np.flatnonzero(inside & (edge[1:] | after)) + 1
     up, down = _table(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[: len(data)], dtype="uint64")])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("uint64"))
+    sums = np.zeros(len(data) + 1, "uint64")
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("uint64"))
+    return data, bounds, starts, hashes >> np.uint64(64 - TOKEN_BITS)
+
+
+def line_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of every line that has a word: row number and line number of each line, bounds, and sorted tokens."""
+    data, bounds, starts, tokens = word_tokens(texts)
+    nothing = np.zeros(0, "int64")
     breaks = np.flatnonzero(data == 10)
     of_break = np.searchsorted(bounds[1:], breaks, "right")
     row = np.concatenate([np.arange(len(bounds) - 1), of_break])
@@ -85,28 +98,33 @@ def line_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
     number = np.arange(len(row)) - np.searchsorted(row, row, "left")
-    of_word = np.searchsorted(at, starts, "right") - 1
-    if not len(of_word):
+    if not len(starts):
         return nothing, nothing, np.zeros(1, "int64"), np.zeros(0, "uint64")
-    change = np.concatenate([[True], of_word[1:] != of_word[:-1]])
-    used, compact = of_word[change], np.cumsum(change) - 1
-    tokens = hashes >> np.uint64(64 - TOKEN_BITS)
+    words = np.diff(np.searchsorted(starts, np.concatenate([at, [len(data)]]), "left"))
+    used = np.flatnonzero(words)
+    owner = np.repeat(np.arange(len(used)), words[used])
     if len(used) < 1 << (64 - TOKEN_BITS):
-        both = np.unique((compact.astype("uint64") << np.uint64(TOKEN_BITS)) | tokens)
+        both = np.sort((owner.astype("uint64") << np.uint64(TOKEN_BITS)) | tokens)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         owner, tokens = (both >> np.uint64(TOKEN_BITS)).astype("int64"), both & np.uint64((1 << TOKEN_BITS) - 1)
     else:
-        order = np.lexsort((tokens, compact))
-        owner, tokens = compact[order], tokens[order]
+        order = np.lexsort((tokens, owner))
+        owner, tokens = owner[order], tokens[order]
         first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])])
         owner, tokens = owner[first], tokens[first]
-    return row[used], number[used], np.concatenate([np.searchsorted(owner, np.arange(len(used)), "left"), [len(owner)]]), tokens
+    first = np.concatenate([[True], owner[1:] != owner[:-1], [True]])
+    return row[used], number[used], np.flatnonzero(first), tokens
+
+
+def _scale(occurrences):
+    return np.minimum(255, 2 + np.ceil(5 * np.log2(occurrences))).astype("int64")
 
 
-def token_rarity(docs: DataFrame) -> bytes:
-    """A table of fixed size with the rarity of every token: lines that hold a token of its place, over all documents, on a logarithmic scale.
+def token_rarity(docs: DataFrame) -> tuple[bytes, int]:
+    """A table of fixed size with the rarity of every token: occurrences of the tokens of its place, over all documents, on a logarithmic scale.
 
-    1 says that a single line of the corpus holds it. Tokens that share a place share a rarity, which changes the order of a line's
-    tokens but no result, since the filters hold for any order that all lines follow.
+    1 says that the corpus holds it once. Tokens that share a place share a rarity, which changes the order of a line's
+    tokens but no result, since the filters hold for any order that all lines follow. Also gives the rarity up to which a token isn't common.
     """
     size = 1 << SKETCH_BITS
 
@@ -114,7 +132,7 @@ def token_rarity(docs: DataFrame) -> bytes:
         counts = np.zeros(size, "int64")
         for batch in batches:
             for part in slices(batch, 0):
-                counts += np.bincount((line_tokens(part.column(0))[3] & np.uint64(size - 1)).astype("int64"), minlength=size)
+                np.add.at(counts, (word_tokens(part.column(0))[3] & np.uint64(size - 1)).astype("int64"), 1)
         blocks, packed = [], []
         for b in range(size // SKETCH_BLOCK):
             own = counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
@@ -129,14 +147,15 @@ def token_rarity(docs: DataFrame) -> bytes:
         for b in table.column("packed").to_pylist():
             n = len(b) // 10
             total[np.frombuffer(b, "uint16", n)] += np.frombuffer(b, "int64", n, 2 * n)
-        rarity = np.where(total > 1, np.minimum(255, 2 + np.ceil(5 * np.log2(np.maximum(total, 1)))), total).astype("uint8")
-        return pa.table({"block": table.column("block").slice(0, 1), "rarity": pa.array([rarity.tobytes()], pa.binary())})
+        rarity = np.where(total > 1, _scale(np.maximum(total, 1)), total).astype("uint8")
+        return pa.table({"block": table.column("block").slice(0, 1), "words": [int(total.sum())], "rarity": pa.array([rarity.tobytes()], pa.binary())})
 
     counted = documents(docs, "text").select("text").mapInArrow(count, "block int, packed binary")
-    table = bytearray(size)
-    for row in counted.groupBy("block").applyInArrow(add, "block int, rarity binary").collect():
+    table, words = bytearray(size), 0
+    for row in counted.groupBy("block").applyInArrow(add, "block int, words long, rarity binary").collect():
         table[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = row.rarity
-    return bytes(table)
+        words += row.words
+    return bytes(table), _scale(max(64, words >> COMMON_BITS))
 
 
 def _needed(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,11 +171,12 @@ def _may_match(percent, na, pa_, a0, a1, nb, pb, b0, b1) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (rest >= need) & (apart <= na + nb - 2 * need)
 
 
-def matching_lines(docs: DataFrame, rarity: bytes, percent: int, least: int, shards: int) -> DataFrame:
+def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: int, least: int, shards: int) -> DataFrame:
     """Rows of ``MATCHES``: kind 0, a line whose set an earlier line has; 1, a pair of lines (the other earlier) that passes the filters;
     2, a line in a large group of a prefix token.
 
-    Each line gives one entry for its set and one for each token of its prefix that other lines hold; entries travel packed by shard.
+    Each line gives one entry for its set, one for each rare token of its prefix that other lines hold, and one for each pair of common ones; entries
+    travel packed by shard.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +217,35 @@ def matching_lines(docs: DataFrame, rarity: bytes, percent: int, least: int, sha
                     take = np.repeat(bounds[fresh] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     own, line = tokens[take], np.repeat(np.arange(len(fresh)), n)
                     rank = table[(own & np.uint64((1 << SKETCH_BITS) - 1)).astype("int64")].astype("uint64")
-                    order = np.lexsort((own, rank, line))
-                    own, rank = own[order], rank[order]
-                    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                     bit = np.uint64(1) << (own & np.uint64(63))
                     high = (own >> np.uint64(6)) & np.uint64(1) == 1
                     at = np.cumsum(n) - n
                     b0 = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), at)
                     b1 = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), at)
+                    # Rarest first within each line. A key keeps the rarity and 34 bits of its token.
+                    key = (rank << np.uint64(34)) | (own & np.uint64((1 << 34) - 1))
+                    if len(fresh) < 1 << 22:
+                        key = np.sort((line.astype("uint64") << np.uint64(42)) | key) & np.uint64((1 << 42) - 1)
+                    else:
+                        key = key[np.lexsort((key, line))]
+                    place = np.arange(len(key)) - np.repeat(at, n)
                     doc, num = ids[row[fresh]], number[fresh]
                     entries.append((names[fresh], doc, num, n, np.full(len(n), -1), b0, b1))
-                    prefix = (place < np.repeat(n - -(-percent * n // 100) + 1, n)) & (rank > 1)
-                    of = line[prefix]
-                    entries.append((mix(own[prefix]) & ~np.uint64(1), doc[of], num[of], n[of], place[prefix], b0[of], b1[of]))
+                    ahead = np.repeat(n - -(-percent * n // 100) + 1, n)  # tokens of the prefix
+                    scale = key >> np.uint64(34)
+                    rare, common, own_n = (scale > 1) & (scale <= common_from), scale > np.uint64(common_from), n[line]
+                    single = (place < ahead) & (rare | common & (own_n > LONG * percent // 100))
+                    of = line[single]
+                    entries.append((mix(key[single] + common[single] * np.uint64(1 << 43)) & ~np.uint64(1), doc[of], num[of], n[of], place[single], b0[of], b1[of]))
+                    at_pair = np.flatnonzero((place <= ahead) & common & (own_n <= -(-LONG * 100 // percent)))
+                    for d in range(1, len(at_pair)):
+                        x, y = at_pair[:-d], at_pair[d:]
+                        same = line[x] == line[y]
+                        if not same.any():
+                            break
+                        x, y = x[same], y[same]
+                        of = line[x]
+                        entries.append((mix(mix(key[x]) + key[y]) & ~np.uint64(1), doc[of], num[of], n[of], place[x], b0[of], b1[of]))
                 keys, docs_, lines_, n, pos, b0, b1 = (np.concatenate(c) for c in zip(*entries))
                 shard = ((keys >> np.uint64(1)) % np.uint64(shards)).astype("int64")
                 order = np.argsort(shard, kind="stable")
@@ -244,27 +280,44 @@ def matching_lines(docs: DataFrame, rarity: bytes, percent: int, least: int, sha
         again &= (doc != doc[origin]) | (line != line[origin])
         out.append((0, key[again], doc[again], line[again], None))
         small = (pos >= 0) & (size <= SMALL_GROUP)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(1, int(size[small].max(initial=1))):
             y = np.flatnonzero(small & (place >= d))
             x = y - d
             ok = _may_match(percent, n[x], pos[x], b0[x], b1[x], n[y], pos[y], b0[y], b1[y]) & ((doc[x] != doc[y]) | (line[x] != line[y]))
-            x, y = x[ok], y[ok]
-            out.append((1, key[y], doc[y], line[y], x))
-        columns: dict[str, list] = {c: [] for c in ("kind", "key", "doc", "line", "n", "pos", "b0", "b1", "other_doc", "other_line", "n_rows")}
+            pairs.append((x[ok], y[ok]))
+        x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, "int64") for i in (0, 1))
+        name = mix(doc[y].view("uint64") + mix(line[y].astype("uint64") + mix(doc[x].view("uint64") + mix(line[x].astype("uint64")))))
+        once = np.unique(name, return_index=True)[1]
+        x, y = x[once], y[once]
+        out.append((1, key[y], doc[y], line[y], x))
+        rows = []
         for kind, k, dd, ll, x in out:
-            zero = np.zeros(len(k), "int64")
-            for c, v in (("kind", zero + kind), ("key", k.view("int64")), ("doc", dd), ("line", ll), ("n", zero), ("pos", zero), ("b0", zero), ("b1", zero),
-                         ("other_doc", zero if x is None else doc[x]), ("other_line", zero if x is None else line[x]), ("n_rows", zero)):
-                columns[c].append(v)
-        large = (pos >= 0) & (size > SMALL_GROUP)
-        for c, v in (("kind", np.full(large.sum(), 2)), ("key", key[large].view("int64")), ("doc", doc[large]), ("line", line[large]), ("n", n[large]), ("pos", pos[large]), ("b0", b0[large].view("int64")),
-                     ("b1", b1[large].view("int64")), ("other_doc", np.zeros(large.sum(), "int64")), ("other_line", np.zeros(large.sum(), "int64")), ("n_rows", size[large])):
-            columns[c].append(v)
+            c = {"doc": dd, "line": ll, "other_doc": dd if x is None else doc[x], "other_line": ll if x is None else line[x]}
+            shard = (mix(dd.astype("int64").view("uint64") + mix(ll.astype("uint64"))) % np.uint64(shards)).astype("int64")
+            rows.append((kind, shard, c))
+        large = np.flatnonzero((pos >= 0) & (size > SMALL_GROUP))
+        c = {"key": key[large], "doc": doc[large], "line": line[large], "n": n[large], "pos": pos[large], "b0": b0[large], "b1": b1[large], "n_rows": size[large]}
+        found = [x for kind in (0, 1) if (own := [r for r in rows if r[0] == kind]) for x in dealt({m: np.concatenate([r[2][m] for r in own]) for m, _, _ in PAIR}, np.concatenate([r[1] for r in own]), PAIR, kind, shards)]
+        return blob_table(found + dealt(c, (c["key"] % np.uint64(shards)).astype("int64"), LARGE, 2, shards))
+
+    def settle(table: pa.Table) -> pa.Table:
+        """Each removed line and each pair once: all entries of a line have come to its shard."""
+        columns: dict[str, list] = {name.split()[0]: [] for name in MATCHES.split(", ")}
+        blobs = list(zip(table.column("kind").to_pylist(), table.column("packed").to_pylist()))
+        for kind, layout in ((0, PAIR), (1, PAIR), (2, LARGE)):
+            c = joined([unpack(b, layout)[0] for k, b in blobs if k == kind], layout)
+            if kind < 2:
+                name = mix(c["doc"].view("uint64") + mix(c["line"].astype("uint64") + mix(c["other_doc"].view("uint64") + mix(c["other_line"].astype("uint64")))))
+                c = taken(c, np.unique(name, return_index=True)[1])
+            for m, v in columns.items():
+                v.append(np.full(len(c["doc"]), kind) if m == "kind" else c[m].view("int64") if m in ("key", "b0", "b1") and m in c else c.get(m, np.zeros(len(c["doc"]), "int64")))
         ints = {"kind", "line", "n", "pos", "other_line"}
-        return pa.table({c: pa.array(np.concatenate(v).astype("int32" if c in ints else "int64")) for c, v in columns.items()})
+        return pa.table({m: pa.array(np.concatenate(v).astype("int32" if m in ints else "int64")) for m, v in columns.items()})
 
     rows = documents(docs, "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(deal, "shard long, packed binary").repartition(shards, "shard").groupBy("shard").applyInArrow(meet, MATCHES)
+    met = rows.mapInArrow(deal, "shard long, packed binary").repartition(shards, "shard").groupBy("shard").applyInArrow(meet, BLOBS)
+    return met.repartition(shards, "shard").groupBy("shard").applyInArrow(settle, MATCHES)
 
 
 def _live(percent: int):
@@ -315,10 +368,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     ``100 * |A & B| >= percent * |A | B|``. Lines are judged on the input, so a line also goes if the line it matches goes. Lines of fewer than
     ``least`` distinct words take no part, nor do rows without doc_id or text. Rows with the same doc_id share line numbers.
     """
-    rarity = token_rarity(docs)
+    rarity, common_from = token_rarity(docs)
     size = documents(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    found = written(matching_lines(docs, rarity, percent, least, shards), "matches")
+    found = written(matching_lines(docs, rarity, common_from, percent, least, shards), "matches")
     exact = found.where("kind = 0").select(F.col("doc").alias("doc_id"), "line").distinct()
     pairs = found.where("kind = 1").select("doc", "line", "other_doc", "other_line").distinct()
     pairs = written(pairs.join(exact, (F.col("doc") == exact["doc_id"]) & (pairs["line"] == exact["line"]), "left_anti"), "pairs")
