@@ -26,7 +26,7 @@ class Encoder:
     space or line break is encoded whole.
     """
 
-    CACHE = 500_000  # words in each half of a worker's cache; memory, not results, depends on it
+    CACHE = 250_000  # words in each half of a worker's cache; memory, not results, depends on it
 
     def __init__(self, path: str):
         import os
