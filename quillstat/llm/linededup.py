@@ -172,7 +172,7 @@ def _may_match(percent, na, pa_, a0, a1, nb, pb, b0, b1) -> np.ndarray:
 
 
 def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: int, least: int, shards: int) -> DataFrame:
-    """Rows of ``MATCHES``: kind 0, a line whose set an earlier line has; 1, a pair of lines (the other earlier) that passes the filters;
+    """Rows of ``MATCHES``: kind 0, a line whose set an earlier line has; 1 and 3, a pair of lines (the other earlier) that passes the filters;
     2, a line in a large group of a prefix token.
 
     Each line gives one entry for its set, one for each rare token of its prefix that other lines hold, and one for each pair of common ones; entries
@@ -310,8 +310,12 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
             if kind < 2:
                 name = mix(c["doc"].view("uint64") + mix(c["line"].astype("uint64") + mix(c["other_doc"].view("uint64") + mix(c["other_line"].astype("uint64")))))
                 c = taken(c, np.unique(name, return_index=True)[1])
+                order = np.lexsort((c["other_line"], c["other_doc"], c["line"], c["doc"]))
+                c = taken(c, order)
+            # Of a line's pairs the one with the earliest line comes first; the others (kind 3) only count if that one fails.
+            first = np.concatenate([[True], (c["doc"][1:] != c["doc"][:-1]) | (c["line"][1:] != c["line"][:-1])])[: len(c["doc"])]
             for m, v in columns.items():
-                v.append(np.full(len(c["doc"]), kind) if m == "kind" else c[m].view("int64") if m in ("key", "b0", "b1") and m in c else c.get(m, np.zeros(len(c["doc"]), "int64")))
+                v.append((np.where(first, 1, 3) if kind == 1 else np.full(len(c["doc"]), kind)) if m == "kind" else c[m].view("int64") if m in ("key", "b0", "b1") and m in c else c.get(m, np.zeros(len(c["doc"]), "int64")))
         ints = {"kind", "line", "n", "pos", "other_line"}
         return pa.table({m: pa.array(np.concatenate(v).astype("int32" if m in ints else "int64")) for m, v in columns.items()})
 
@@ -326,15 +330,15 @@ def _live(percent: int):
         n, pos = n.astype("int64"), pos.astype("int64")
         b0, b1 = rows["b0"].to_numpy().view("uint64"), rows["b1"].to_numpy().view("uint64")
         across = rows["cell_a"].iloc[0] != rows["cell_b"].iloc[0]
-        live = np.zeros(len(rows), bool)
+        live, probe = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         for y in range(len(rows)):
             ok = _may_match(percent, n, pos, b0, b1, n[y], pos[y], b0[y], b1[y]) & ((doc < doc[y]) | (doc == doc[y]) & (line < line[y]))
             if across:
                 ok &= part != part[y]
             if ok.any():
                 live |= ok
-                live[y] = True
-        return rows.loc[live, ["key", "cell_a", "cell_b", "part", "id", "doc", "line"]] if live.any() else None
+                live[y] = probe[y] = True
+        return rows.assign(probe=probe).loc[live, ["key", "cell_a", "cell_b", "part", "id", "doc", "line", "probe"]] if live.any() else None
 
     return visit
 
@@ -373,21 +377,26 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     shards = max(1, -(-size // SHARD_BYTES))
     found = written(matching_lines(docs, rarity, common_from, percent, least, shards), "matches")
     exact = found.where("kind = 0").select(F.col("doc").alias("doc_id"), "line").distinct()
-    pairs = found.where("kind = 1").select("doc", "line", "other_doc", "other_line").distinct()
+    pairs = found.where("kind IN (1, 3)").select("kind", "doc", "line", "other_doc", "other_line")
     pairs = written(pairs.join(exact, (F.col("doc") == exact["doc_id"]) & (pairs["line"] == exact["line"]), "left_anti"), "pairs")
 
     large = found.where("kind = 2").withColumn("id", F.xxhash64("doc", "line"))
     sizes = large.select("key", "n_rows").distinct()
-    live = _in_cells(cells(large.drop("n_rows"), sizes, "key", "id", GROUP_BLOCK), ["id", "doc", "line", "n", "pos", "b0", "b1"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int")
+    live = _in_cells(cells(large.drop("n_rows"), sizes, "key", "id", GROUP_BLOCK), ["id", "doc", "line", "n", "pos", "b0", "b1"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int, probe boolean")
     live = written(live, "live")
     wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).unionByName(live.select("doc", "line")).distinct()
     sets = written(line_sets(docs, wanted), "sets")
 
     held = lambda d, n, name: sets.select(F.col("doc").alias(d), F.col("line").alias(n), F.col("tokens").alias(name))
-    confirmed = pairs.join(held("doc", "line", "a"), ["doc", "line"]).join(held("other_doc", "other_line", "b"), ["other_doc", "other_line"])
-    rows = live.join(sets, ["doc", "line"])
+    with_sets = lambda p: p.select("doc", "line", "other_doc", "other_line").join(held("doc", "line", "a"), ["doc", "line"]).join(held("other_doc", "other_line", "b"), ["other_doc", "other_line"])
+    best = written(_confirmed(with_sets(pairs.where("kind = 1")), percent), "best")
+    rest = pairs.where("kind = 3").join(best, ["doc", "line"], "left_anti")
+    # Cells in which every line that has a candidate is removed already need no sets.
+    settled = best.unionByName(exact.select(F.col("doc_id").alias("doc"), "line")).distinct()
+    waiting = live.where("probe").join(settled, ["doc", "line"], "left_anti").select("key", "cell_a", "cell_b").distinct()
+    rows = live.join(waiting, ["key", "cell_a", "cell_b"]).join(sets, ["doc", "line"])
     matched = _in_cells(rows, ["id", "doc", "line", "tokens"], _matched(percent), "doc long, line int")
-    gone = _confirmed(confirmed, percent).unionByName(matched).select(F.col("doc").alias("doc_id"), "line")
+    gone = best.unionByName(_confirmed(with_sets(rest), percent)).unionByName(matched).select(F.col("doc").alias("doc_id"), "line")
     return gone.unionByName(exact).distinct()
 
 
