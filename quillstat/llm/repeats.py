@@ -19,6 +19,7 @@ from quillstat.llm.words import mix
 LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 16 << 20
+SEGMENT_SHARDS = 6  # suffix arrays for each shard of documents: sorting holds some hundred bytes per byte
 PART_BYTES = 2 << 20
 KEY_BITS = 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
@@ -40,7 +41,9 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if len(data) < LENGTH:
         return nothing.astype("uint64"), nothing, nothing, nothing
     w = words_at(data)
-    h = mix(w[: len(data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ mix(w[8 : len(data) - GRAM + 9] + np.uint64(7)))
+    h = np.zeros(len(data) - GRAM + 1, "uint64")
+    for off in range(0, GRAM, 8):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[off : off + len(h)] + np.uint64(7))
     bits = max(20, int(len(h)).bit_length())
     low = np.uint64((1 << bits) - 1)
     m = (h & ~low) | np.arange(len(h), dtype="uint64")
@@ -146,7 +149,7 @@ def _content(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
-def _cut_segments(shards: int):
+def _cut_segments(shards: int, segment_shards: int):
     """Segments (the bytes of all windows of an anchor) of the repeated anchors, to the shards of their keys. Equal ones of later documents in the same shard are
     spans to remove at once (kind 1)."""
 
@@ -178,7 +181,7 @@ def _cut_segments(shards: int):
         gone = taken(c, later)
         gone["end"] = gone["start"] + gone["length"]
         stay = taken(c, ~later)
-        rows = dealt(stay, (stay["key"] % np.uint64(shards)).astype("int64"), ANCHOR, 0, shards, data, starts[~later])
+        rows = dealt(stay, (stay["key"] % np.uint64(segment_shards)).astype("int64"), ANCHOR, 0, segment_shards, data, starts[~later])
         rows += dealt(gone, doc_shard(gone["doc"], shards), SPAN, 1, shards)
         return blob_table(rows)
 
@@ -303,12 +306,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     named, bare = d.where("doc_id IS NOT NULL"), d.where("doc_id IS NULL")
-    spread = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    spread = lambda df, n=shards: df.repartition(n, "shard").groupBy("shard")
+    segment_shards = SEGMENT_SHARDS * shards
     # The document's shard is computed by the same function here and in the tasks.
     texts = named.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(doc_shard(b.column(0).to_numpy(), shards)), b.column(0), b.column(1)], ["shard", "doc_id", "text"]) for b in batches), "shard long, doc_id long, text string")
     repeated = spread(named.mapInArrow(_deal_anchors(shards), BLOBS)).applyInArrow(_repeated_anchors(shards), BLOBS)
-    segments = spread(texts).cogroup(spread(repeated)).applyInArrow(_cut_segments(shards), BLOBS)
-    spans = spread(segments).applyInArrow(_sort_segments(shards), BLOBS)
+    segments = spread(texts).cogroup(spread(repeated)).applyInArrow(_cut_segments(shards, segment_shards), BLOBS)
+    spans = spread(segments, segment_shards).applyInArrow(_sort_segments(shards), BLOBS)
     found = spread(texts).cogroup(spread(spans)).applyInArrow(_apply, RESULT)
     alone = bare.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                         F.encode("text", "UTF-8").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
