@@ -18,8 +18,8 @@ from quillstat.llm.words import mix
 
 LENGTH = 50
 GRAM = 16
-SHARD_BYTES = 16 << 20
-SEGMENT_SHARDS = 6  # suffix arrays for each shard of documents: sorting holds some hundred bytes per byte
+SHARD_BYTES = 6 << 20
+SEGMENT_SHARDS = 2  # suffix arrays for each shard of documents: sorting holds some hundred bytes per byte
 PART_BYTES = 2 << 20
 KEY_BITS = 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
@@ -88,7 +88,7 @@ def _deal_anchors(shards: int):
     """Anchors to the shards of their keys. A key that several documents of the batch hold is known to be repeated: its rows pass by (kind 1), and one row tells the shard (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
             parts = []
             for data, bounds, ids, tags in _parts(batch, 0, 1):
                 key, text, start, length = anchors(data, bounds)

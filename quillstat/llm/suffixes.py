@@ -26,6 +26,8 @@ def _induce(t: np.ndarray, small: np.ndarray, sizes: np.ndarray, leftmost: np.nd
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
+    if len(sizes) <= 1 << 16:
+        t = t.astype("uint16")  # sorted by radix
     sa = np.full(len(t), -1, "int64")
     symbols = t[leftmost]
     order = np.argsort(symbols, kind="stable")
@@ -75,7 +77,7 @@ def _by_doubling(t: np.ndarray) -> np.ndarray:
         ahead = np.zeros(len(t), "int64")
         ahead[: len(t) - width] = rank[width:] + 1
         both = (rank.astype("uint64") << np.uint64(32)) | ahead.astype("uint64")
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         fresh = np.concatenate([[0], both[order][1:] != both[order][:-1]]).cumsum()
         rank[order] = fresh
         if fresh[-1] == len(t) - 1:
