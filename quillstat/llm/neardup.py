@@ -138,21 +138,22 @@ def _near(signatures: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
 
 
 def _live(rows: pd.DataFrame) -> pd.DataFrame | None:
-    """Rows of a cell that are within the signature distance of a row of the other block (or of the own cell) although they or it are strays."""
+    """Rows of a cell that are within the signature distance of a row of another component in the other block (or in the own cell), where one of the two is
+    a stray."""
     if not rows["stray"].any():
         return None
     signatures = np.frombuffer(b"".join(rows["signature"]), "uint16").reshape(len(rows), POSITIONS)
-    stray, part = rows["stray"].to_numpy(), rows["part"].to_numpy()
+    stray, part, comps = rows["stray"].to_numpy(), rows["part"].to_numpy(), rows["component"].to_numpy()
     across = rows["cell_a"].iloc[0] != rows["cell_b"].iloc[0]
     live = np.zeros(len(rows), bool)
     everyone = np.arange(len(rows))
     for i in np.flatnonzero(stray):
-        others = everyone[part != part[i]] if across else everyone[everyone != i]
+        others = everyone[(comps != comps[i]) & (part != part[i])] if across else everyone[comps != comps[i]]
         near = others[_near(signatures, i, others)]
         if len(near):
             live[i] = True
             live[near] = True
-    return rows.loc[live, ["key", "cell_a", "cell_b", "part", "id"]] if live.any() else None
+    return rows.loc[live, ["key", "cell_a", "cell_b", "part", "id", "component"]] if live.any() else None
 
 
 def _link(rows: pd.DataFrame, percent: int) -> pd.DataFrame | None:
@@ -206,8 +207,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     are one node, named by the smallest doc_id. ``component_id`` is the smallest doc_id reachable. A null or wordless text has an empty set and is
     linked with nothing. Rows with the same doc_id are one node; a row without doc_id has no component and isn't kept, its set takes no part.
 
-    Every pair within the signature distance shares a key and so that key's smallest id, its pivot. Each id is compared with its pivots, and those that
-    this leaves in different components with each other, in cells of bounded size, so no such pair is lost.
+    Every pair within the signature distance shares a key and so that key's smallest id, its pivot. Each id is compared with its pivots on full sets, and
+    those that this leaves outside their pivot's component with all ids of that pivot, in cells of bounded size, so no such pair is lost.
     """
     base = written(signed(docs, shingle), "signed")
     named = base.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -222,23 +223,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = shared_keys(nodes, shards).distinct()
     pairs = written(pairs.join(signature("pivot"), "pivot").join(signature("id"), "id").select("pivot", "id", (_differing("s_pivot", "s_id") <= DISTANCE).alias("near")), "pairs")
 
-    # Ids too far from their pivot are compared with all others of that pivot: two signatures that share a key share its pivot too.
-    sizes = pairs.groupBy(F.col("pivot").alias("key")).agg((F.count("*") + 1).alias("n_rows"), F.bool_and("near").alias("settled")).where("n_rows > 2 AND NOT settled").drop("settled")
-    rows = pairs.select(F.col("pivot").alias("key"), "id", (~F.col("near")).alias("stray")).unionByName(sizes.select("key", F.col("key").alias("id"), F.lit(False).alias("stray")))
-    rows = cells(rows, sizes, "key", "id", GROUP_BLOCK)
-    rows = rows.join(nodes.select("id", "signature"), "id")
-    live = written(_in_cells(rows, ["id", "stray", "signature"], _live, "key long, cell_a int, cell_b int, part int, id long"), "live")
-
     near = pairs.where("near").select("pivot", "id")
-    ids = near.select("id").unionByName(near.select(F.col("pivot").alias("id"))).unionByName(live.select("id")).distinct()
+    ids = near.select("id").unionByName(near.select(F.col("pivot").alias("id"))).distinct()
     sets = written(full_sets(docs, ids, shingle), "sets")
     held = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"h_{name}"))
     links = written(_confirmed(near.join(held("pivot"), "pivot").join(held("id"), "id"), percent).unionByName(ties), "links")
-
     first = connected_components(links, "first")
-    rows = live.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_cells = rows.groupBy("key", "cell_a", "cell_b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
-    rows = rows.join(open_cells, ["key", "cell_a", "cell_b"]).join(sets, "id")
+
+    # Ids that their links leave outside the component of their pivot are compared with all others of that pivot: two signatures that share a key share
+    # its pivot too, so of a linked pair in different components at least one is such a stray.
+    of = lambda name: first.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
+    met = pairs.join(of("pivot"), "pivot", "left").join(of("id"), "id", "left").select("pivot", "id", F.coalesce("c_pivot", "pivot").alias("c_pivot"), F.coalesce("c_id", "id").alias("component"))
+    met = written(met.withColumn("stray", F.col("c_pivot") != F.col("component")), "met")
+    sizes = met.groupBy(F.col("pivot").alias("key")).agg((F.count("*") + 1).alias("n_rows"), F.bool_or("stray").alias("strays"), F.first("c_pivot").alias("component")).where("n_rows > 2 AND strays")
+    rows = met.select(F.col("pivot").alias("key"), "id", "component", "stray").unionByName(sizes.select("key", F.col("key").alias("id"), "component", F.lit(False).alias("stray")))
+    rows = cells(rows, sizes.select("key", "n_rows"), "key", "id", GROUP_BLOCK)
+    rows = rows.join(nodes.select("id", "signature"), "id")
+    live = _in_cells(rows, ["id", "component", "stray", "signature"], _live, "key long, cell_a int, cell_b int, part int, id long, component long")
+    live = written(live, "live")
+    more_sets = written(full_sets(docs, live.select("id").distinct().join(ids, "id", "left_anti"), shingle), "sets")
+    sets = sets.unionByName(more_sets)
+
+    open_cells = live.groupBy("key", "cell_a", "cell_b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
+    rows = live.join(open_cells, ["key", "cell_a", "cell_b"]).join(sets, "id")
     more = _in_cells(rows, ["id", "component", "shingles"], lambda r: _link(r, percent), "a long, b long")
     more = written(more.distinct(), "more")
     final = connected_components(links.unionByName(more), "final") if more.head(1) else first

@@ -159,6 +159,21 @@ def test_near_duplicates_chain(spark):
     assert got == want
 
 
+def test_near_duplicates_family(spark):
+    """Texts of one template: each linked pair has many smaller ids that are similar to it, but not enough."""
+    rows = []
+    for f in range(6):
+        base = [f"t{f}_{i}" for i in range(80)]
+        for k in range(22):
+            d = 22 * f + k
+            rows.append((d, " ".join(base + [f"own{d}_{i}" for i in range(14 if k < 20 else 8)])))
+    sets = [shingles(t, 1) for _, t in rows[:22]]
+    assert all(0.7 < len(x & y) / len(x | y) < 0.8 for x in sets[:20] for y in sets if x is not y) and len(sets[20] & sets[21]) / len(sets[20] | sets[21]) > 0.8
+    want = brute_components(rows, 1)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert got == want and sum(i != c for i, c in want.items()) == 6
+
+
 def test_hamming_keys_lose_nothing():
     r = np.random.default_rng(1)
     a = r.integers(0, 65536, (300, neardup.POSITIONS)).astype("uint16")
