@@ -270,6 +270,10 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
         key, doc, b0, b1, line, n, pos = (x[~told] for x in (key, doc, b0, b1, line, n, pos))
         order = np.lexsort((line, doc, key))
         key, doc, b0, b1, line, n, pos = (x[order] for x in (key, doc, b0, b1, line, n, pos))
+        # Repeated rows give equal entries from several tasks: one is enough.
+        again = np.zeros(len(key), bool)
+        again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in (key, doc, line, n, pos, b0, b1)])
+        key, doc, b0, b1, line, n, pos = (x[~again] for x in (key, doc, b0, b1, line, n, pos))
         n, pos = n.astype("int64"), pos.astype("int64")
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         starts = np.flatnonzero(first)
@@ -359,6 +363,8 @@ def _matched(percent: int):
             m[owner[a:b], column[a:b] - low] = 1
             both += m @ m.T
         alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        doc, line = rows["doc"].to_numpy(), rows["line"].to_numpy()
+        alike &= (doc[:, None] != doc[None, :]) | (line[:, None] != line[None, :])  # a line isn't similar to itself
         later = np.tril(alike, -1).any(axis=1)
         return rows.loc[later, ["doc", "line"]] if later.any() else None
 

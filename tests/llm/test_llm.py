@@ -94,6 +94,18 @@ def test_line_dedup_large_groups(spark):
     assert got == gone and 0 < len(gone) < 220
 
 
+def test_line_dedup_repeated_rows_in_a_large_group(spark):
+    """Equal rows in several partitions: their lines share common words with more lines than a small group holds, but most are similar to none."""
+    r = np.random.default_rng(9)
+    often = [f"c{i}" for i in range(400)]
+    rows = [(d, " ".join([f"w{i}" for i in range(50)] + r.choice(often, 10, replace=False).tolist())) for d in range(300)] + [(900, " ".join(often * 600))]
+    sets = [frozenset(t.split()) for _, t in rows]
+    gone = {rows[y][0] for y in range(301) if any(100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) for x in range(y))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id for x in linededup.repeated_lines(df.unionByName(df.where("doc_id < 60")).unionByName(df.where("doc_id < 30"))).collect()}
+    assert got == gone and len(gone) < 30
+
+
 def test_line_filters_lose_nothing():
     r = np.random.default_rng(0)
     for _ in range(300):
