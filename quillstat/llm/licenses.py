@@ -16,7 +16,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-# Rule families: label, keyword that must occur, words of the rule as a regular expression over lower-case words with single
+# Rule families: label, keyword that every match holds, words of the rule as a regular expression over lower-case words with single
 # spaces, priority (larger wins), confidence. ``{v}`` takes each version listed with the family, so the families give a few hundred rules.
 _V = r"(?:version |v ?)?"
 FAMILIES = [
@@ -36,7 +36,7 @@ FAMILIES = [
     ("agpl-{v}", "agpl", "(?:gnu )?agpl " + _V + "{v}(?: only)?", 70, 1.0, ["1", "3", "3 0"]),
     ("gfdl", "free documentation license", "(?:gnu )?free documentation license", 50, 1.0, [""]),
     ("gfdl-{v}", "free documentation license", "(?:gnu )?free documentation license " + _V + "{v}", 70, 1.0, ["1 1", "1 2", "1 3"]),
-    ("apache", "apache license", "(?:the )?apache (?:software )?license", 40, 0.9, [""]),
+    ("apache", "apache", "(?:the )?apache (?:software )?license", 40, 0.9, [""]),
     ("apache-{v}", "apache", "(?:the )?apache (?:software )?(?:license )?" + _V + "{v}(?: license)?", 60, 1.0, ["1 0", "1 1", "2 0"]),
     ("apache-2 0", "www apache org licenses", "http s? ?www apache org licenses license 2 0", 70, 1.0, [""]),
     ("mit", "mit license", "(?:the |expat )?mit license", 50, 1.0, [""]),
@@ -44,11 +44,11 @@ FAMILIES = [
     ("mit", "provided as is without warranty", "the software is provided as is without warranty of any kind", 30, 0.7, [""]),
     ("isc", "isc license", "(?:the )?isc license", 50, 1.0, [""]),
     ("isc", "permission to use copy modify", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 60, 1.0, [""]),
-    ("bsd", "bsd license", "(?:the )?bsd (?:style )?license", 40, 0.9, [""]),
+    ("bsd", "bsd", "(?:the )?bsd (?:style )?license", 40, 0.9, [""]),
     ("bsd-{v}-clause", "bsd", "bsd {v} clause(?: license)?", 60, 1.0, ["0", "1", "2", "3", "4"]),
     ("bsd-{v}-clause", "clause bsd", "{v} clause bsd(?: license)?", 60, 1.0, ["0", "1", "2", "3", "4"]),
     ("bsd-2-clause", "simplified bsd", "simplified bsd(?: license)?", 60, 1.0, [""]),
-    ("bsd-3-clause", "new bsd", "(?:new|revised|modified) bsd license", 60, 0.9, [""]),
+    ("bsd-3-clause", "bsd license", "(?:new|revised|modified) bsd license", 60, 0.9, [""]),
     ("bsd", "redistribution and use in source", "redistribution and use in source and binary forms with or without modification are permitted", 50, 1.0, [""]),
     ("mpl", "mozilla public license", "mozilla public license", 40, 0.9, [""]),
     ("mpl-{v}", "mozilla public license", "mozilla public license " + _V + "{v}", 60, 1.0, ["1 0", "1 1", "2 0"]),
@@ -93,16 +93,16 @@ FAMILIES = [
     ("public-domain", "public domain", "(?:in|into|to|under) the public domain(?: dedication)?", 40, 0.8, [""]),
     ("spdx-{v}", "spdx license identifier", "spdx license identifier {v}", 90, 1.0, ["mit", "isc", "apache 2 0", "bsd 2 clause", "bsd 3 clause", "gpl 2 0", "gpl 3 0", "lgpl 2 1", "lgpl 3 0", "agpl 3 0", "mpl 2 0", "epl 2 0", "cc0 1 0", "unlicense", "zlib", "0bsd", "bsd 4 clause", "artistic 2 0", "bsl 1 0", "wtfpl", "cddl 1 0", "eupl 1 2", "ofl 1 1",
         "cc by 4 0", "cc by sa 4 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 1 or later", "psf 2 0", "python 2 0", "postgresql", "ncsa", "x11", "curl"]),
-    ("reserved", "rights reserved", "(?:all|some) rights (?:are )?reserved", 30, 0.8, [""]),
+    ("reserved", "reserved", "(?:all|some) rights (?:are )?reserved", 30, 0.8, [""]),
     ("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 20, 0.4, [""]),
     ("proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", 45, 0.9, [""]),
-    ("proprietary", "without prior written", "without (?:the )?prior written (?:permission|consent)", 35, 0.6, [""]),
+    ("proprietary", "prior written", "without (?:the )?prior written (?:permission|consent)", 35, 0.6, [""]),
     ("eula", "end user license agreement", "end user license agreement", 45, 0.9, [""]),
     ("license-notice", "licensed under", "licensed under(?: the)?(?: terms of)?", 10, 0.3, [""]),
 ]
 
 #: Every keyword holds one of these, so one pass decides for most texts that no rule applies.
-GATE = ["licen", "rights reserved", "copyright", "public domain", "proprietary", "without prior written", "cc by", "cc0", "cc zero", "permission ", "provided as is", "redistribution and", "bsd", "gpl",
+GATE = ["licen", "reserved", "copyright", "public domain", "proprietary", "prior written", "cc by", "cc0", "cc zero", "permission ", "provided as is", "redistribution and", "bsd", "gpl",
         "mpl", "apache", "creativecommons", "creative commons", "zlib", "do what the fuck", "open data commons", "common development"]
 
 

@@ -396,6 +396,48 @@ def test_license_suppression(spark):
     assert got == {1: "gpl,gpl-2-or-later", 2: "apache-2.0,license-notice", 3: "cc-by,cc-by-sa-4.0,mit"}
 
 
+def alternatives(parsed):
+    """Strings of a parsed regular expression: every branch and both sides of every option, one digit of each class."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "BRANCH":
+            own = [x for b in arg[1] for x in alternatives(b)]
+        elif name == "SUBPATTERN":
+            own = alternatives(arg[3])
+        elif name == "MAX_REPEAT":
+            own = [x * n for n in {arg[0], arg[1]} for x in alternatives(arg[2])]
+        elif name == "IN":
+            own = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        else:
+            own = [""]  # the words around it
+        out = list(dict.fromkeys(a + b for a in out for b in own))
+    return out
+
+
+def test_license_alternatives(spark):
+    """Every alternative of every rule gets past the keywords, and a scan labels it as the rules do without them."""
+    rules = licenses.rules()
+    written = {}
+    for rule, _, keyword, pattern, *_ in rules:
+        for x in alternatives(re._parser.parse(pattern)):
+            assert keyword in x and any(g in x for g in licenses.GATE), (x, keyword)
+            if "," not in x and "  " not in x:  # strings that words can make
+                written[x] = rule
+    want = {}
+    for k, x in enumerate(written):
+        found = [(m.start(), m.end(), *r) for r in rules for m in re.finditer(r[3], f" {x} ")]
+        assert any(f[2] == written[x] for f in found)
+        left = [d for d in found if not any(e[2] != d[2] and e[0] <= d[0] and e[1] >= d[1] and (e[6], e[1] - e[0], -e[2]) > (d[6], d[1] - d[0], -d[2]) for e in found)]
+        base = {label for p, label in licenses.BASE if f" {p} " in f" {x} "}
+        want[k] = (",".join(sorted({d[3] for d in left} | base)), 1.0 if base else max(d[7] for d in left))
+    df = spark.createDataFrame(list(enumerate(written)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(df).collect()}
+    assert got == want
+
+
 def test_pipeline_stages(spark, nasty, empty):
     docs = nasty.select(*corpus_pipeline.COLUMNS)
     assert len(corpus_pipeline.STAGES) == 5
