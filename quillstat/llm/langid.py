@@ -14,8 +14,12 @@ from quillstat.llm.linededup import slices, text_bytes
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
-#: Bounds of the fit: rows per language, characters of a row, languages (the most frequent ones), landmarks in all.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES, LANDMARKS = 400, 20_000, 64, 128
+#: Bounds of the fit: rows per language, characters of a row, landmarks (at least, and per language). Every language is learned; from ``LANGUAGES`` on
+#: each has fewer rows, ``LEAST_ROWS`` at least.
+SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, LANDMARKS_EACH = 400, 20_000, 128, 2
+LANGUAGES, LEAST_ROWS = 64, 16
+#: Cells of the dense table of texts and features that is held at once.
+KERNEL_CELLS = 1 << 25
 RIDGE, JITTER, SHARPNESS = 1e-3, 1e-6, 4.0
 
 _FOLD = np.arange(256, dtype="uint8")
@@ -45,7 +49,9 @@ class KernelModel:
 
     def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS):
         self.names = sorted(set(languages))
-        target = np.array([self.names.index(x) for x in languages])
+        landmarks = max(landmarks, LANDMARKS_EACH * len(self.names))
+        number = {x: c for c, x in enumerate(self.names)}
+        target = np.array([number[x] for x in languages])
         array = pa.array(texts, pa.string())
         turn = np.empty(len(texts), "int64")  # landmarks take the languages in turn
         for c in range(len(self.names)):
@@ -73,6 +79,9 @@ class KernelModel:
 
     def kernel(self, texts: pa.Array) -> np.ndarray:
         """Kernel values of each text with each landmark."""
+        step = max(1, KERNEL_CELLS // max(1, self.landmarks.shape[0]))
+        if len(texts) > step:
+            return np.concatenate([self.kernel(texts.slice(i, step)) for i in range(0, len(texts), step)])
         present = np.zeros((len(texts), self.landmarks.shape[0]), "float32")
         for row, slot in gram_slots(texts):
             f = self.feature[slot]
@@ -90,14 +99,16 @@ class KernelModel:
 
 
 def fit(labelled: DataFrame) -> KernelModel | None:
-    """Fit on a bounded sample of ``doc_id, text, lang``: for each of the most frequent languages the rows that come first in a hashed order, among those of
-    at most ``SAMPLE_CHARS`` characters with a letter."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
+    """Fit on a bounded sample of ``doc_id, text, lang``: for each language the rows with a letter that come first in a hashed order, those of at most
+    ``SAMPLE_CHARS`` characters before longer ones, of which that many characters from the first letter on count."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", (F.length("text") > SAMPLE_CHARS).alias("long"))
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return None
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))
-    sample = rows.where(F.col("lang").isin(common)).withColumn("order", order).where(F.col("order") <= SAMPLE_ROWS).orderBy("lang", "order").collect()
+    most = max(LEAST_ROWS, min(SAMPLE_ROWS, SAMPLE_ROWS * LANGUAGES // languages))
+    start = F.when(F.col("long"), F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)).otherwise(F.col("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "text"))
+    sample = rows.withColumn("text", start).withColumn("order", order).where(F.col("order") <= most).orderBy("lang", "order").collect()
     return KernelModel([r.text for r in sample], [r.lang for r in sample])
 
 

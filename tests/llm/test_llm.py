@@ -355,6 +355,19 @@ def test_language_id(spark, nasty, empty):
     assert langid.fit(empty) is None and langid.identify(nasty, None).select("lang_pred").distinct().collect() == [("und",)] and langid.identify(empty, model).count() == 0
 
 
+def test_language_fit_learns_every_label(spark):
+    """More languages than 64, one with long texts only."""
+    r = np.random.default_rng(8)
+    speech = {f"l{k:02}": ["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(30)] for k in range(70)}
+    rows = [(70 * i + k, " ".join(r.choice(speech[g], 12)), g) for i in range(6) for k, g in enumerate(speech)]
+    rows += [(10_000 + i, "1 " * 15_000 + "dududu wewewe kokoko " * 2000, "long") for i in range(3)] + [(20_000 + i, text(i, 20), "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.names == sorted({*speech, "long", "a"}) and model.landmarks.shape[1] >= 2 * len(model.names)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df, model).collect()}
+    assert np.mean([got[i] == g for i, _, g in rows]) > 0.9 and got[10_000] == "long"
+
+
 def test_quality(spark, nasty, empty):
     got = quality.quality_rules(nasty)
     rows = {r.doc_id: r for r in got.collect()}
