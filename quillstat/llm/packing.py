@@ -23,19 +23,21 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a token at a single space, and around a single line break, between two other
     characters. Texts are cut there, and each distinct word is encoded once; a text with any other white space beside a
-    space or line break is encoded whole.
+    space or line break is encoded whole, and so is one that holds the string of a special token, which has its own id
+    unless ``plain_specials``.
     """
 
     CACHE = 250_000  # words in each half of a worker's cache; memory, not results, depends on it
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break = self._whole(["\n"])[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -73,8 +75,8 @@ class Encoder:
                 known[w] = self._whole([w])[0]
         return [known[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; a null is an empty text."""
+    def encode(self, texts: pa.Array, lead: str = "") -> list[bytes]:
+        """Little-endian 32-bit ids of each text, after ``lead`` (nothing or one space); a null is an empty text."""
         cut = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
         bounds = cut.offsets.to_numpy()
         flat = cut.flatten().dictionary_encode()
@@ -84,12 +86,14 @@ class Encoder:
         bounds = bounds - bounds[0]
         ends = np.concatenate([[0], np.cumsum(odd[index])])
         whole = (ends[bounds[1:]] - ends[bounds[:-1]]) > 0
+        for special in self.specials:
+            whole |= pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)
         encoded = np.empty(len(words), dtype=object)
         encoded[~odd] = self._words([" " + w for w, o in zip(words, odd) if not o])
         firsts = np.unique(index[bounds[:-1][~whole]]).tolist()
-        at_start = dict(zip(firsts, self._words([words[i] for i in firsts])))
+        at_start = dict(zip(firsts, self._words([lead + words[i] for i in firsts])))
         out: list[bytes] = []
-        rest = iter(self._whole([texts[int(i)].as_py() or "" for i in np.flatnonzero(whole)]))
+        rest = iter(self._whole([lead + (texts[int(i)].as_py() or "") for i in np.flatnonzero(whole)]))
         for k in range(len(whole)):
             if whole[k]:
                 out.append(next(rest))
@@ -106,14 +110,15 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, plain_specials)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, plain_specials)
+    return _ENCODERS[key]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, max_tokens: int, separator: int, with_ids: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstat.llm import ann, chat, langid, licenses, linededup, mixing, neardup, packing, quality, repeats
+from quillstat.llm import alignment, ann, chat, langid, licenses, linededup, mixing, neardup, negatives, packing, pagetext, quality, repeats
 from quillstat.llm.common import table
 
 
@@ -64,6 +64,18 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(chat.text_messages(rows)))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *alignment.vocabularies())
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "id % 100 = 0", "IF(id % 7 = 0, (label + 1) % 10, label)")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_line_dedup": op1_line_dedup,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def _fill_sql(name: str, nodes: str, parent: str) -> str:
@@ -94,6 +109,17 @@ def _weight_sql(level: str) -> str:
 
 
 ORACLES = {
+    "op13_hard_negatives": """
+WITH u AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1),
+v AS (SELECT id, CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM u),
+s AS (SELECT a.id AS anchor_id, a.label AS own, r.id, r.label, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS s
+  FROM v AS a JOIN v AS r ON a.id <> r.id AND len(a.v) = len(r.v) WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, s AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) <= 10""",
     "op6_source_mixing": rf"""
 WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
