@@ -23,6 +23,16 @@ GROUP_BLOCK = 1024
 SHARD_KEYS = 1_000_000
 
 
+NAMES = ["set_a", "set_b", "n_shingles"]
+
+
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 128-bit name of each set, and its size."""
+    name_a = np.array([int(s.sum(dtype="uint64")) for s in sets], "uint64").view("int64")
+    name_b = np.array([int(mix(s).sum(dtype="uint64")) for s in sets], "uint64").view("int64")
+    return name_a, name_b, np.array([len(s) for s in sets], "int64")
+
+
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b`` (a 128-bit name of the set) and ``signature`` (null for an empty set) of every row."""
 
@@ -37,27 +47,35 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
                 if full:
                     for i, row in zip(full, signer.sign([sets[i] for i in full])):
                         signatures[i] = row.tobytes()
-                name_a = np.array([int(s.sum(dtype="uint64")) for s in sets], "uint64").view("int64")
-                name_b = np.array([int(mix(s).sum(dtype="uint64")) for s in sets], "uint64").view("int64")
+                name_a, name_b, sizes = _names(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(name_a), pa.array(name_b), pa.array(signatures, pa.binary())],
+                    [part.column(0), pa.array(sizes), pa.array(name_a), pa.array(name_b), pa.array(signatures, pa.binary())],
                     ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     return documents(docs, "text").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``id, shingles`` (little-endian 64-bit hashes, sorted) of the texts named by ``ids``."""
+def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``id, shingles`` (little-endian 64-bit hashes, sorted) of the sets of ``nodes`` (``id``, ``doc_id`` of a text that has the set, and its name).
+
+    A doc_id may have several texts: those with another set than the node's are left out, and equal rows are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), shingle)], pa.binary())], ["id", "shingles"])
+                sets = shingle_sets(part.column(1), shingle)
+                same = np.ones(len(sets), bool)
+                for name, asked in zip(_names(sets), part.columns[2:]):
+                    same &= name == asked.to_numpy()
+                keep = np.flatnonzero(same)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["id", "shingles"])
 
-    # A merge join at every size: the ids grow with the input, and one shuffle of the texts also puts repeated ids together.
-    wanted = documents(docs, "text").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return wanted.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    # A merge join at every size: the nodes grow with the input, and one shuffle of the texts also puts repeated rows together.
+    texts = documents(docs, "text").join(nodes.select("doc_id", "id", *NAMES).hint("merge"), "doc_id").withColumn("_same", F.xxhash64("text"))
+    wanted = texts.dropDuplicates(["doc_id", "id", "_same"])
+    return wanted.select("id", "text", *NAMES).mapInArrow(run, "id long, shingles binary")
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -203,20 +221,22 @@ def _link(rows: pd.DataFrame, percent: int) -> pd.DataFrame | None:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Classes of near-duplicate texts: ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Texts are linked if ``100 * |A & B| >= percent * |A | B|`` on their sets of distinct word shingles, confirmed on full sets; equal sets
-    are one node, named by the smallest doc_id. ``component_id`` is the smallest doc_id reachable. A null or wordless text has an empty set and is
-    linked with nothing. Rows with the same doc_id are one node; a row without doc_id has no component and isn't kept, its set takes no part.
+    Texts are linked if ``100 * |A & B| >= percent * |A | B|`` on their sets of distinct word shingles, confirmed on full sets; each distinct set
+    is one node. ``component_id`` is the smallest doc_id reachable. A null or wordless text has an empty set and is linked with nothing. All texts of
+    one doc_id are of one class; a row without doc_id has no component and isn't kept, its set takes no part.
 
-    Every pair within the signature distance shares a key and so that key's smallest id, its pivot. Each id is compared with its pivots on full sets, and
-    those that this leaves outside their pivot's component with all ids of that pivot, in cells of bounded size, so no such pair is lost.
+    Every pair within the signature distance shares a key and so the smallest node of that key, its pivot. Each node is compared with its pivots on full
+    sets, and those that this leaves outside their pivot's component with all nodes of that pivot, in cells of bounded size, so no such pair is lost.
     """
     base = written(signed(docs, shingle), "signed")
     named = base.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    names = ["set_a", "set_b", "n_shingles"]
-    nodes = written(named.groupBy(*names).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "nodes")
+    nodes = named.groupBy(*NAMES).agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     # One doc_id with several texts ties its sets together.
     repeated = base.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    ties = named.join(repeated, "doc_id").join(nodes.select(*names, "id"), names).where(F.col("doc_id") != F.col("id")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    owned = named.join(repeated, "doc_id").join(nodes.select(*NAMES, "id"), NAMES).select("doc_id", "id").distinct()
+    least = owned.groupBy("doc_id").agg(F.min("id").alias("b"))
+    ties = owned.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
 
     shards = max(1, -(-nodes.count() * POSITIONS // SHARD_KEYS))
     signature = lambda name: nodes.select(F.col("id").alias(name), F.col("signature").alias(f"s_{name}"))
@@ -225,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     near = pairs.where("near").select("pivot", "id")
     ids = near.select("id").unionByName(near.select(F.col("pivot").alias("id"))).distinct()
-    sets = written(full_sets(docs, ids, shingle), "sets")
+    sets = written(full_sets(docs, nodes.join(ids, "id", "left_semi"), shingle), "sets")
     held = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"h_{name}"))
     links = written(_confirmed(near.join(held("pivot"), "pivot").join(held("id"), "id"), percent).unionByName(ties), "links")
     first = connected_components(links, "first")
@@ -241,7 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = rows.join(nodes.select("id", "signature"), "id")
     live = _in_cells(rows, ["id", "component", "stray", "signature"], _live, "key long, cell_a int, cell_b int, part int, id long, component long")
     live = written(live, "live")
-    more_sets = written(full_sets(docs, live.select("id").distinct().join(ids, "id", "left_anti"), shingle), "sets")
+    others = live.select("id").distinct().join(ids, "id", "left_anti")
+    more_sets = written(full_sets(docs, nodes.join(others, "id", "left_semi"), shingle), "sets")
     sets = sets.unionByName(more_sets)
 
     open_cells = live.groupBy("key", "cell_a", "cell_b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").drop("low", "high")
@@ -250,10 +271,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = written(more.distinct(), "more")
     final = connected_components(links.unionByName(more), "final") if more.head(1) else first
 
-    owner = nodes.select(*names, F.col("id").alias("node"))
-    found = base.join(owner, names, "left").join(final.select(F.col("id").alias("node"), "component"), "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    classes = nodes.select(*NAMES, "id", "doc_id").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = base.join(classes.join(smallest, "component").select(*NAMES, "component_id"), NAMES, "left")
+    found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # A text without words goes with the other texts of its doc_id.
+    joined = found.join(repeated, "doc_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_of"))
+    found = found.join(joined, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("_of", "component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
