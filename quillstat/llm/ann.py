@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# With windows of half width 1.36 R, a vector at distance R falls in a query's window with chance 0.826, one at 2 R with 0.504. A vector is verified once
-# it has collided in COLLISIONS of the projections.
-PROJECTIONS, COLLISIONS, HALF_WIDTH = 32, 22, 1.36
-RADII = [0.25 * 1.45**i for i in range(7)]
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
+from quillstat.llm.shards import sharded, visits
+
+#: Projections; the share of a vector's mean collisions, in standard deviations below it, from which on it is verified; growth of the windows from level to
+#: level; the first level, of the nearest of SAMPLE rows; rows of an index; queries that pass an index in one task.
+PROJECTIONS, BELOW, GROWTH, FIRST, SAMPLE = 256, 0.8, 1.05, 0.5, 256
+SHARD_ROWS, SPAN = 8192, 32768
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -23,56 +23,92 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     return d.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
-def _scaled(vectors: pd.Series) -> np.ndarray:
+def _scaled(v: np.ndarray) -> np.ndarray:
     """Vectors as rows, each brought near 1 by a power of two, which changes no digit of a cosine."""
-    v = np.stack(vectors.to_list()).astype("float64")
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
+def _collision_chance(dim: int) -> float:
+    """Chance that a vector at distance R differs from the query by at most R / sqrt(dim) on one axis."""
+    t = np.linspace(-1, 1, 200_001)[1:-1]
+    density = (1 - t * t) ** ((dim - 3) / 2)
+    return float(density[np.abs(t) <= 1 / np.sqrt(dim)].sum() / density.sum()) if dim > 1 else 1.0
+
+
 class CollisionIndex:
-    """Sorted projections of one shard; ``search`` expands windows around a query level by level."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 5):
-        self.ids, self.vectors = ids, vectors
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
-        projected = (vectors / self.norms[:, None]) @ self.axes
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        n = len(self.ids)
+    """Sorted projections of one shard on the axes of several random orthonormal bases.
+
+    A level of radius R has windows of half width R / sqrt(dim) around the query on every axis; the next level's windows are wider, so only what they add is
+    counted. A vector at distance R collides on ``p`` of the axes on average, a farther one on fewer: those that reach the threshold, a little below the mean,
+    are verified. The search ends when all k verified distances lie within the level's radius.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int = 5):
+        self.ids, self.vectors = ids, _scaled(vectors)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        unit = self.vectors / self.norms[:, None]
+        dim = vectors.shape[1]
+        r = np.random.default_rng(seed)
+        self.axes = np.concatenate([np.linalg.qr(r.standard_normal((dim, dim)))[0] for _ in range(-(-PROJECTIONS // dim))], axis=1)
+        projected = (unit @ self.axes).astype("float32").T
+        self.order = np.argsort(projected, axis=1, kind="stable").astype("int32")
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        m, p = len(self.sorted), _collision_chance(dim)
+        self.threshold = m * p - BELOW * np.sqrt(m * p * (1 - p))
+        self.width = 1 / np.sqrt(dim)
+        self.sample = unit[np.linspace(0, len(ids) - 1, min(SAMPLE, len(ids))).astype("int64")]
+        self.verified = 0
+
+    def _levels(self, queries: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Radii of each query's levels, and the bounds of their windows on every axis (query, level, axis)."""
+        far = np.sqrt(np.maximum(0, 2 - 2 * (queries @ self.sample.T)))
+        first = FIRST * np.where(far > 1e-6, far, 2.0).min(axis=1)
+        radii = [f * GROWTH ** np.arange(int(np.ceil(np.log(2.001 / f) / np.log(GROWTH))) + 1) for f in first]
+        most = max(map(len, radii))
+        reach = np.stack([np.pad(x, (0, most - len(x)), mode="edge") for x in radii]) * self.width
+        centres = (queries @ self.axes).astype("float32")
+        low, high = (np.empty((len(queries), most, len(self.sorted)), "int32") for _ in range(2))
+        for i, s in enumerate(self.sorted):
+            low[:, :, i] = np.searchsorted(s, centres[:, i, None] - reach, "left")
+            high[:, :, i] = np.searchsorted(s, centres[:, i, None] + reach, "right")
+        return radii, low, high
+
+    def search(self, query_ids: list[int], queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        queries = _scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
-        centres = (queries / norms[:, None]) @ self.axes
-        low = np.stack([[np.searchsorted(s, centres[:, i] - HALF_WIDTH * r, "left") for i, s in enumerate(self.sorted)] for r in RADII])
-        high = np.stack([[np.searchsorted(s, centres[:, i] + HALF_WIDTH * r, "right") for i, s in enumerate(self.sorted)] for r in RADII])
+        radii, low, high = self._levels(queries / norms[:, None])
         out = []
-        for q in range(len(queries)):
-            counts, scores = np.zeros(n, "int64"), np.full(n, np.nan)
-            scores[self.ids == query_ids[q]] = -np.inf
+        for q, own in enumerate(query_ids):
+            counts, open_ = np.zeros(len(self.ids), "int64"), self.ids != own
             best = np.zeros(0, "int64")
-            for level, radius in enumerate(RADII):
-                new = []
-                for i in range(PROJECTIONS):
-                    a, b = low[level, i, q], high[level, i, q]
-                    if level:
-                        new += [self.order[i, a : low[level - 1, i, q]], self.order[i, high[level - 1, i, q] : b]]
-                    else:
-                        new.append(self.order[i, a:b])
-                counts += np.bincount(np.concatenate(new), minlength=n)
-                verify = np.flatnonzero((counts >= COLLISIONS) & np.isnan(scores))
-                scores[verify] = (self.vectors[verify] * queries[q]).sum(axis=1) / (self.norms[verify] * norms[q])
-                best = np.flatnonzero(scores > -np.inf)
-                if len(best) >= k:
-                    worst = np.partition(scores[best], len(best) - k)[len(best) - k]
-                    if np.sqrt(max(0.0, 2 - 2 * worst)) <= 0.9 * radius:  # all k lie well inside the windows
-                        break
-            else:
-                rest = np.flatnonzero(np.isnan(scores)) if len(best) < k else np.zeros(0, "int64")
-                scores[rest] = (self.vectors[rest] * queries[q]).sum(axis=1) / (self.norms[rest] * norms[q])
-                best = np.flatnonzero(scores > -np.inf)
-            top = best[np.lexsort((self.ids[best], -scores[best]))[:k]]
-            out += [(int(query_ids[q]), int(self.ids[t]), float(scores[t])) for t in top]
+            scores = np.zeros(0)
+
+            def verify(rows: np.ndarray) -> None:
+                nonlocal best, scores
+                open_[rows] = False
+                self.verified += len(rows)
+                best = np.concatenate([best, rows])
+                scores = np.concatenate([scores, (self.vectors[rows] * queries[q]).sum(axis=1) / (self.norms[rows] * norms[q])])
+                top = np.lexsort((self.ids[best], -scores))[:k]
+                best, scores = best[top], scores[top]
+
+            for level, radius in enumerate(radii[q]):
+                a, b = low[q, level], high[q, level]
+                if level:
+                    was_a, was_b = low[q, level - 1], high[q, level - 1]
+                    new = [self.order[i, a[i] : was_a[i]] for i in np.flatnonzero(a < was_a)] + [self.order[i, was_b[i] : b[i]] for i in np.flatnonzero(b > was_b)]
+                else:
+                    new = [self.order[i, a[i] : b[i]] for i in np.flatnonzero(b > a)]
+                if new:
+                    counts += np.bincount(np.concatenate(new), minlength=len(counts))
+                    found = np.flatnonzero((counts >= self.threshold) & open_)
+                    if len(found):
+                        verify(found)
+                if len(best) >= k and np.sqrt(max(0.0, 2 - 2 * scores[-1])) <= radius:
+                    break
+            if len(best) < k:  # the shard has fewer near vectors than asked for: its others count as well
+                verify(np.flatnonzero(open_))
+            out += [(own, int(self.ids[t]), float(s)) for t, s in zip(best, scores)]
         return out
 
 
@@ -80,24 +116,15 @@ def nearest(vectors: DataFrame, query_condition: str, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each usable row of ``vectors`` (``vec_id, embedding``) that meets ``query_condition`` (over ``id``) its ``k``
     nearest other rows by cosine, ties to the smaller id; all others of its dimension if they are fewer.
 
-    Rows are dealt evenly by a hash of the id into shards with an index each; blocks of queries visit every shard, and a shard gives each query
+    Rows are dealt evenly by a hash of the id into shards, whose index is built once per span of queries that stream past it; a shard gives each query
     ``k`` rows at most. Null, zero and non-finite vectors take no part; vectors of another dimension aren't compared; an empty table gives no rows.
     """
-    d = usable(vectors)
-    sizes = d.agg(F.count("*").alias("n"), F.count(F.when(F.expr(query_condition), 1)).alias("q")).first()
-    shards, blocks = max(1, -(-sizes.n // SHARD_ROWS)), max(1, -(-sizes.q // QUERY_ROWS))
-    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = d.withColumn("shard", part(shards, 1)).withColumn("block", every(blocks))
-    asked = d.where(query_condition).withColumn("block", part(blocks, 2)).withColumn("shard", every(shards))
-
-    def visit(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        index = CollisionIndex(rows["id"].to_numpy(), _scaled(rows["vector"]))
-        return pd.DataFrame(index.search(queries["id"].to_numpy(), _scaled(queries["vector"]), k), columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(visit, FOUND)
+    d = usable(vectors).withColumn("label", F.lit(0).cast("long"))
+    parts, queries, shards, spans = sharded(d, query_condition, SHARD_ROWS, SPAN, "nearest")
+
+    def best(index: CollisionIndex, rows: list[tuple]) -> list[tuple]:
+        return index.search([r[0] for r in rows], np.stack([r[2] for r in rows]), k)
+
+    found = visits(parts, queries.withColumn("more", F.lit(None).cast("binary")), shards, spans, FOUND, CollisionIndex, best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstat.llm.common import written
+from quillstat.llm.shards import sharded, visits
 
 #: Rows of an index, centres of each of its two codebooks, rounds of fitting them, rows scored at a time, anchors that pass an index in one task.
-SHARD_ROWS, CENTRES, ROUNDS, STEP, SPAN = 32768, 32, 6, 512, 32768
-LONG = 2**63 - 1
-
-PARTS = "shard int, dim int, ids binary, labels binary, vectors binary"
-ROWS = "shard int, span int, kind int, id long, label long, dim int, body binary, more binary"
+SHARD_ROWS, CENTRES, ROUNDS, STEP, SPAN = 8192, 32, 6, 512, 32768
 POSITIVES = "anchor_id long, positive_id long, positive_score long"
 NEGATIVES = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
@@ -34,17 +31,6 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     return d.select("id", "label", F.size("vector").alias("dim"), whole.alias("vector"))
 
 
-def _narrow(v: np.ndarray) -> bytes:
-    """Whole numbers as bytes: a sign for the width, then 16-bit integers where they fit, else doubles."""
-    if not v.size or np.abs(v).max() < 2**15:
-        return b"h" + v.astype("<i2").tobytes()
-    return b"d" + v.astype("<f8").tobytes()
-
-
-def _wide(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<i2" if b[:1] == b"h" else "<f8", offset=1).astype("float64")
-
-
 def _fit(half: np.ndarray) -> np.ndarray:
     """Centres of one half space: rounds of nearest centre and mean, from evenly spaced rows in the order of their projection on the widest axis."""
     if not half.shape[1]:
@@ -213,68 +199,6 @@ class MultiIndex:
         return [[(int(-s), i) for s, i in b] for b in best]
 
 
-def _parts(shards: DataFrame) -> DataFrame:
-    """Rows of each shard, packed by the batch; sorted by shard, a batch holds few of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard, dim, ids, labels = (batch.column(i).to_numpy() for i in range(4))
-            vectors, at = batch.column(4).flatten().to_numpy(), np.concatenate([[0], np.cumsum(dim)])
-            order = np.lexsort((dim, shard))
-            out = []
-            for group in np.split(order, np.flatnonzero(np.diff(shard[order]) | np.diff(dim[order])) + 1):
-                if len(group):
-                    body = np.floor(np.concatenate([vectors[at[g] : at[g + 1]] for g in group]))
-                    out.append((int(shard[group[0]]), int(dim[group[0]]), ids[group].tobytes(), labels[group].tobytes(), _narrow(body)))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "dim", "ids", "labels", "vectors"])
-
-    return shards.select("shard", "dim", "id", "label", "vector").mapInArrow(run, PARTS)
-
-
-def _visits(parts: DataFrame, anchors: DataFrame, shards: int, spans: int, out: str, search) -> DataFrame:
-    """Every anchor meets every shard, in tasks of one shard and at most about ``SPAN`` anchors: a task reads the parts of its shard, then streams the
-    anchors. ``search`` gives the result rows of one anchor in one index."""
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = parts.select(
-        "shard", every(spans).alias("span"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("label"), "dim",
-        F.concat("ids", "labels").alias("body"), F.col("vectors").alias("more"))
-    asked = anchors.select(
-        every(shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(spans)).cast("int").alias("span"), F.lit(1).alias("kind"), "id", "label", "dim", "body", "more")
-    session = parts.sparkSession
-    width = min(shards * spans, max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism))
-    rows = index.unionByName(asked).repartition(width, "shard", "span").sortWithinPartitions("shard", "span", "kind", "dim", "id")
-    types = [pa.int64()] * len(out.split(","))
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, indexes = None, {}, {}
-        for batch in batches:
-            results: list[tuple] = []
-            for shard, span, kind, id_, label, dim, body, more in zip(*(c.to_pylist() for c in batch.columns)):
-                if (shard, span) != place:
-                    place, held, indexes = (shard, span), {}, {}
-                if kind == 0:
-                    held.setdefault(dim, []).append((body, more))
-                    continue
-                if dim not in indexes:
-                    mine = held.pop(dim, [])
-                    ids = [np.frombuffer(b, "int64") for b, _ in mine]
-                    if mine:
-                        indexes[dim] = MultiIndex(
-                            np.concatenate([i[: len(i) // 2] for i in ids]), np.concatenate([i[len(i) // 2 :] for i in ids]),
-                            np.concatenate([_wide(v).reshape(len(i) // 2, dim) for (_, v), i in zip(mine, ids)]))
-                    else:
-                        indexes[dim] = None
-                if indexes[dim] is not None:
-                    results += search(indexes[dim], id_, label, _wide(body), more)
-            for at in range(0, len(results), 65536):
-                columns = list(zip(*results[at : at + 65536]))
-                yield pa.RecordBatch.from_arrays([pa.array([max(-LONG, min(LONG, x)) for x in c], t) for c, t in zip(columns, types)], names)
-
-    return rows.mapInArrow(run, out)
-
-
 def hard_negatives(vectors: DataFrame, anchor_condition: str, label: str = "label", positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``: for each usable row of ``vectors`` (``vec_id, embedding, label``) that meets
     ``anchor_condition`` and each of its ``positives`` nearest other rows of the same label the ``negatives`` nearest rows of other labels whose score lies
@@ -288,39 +212,25 @@ def hard_negatives(vectors: DataFrame, anchor_condition: str, label: str = "labe
     group. Anchors stream past every shard twice: for their positives, then, with the windows known, for the negatives.
     """
     d = usable(vectors).withColumn("label", F.expr(label))
-    n = d.select(F.count("*"), F.count(F.when(F.expr(anchor_condition), 1))).first()
-    shards, spans = max(1, -(-n[0] // SHARD_ROWS)), max(1, -(-n[1] // SPAN))
-    sharded = d.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard")
-    parts = written(_parts(sharded), "negatives-parts")
-    packed = written(_parts(d.where(anchor_condition).withColumn("shard", F.lit(0))), "negatives-anchors")
-    anchors = packed.mapInArrow(_unpacked, "id long, label long, dim int, body binary")
+    parts, anchors, shards, spans = sharded(d, anchor_condition, SHARD_ROWS, SPAN, "negatives", np.floor)
 
-    def best_positives(index, id_, label, query, more):
-        return [(id_, p, s) for s, p in index.positives(id_, label, query, positives)]
+    def best_positives(index: MultiIndex, rows: list[tuple]) -> list[tuple]:
+        return [(a, p, s) for a, own, query, _ in rows for s, p in index.positives(a, own, query, positives)]
 
-    found = _visits(parts, anchors.withColumn("more", F.lit(None).cast("binary")), shards, spans, POSITIVES, best_positives)
+    found = visits(parts, anchors.withColumn("more", F.lit(None).cast("binary")), shards, spans, POSITIVES, MultiIndex, best_positives)
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id"))
     chosen = found.withColumn("rank", rank).where(F.col("rank") <= positives)
     chosen = chosen.groupBy("anchor_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("positive_id", "positive_score")))).cast("binary").alias("more"))
     ready = written(anchors.join(chosen.withColumnRenamed("anchor_id", "id"), "id"), "negatives-positives")
 
-    def best_negatives(index, id_, label, query, more):
-        import json
-
-        mine = [(x["positive_id"], x["positive_score"]) for x in json.loads(more)]
-        windows = [(-(-low * s // 100), high * s // 100) for _, s in mine]  # whole scores within the shares
-        return [(id_, p, s, i, t) for (p, s), hits in zip(mine, index.negatives(label, query, windows, negatives)) for t, i in hits]
+    def best_negatives(index: MultiIndex, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for anchor, own, query, more in rows:
+            mine = [(x["positive_id"], x["positive_score"]) for x in json.loads(more)]
+            windows = [(-(-low * s // 100), high * s // 100) for _, s in mine]  # whole scores within the shares
+            out += [(anchor, p, s, i, t) for (p, s), hits in zip(mine, index.negatives(own, query, windows, negatives)) for t, i in hits]
+        return out
 
-    found = _visits(parts, ready, shards, spans, NEGATIVES, best_negatives)
+    found = visits(parts, ready, shards, spans, NEGATIVES, MultiIndex, best_negatives)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per packed vector."""
-    for batch in batches:
-        for _, dim, ids, labels, vectors in zip(*(c.to_pylist() for c in batch.columns)):
-            ids, labels, mark = np.frombuffer(ids, "int64"), np.frombuffer(labels, "int64"), vectors[:1]
-            width = dim * (2 if mark == b"h" else 8)
-            bodies = [mark + vectors[1 + i * width : 1 + (i + 1) * width] for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels), pa.array([dim] * len(ids), pa.int32()), pa.array(bodies, pa.binary())], ["id", "label", "dim", "body"])
