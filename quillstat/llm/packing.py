@@ -181,7 +181,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, sep
     """Place every document's tokens in sequences of at most ``max_tokens``: one row per piece with its sequence and offset.
 
     Full pieces are sequences of their own. The others are dealt evenly into groups of about ``group_rows`` by a hash of the row
-    and packed there longest first, so groups grow in number with the input, not in size. Every row of ``docs`` is packed, repeated
+    and its place in the written table, so equal rows spread as well, and packed there longest first, so groups grow in number with the input, not in size. Every row of ``docs`` is packed, repeated
     ones as often as they occur; a null text is empty and gives the separator alone; an empty table gives no rows.
     ``ids`` holds the piece's little-endian 32-bit ids (null without ``with_ids``).
     """
@@ -194,7 +194,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, sep
         bins, offsets = best_fit(rows["length"].tolist(), max_tokens, open_bins)
         return rows.assign(sequence_id=2 * ((key[0] << 32) + np.asarray(bins, dtype="int64")), offset=offsets).drop(columns="part")
 
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     packed = short.withColumn("part", part).groupBy("part").applyInPandas(pack, PLACED)
     full = pieces.where(F.col("length") == max_tokens)
     full = full.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
