@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstat.llm.common import SPACE, WORD, documents, written
 
-#: Production limits: a line goes when more distinct texts of its host hold it than both limits allow.
+#: Production limits: a line goes when more documents of its host hold it than both limits allow.
 MAX_DOCS, MAX_SHARE = 20, 0.002
 #: A document that loses at least this share of its words is depleted.
 DEPLETED = 0.7
@@ -53,22 +53,24 @@ def text_measures(docs: DataFrame, source: str = "source") -> DataFrame:
 
 
 def host_lines(docs: DataFrame, source: str = "source") -> DataFrame:
-    """One row per line that has a word: ``doc_id, host, content, place, line, line_words``."""
+    """One row per line that has a word: ``doc_id, row_id, host, content, place, line, line_words``; ``row_id`` numbers the rows without doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = documents(docs, "text", source).select(
-        "doc_id", F.coalesce(F.col(source), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), F.posexplode(_lines(text)).alias("place", "row"))
-    return d.where(F.col("row").rlike(WORD)).select("doc_id", "host", "content", "place", line_key(F.col("row")).alias("line"), F.regexp_count("row", F.lit(WORD)).cast("long").alias("line_words"))
+    d = documents(docs, "text", source).withColumn("row_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    d = d.select("doc_id", "row_id", F.coalesce(F.col(source), F.lit("")).alias("host"), F.xxhash64(text).alias("content"), F.posexplode(_lines(text)).alias("place", "row"))
+    return d.where(F.col("row").rlike(WORD)).select(
+        "doc_id", "row_id", "host", "content", "place", line_key(F.col("row")).alias("line"), F.regexp_count("row", F.lit(WORD)).cast("long").alias("line_words"))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Lines (``host, line``) that more distinct texts of the host hold than both limits allow.
+    """Lines (``host, line``) that more documents of the host hold than both limits allow.
 
-    Exact copies of a text count once, so a copied document doesn't turn its own lines into boilerplate. The counts
-    are sums of partial counts, so a line that a third of all documents hold is never gathered in one task.
+    Rows with the same doc_id are one document, each row without one is a document. The counts are sums of partial counts, so a line that a third
+    of all documents hold is never gathered in one task.
     """
-    contents = lines.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    return held.join(contents, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
+    document = ["doc_id", "row_id"]
+    hosts = lines.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    held = lines.select("host", "line", *document).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    return held.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
 
 
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, depleted: float = DEPLETED, source: str = "source") -> DataFrame:
@@ -80,7 +82,7 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     """
     lines = host_lines(docs, source)
     removed = (
-        lines.join(frequent_lines(lines, max_docs, max_share), ["host", "line"]).distinct()  # a repeated row's lines count once
+        lines.join(frequent_lines(lines, max_docs, max_share), ["host", "line"]).drop("row_id").distinct()  # a repeated row's lines count once
         .groupBy(F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("content").alias("r_content"))
         .agg(F.sum("line_words").alias("n_removed_words"), F.collect_set("line").alias("removed")))
     base = text_measures(docs, source)

@@ -139,10 +139,10 @@ w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string
 win AS (SELECT rid, i, words[i] || chr(31) || words[i + 1] || chr(31) || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid),
-line AS (SELECT w.rid, host, text, trim(regexp_replace(row, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, row, len(regexp_extract_all(row, '[^\x20\x09-\x0D]+')) AS n
+line AS (SELECT w.rid, host, coalesce(CAST(doc_id AS VARCHAR), 'row ' || w.rid) AS document, trim(regexp_replace(row, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, row, len(regexp_extract_all(row, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT rid, unnest(rows) AS row FROM w) AS w JOIN d USING (rid) WHERE regexp_matches(row, '[^\x20\x09-\x0D]')),
 freq AS (SELECT host, lower(norm) AS norm FROM line GROUP BY 1, 2
-  HAVING count(DISTINCT text) > {quality.MAX_DOCS} AND count(DISTINCT text) > {quality.MAX_SHARE} * (SELECT count(DISTINCT text) FROM line AS h WHERE h.host = line.host)),
+  HAVING count(DISTINCT document) > {quality.MAX_DOCS} AND count(DISTINCT document) > {quality.MAX_SHARE} * (SELECT count(DISTINCT document) FROM line AS h WHERE h.host = line.host)),
 gone AS (SELECT rid, sum(n) AS n FROM line JOIN freq ON line.host = freq.host AND lower(line.norm) = freq.norm GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT row) AS n FROM line GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
