@@ -6,8 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillstat.llm import ann, chat, langid, licenses, linededup, mixing, neardup, packing, quality, queries, repeats
@@ -171,6 +173,27 @@ def test_near_duplicates_chain(spark):
     assert got == want
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Ids with two unlike texts each, and documents near the second one: no link is lost, in any partitioning."""
+    def words(seed, n=60):
+        r = np.random.default_rng(seed)
+        return [f"x{i}" for i in r.integers(0, 10**6, n)]
+
+    rows = []
+    for d in range(60):
+        a, b = words(2 * d), words(2 * d + 1)
+        near = list(b)
+        near[0] = "changed"
+        rows += [(d, " ".join(a)), (d, " ".join(b)), (1000 + d, " ".join(near))]
+    rows += [(2000, ""), (2000, rows[2][1]), (2001, None), (2001, "word")]
+    want = brute_components([(i, t) for i, t in rows], 4)
+    assert sum(want[1000 + d] == d for d in range(60)) == 60 and want[2000] == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 8):
+        got = neardup.near_duplicates(df.repartition(parts), shingle=4).collect()
+        assert len(got) == len(rows) and {x.doc_id: x.component_id for x in got} == want
+
+
 def test_near_duplicates_family(spark):
     """Texts of one template: each linked pair has many smaller ids that are similar to it, but not enough."""
     rows = []
@@ -228,11 +251,30 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0), "id % 50 = 0").count() == 0
 
 
+def test_few_vectors_are_verified():
+    """Most of the index stays unverified while at least nine of ten neighbours are found, on spread and on clustered vectors of several sizes."""
+    r = np.random.default_rng(7)
+    for n, clusters in ((4096, 0), (16384, 0), (16384, 100)):
+        v = r.standard_normal((n, 64)) if not clusters else r.standard_normal((clusters, 64))[r.integers(0, clusters, n)] + 0.4 * r.standard_normal((n, 64))
+        index = ann.CollisionIndex(np.arange(n), np.zeros(n), v)
+        unit = v / np.linalg.norm(v, axis=1)[:, None]
+        asked = list(range(0, n, n // 40))
+        got = collections.defaultdict(set)
+        for q, i, _ in index.search(asked, v[asked], 5):
+            got[q].add(i)
+        hits = 0
+        for q in asked:
+            s = unit @ unit[q]
+            s[q] = -2
+            hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        assert hits >= 0.9 * 5 * len(asked) and index.verified < 0.05 * n * len(asked), (n, clusters, hits, index.verified / n / len(asked))
+
+
 def test_encoder_and_packing(spark, nasty, empty):
-    enc = packing.encoder(packing.vocabulary())
+    fresh = Tokenizer.from_file(packing.vocabulary())
     rows = collections.Counter()
     for i, t, *_ in nasty_rows():
-        ids = [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*fresh.encode(t or "", add_special_tokens=False).ids, 0]
         first = len(ids) % 2048 or 2048
         cuts = [0, *range(first, len(ids) + 1, 2048)]
         for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -253,6 +295,41 @@ def test_encoder_and_packing(spark, nasty, empty):
     assert packing.pack_documents(empty, packing.vocabulary()).count() == 0
 
 
+def test_special_strings_keep_their_own_id():
+    """The plain tokenizer call: the string of a special token is that token, and only plain_specials makes it text."""
+    r = np.random.default_rng(2)
+    parts = ["<|endoftext|>", "a", " ", "\n", "word", "<|end", "oftext|>", "é", "  "]
+    texts = ["".join(r.choice(parts, r.integers(1, 9))) for _ in range(400)] + ["x <|endoftext|> y", "<|endoftext|>", None, ""]
+    for plain in (False, True):
+        fresh = Tokenizer.from_file(packing.vocabulary())
+        fresh.encode_special_tokens = plain
+        enc = packing.Encoder(packing.vocabulary(), plain)
+        for lead in ("", " "):
+            got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(pa.array(texts), lead)]
+            assert got == [fresh.encode(lead + (t or ""), add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(packing.Encoder(packing.vocabulary()).encode(pa.array(["x <|endoftext|>"]))[0], "<u4").tolist()
+
+
+def test_packing_spreads_equal_rows(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack_documents(rows, packing.vocabulary(), group_rows=256).groupBy(F.shiftrightunsigned("sequence_id", 33).alias("g")).count().collect()
+    assert len(got) == 16 and max(r["count"] for r in got) < 512 and sum(r["count"] for r in got) == 4000
+
+
+def test_long_texts(spark):
+    """A text of half a million characters among short ones: measures, pieces and removed bytes are those of the whole text."""
+    long = " ".join(f"w{i}" for i in range(80_000))
+    df = spark.createDataFrame([(1, "short one"), (2, long), (3, long[:100] + " other " + long[-60:])], "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
+    assert {r.doc_id: r.n_words for r in quality.quality_rules(df).collect()}[2] == 80_000
+    got = {r.doc_id: r.tokens for r in packing.pack_documents(df, packing.vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("tokens")).collect()}
+    assert got[2] == len(Tokenizer.from_file(packing.vocabulary()).encode(long, add_special_tokens=False).ids) + 1
+    assert {r.doc_id: r.n_removed for r in repeats.without_repeats(df).collect()} == {1: 0, 2: 0, 3: 100 + 60 + (long[100] == " ") + (long[-61] == " ")}
+    sizes = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, shingle=4).collect()}
+    assert sizes[2] == (79_997, 2) and sizes[3][1] == 3
+    assert {r.doc_id: r.n_words for r in licenses.license_scan(df).collect()}[2] == 80_000
+    assert {r.doc_id: r.n_removed for r in linededup.without_repeated_lines(df).collect()} == {1: 0, 2: 0, 3: 0}
+
+
 def test_best_fit_bounds_open_bins():
     bins, offsets = packing.best_fit([6, 5, 4, 3, 3, 2, 1], 10, 2)
     assert bins == [0, 1, 0, 1, 2, 1, 2] and offsets == [0, 0, 6, 5, 0, 8, 3]
@@ -389,6 +466,17 @@ def test_quality(spark, nasty, empty):
     assert left[3] == text(103, 80) and 98 not in left
 
 
+def test_quality_counts_documents(spark):
+    """Documents are counted, equal texts or not: rows of one id are one document, rows without id one each."""
+    line = "This line is on many documents of the host"
+    same = line + "\n" + text(1, 80)
+    rows = [(i, same if i < 25 else line + "\n" + text(i, 80), "h") for i in range(30)] + [(100 + i, text(200 + i, 80), "h") for i in range(5)]
+    rows += [(None, line + " x\n" + text(300, 80), "h")] * 12 + [(500, line + " y\n" + text(301, 80), "h")] * 12
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), max_docs=10, max_share=0.1).collect()
+    gone = {r.doc_id: r.n_removed_words for r in got}
+    assert all(gone[i] > 0 for i in range(30)) and gone[None] > 0 and gone[500] == 0 and all(gone[100 + i] == 0 for i in range(5)) and len(got) == len(rows)
+
+
 def test_licenses(nasty, empty):
     assert len(licenses.rules()) > 200 and all(any(g in k for g in licenses.GATE) for _, _, k, *_ in licenses.rules())
     got = licenses.license_scan(nasty).collect()
