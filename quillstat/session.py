@@ -69,6 +69,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int =
     return F.broadcast(df) if size.n <= max_rows and (size.b or 0) <= max_bytes else df
 
 
+def bounded_values(df: DataFrame, max_rows: int, max_bytes: int) -> list[str] | None:
+    """The distinct values of a one-column frame of strings, or None where they exceed either bound; they are fetched only after they were measured."""
+    values = df.select(F.col(df.columns[0]).alias("v")).where("v IS NOT NULL").distinct()
+    size = values.agg(F.count("v").alias("n"), F.sum(F.octet_length("v")).alias("b")).first()
+    return sorted(r.v for r in values.collect()) if size.n <= max_rows and (size.b or 0) <= max_bytes else None
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan with fewer splits than cores before CPU-heavy row work.
 
