@@ -1,8 +1,9 @@
 """BM25, vector and fused retrieval for batches of queries.
 
 One job answers many queries. Documents are tokenised in their own rows; only tokens of the query
-vocabulary leave the scan. Scores of one (query, document) pair are summed where the document already is,
-and every ranking keeps k rows per query before it is shuffled.
+vocabulary leave the scan. Postings are kept by blocks of documents with the largest weight of every term, so a
+query scores the blocks that can hold one of its k best. Vectors and queries meet in hashed blocks that
+keep k rows per query.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quillstat.operators.windows import first_rows
 from quillstat.session import durable, spread
 
 K1, B = 1.5, 0.75
+#: Documents of a block of postings; vectors and queries of a block of the vector search, queries multiplied at a time.
+BLOCK_DOCS, BLOCK_VECTORS, BLOCK_QUERIES, QUERY_SLICE = 128, 16384, 8192, 256
 
 
 def token_rows(docs: DataFrame, doc_id: str, text: str, tokens=tokenize) -> DataFrame:
@@ -57,17 +60,45 @@ def bm25_weight(tf: Column, doc_len: Column, avg_len: Column, idf_: Column, k1:
     return idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
 
 
-def bm25_scores(posting: DataFrame, weights: DataFrame, terms: DataFrame, doc_id: str, query_id: str,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term.
+def block_of(doc_id: str, n_docs: Column, block_docs: int = BLOCK_DOCS) -> Column:
+    """Block of a document: about ``block_docs`` documents share one, by a hash of the id."""
+    return F.pmod(F.xxhash64(doc_id), F.greatest(F.ceil(n_docs / block_docs), F.lit(1))).cast("int")
 
-    Postings are placed by document first; the query side (terms with their idf) is the small one and is
-    broadcast by Spark when it fits, so the pairs are summed without another shuffle.
-    """
-    asked = terms.join(weights, "term")
-    placed = posting.repartition(doc_id)
+
+def weighted_postings(posting: DataFrame, weights: DataFrame, doc_id: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, term, weight, block)."""
     w = bm25_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"), k1, b)
-    return placed.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum(w).alias("score"))
+    return posting.join(weights, "term").select(doc_id, "term", w.alias("weight"), block_of(doc_id, F.col("n_docs")).alias("block"))
+
+
+def _block_scores(weighted: DataFrame, asked: DataFrame, doc_id: str, query_id: str) -> DataFrame:
+    """(query_id, doc_id, score) of the documents of the asked (query, block, term)."""
+    return weighted.join(asked.select(query_id, "block", "term"), ["block", "term"]).groupBy(query_id, doc_id).agg(F.sum("weight").alias("score"))
+
+
+def block_bounds(weighted: DataFrame, terms: DataFrame, k: int, doc_id: str, query_id: str, maxima: DataFrame | None = None,
+                 seed_blocks: int = 2, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """((query, block, term) of the terms that a block holds, (query, block, bound, threshold, open)).
+
+    A block's bound is the sum of the largest weights of the query's terms in it. The threshold is the k-th score among the documents of
+    the ``seed_blocks`` blocks with the highest bounds: no document of a block whose bound is lower can be among the k best.
+    """
+    if maxima is None:
+        maxima = weighted.groupBy("block", "term").agg(F.max("weight").alias("largest"))
+    asked = terms.join(maxima, "term")
+    bounds = asked.groupBy(query_id, "block").agg(F.sum("largest").alias("bound"))
+    seeds = first_rows(bounds, [query_id], [F.col("bound").desc(), F.col("block")], seed_blocks)
+    seen = ranked(_block_scores(weighted, asked.join(seeds.select(query_id, "block"), [query_id, "block"], "left_semi"), doc_id, query_id), query_id, doc_id, k, digits)
+    kth = seen.filter(F.col("rank") == k).select(query_id, F.col("score").alias("threshold"))
+    near = 2 * 10.0**-digits  # scores are compared after rounding
+    judged = bounds.join(kth, query_id, "left").withColumn("open", F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - near))
+    return asked, judged
+
+
+def bm25_scores(weighted: DataFrame, terms: DataFrame, k: int, doc_id: str, query_id: str, maxima: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every document that may be among the k best; blocks of documents that can't hold one are skipped."""
+    asked, judged = block_bounds(weighted, terms, k, doc_id, query_id, maxima)
+    return _block_scores(weighted, asked.join(judged.filter("open").select(query_id, "block"), [query_id, "block"], "left_semi"), doc_id, query_id)
 
 
 def ranked(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 9) -> DataFrame:
@@ -85,7 +116,8 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "d
     post = durable(postings(rows, doc_id, terms))
     weights = idf(post, corpus_size(rows))
     candidates = post if prefilter is None else post.join(prefilter.select(doc_id), doc_id, "left_semi")
-    return ranked(bm25_scores(candidates, weights, terms, doc_id, query_id), query_id, doc_id, k)
+    weighted = durable(weighted_postings(candidates, weights, doc_id).repartition("block"))
+    return ranked(bm25_scores(weighted, terms, k, doc_id, query_id), query_id, doc_id, k)
 
 
 def report_text(file_name: Column, text: Column, limit: int | None = None) -> Column:
@@ -114,46 +146,43 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
 
 
+def _best_of_block(rows: pd.DataFrame, asked: pd.DataFrame, columns: tuple[str, str, str, str], k: int, digits: int) -> pd.DataFrame:
+    """The k best vectors of one block for every query of another."""
+    vec_id, vector, query_id, query_vector = columns
+    out: list[tuple] = []
+    if len(rows) and len(asked):
+        m, q = (_unit(np.stack(c.to_list()).astype("float64")) for c in (rows[vector], asked[query_vector]))
+        keys, names = rows[vec_id].tolist(), asked[query_id].tolist()
+        for at in range(0, len(q), QUERY_SLICE):
+            scores = np.round(q[at : at + QUERY_SLICE] @ m.T, digits)
+            for name, s in zip(names[at:], scores):
+                few = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else range(len(s))
+                out += [(name, key, -x) for x, key in sorted((-s[i], keys[i]) for i in few)[:k]]
+    return pd.DataFrame(out, columns=["query", "vec", "score"])
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
                  query_id: str = "query_id", query_vector: str = "query_vector", prefilter: DataFrame | None = None,
-                 max_queries: int = 4096, digits: int = 9) -> DataFrame:
-    """Exact k largest inner products per query over normalised vectors.
+                 digits: int = 9) -> DataFrame:
+    """Exact k largest inner products per query over normalised vectors; null vectors take no part.
 
-    The vectors stay where they are read: every batch is multiplied with a bounded slice of the queries
-    and keeps its k best per query, so pairs are never produced. More than ``max_queries`` queries are
-    processed as several slices, each shipped on its own.
+    Vectors and queries are dealt to blocks by a hash of their ids and every pair of blocks is one group: its vectors are multiplied with slices of its
+    queries and k rows per query remain, so no pairs are produced and no vector passes the driver.
     """
     base = vectors if prefilter is None else vectors.join(prefilter.select(vec_id), vec_id, "left_semi")
-    base = base.select(vec_id, vector)
-    q = queries.select(query_id, query_vector)
-    total = q.count()
-    n = max(1, -(-total * 2 // max_queries)) if total > max_queries else 1
-    schema = f"{query_id} {q.schema[query_id].dataType.simpleString()}, {vec_id} {base.schema[vec_id].dataType.simpleString()}, score double"
-
-    def searcher(ids, matrix):
-        def run(batches):
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                m = _unit(np.stack(pdf[vector].to_numpy()).astype("float64"))
-                s = np.round(matrix @ m.T, digits)
-                key = pdf[vec_id].to_numpy()
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((key, -s[i]))[:k]
-                    yield pd.DataFrame({query_id: [qid] * len(order), vec_id: key[order], "score": s[i][order]})
-        return run
-
-    parts = []
-    for i in range(n):
-        part = q if n == 1 else q.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i)
-        # a slice holds at most about max_queries rows; its vectors travel with the task
-        rows = part.collect()
-        if rows:
-            matrix = _unit(np.array([r[query_vector] for r in rows], dtype="float64"))
-            parts.append(base.mapInPandas(searcher([r[query_id] for r in rows], matrix), schema))
-    if not parts:
-        return base.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    return ranked(reduce(lambda a, b: a.unionByName(b), parts), query_id, vec_id, k, digits)
+    base = base.select(vec_id, vector).filter(F.col(vector).isNotNull())
+    asked = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
+    schema = f"query {asked.schema[query_id].dataType.simpleString()}, vec {base.schema[vec_id].dataType.simpleString()}, score double"
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((base, BLOCK_VECTORS), (asked, BLOCK_QUERIES)))
+
+    def dealt(df, key, own, blocks, other, others):
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(base, vec_id, "_vb", n, "_qb", m).groupBy("_vb", "_qb")
+    right = dealt(asked, query_id, "_qb", m, "_vb", n).groupBy("_vb", "_qb")
+    columns = (vec_id, vector, query_id, query_vector)
+    found = left.cogroup(right).applyInPandas(lambda a, b: _best_of_block(a, b, columns, k, digits), schema)
+    return ranked(found.select(F.col("query").alias(query_id), F.col("vec").alias(vec_id), "score"), query_id, vec_id, k, digits)
 
 
 # fusion

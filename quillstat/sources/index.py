@@ -1,4 +1,4 @@
-"""Persisted search index: chunks, vectors and postings as three Parquet tables aligned by id."""
+"""Persisted search index: chunks, vectors, postings with their block maxima and term counts as Parquet tables aligned by id."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.textclean import tokenize
 from quillstat.operators import retrieval
+from quillstat.session import durable
 
 BUCKETS = 64
 
@@ -18,6 +19,8 @@ class SearchIndex:
     chunks: DataFrame
     vectors: DataFrame
     postings: DataFrame
+    maxima: DataFrame
+    terms: DataFrame
     size: DataFrame
 
 
@@ -26,28 +29,37 @@ def _bucket(term="term"):
 
 
 def build_index(chunks: DataFrame, vectors: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokens=tokenize) -> None:
-    """Write the tables; postings are laid out by term bucket and sorted, so a search reads its buckets only."""
+    """Write the tables. Postings have the weight of their term, and for every block of documents and term the largest one is kept; both are laid out by
+    term bucket and sorted, so a search reads its buckets only."""
+    spark = chunks.sparkSession
     rows = retrieval.token_rows(chunks, doc_id, text, tokens)
     chunks.join(rows.select(doc_id, "doc_len"), doc_id).write.mode("overwrite").parquet(f"{path}/chunks")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    post = retrieval.postings(rows, doc_id).withColumn("bucket", _bucket())
-    # the salt spreads a hot term over several files of its bucket
-    (post.repartition("bucket", F.pmod(F.xxhash64(doc_id), F.lit(8))).sortWithinPartitions("bucket", "term")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    size = retrieval.corpus_size(spark.read.parquet(f"{path}/chunks"))
+    post = durable(retrieval.postings(rows, doc_id))
+    weights = retrieval.idf(post, size).withColumn("bucket", _bucket())
+    weighted = retrieval.weighted_postings(post, weights, doc_id).withColumn("bucket", _bucket())
+
+    def write(df: DataFrame, name: str, *salt) -> None:
+        df.repartition("bucket", *salt).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    write(weighted, "postings", F.pmod(F.xxhash64(doc_id), F.lit(8)))  # the salt spreads a hot term over several files of its bucket
+    write(weighted.groupBy("bucket", "block", "term").agg(F.max("weight").alias("largest")), "maxima", F.pmod("block", F.lit(8)))
+    write(weights.select("term", "df", "idf", "bucket"), "terms")
 
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
-    chunks = spark.read.parquet(f"{path}/chunks")
-    return SearchIndex(chunks, spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/postings"),
-                       retrieval.corpus_size(chunks))
+    chunks, vectors, postings, maxima, terms = (spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "postings", "maxima", "terms"))
+    return SearchIndex(chunks, vectors, postings, maxima, terms, retrieval.corpus_size(chunks))
 
 
 def search_postings(index: SearchIndex, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id",
                     query_text: str = "query", prefilter: DataFrame | None = None, tokens=tokenize) -> DataFrame:
-    """BM25 over the stored postings; the join on (bucket, term) prunes buckets at run time."""
+    """BM25 over the stored postings; the joins on (bucket, term) prune buckets at run time, the stored maxima skip blocks."""
     terms = retrieval.query_terms(queries, query_id, query_text, tokens)
     vocabulary = terms.select("term").distinct().withColumn("bucket", _bucket())
-    post = index.postings.join(vocabulary, ["bucket", "term"], "left_semi").drop("bucket")
-    weights = retrieval.idf(post, index.size)
-    candidates = post if prefilter is None else post.join(prefilter.select(doc_id), doc_id, "left_semi")
-    return retrieval.ranked(retrieval.bm25_scores(candidates, weights, terms, doc_id, query_id), query_id, doc_id, k)
+    known = lambda df: df.join(vocabulary, ["bucket", "term"], "left_semi").drop("bucket")
+    weighted, maxima = known(index.postings), known(index.maxima)
+    if prefilter is not None:  # the maxima of all documents bound those of a part as well
+        weighted = weighted.join(prefilter.select(doc_id), doc_id, "left_semi")
+    return retrieval.ranked(retrieval.bm25_scores(weighted, terms, k, doc_id, query_id, maxima), query_id, doc_id, k)
