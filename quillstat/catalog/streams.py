@@ -10,9 +10,24 @@ from quillstat.session import work_path
 from quillstat.streaming import incremental, sessions
 
 
-def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+FILES = 4
+
+
+def event_stream(spark, sf_dir, closing: bool = False):
+    """The events as a stream of several files, one per micro-batch, each up to eight minutes out of order and reaching into the next file. ``closing`` adds a
+    file with one event a day later, of a user of its own, which lets the watermark pass all others."""
+    path = work_path(spark, "arriving")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(480_000_000))
+    bounds = events.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high"), F.max("ts").alias("newest"))
+    dealt = events.crossJoin(F.broadcast(bounds)).withColumn("file", F.least(F.lit(FILES - 1), F.floor((arrival - F.col("low")) * FILES / F.greatest(F.col("high") - F.col("low"), F.lit(1)))))
+    for i in range(FILES):  # one after the other: a file source reads in order of modification
+        dealt.filter(F.col("file") == i).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    if closing:
+        nulls = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c not in ("user_id", "ts")]
+        last = bounds.select(F.lit(-1).cast(dict(events.dtypes)["user_id"]).alias("user_id"), (F.col("newest") + F.expr("INTERVAL 1 DAY")).alias("ts"), *nulls)
+        last.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _wall_clock():
@@ -31,12 +46,12 @@ def session_activity(spark, sf_dir):
     return out.select("user_id", *_wall_clock(), "n_events")
 
 
-@query("session_activity_stream", "SM1", f"WITH {SESSIONS} SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') session_end, n_events FROM ss WHERE session_end <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)")
+@query("session_activity_stream", "SM1", f"WITH {SESSIONS} SELECT user_id, strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') session_end, n_events FROM ss")
 def session_activity_stream(spark, sf_dir):
+    sessions.use_rocksdb(spark)
     path = work_path(spark, "sessions")
-    sessions.run_available(sessions.session_activity(event_stream(spark, sf_dir), "user_id", "ts"), path)
-    out = spark.read.parquet(f"{path}/data")
-    return out.select("user_id", *_wall_clock(), "n_events")
+    sessions.run_session_updates(sessions.session_updates(event_stream(spark, sf_dir), "user_id", "ts"), path)
+    return sessions.current_sessions(spark, path, "user_id").select("user_id", *_wall_clock(), "n_events")
 
 
 @query("carry_slots_stream", "SM2", "WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type='purchase' THEN 'C'||CAST(event_id%9 AS VARCHAR) END company, CASE WHEN event_type IN ('click','purchase') THEN 'I'||CAST(event_id%4 AS VARCHAR) END AS indicator, "
@@ -46,7 +61,7 @@ def carry_slots_stream(spark, sf_dir):
     sessions.use_rocksdb(spark)
     path = work_path(spark, "slots")
     t = F.col("event_type")
-    turns = event_stream(spark, sf_dir).select(
+    turns = event_stream(spark, sf_dir, closing=True).select(
         "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(t == "purchase", F.concat(F.lit("C"), (F.col("event_id") % 9).cast("string"))).alias("company"),
         F.when(t.isin("click", "purchase"), F.concat(F.lit("I"), (F.col("event_id") % 4).cast("string"))).alias("indicator"))
     sessions.run_available(sessions.carry_slots_stream(turns, "user_id", "ts", ["company", "indicator"]), path)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillstat.operators.windows import first_rows
+
 IDLE_SECONDS = 1800
 
 
@@ -23,50 +26,143 @@ def session_activity(events: DataFrame, key: str, ts: str, idle: str = "30 minut
     return grouped.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
 
 
+class _SessionMerger(StatefulProcessor):
+    """Open sessions of one key as rows of a list state; the rows that a micro-batch changes come out, those that another one swallowed as no longer alive."""
+
+    def __init__(self, key: str, ts: str, gap: int):
+        self.key, self.ts, self.gap = key, ts, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getListState("sessions", "first long, last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {tuple(int(x) for x in s) for s in self.state.get()} if self.state.exists() else set()
+        sessions = sorted(before)
+        for frame in rows:
+            at = np.sort(frame[self.ts].astype("datetime64[us]").astype("int64").to_numpy())
+            cut = np.flatnonzero(np.diff(at) >= self.gap) + 1
+            sessions = self._merged(sessions + [(int(p[0]), int(p[-1]), len(p)) for p in np.split(at, cut) if len(p)])
+        self.state.put(sessions)
+        for first, last, _ in set(sessions) - before:
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        gone = {s[0] for s in before} - {s[0] for s in sessions}
+        out = [(*key, first, last + self.gap, n, True) for first, last, n in sessions if (first, last, n) not in before] + [(*key, first, None, None, False) for first in gone]
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "first", "end", "n_events", "alive"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Sessions that no event in time can reach any more leave the state; their rows are out already."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        left = [s for s in self.state.get() if s[1] + self.gap > passed] if self.state.exists() else []
+        self.state.put(left) if left else self.state.clear()
+        yield from ()
+
+    def _merged(self, sessions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(sessions):
+            if out and first - out[-1][1] < self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+            else:
+                out.append((first, last, n))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def session_updates(events: DataFrame, key: str, ts: str, idle: int = IDLE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """(key, first, end, n_events, alive) for every session that a micro-batch changed, times in microseconds: open sessions are rows as well, and an event
+    that joins two sessions takes the later one back (``alive`` false). Events later than ``delay`` are dropped. For update mode."""
+    rows = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_SessionMerger(key, ts, idle * 1_000_000), outputStructType=f"{key} {kind}, first long, end long, n_events long, alive boolean",
+        outputMode="Update", timeMode="EventTime")
+
+
+def run_session_updates(updates: DataFrame, path: str) -> None:
+    """Process what is there; every micro-batch writes its own epoch folder, so a repeated one overwrites itself."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    query = updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/_stream").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def current_sessions(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, session_start, session_end, n_events) as of the last micro-batch: the newest row per session that is alive."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    newest = first_rows(rows, [key, "first"], [F.col("epoch").desc()]).filter("alive")
+    return newest.select(key, F.timestamp_micros("first").alias("session_start"), F.timestamp_micros("end").alias("session_end"), "n_events")
+
+
 class _SlotCarrier(StatefulProcessor):
-    """Keeps the last known slots and the time of the last turn of one key.
+    """Turns of one key wait in a list state until the watermark has passed them; then they are released in order of time and take the slots known so far.
 
-    Rows of a micro-batch are put in time order per key; a micro-batch is bounded by the source's
-    trigger limit. The state is one row per key.
+    The state is one row for the slots and one per waiting turn, so as many as arrive within the watermark's delay. Frames of a micro-batch are put
+    there one by one.
     """
 
-    def __init__(self, key: str, ts: str, slots: list[str], idle: int, ttl_ms: int | None):
-        self.key, self.ts, self.slots, self.idle, self.ttl_ms = key, ts, slots, idle, ttl_ms
+    def __init__(self, kept: list[str], ts: str, slots: list[str], types: str, idle: int):
+        self.kept, self.ts, self.slots, self.types, self.idle = kept, ts, slots, types, idle * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{s} string" for s in self.slots)
-        self.state = handle.getValueState("slots", f"last_ts double, {fields}", self.ttl_ms)
+        self.handle = handle
+        self.known = handle.getValueState("slots", ", ".join(["last long", *(f"{s} string" for s in self.slots)]))
+        self.waiting = handle.getListState("turns", f"_at long, {self.types}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
-        saved = self.state.get() if self.state.exists() else None
-        last, known = (float(saved[0]), list(saved[1:])) if saved else (None, [None] * len(self.slots))
-        seconds = batch[self.ts].astype("datetime64[us]").astype("int64") / 1e6
-        carried = []
-        for at, values in zip(seconds, batch[self.slots].itertuples(index=False)):
+        for frame in rows:
+            at = frame[self.ts].astype("datetime64[us]").astype("int64").tolist()
+            values = frame[[*self.kept, *self.slots]].astype(object).where(frame[[*self.kept, *self.slots]].notna(), None)
+            self.waiting.appendList([(t, *v) for t, v in zip(at, values.itertuples(index=False, name=None))])
+            self.handle.registerTimer(min(at) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        turns = [tuple(t) for t in self.waiting.get()] if self.waiting.exists() else []
+        ready, left = [t for t in turns if t[0] <= passed], [t for t in turns if t[0] > passed]
+        if not ready:
+            return
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(min(t[0] for t in left) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        saved = self.known.get() if self.known.exists() else None
+        last, known = (int(saved[0]), list(saved[1:])) if saved else (None, [None] * len(self.slots))
+        n, out = len(self.kept), []
+        for at, *values in sorted(ready, key=lambda t: (t[0], *(str(x) for x in t[1:]))):
             if last is not None and at - last > self.idle:
                 known = [None] * len(self.slots)
-            known = [k if v is None or v != v or v == "" else v for v, k in zip(values, known)]
+            known = [k if v is None or v == "" else v for v, k in zip(values[n:], known)]
             last = at
-            carried.append(tuple(known))
-        self.state.update((last, *known))
-        out = batch.drop(columns=self.slots)
-        filled = pd.DataFrame(carried, columns=self.slots, index=out.index)
-        yield pd.concat([out, filled], axis=1)
+            out.append((at, *values[:n], *known))
+        self.known.update((last, *known))
+        frame = pd.DataFrame(out, columns=[self.ts, *self.kept, *self.slots])
+        frame[self.ts] = pd.to_datetime(frame[self.ts], unit="us")
+        yield frame
 
     def close(self) -> None:
         pass
 
 
-def carry_slots_stream(turns: DataFrame, key: str, ts: str, slots: list[str], idle: int = IDLE_SECONDS,
-                       ttl_ms: int | None = None) -> DataFrame:
-    """Stream form of the carry-forward: open slots inherit the latest value of the session, which ends after ``idle`` seconds."""
-    kept = [c for c in turns.columns if c not in slots]
-    fields = [f"{c} {turns.schema[c].dataType.simpleString()}" for c in kept] + [f"{s} string" for s in slots]
-    rows = turns.select(*kept, *[F.col(s).cast("string").alias(s) for s in slots])
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_SlotCarrier(key, ts, slots, idle, ttl_ms), outputStructType=", ".join(fields),
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+def carry_slots_stream(turns: DataFrame, key: str, ts: str, slots: list[str], idle: int = IDLE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Stream form of the carry-forward: open slots inherit the latest value of the session, which ends after ``idle`` seconds.
+
+    A turn comes out once the watermark, ``delay`` behind the latest event, has passed it, so turns may arrive in any order within the delay and over
+    several micro-batches. Later ones are dropped; turns of the last ``delay`` wait for further events.
+    """
+    kept = [c for c in turns.columns if c not in (ts, *slots)]
+    types = [f"{c} {turns.schema[c].dataType.simpleString()}" for c in kept] + [f"{s} string" for s in slots]
+    rows = turns.select(F.col(ts).cast("timestamp").alias(ts), *kept, *[F.col(s).cast("string").alias(s) for s in slots]).withWatermark(ts, delay)
+    out = rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_SlotCarrier(kept, ts, slots, ", ".join(types), idle), outputStructType=", ".join([f"{ts} timestamp", *types]),
+        outputMode="Append", timeMode="EventTime")
+    return out.select(*turns.columns)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
