@@ -123,7 +123,7 @@ def slot_turns(spark, sf_dir):
 
 @query("carry_slots", "WN14", f"WITH s AS ({SLOTS}) SELECT session_id, turn, last_value(company IGNORE NULLS) OVER w company, last_value(indicator IGNORE NULLS) OVER w indicator, last_value(year IGNORE NULLS) OVER w AS year FROM s WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def carry_slots(spark, sf_dir):
-    return questions.carry_slots(slot_turns(spark, sf_dir), ["session_id"], "turn", ["company", "indicator", "year"], block=1000)
+    return questions.carry_slots(slot_turns(spark, sf_dir), ["session_id"], "turn", ["company", "indicator", "year"])
 
 
 @query("recent_turns", "WN15", "SELECT conv_id, turn, role, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) rn FROM conversations) WHERE rn<=3")
@@ -178,7 +178,7 @@ def training_pairs(spark, sf_dir):
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.lit("Q"), e.cast("string")).alias("q"), (F.col("event_type") == "click").alias("multi"),
                                                  F.when(e % 3 == 0, F.concat(F.lit("C"), (e % 9).cast("string"))).alias("company"), F.when(e % 4 == 0, (F.lit(2018) + e % 7).cast("string")).alias("year"))
-    return questions.training_pairs(rows, "event_id", "q", "multi", ["company", "year"], ["company", "year"], by=["user_id"], block=500).select("event_id", "input", "output")
+    return questions.training_pairs(rows, "event_id", "q", "multi", ["company", "year"], ["company", "year"], by=["user_id"]).select("event_id", "input", "output")
 
 
 @query("hash_split", "FN44", "SELECT part, COUNT(*) n, CAST(SUM(doc_id) AS BIGINT) s FROM (SELECT doc_id, CASE WHEN CAST(('0x'||substr(md5(CAST(doc_id AS VARCHAR)),1,8)) AS BIGINT)%100<80 THEN 'train' ELSE 'test' END part FROM documents) GROUP BY 1")
@@ -204,7 +204,7 @@ def SPANS(shift):
 
 @query("bio_spans", "WN18", f"SELECT conv_id, turn, s AS start, e AS \"end\", entity, text FROM {SPANS(0)}")
 def bio_spans(spark, sf_dir):
-    return questions.bio_spans(tagged(spark, sf_dir, 0), ["conv_id", "turn"], "pos", "token", "label", block=64).select("conv_id", "turn", "start", "end", "entity", "text")
+    return questions.bio_spans(tagged(spark, sf_dir, 0), ["conv_id", "turn"], "pos", "token", "label").select("conv_id", "turn", "start", "end", "entity", "text")
 
 
 @query("entity_scores", "AG22", f"WITH g AS {SPANS(0)}, p AS {SPANS(1)}, j AS (SELECT entity, COUNT(*) FILTER (gg AND pp) tp, COUNT(*) FILTER (pp) np, COUNT(*) FILTER (gg) support FROM (SELECT COALESCE(g.entity,p.entity) entity, g.s IS NOT NULL gg, p.s IS NOT NULL pp FROM g FULL JOIN p ON g.conv_id=p.conv_id AND g.turn=p.turn AND g.s=p.s AND g.e=p.e AND g.entity=p.entity) GROUP BY 1), "
@@ -290,4 +290,4 @@ def dictionary_problems(spark, sf_dir):
 @query("running_positions", "WN18", "SELECT user_id, event_id, CAST(SUM(CASE WHEN event_type='error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) errors FROM events")
 def running_positions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return blocked.running_sum(e, ["user_id"], "event_id", (F.col("event_type") == "error").cast("int"), "errors", block=2000).drop("event_type")
+    return blocked.running_sum(e, ["user_id"], "event_id", (F.col("event_type") == "error").cast("int"), "errors").drop("event_type")

@@ -1,8 +1,8 @@
-"""Running values along long sequences, in blocks.
+"""Running values along long sequences, in two passes over range partitions.
 
-A sequence (one conversation, one document, one table) may hold a large share of all rows. Its positions
-are cut into blocks: every block is one window group, block results are carried over by a window on one
-row per block, so no task sees a whole hot sequence.
+A sequence (one conversation, one document, one table) may hold a large share of all rows, at positions of any distance. Rows are range-partitioned on
+(sequence, position), so a hot sequence fills several partitions and small ones share one. The first pass reduces every partition to one row, what its last
+sequence leaves behind; these rows are folded in order; the second pass starts each partition's first sequence with what was carried to it.
 """
 
 from __future__ import annotations
@@ -11,33 +11,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK = 65536
+from quillstat.session import durable
 
 
-def _blocks(df: DataFrame, position: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(position) / block))
+def _ranged(df: DataFrame, by: list[str], position: str, partitions: int | None) -> DataFrame:
+    """Rows with ``_part``, the number of their range partition; stored, because the bounds are sampled."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(n, *by, position).withColumn("_part", F.spark_partition_id()))
 
 
-def carry_forward(df: DataFrame, by: list[str], position: str, columns: list[str], block: int = BLOCK,
+def _carried(ends: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(_part, _group, values…): what a partition's sequence ``_group`` takes over from the partitions before. ``ends`` has one row per partition, with its last
+    sequence as ``_group``; a value folds the ends of one sequence in order (``values`` are expressions over the window of these rows)."""
+    folded = ends.withColumns(values).withColumn("_next", F.lead("_part").over(W.partitionBy(F.lit(0)).orderBy("_part")))
+    return folded.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_part"), "_group", *values)
+
+
+def _entering(rows: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the values carried to their sequence; ``carried`` has one row per partition."""
+    c = carried.withColumnRenamed("_part", "_to")
+    same = (F.col("_part") == F.col("_to")) & F.struct(*by).eqNullSafe(F.col("_group"))
+    return rows.join(F.broadcast(c), same, "left").drop("_to", "_group")
+
+
+_ENDS = W.partitionBy("_group").orderBy("_part")
+
+
+def carry_forward(df: DataFrame, by: list[str], position: str, columns: list[str], partitions: int | None = None,
                   suffix: str = "", before: bool = False) -> DataFrame:
     """Fill nulls of each column with the last value at or before the position (with ``before``: strictly before)."""
-    rows = _blocks(df, position, block)
-    per_block = rows.groupBy(*by, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_l_{c}") for c in columns])
-    prior = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_block.select(*by, "_block", *[F.last(f"_l_{c}", ignorenulls=True).over(prior).alias(f"_c_{c}") for c in columns])
-    inside = W.partitionBy(*by, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    out = rows.join(carried, [*by, "_block"])
+    rows = _ranged(df, by, position, partitions)
+    sequence = F.struct(*[F.col(b) for b in by])
+    known = {c: F.struct(*[F.col(b).alias(f"b{i}") for i, b in enumerate(by)], F.col(position).alias("at"), F.col(c).alias("value")) for c in columns}
+    ends = rows.groupBy("_part").agg(F.max(sequence).alias("_group"), *[F.max(F.when(F.col(c).isNotNull(), known[c])).alias(f"_k_{c}") for c in columns])
+    own = {c: F.when(F.struct(*[F.col(f"_k_{c}.b{i}") for i in range(len(by))]).eqNullSafe(F.col("_group")), F.col(f"_k_{c}.value")) for c in columns}
+    ends = ends.select("_part", "_group", *[own[c].alias(f"_l_{c}") for c in columns])
+    carried = _carried(ends, {f"_c_{c}": F.last(f"_l_{c}", ignorenulls=True).over(_ENDS) for c in columns})
+    inside = W.partitionBy("_part", *by).orderBy(position).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    out = _entering(rows, carried, by)
     filled = {c + suffix: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in columns}
-    return out.withColumns(filled).drop("_block", *[f"_c_{c}" for c in columns])
+    return out.withColumns(filled).drop("_part", *[f"_c_{c}" for c in columns])
 
 
-def running_sum(df: DataFrame, by: list[str], position: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], position: str, value: Column, name: str, partitions: int | None = None) -> DataFrame:
     """Inclusive running sum along the positions of each group."""
-    rows = _blocks(df, position, block).withColumn("_v", value)
-    sums = rows.groupBy(*by, "_block").agg(F.sum("_v").alias("_s"))
-    prior = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*by, "_block", F.coalesce(F.sum("_s").over(prior), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*by, "_block").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(offsets, [*by, "_block"])
-    return out.withColumn(name, F.col("_off") + F.sum("_v").over(inside)).drop("_block", "_v", "_off")
+    rows = _ranged(df.withColumn("_v", value), by, position, partitions)
+    sums = rows.groupBy("_part", *by).agg(F.sum("_v").alias("_s"))
+    ends = sums.groupBy("_part").agg(F.max(F.struct(F.struct(*by).alias("g"), F.col("_s").alias("s"))).alias("_e")).select("_part", F.col("_e.g").alias("_group"), F.col("_e.s").alias("_s"))
+    carried = _carried(ends, {"_off": F.sum("_s").over(_ENDS)})
+    inside = W.partitionBy("_part", *by).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    total = F.coalesce(F.col("_off"), F.lit(0)) + F.sum("_v").over(inside)
+    return _entering(rows, carried, by).withColumn(name, total).drop("_part", "_v", "_off")

@@ -74,9 +74,9 @@ def field_of(df: DataFrame, label: str, dictionary: DataFrame, name: str = "fiel
 
 # sessions
 
-def carry_slots(turns: DataFrame, session: list[str], turn: str, slots: list[str], block: int = 65536) -> DataFrame:
+def carry_slots(turns: DataFrame, session: list[str], turn: str, slots: list[str], partitions: int | None = None) -> DataFrame:
     """Every unspecified slot inherits the most recent value of its session; new values override."""
-    return carry_forward(turns, session, turn, slots, block)
+    return carry_forward(turns, session, turn, slots, partitions)
 
 
 def recent_turns(turns: DataFrame, session: list[str], turn: str, answer: str, n: int, limit: int | None = None) -> DataFrame:
@@ -151,12 +151,12 @@ def model_fields(raw: Column) -> Column:
 # training pairs
 
 def training_pairs(df: DataFrame, position: str, question: str, multi: str, context: list[str], fields: list[str], by: list[str] | None = None,
-                   block: int = 65536) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """Adds input and output: prompt with the running context of earlier single-turn rows, JSON of the filled fields."""
     keys = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     fresh = rows.withColumns({f"_x_{c}": F.when(~F.col(multi), F.nullif(F.col(c).cast("string"), F.lit(""))) for c in context})
-    carried = carry_forward(fresh, keys, position, [f"_x_{c}" for c in context], block, suffix="_before", before=True)
+    carried = carry_forward(fresh, keys, position, [f"_x_{c}" for c in context], partitions, suffix="_before", before=True)
     ctx = F.to_json(F.struct(*[F.col(f"_x_{c}_before").alias(c) for c in context]))
     known = F.coalesce(*[F.col(f"_x_{c}_before") for c in context]).isNotNull()
     prefix = F.when(F.col(multi) & known, F.concat(F.lit("上文："), ctx, F.lit("\n"))).otherwise("")
@@ -173,7 +173,7 @@ def hash_split(df: DataFrame, key: str, train_share: float = 0.8) -> DataFrame:
 
 # spans and metrics
 
-def bio_spans(tokens: DataFrame, sentence: list[str], position: str, token: str, label: str, block: int = 65536) -> DataFrame:
+def bio_spans(tokens: DataFrame, sentence: list[str], position: str, token: str, label: str, partitions: int | None = None) -> DataFrame:
     """(sentence…, start, end, entity, text): B-x opens, matching I-x extends, anything else closes."""
     kind = F.regexp_extract(label, r"^[BI]-(.+)$", 1)
     rows = tokens.withColumn("_kind", kind).withColumn("_b", F.col(label).startswith("B-"))
@@ -181,13 +181,13 @@ def bio_spans(tokens: DataFrame, sentence: list[str], position: str, token: str,
     previous = tokens.select(*sentence, (F.col(position) + 1).alias(position), F.regexp_extract(label, r"^[BI]-(.+)$", 1).alias("_pk"))
     rows = rows.join(previous, [*sentence, position], "left").withColumn(
         "_joined", ~F.col("_b") & (F.col("_kind") != "") & (F.col("_kind") == F.coalesce("_pk", F.lit(""))))
-    numbered = running_sum(rows, sentence, position, (~F.col("_joined")).cast("int"), "_run", block)
+    numbered = running_sum(rows, sentence, position, (~F.col("_joined")).cast("int"), "_run", partitions)
     # a run that does not open with B- is no span
-    spans = numbered.filter(F.col("_kind") != "").groupBy(*sentence, "_run").agg(
-        F.min(position).alias("start"), F.max(position).alias("end"), F.min_by("_kind", position).alias("entity"),
-        F.min_by("_b", position).alias("_open"), F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(token).alias("t")))).alias("_t"))
-    text = F.array_join(F.transform("_t", lambda x: x.getField("t")), "")
-    return spans.filter("_open").select(*sentence, "start", "end", "entity", text.alias("text"))
+    ordered = numbered.filter(F.col("_kind") != "").withColumns({"_at": F.col(position), "_token": F.col(token)})
+    spans = ordered.groupBy(*sentence, "_run").agg(
+        F.min("_at").alias("start"), F.max("_at").alias("end"), F.min_by("_kind", "_at").alias("entity"),
+        F.min_by("_b", "_at").alias("_open"), F.expr("listagg(_token, '') WITHIN GROUP (ORDER BY _at)").alias("_t"))
+    return spans.filter("_open").select(*sentence, "start", "end", "entity", F.coalesce("_t", F.lit("")).alias("text"))
 
 
 def entity_prf(gold: DataFrame, predicted: DataFrame, sentence: list[str]) -> DataFrame:

@@ -1,12 +1,18 @@
 """Operators against brute force on small and skewed fixtures."""
 
+import collections
+import datetime
+import math
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstat.operators import blocked, chunking, mapping, matching, pages, questions, retrieval, stats, windows
+from quillstat.session import work_path
+from quillstat.streaming import sessions
 
 random.seed(7)
 
@@ -156,12 +162,15 @@ def test_rrf_ignores_list_order_and_zero_base(spark):
     assert zero == pytest.approx(1 / 60)
 
 
-def test_vector_slices_give_the_same_ranks(spark):
+def test_vector_slices_give_the_same_ranks(spark, monkeypatch):
     rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     v = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
     q = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:30])], "query_id int, query_vector array<float>")
     one = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.vector_top_k(v, q, 4).collect())
-    many = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.vector_top_k(v, q, 4, max_queries=7).collect())
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "QUERY_SLICE", 2)
+    many = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in retrieval.vector_top_k(v, q, 4).collect())
     assert one == many and len(one) == 120 and all((i, i, 1) in one for i in range(30))
     none = retrieval.vector_top_k(v, q, 4, prefilter=v.filter("vec_id < 0"))
     assert none.count() == 0
@@ -208,14 +217,153 @@ def test_duplicates_with_a_hot_key(spark):
 
 def test_contains_join_common_prefix(spark):
     """Names with one prefix meet few texts each: candidates grow with the input, not with its square."""
-    import random
-
-    from quillstat.operators import matching
-
     r = random.Random(1)
     names = ["股份有限" + "".join(chr(0x4E00 + r.randrange(400)) for _ in range(4)) for _ in range(1000)]
     texts = spark.createDataFrame([(i, f"关于{n}的公告") for i, n in enumerate(names)], "id long, text string")
     terms = spark.createDataFrame([(n,) for n in names], "name string")
-    left = texts.select("id", F.explode(matching.grams(F.col("text"), 3)).alias("_gram"))
+    left = matching._gram_rows(texts, "id", "text", (3,))
     assert left.join(matching.rarest_gram(terms, "name"), "_gram").count() < 3 * len(names)
-    assert matching.contains_join(texts, "text", terms, "name").count() == sum(m in f"关于{n}的公告" for n in names for m in set(names))
+    want = sum(m in f"关于{n}的公告" for n in names for m in set(names))
+    assert matching.contains_join(texts, "text", terms, "name").count() == want and matching._gram_join(texts, "text", terms, "name").count() == want
+
+
+def containment_case():
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("ab药é😀 ") for _ in range(n))
+    texts = [(i, word(r.randint(0, 40))) for i in range(120)] + [(200, None), (201, ""), (202, "a"), (202, "a"), (203, "ab" * 3000)]
+    terms = [word(r.randint(1, 5)) for _ in range(60)] + ["", None, "ab", "ab", "a", "ababab", "药", "never in a text"]
+    return texts, terms
+
+
+@pytest.mark.parametrize("small", ["terms", "texts"])
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_contains_join_against_brute_force(spark, monkeypatch, small, bound):
+    """By automaton in either role, and by grams where the dictionary exceeds its bound."""
+    monkeypatch.setattr(matching, "MAX_TERMS", bound)
+    texts, terms = containment_case()
+    t = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    d = spark.createDataFrame([(x,) for x in terms], "term string")
+    for single in (True, False):
+        want = collections.Counter((i, x, y) for i, x in texts for y in terms if x is not None and y and len(y) >= (1 if single else 2) and y in x)
+        assert collections.Counter(tuple(r) for r in matching.contains_join(t, "text", d, "term", single, small).select("id", "text", "term").collect()) == want
+    assert matching.contains_join(t.limit(0), "text", d, "term", small=small).count() == matching.contains_join(t, "text", d.limit(0), "term", small=small).count() == 0
+
+
+def test_containment_takes_linear_time(spark):
+    """A text of a million characters, by automaton and by grams."""
+    text = "".join(chr(0x4E00 + i * 7919 % 3000) for i in range(1_000_000))
+    terms = [text[k * 9973 : k * 9973 + 5] for k in range(50)] + [f"无{k}" for k in range(50)]
+    t, d = spark.createDataFrame([(1, text)], "id long, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    for join in (matching.contains_join, matching._gram_join):
+        start = time.time()
+        assert join(t, "text", d, "term").select("term").distinct().count() == len(set(terms[:50]))
+        assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("threshold", [50.0, 70.0, 85.0, 100.0])
+def test_similar_join_against_brute_force(spark, threshold):
+    r = random.Random(3)
+    base = ["".join(r.choice("甲乙丙ab") for _ in range(r.randint(1, 16))) for _ in range(70)]
+
+    def changed(x):
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(x) + 1)
+            x = r.choice([x[:k] + r.choice("甲乙丙ab") + x[k:], x[:k] + x[k + 1 :], x[:k] + "丁" + x[k + 1 :]])
+        return x
+
+    left, right = sorted(set(base)), sorted({changed(x) for x in base} | {""})
+    want = {(x, y) for x in left for y in right if max(len(x), len(y)) and (1 - levenshtein(x, y) / max(len(x), len(y))) * 100 >= threshold - 1e-9}
+    got = matching.similar_join(spark.createDataFrame([(x,) for x in left], "a string"), "a", spark.createDataFrame([(y,) for y in right], "b string"), "b", threshold).collect()
+    assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
+
+
+def test_bm25_skips_blocks(spark):
+    """Blocks that can't hold one of the best documents aren't scored, and the best are those of a plain sum over all documents."""
+    r = random.Random(2)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    docs = [(i, " ".join(r.choices(common, k=r.randint(5, 60)) + r.choices(rare, k=3))) for i in range(3000)]
+    asked = [(q, " ".join(r.sample(rare, 2) + r.sample(common, 2))) for q in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    got = {(x.query_id, x.rank): (x.doc_id, round(x.score, 9)) for x in retrieval.bm25_top_k(d, q, 5).collect()}
+    bags = [(i, collections.Counter(t.split()), len(t.split())) for i, t in docs]
+    df = collections.Counter(w for _, bag, _ in bags for w in bag)
+    mean = sum(n for *_, n in bags) / len(bags)
+    for name, text in asked:
+        idf = {w: math.log((len(bags) - df[w] + 0.5) / (df[w] + 0.5) + 1) for w in text.split()}
+        scores = [(-round(sum(idf[w] * bag[w] * 2.5 / (bag[w] + 1.5 * (0.25 + 0.75 * n / mean)) for w in idf), 9), i) for i, bag, n in bags]
+        assert [got[name, k][0] for k in range(1, 6)] == [i for _, i in sorted(scores)[:5]]
+    rows = retrieval.token_rows(d, "doc_id", "text")
+    terms = retrieval.query_terms(q, "query_id", "query")
+    post = retrieval.postings(rows, "doc_id", terms)
+    _, judged = retrieval.block_bounds(retrieval.weighted_postings(post, retrieval.idf(post, retrieval.corpus_size(rows)), "doc_id"), terms, 5, "doc_id", "query_id")
+    counts = judged.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+    assert 0 < counts.open < 0.5 * counts.n
+
+
+def test_carries_are_one_row_per_partition(spark):
+    """Positions a thousand apart: what is carried is one row per partition, not one per row or session."""
+    rows = [(s, 1000 * t, (s * 31 + t) if (s + t) % 5 == 0 else None) for s in range(50) for t in range(40)] + [(None, 5, 1), (None, 6, None)]
+    df = spark.createDataFrame(rows, "s int, t long, x int").repartition(6)
+    ranged = blocked._ranged(df, ["s"], "t", 7)
+    assert ranged.select("_part").distinct().count() == 7
+    got = {(x.s, x.t): (x.x_at, x.n) for x in blocked.running_sum(blocked.carry_forward(df, ["s"], "t", ["x"], 7, "_at"), ["s"], "t", F.lit(1), "n", 5).collect()}
+    assert len(got) == len(rows)
+    for s in {x[0] for x in rows}:
+        last, n = None, 0
+        for _, t, x in sorted((x for x in rows if x[0] == s), key=lambda x: x[1]):
+            last, n = (last if x is None else x), n + 1
+            assert got[s, t] == (last, n)
+
+
+def arriving(spark, path, rows, schema, files):
+    """Write ``files`` lists of rows as one file each, in order."""
+    for part in files:
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_case():
+    """Turns of a few users with pauses, and arrival orders up to eight minutes off."""
+    r = random.Random(11)
+    start, rows = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc), []
+    for user in range(6):
+        at = 0
+        for k in range(40):
+            at += r.choice([5, 60, 600, 1799, 1800, 1801, 4000])
+            rows.append((user, k, start + datetime.timedelta(seconds=at, microseconds=r.choice([0, 1, 999_999])), r.choice([None, "", f"v{k}"])))
+    order = sorted(range(len(rows)), key=lambda i: rows[i][2] + datetime.timedelta(seconds=r.uniform(0, 480)))
+    return rows, [order[k * 48 : (k + 1) * 48] for k in range(5)]
+
+
+def test_slots_over_several_batches_out_of_order(spark):
+    rows, files = stream_case()
+    schema = "user int, k int, ts timestamp, slot string"
+    sessions.use_rocksdb(spark)
+    rows.append((99, 0, max(x[2] for x in rows) + datetime.timedelta(days=1), None))
+    stream = arriving(spark, work_path(spark, "turns"), rows, schema, [*files, [len(rows) - 1]])
+    path = work_path(spark, "slots")
+    sessions.run_available(sessions.carry_slots_stream(stream, "user", "ts", ["slot"]), path)
+    got = {(x.user, x.k): x.slot for x in spark.read.parquet(f"{path}/data").collect()}
+    want = {}
+    for user in range(6):
+        last, known = None, None
+        for _, k, ts, slot in sorted((x for x in rows if x[0] == user), key=lambda x: x[2]):
+            known = slot or (known if last is not None and ts - last <= datetime.timedelta(minutes=30) else None)
+            want[user, k], last = known, ts
+    assert got == want
+
+
+def test_sessions_merge_over_several_batches(spark):
+    rows, files = stream_case()
+    rows += [(50, k, datetime.datetime(2024, 1, 1, 0, m, tzinfo=datetime.timezone.utc), None) for k, m in enumerate((0, 35, 20))]  # the last, late one joins the other two
+    files[0], files[1], files[2] = [len(rows) - 3, *files[0]], files[1], files[2]
+    files = [files[0] + [len(rows) - 2], [len(rows) - 1], *files[1:]]
+    schema = "user int, k int, ts timestamp, slot string"
+    sessions.use_rocksdb(spark)
+    path = work_path(spark, "sessions")
+    stream = arriving(spark, work_path(spark, "events"), rows, schema, files)
+    sessions.run_session_updates(sessions.session_updates(stream, "user", "ts", delay="2 hours"), path)
+    got = sorted((x.user, x.session_start, x.session_end, x.n_events) for x in sessions.current_sessions(spark, path, "user").collect())
+    batch = sessions.session_activity(spark.createDataFrame(rows, schema), "user", "ts")
+    assert got == sorted((x.user, x.session_start, x.session_end, x.n_events) for x in batch.collect())
+    assert [x[3] for x in got if x[0] == 50] == [3]
