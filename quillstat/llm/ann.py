@@ -10,8 +10,8 @@ from quillstat.llm.shards import sharded, visits
 
 #: Projections; the share of a vector's mean collisions, in standard deviations below it, from which on it is verified; growth of the windows from level to
 #: level; the first level, of the nearest of SAMPLE rows; rows of an index; queries that pass an index in one task.
-PROJECTIONS, BELOW, GROWTH, FIRST, SAMPLE = 256, 0.8, 1.05, 0.5, 256
-SHARD_ROWS, SPAN = 8192, 32768
+PROJECTIONS, BELOW, GROWTH, FIRST, SAMPLE = 128, 0.6, 1.05, 0.65, 256
+SHARD_ROWS, SPAN = 16384, 32768
 FOUND = "query_id long, vec_id long, score double"
 
 

@@ -254,7 +254,7 @@ def test_nearest(spark):
 def test_few_vectors_are_verified():
     """Most of the index stays unverified while at least nine of ten neighbours are found, on spread and on clustered vectors of several sizes."""
     r = np.random.default_rng(7)
-    for n, clusters in ((4096, 0), (16384, 0), (16384, 100)):
+    for n, clusters in ((8192, 0), (16384, 0), (16384, 100)):
         v = r.standard_normal((n, 64)) if not clusters else r.standard_normal((clusters, 64))[r.integers(0, clusters, n)] + 0.4 * r.standard_normal((n, 64))
         index = ann.CollisionIndex(np.arange(n), np.zeros(n), v)
         unit = v / np.linalg.norm(v, axis=1)[:, None]
