@@ -268,7 +268,7 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
         told = pos == -2
         out = [(0, key[told], doc[told], line[told], None)]
         key, doc, b0, b1, line, n, pos = (x[~told] for x in (key, doc, b0, b1, line, n, pos))
-        order = np.lexsort((line, doc, key))
+        order = np.lexsort((line, doc, n, key))
         key, doc, b0, b1, line, n, pos = (x[order] for x in (key, doc, b0, b1, line, n, pos))
         # Repeated rows give equal entries from several tasks: one is enough.
         again = np.zeros(len(key), bool)
@@ -285,12 +285,18 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
         out.append((0, key[again], doc[again], line[again], None))
         small = (pos >= 0) & (size <= SMALL_GROUP)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for d in range(1, int(size[small].max(initial=1))):
-            y = np.flatnonzero(small & (place >= d))
+        y, d = np.flatnonzero(small), 0
+        while len(y):
+            # A group is in order of size: once a line's partner is too short, those before it are as well.
+            d += 1
+            y = y[place[y] >= d]
+            y = y[100 * n[y - d] >= percent * n[y]]
             x = y - d
             ok = _may_match(percent, n[x], pos[x], b0[x], b1[x], n[y], pos[y], b0[y], b1[y]) & ((doc[x] != doc[y]) | (line[x] != line[y]))
             pairs.append((x[ok], y[ok]))
         x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, "int64") for i in (0, 1))
+        late = (doc[x] > doc[y]) | (doc[x] == doc[y]) & (line[x] > line[y])
+        x, y = np.where(late, y, x), np.where(late, x, y)
         name = mix(doc[y].view("uint64") + mix(line[y].astype("uint64") + mix(doc[x].view("uint64") + mix(line[x].astype("uint64")))))
         once = np.unique(name, return_index=True)[1]
         x, y = x[once], y[once]
@@ -328,8 +334,27 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
     return met.repartition(shards, "shard").groupBy("shard").applyInArrow(settle, MATCHES)
 
 
+def size_classes(percent: int, most: int = 1 << 40) -> list[int]:
+    """First size of each class: two sizes that can match are of one class or of neighbouring ones."""
+    starts = [1]
+    while starts[-1] < most:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return starts
+
+
+def _by_size(large: DataFrame, percent: int) -> DataFrame:
+    """Large groups by size class: a group has the lines of one class (``top``) and of the class below it, a line is in two of them. ``key`` is made anew."""
+    starts = ", ".join(f"{x}L" for x in size_classes(percent))
+    sized = large.withColumn("class", F.expr(f"size(filter(array({starts}), x -> x <= n))"))
+    grouped = sized.withColumn("group", F.explode(F.array("class", F.col("class") + 1)))
+    return grouped.withColumn("top", F.col("class") == F.col("group")).withColumn("key", F.xxhash64("key", "group")).drop("class", "group")
+
+
 def _live(percent: int):
     def visit(rows: pd.DataFrame) -> pd.DataFrame | None:
+        if not rows["top"].any():
+            return None
+        top = rows["top"].to_numpy()
         doc, line, n, pos, part = (rows[c].to_numpy() for c in ("doc", "line", "n", "pos", "part"))
         n, pos = n.astype("int64"), pos.astype("int64")
         b0, b1 = rows["b0"].to_numpy().view("uint64"), rows["b1"].to_numpy().view("uint64")
@@ -339,6 +364,8 @@ def _live(percent: int):
             ok = _may_match(percent, n, pos, b0, b1, n[y], pos[y], b0[y], b1[y]) & ((doc < doc[y]) | (doc == doc[y]) & (line < line[y]))
             if across:
                 ok &= part != part[y]
+            if not top[y]:
+                ok &= top  # lines of the lower class meet in their own group
             if ok.any():
                 live |= ok
                 live[y] = probe[y] = True
@@ -386,9 +413,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     pairs = found.where("kind IN (1, 3)").select("kind", "doc", "line", "other_doc", "other_line")
     pairs = written(pairs.join(exact, (F.col("doc") == exact["doc_id"]) & (pairs["line"] == exact["line"]), "left_anti"), "pairs")
 
-    large = found.where("kind = 2").withColumn("id", F.xxhash64("doc", "line"))
-    sizes = large.select("key", "n_rows").distinct()
-    live = _in_cells(cells(large.drop("n_rows"), sizes, "key", "id", GROUP_BLOCK), ["id", "doc", "line", "n", "pos", "b0", "b1"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int, probe boolean")
+    large = _by_size(found.where("kind = 2").drop("n_rows").withColumn("id", F.xxhash64("doc", "line")), percent)
+    sizes = large.groupBy("key").agg(F.count("*").alias("n_rows"), F.bool_or("top").alias("any")).where("n_rows > 1 AND any").drop("any")
+    live = _in_cells(cells(large, sizes, "key", "id", GROUP_BLOCK), ["id", "doc", "line", "n", "pos", "b0", "b1", "top"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int, probe boolean")
     live = written(live, "live")
     wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).unionByName(live.select("doc", "line")).distinct()
     sets = written(line_sets(docs, wanted), "sets")
