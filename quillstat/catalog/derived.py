@@ -10,7 +10,7 @@ from quillstat.operators import filters, quality, risk, stats, topk, windows
 from quillstat.plans import risk_report
 from quillstat.plans.data_process import data_process
 from quillstat.plans.quality_report import quality_report
-from quillstat.plans.views import KEY_COLUMNS, amount_facts, statement, statement_wide, statements, table
+from quillstat.plans.views import KEY_COLUMNS, statement, statement_wide, statements, table
 
 DIMS = "stock_code, stock_abbr, report_year, report_period"
 WIDE = ("income JOIN balance USING (stock_code, stock_abbr, report_year, report_period) JOIN cashflow USING (stock_code, stock_abbr, report_year, report_period)")
@@ -357,11 +357,3 @@ def load_summary_by_period(spark, sf_dir):
     p = F.col("report_period")
     conf = F.when(p == "FY", 91.5).when(p == "Q1", 55.0).otherwise(70.0)
     return quality.load_summary(statement(spark, sf_dir, "income").withColumn("decision", quality.decision(conf)))
-
-
-@query("amount_fact_counts", "SRC2", sql(
-    "SELECT f.field, COUNT(*) n, SUM(v) total FROM (SELECT unnest(['net_profit','asset_total_assets','net_cash_flow']) field, unnest([net_profit, asset_total_assets, net_cash_flow]) v FROM "
-    f"{WIDE}) f GROUP BY 1"))
-def amount_fact_counts(spark, sf_dir):
-    facts = amount_facts(spark, sf_dir).filter(F.col("field").isin("net_profit", "asset_total_assets", "net_cash_flow"))
-    return facts.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -120,20 +122,26 @@ def standard_names(spark):
     return spark.createDataFrame(rows, "standard string, field string, table_name string")
 
 
+# The label as a column of the oracle, and the score of "本期" before a name: overlap of characters or containment, prefix, table, common name.
+NAMED = f"l AS (SELECT f.*, label, length(label) n, {CODE_KIND} k FROM facts f JOIN {values([(f, label) for f, _, _, label in fixed.FIELDS], 'field, label')} USING (field))"
+PREFIXED = ("round(greatest(30.0 * (n + CASE WHEN contains(label,'本') THEN 1 ELSE 0 END + CASE WHEN contains(label,'期') THEN 1 ELSE 0 END) / (n+2), 25) + 30 + CASE WHEN "
+            + " OR ".join(f"contains(label,'{w}')" for w in fixed.COMMON_NAMES) + " THEN 20 ELSE 10 END, 1)")
+
+
 @query("map_labels_exact", "JN13 FN18 FN19 FLT14", sql(
-    f"SELECT stock_code, report_year, report_period, field, CASE WHEN {CODE_KIND}=4 THEN NULL ELSE field END mapped, CASE {CODE_KIND} WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 3 THEN 100.0 END confidence FROM facts WHERE {CODE_KIND}<>2", FACTS))
+    # "本期营业成本" scores the same against 营业成本 and 营业总成本, and the longer name wins the tie
+    f"SELECT stock_code, report_year, report_period, field, CASE WHEN k=4 THEN NULL WHEN k=2 AND field='operating_expense_cost_of_sales' THEN 'total_operating_expenses' ELSE field END mapped, CASE k WHEN 4 THEN NULL WHEN 2 THEN {PREFIXED} ELSE 100.0 END confidence FROM l", FACTS + ", " + NAMED))
 def map_labels_exact(spark, sf_dir):
-    facts = amount_facts(spark, sf_dir).filter(F.col("stock_code").cast("int") % 5 != 2)
+    facts = amount_facts(spark, sf_dir)
     labels = facts.select("stock_code", "report_year", "report_period", F.col("field").alias("_truth"), "table_name", label_variants().alias("label"))
     out = mapping.map_fields(labels, standard_names(spark), "label", "table_name")
     return out.select("stock_code", "report_year", "report_period", F.col("_truth").alias("field"), F.col("field").alias("mapped"), "confidence")
 
 
 @query("map_labels_scored", "JN13 FN19", sql(
-    # "本期营业成本" scores 65 against both 营业成本 and 营业总成本, and the longer name wins the tie
-    "SELECT field, CASE field WHEN 'operating_expense_cost_of_sales' THEN 'total_operating_expenses' ELSE field END mapped, COUNT(*) n FROM facts WHERE CAST(stock_code AS INTEGER)%5=2 GROUP BY 1", FACTS))
+    "SELECT field, CASE WHEN k=4 THEN NULL WHEN k=2 AND field='operating_expense_cost_of_sales' THEN 'total_operating_expenses' ELSE field END mapped, COUNT(*) n FROM l GROUP BY 1,2", FACTS + ", " + NAMED))
 def map_labels_scored(spark, sf_dir):
-    facts = amount_facts(spark, sf_dir).filter(F.col("stock_code").cast("int") % 5 == 2)
+    facts = amount_facts(spark, sf_dir)
     out = mapping.map_fields(facts.select(F.col("field").alias("_truth"), "table_name", label_variants().alias("label")), standard_names(spark), "label", "table_name")
     return out.groupBy(F.col("_truth").alias("field"), F.col("field").alias("mapped")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -245,13 +253,12 @@ def merge_split_rows(spark, sf_dir):
 
 
 @query("header_rows", "FN32 FN17", sql(
-    f"SELECT {DIMS}, table_name, c AS col, CASE c WHEN 0 THEN '项目' WHEN 2 THEN '本期金额' WHEN 3 THEN '上期金额' END AS text, CASE c WHEN 0 THEN 'label' WHEN 2 THEN 'target' ELSE 'prev' END AS role, CASE c WHEN 2 THEN report_year WHEN 3 THEN report_year-1 END AS year FROM (SELECT DISTINCT {DIMS}, table_name FROM facts), (SELECT unnest([0,2,3]) c)", FACTS))
+    f"SELECT {DIMS}, table_name, c AS col, ['项目','附注','本期金额','上期金额','备注'][c+1] AS text, CASE c WHEN 0 THEN 'label' WHEN 2 THEN 'target' WHEN 3 THEN 'prev' ELSE 'other' END AS role, CASE c WHEN 2 THEN report_year WHEN 3 THEN report_year-1 END AS year FROM (SELECT DISTINCT {DIMS}, table_name FROM facts), (SELECT unnest([0,1,2,3,4]) c)", FACTS))
 def header_rows(spark, sf_dir):
-    cells = dense(derived_cells(spark, sf_dir)).filter(F.col("col").isin(0, 2, 3))
-    heads, _ = pages.split_header(cells, TABLE)
+    heads, _ = pages.split_header(dense(derived_cells(spark, sf_dir)), TABLE)
     keyed = heads.withColumn("_y", F.col("report_year")).withColumn("_p", F.col("report_period"))
-    roles = pages.analyze_columns(keyed.withColumn("col", F.when(F.col("col") == 2, 1).otherwise(F.col("col"))), TABLE, "report_year", "report_period")
-    return roles.select(*KEY_COLUMNS, "table_name", F.when(F.col("col") == 1, 2).otherwise(F.col("col")).cast("int").alias("col"), "text", "role", "year")
+    roles = pages.analyze_columns(keyed, TABLE, "report_year", "report_period")
+    return roles.select(*KEY_COLUMNS, "table_name", F.col("col").cast("int").alias("col"), "text", "role", "year")
 
 
 @query("two_row_header", "FN32",
@@ -420,14 +427,46 @@ def title_contexts(spark, sf_dir):
     return out.select("doc", "page", F.size("titles").cast("long").alias("n_titles"), shown.alias("titles"))
 
 
-@query("page_scores", "AG17", sql(
-    "SELECT doc, page, table_name, CAST(header AS INTEGER) header, CAST(nlines AS INTEGER) AS lines, CAST(floor(least(floor(w/5),25)*nlines/10) AS INTEGER) words, CAST(floor(least(big*3,25)*nlines/10) AS INTEGER) numbers FROM (SELECT doc, page, 'income_sheet' table_name, (CASE WHEN text LIKE '%利润表%' THEN 15 ELSE 0 END)+(CASE WHEN text LIKE '%二、%' THEN 15 ELSE 0 END) header, "
-    "len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x))>10 AND regexp_matches(x, '\\d'))) nlines, "
-    "30*least(len(string_split(text,'营业总收入'))-1,3)+28*least(len(string_split(text,'营业收入'))-1,3)+15*least(len(string_split(text,'营业成本'))-1,3)+25*least(len(string_split(text,'净利润'))-1,3) w, "
-    "len(list_filter(regexp_extract_all(text, '[+-]?\\d[\\d,]*\\.?\\d*(?:万|亿|元)?'), lambda n: length(regexp_replace(n,'[,.]','','g'))>=5 OR n LIKE '%万%' OR n LIKE '%亿%')) big FROM pt)", PAGE_TEXTS))
+def _any(column, words):
+    return "(" + " OR ".join(f"contains({column},'{w}')" for w in words) + ")"
+
+
+def _per_type(column):
+    """CASE over the statement types; ``column`` gives the expression of a profile."""
+    return "CASE table_name " + " ".join(f"WHEN '{t}' THEN {column(profile)}" for t, profile in fixed.PROFILES.items()) + " END"
+
+
+TYPES = "ty AS (SELECT unnest([" + ",".join(f"'{t}'" for t in fixed.PROFILES) + "]) table_name)"
+_POINTS = "greatest(15-5*(p.page-t.page),5)"
+# Points of a page for each type of statement, by the profiles; a page's titles are the first title-like lines of the three pages above it.
+SCORES = f"""{TYPES}, tl AS (SELECT doc, page, rtrim(split_part(text, chr(10), 1)) line FROM px WHERE page > 0),
+tp AS (SELECT p.doc, p.page, table_name, least(sum({_per_type(lambda x: f"CASE WHEN {_any('t.line', x['section'])} THEN {_POINTS} WHEN {_any('t.line', fixed.TITLE_WORDS)} THEN floor({_POINTS}/2) ELSE 0 END")}), 15) title
+ FROM px p JOIN tl t ON p.doc=t.doc AND t.page BETWEEN p.page-3 AND p.page-1, ty GROUP BY 1,2,3),
+raw AS (SELECT doc, page, table_name, least({_per_type(lambda x: "+".join(f"CASE WHEN contains(text,'{w}') THEN 15 ELSE 0 END" for w in x['section']))}, 30) AS header,
+ {_per_type(lambda x: "+".join(f"{n}*least(len(string_split(text,'{w}'))-1,3)" for w, n in x['weights']))} w,
+ len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x))>10 AND regexp_matches(x, '\\d'))) nlines,
+ len(list_filter(regexp_extract_all(text, '[+-]?\\d[\\d,]*\\.?\\d*(?:万|亿|元)?'), lambda n: length(regexp_replace(n,'[,.]','','g'))>=5 OR n LIKE '%万%' OR n LIKE '%亿%')) big FROM px, ty),
+sc AS (SELECT *, header+title+lines+words+numbers score FROM (SELECT doc, page, table_name, CAST(header AS INTEGER) header, CAST(coalesce(title,0) AS INTEGER) title, CAST(least(nlines,20) AS INTEGER) AS lines,
+ CAST(floor(least(floor(w/5),25)*least(nlines,10)/10) AS INTEGER) words, CAST(floor(least(big*3,25)*least(nlines,10)/10) AS INTEGER) numbers FROM raw LEFT JOIN tp USING (doc, page, table_name)))"""
+
+
+@query("page_scores", "AG17", sql("SELECT doc, page, table_name, header, title, lines, words, numbers, score FROM sc", PAGE_TEXTS + ", px AS (SELECT * FROM pt), " + SCORES))
 def page_scores(spark, sf_dir):
-    out = pages.page_scores(page_texts(spark, sf_dir), ["doc", "page"]).filter("table_name = 'income_sheet'")
-    return out.select("doc", "page", "table_name", "header", "lines", "words", "numbers")
+    p = page_texts(spark, sf_dir)
+    out = pages.page_scores(p.join(pages.title_context(p, "doc", "page"), ["doc", "page"]), ["doc", "page"], titles="titles")
+    return out.select("doc", "page", "table_name", "header", "title", "lines", "words", "numbers", "score")
+
+
+# Pages with enough rows for the statements to pass the content check; every third company has cash-flow lines under the income statement.
+FILLER = "".join(f"\n期末余额 明细项目 {i} 1234567.00" for i in range(12))
+CASH_LINES = "".join(f"\n{w} {w} {w} 1234567.00" for w, _ in fixed.PROFILES["cash_flow_sheet"]["weights"][:4])
+FULL_PAGES = ("px AS (SELECT doc, page, text || CASE WHEN page IN (1,3) THEN '" + FILLER + "' ELSE '' END || CASE WHEN page=1 AND CAST(stock_code AS INTEGER)%3=0 THEN '" + CASH_LINES + "' ELSE '' END AS text FROM pt)").replace("\n", "'||chr(10)||'")
+
+
+def full_pages(spark, sf_dir):
+    p = page_texts(spark, sf_dir)
+    cash = (F.col("page") == 1) & (F.substring("doc", 1, 6).cast("int") % 3 == 0)
+    return p.withColumn("text", F.concat("text", F.when(F.col("page").isin(1, 3), F.lit(FILLER)).otherwise(""), F.when(cash, F.lit(CASH_LINES)).otherwise("")))
 
 
 @query("page_kinds", "FN29", sql("SELECT doc, page, CASE WHEN page=0 THEN 'summary' ELSE 'statement' END kind FROM pt", PAGE_TEXTS))
@@ -439,10 +478,9 @@ def page_kinds(spark, sf_dir):
 @query("statement_page_spans", "WN25", sql(
     "SELECT doc, table_name, page FROM (SELECT doc, 'income_sheet' table_name, unnest([1,2]) page FROM (SELECT DISTINCT doc FROM pt) UNION ALL SELECT doc, 'balance_sheet', 3 FROM (SELECT DISTINCT doc FROM pt))", PAGE_TEXTS))
 def statement_page_spans(spark, sf_dir):
-    p = page_texts(spark, sf_dir)
+    p = full_pages(spark, sf_dir)
     starts = pages.tabular_section_pages(pages.tag_lines(p, ["doc", "page"]), "doc", "page")
-    spans = pages.statement_page_span(starts, pages.page_scores(p, ["doc", "page"]), "doc", "page", minimum=15)
-    return spans.select("doc", "table_name", "page")
+    return pages.statement_page_span(starts, pages.page_scores(p, ["doc", "page"]), "doc", "page").select("doc", "table_name", "page")
 
 
 @query("paragraph_facts", "FN31", sql("SELECT doc, page, 'income_sheet' table_name, 'net_profit' field, CAST(split_part(split_part(text, chr(10), 1), '：', 2) AS DOUBLE) AS value FROM pt WHERE page=2", PAGE_TEXTS))
@@ -450,13 +488,16 @@ def paragraph_facts(spark, sf_dir):
     return pages.facts_from_paragraphs(page_texts(spark, sf_dir), ["doc", "page"])
 
 
-@query("pick_tables", "AG18",
-       "SELECT page, table_no, content_score, matrix_score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY page ORDER BY content_score DESC, n_rows DESC, table_no) rn FROM (SELECT l_orderkey page, l_linenumber*1000000+l_partkey table_no, CAST(l_quantity AS INTEGER) n_rows, CASE l_partkey%3 WHEN 0 THEN 16 WHEN 1 THEN 8 ELSE 0 END content_score, CASE l_partkey%3 WHEN 0 THEN 45 WHEN 1 THEN 15 ELSE 0 END matrix_score FROM lineitem WHERE CAST(l_quantity AS INTEGER)>=2)) WHERE rn=1")
+@query("pick_tables", "AG18", f"""WITH {TYPES}, t AS (SELECT l_orderkey page, l_linenumber*1000000+l_partkey table_no, CAST(l_quantity AS INTEGER) n_rows,
+ CASE l_partkey%4 WHEN 0 THEN '营业总收入 利润总额' WHEN 1 THEN '营业成本 1' WHEN 2 THEN '其他' ELSE '资产总计 {fixed.PROFILES["cash_flow_sheet"]["weights"][0][0]}' END AS text FROM lineitem),
+sc AS (SELECT page, table_no, n_rows, table_name, least({_per_type(lambda x: "+".join(f"CASE WHEN contains(text,'{w}') THEN 8 ELSE 0 END" for w, _ in x['weights']))}, 60) content_score,
+ {_per_type(lambda x: "+".join(f"CASE WHEN contains(text,'{w}') THEN {n} ELSE 0 END" for w, n in x['weights']))} matrix_score FROM t, ty WHERE n_rows>=2)
+SELECT page, table_name, table_no, content_score, matrix_score FROM sc QUALIFY ROW_NUMBER() OVER (PARTITION BY page, table_name ORDER BY content_score DESC, n_rows DESC, table_no) = 1""")
 def pick_tables(spark, sf_dir):
-    k = F.col("l_partkey") % 3
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("table_no"), F.col("l_quantity").cast("int").alias("n_rows"),
-                                                F.when(k == 0, "营业总收入 利润总额").when(k == 1, "营业成本 1").otherwise("其他").alias("text"))
-    return pages.pick_table(t, ["page"], types=["income_sheet"]).select("page", "table_no", F.col("content_score").cast("int").alias("content_score"), F.col("matrix_score").cast("int").alias("matrix_score"))
+    k = F.col("l_partkey") % 4
+    text = F.when(k == 0, "营业总收入 利润总额").when(k == 1, "营业成本 1").when(k == 2, "其他").otherwise("资产总计 " + fixed.PROFILES["cash_flow_sheet"]["weights"][0][0])
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("table_no"), F.col("l_quantity").cast("int").alias("n_rows"), text.alias("text"))
+    return pages.pick_table(t, ["page"]).select("page", "table_name", "table_no", F.col("content_score").cast("int").alias("content_score"), F.col("matrix_score").cast("int").alias("matrix_score"))
 
 
 @query("cross_page_rows", "WN24",
@@ -469,14 +510,12 @@ def cross_page_rows(spark, sf_dir):
 
 
 @query("locate_statements", "CP3 JN17 WN25 AG17 FN31", sql(
-    "SELECT doc, 'balance_sheet' table_name, 3 page, 'section' AS method FROM (SELECT DISTINCT doc FROM pt) UNION ALL SELECT doc, 'income_sheet', unnest([1,2]), 'section' FROM (SELECT DISTINCT doc FROM pt)", PAGE_TEXTS))
+    "SELECT doc, table_name, page, score, 'section' AS method FROM sc WHERE (table_name='balance_sheet' AND page=3) OR (table_name='income_sheet' AND page IN (1,2)) UNION ALL "
+    f"SELECT doc, table_name, page, score, CASE WHEN score>={_per_type(lambda x: x['accept'])} THEN 'score' ELSE 'paragraph' END FROM sc WHERE table_name NOT IN ('balance_sheet','income_sheet') AND score>0 "
+    f"QUALIFY ROW_NUMBER() OVER (PARTITION BY doc, table_name ORDER BY CASE WHEN score>={_per_type(lambda x: x['stop'])} THEN 0 ELSE 1 END, CASE WHEN score>={_per_type(lambda x: x['stop'])} THEN 0 ELSE -score END, page) = 1",
+    PAGE_TEXTS + ", " + FULL_PAGES + ", " + SCORES))
 def locate(spark, sf_dir):
-    # pages with enough rows for the statements to pass the content check
-    filler = F.concat(*[F.lit(f"\n期末余额 明细项目 {i} 1234567.00") for i in range(12)])
-    p = page_texts(spark, sf_dir)
-    p = p.withColumn("text", F.when(F.col("page").isin(1, 3), F.concat(F.col("text"), filler)).otherwise(F.col("text")))
-    out = locate_statements(p).filter(F.col("method") == "section")
-    return out.select("doc", "table_name", "page", "method")
+    return locate_statements(full_pages(spark, sf_dir)).select("doc", "table_name", "page", "score", "method")
 
 
 # records and loading
@@ -506,16 +545,36 @@ def known_columns(spark):
     return spark.createDataFrame([(t, f) for t, f in ALL], "table_name string, column_name string")
 
 
+def filing_files(spark, sf_dir):
+    """All records as JSON lines, with cut-off lines and records without a company among them."""
+    path = work_path(spark, "filings")
+    records(spark, sf_dir).write.json(path)
+    k = statement(spark, sf_dir, "income").select(*KEY_COLUMNS)
+    cut = k.filter("report_period = 'FY'").select(F.concat(F.lit('{"stock_code": "'), "stock_code", F.lit('", "report_year": '), F.col("report_year").cast("string"), F.lit(", ")).alias("value"))
+    unnamed = k.filter("report_period = 'H1'").select(F.to_json(F.struct("report_year", F.concat(F.lit("nobody_"), "stock_code").alias("source_file"))).alias("value"))
+    cut.unionByName(unnamed).write.mode("append").text(path)
+    return path
+
+
+@query("amount_fact_counts", "SRC2", sql("SELECT table_name, field, COUNT(*) n, SUM(value) total FROM facts GROUP BY 1,2", FACTS))
+def amount_fact_counts(spark, sf_dir):
+    return amount_facts(spark, sf_dir).groupBy("table_name", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("explode_filing_facts", "SRC1 SRC2", sql(
-    "SELECT stock_code||'_'||CAST(report_year AS VARCHAR)||report_period||'.json' source_file, table_name, field, CAST(value AS DOUBLE) AS value FROM facts WHERE field<>'net_cash_flow' AND report_period='FY'", FACTS))
+    "SELECT stock_code||'_'||CAST(report_year AS VARCHAR)||report_period||'.json' source_file, table_name, field, CAST(value AS DOUBLE) AS value FROM facts WHERE field<>'net_cash_flow'", FACTS))
 def explode_filing_facts(spark, sf_dir):
-    """Records written as JSON by Spark and read back with the filing schema."""
-    path = work_path(spark, "filings")
-    r = records(spark, sf_dir).filter("report_period = 'FY'")
-    r.write.json(path)
-    read = spark.read.schema(source.FILING_SCHEMA + ", source_file string").json(path)
+    """Records written by Spark and read back with the filing schema, broken ones left out."""
     catalog = known_columns(spark).filter("column_name <> 'net_cash_flow'")
-    return source.explode_facts(read, catalog, ["source_file"])
+    return source.explode_facts(source.read_filings(spark, filing_files(spark, sf_dir), multi_line=False), catalog, ["source_file"])
+
+
+@query("broken_filings", "SRC1", sql(
+    "SELECT reason, source, COUNT(*) n FROM (SELECT 'unreadable' reason, '{\"stock_code\": \"'||stock_code||'\", \"report_year\": '||CAST(report_year AS VARCHAR)||', ' source FROM income WHERE report_period='FY' "
+    "UNION ALL SELECT 'unnamed', 'nobody_'||stock_code FROM income WHERE report_period='H1') GROUP BY 1,2"))
+def broken_filings(spark, sf_dir):
+    broken = source.broken_filings(spark, filing_files(spark, sf_dir), multi_line=False)
+    return broken.groupBy("reason", F.coalesce("content", "source_file").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CHECKS = ("chk AS (SELECT stock_code, stock_abbr, report_year, report_period, CAST(total_operating_revenue AS DOUBLE) rev, CAST(operating_expense_cost_of_sales AS DOUBLE) cost, CAST(net_profit AS DOUBLE) np, CAST(asset_total_assets AS DOUBLE) a, CAST(liability_total_liabilities AS DOUBLE) l, CAST(equity_total_equity AS DOUBLE) e, "
@@ -557,11 +616,12 @@ def anomaly_queue(spark, sf_dir):
     return source.anomaly_queue(facts).select("stock_code", "report_year", "period", "field", "table_name", "raw_value")
 
 
-QUEUE = "q AS (SELECT * FROM (SELECT stock_code, report_year, report_period, field, table_name, CAST(value*100 AS DECIMAL(20,4)) raw_value FROM facts WHERE field='asset_total_assets') WHERE abs(CAST(raw_value AS DOUBLE))>1e8)"
+CHECKED = ", ".join(f"'{f}'" for _, f, _ in fixed.CHECKED_FIELDS)
+QUEUE = f"q AS (SELECT *, CAST(CASE report_year%3 WHEN 1 THEN 1 WHEN 2 THEN 1000 END AS DECIMAL(10,0)) factor FROM (SELECT stock_code, report_year, report_period, field, table_name, CAST(value*100 AS DECIMAL(20,4)) raw_value FROM facts WHERE field IN ({CHECKED})) WHERE abs(CAST(raw_value AS DOUBLE))>1e8)"
 
 
 def _queue_and_decisions(spark, sf_dir):
-    facts = amount_facts(spark, sf_dir).filter("field = 'asset_total_assets'").withColumn("value", (F.col("value") * 100).cast("decimal(20,4)"))
+    facts = amount_facts(spark, sf_dir).withColumn("value", (F.col("value") * 100).cast("decimal(20,4)"))
     queue = source.anomaly_queue(facts)
     y = F.col("report_year") % 3
     decisions = queue.filter(y != 0).select("stock_code", "report_year", "period", "table_name", "field", F.when(y == 1, "元").otherwise("千元").alias("unit"))
@@ -569,20 +629,29 @@ def _queue_and_decisions(spark, sf_dir):
 
 
 @query("reviewed_queue", "SRC14", sql(
-    "SELECT stock_code, report_year, report_period AS period, CASE WHEN report_year%3=0 THEN 'pending' ELSE 'approved' END status, CASE report_year%3 WHEN 1 THEN '元' WHEN 2 THEN '千元' END unit_raw FROM q", FACTS + ", " + QUEUE))
+    "SELECT stock_code, report_year, report_period AS period, table_name, field, CASE WHEN report_year%3=0 THEN 'pending' ELSE 'approved' END status, CASE report_year%3 WHEN 1 THEN '元' WHEN 2 THEN '千元' END unit_raw FROM q", FACTS + ", " + QUEUE))
 def reviewed_queue(spark, sf_dir):
     queue, _ = source.apply_review(*_queue_and_decisions(spark, sf_dir))
-    return queue.select("stock_code", "report_year", "period", "status", "unit_raw")
+    return queue.select("stock_code", "report_year", "period", "table_name", "field", "status", "unit_raw")
 
 
 @query("review_write_back", "SRC14 SRC11", sql(
-    "SELECT b.stock_code, b.report_year, b.report_period, CASE WHEN q.raw_value IS NOT NULL AND b.report_year%3<>0 THEN CAST(q.raw_value*CAST(CASE b.report_year%3 WHEN 1 THEN 1 ELSE 1000 END AS DECIMAL(10,0))/10000 AS DECIMAL(20,4)) ELSE b.asset_total_assets END asset_total_assets FROM balance b LEFT JOIN q USING (stock_code, report_year, report_period)", FACTS + ", " + QUEUE))
+    "SELECT f.stock_code, f.report_year, f.report_period, f.table_name, f.field, CASE WHEN factor IS NOT NULL THEN CAST(CAST(q.raw_value*factor AS DECIMAL(30,4))*CAST(0.0001 AS DECIMAL(4,4)) AS DECIMAL(20,4)) ELSE CAST(f.value AS DECIMAL(20,4)) END AS value "
+    f"FROM facts f LEFT JOIN q USING (stock_code, report_year, report_period, table_name, field) WHERE f.field IN ({CHECKED}) AND f.table_name||f.field IN ({', '.join(chr(39) + t + f + chr(39) for t, f, _ in fixed.CHECKED_FIELDS)})", FACTS + ", " + QUEUE))
 def review_write_back(spark, sf_dir):
+    """Every checked field of every statement, with the corrected values merged into its table."""
     _, facts = source.apply_review(*_queue_and_decisions(spark, sf_dir))
     keys = ["stock_code", "report_year", "report_period"]
-    wide = store.pivot_facts(facts, keys, ["asset_total_assets"])
-    target = statement(spark, sf_dir, "balance").select(*keys, "asset_total_assets")
-    return store.merge_facts(target, wide, keys)
+    stored = amount_facts(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(20,4)"))
+    parts = []
+    for name in sorted({t for t, _, _ in fixed.CHECKED_FIELDS}):
+        fields = [f for t, f, _ in fixed.CHECKED_FIELDS if t == name and f in AMOUNTS.get(name, [])]
+        if fields:
+            target = store.pivot_facts(stored.filter(F.col("table_name") == name), keys, fields)
+            merged = store.merge_facts(target, store.pivot_facts(facts.filter(F.col("table_name") == name), keys, fields), keys)
+            cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+            parts.append(merged.select(*keys, F.lit(name).alias("table_name"), F.inline(cells)).filter("value IS NOT NULL"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("merge_partial_facts", "SRC11", sql(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillstat.catalog.base import query
 from quillstat.operators import retrieval
-from quillstat.plans.hybrid_search import hybrid_search, search_index
+from quillstat.plans.hybrid_search import hybrid_search, search_corpora, search_index
 from quillstat.plans.views import table
 from quillstat.session import work_path
 from quillstat.sources.index import build_index, load_index
@@ -132,3 +134,31 @@ def rerank_candidates(spark, sf_dir):
     q = text_and_vector_queries(spark, sf_dir)
     candidates = retrieval.bm25_top_k(table(spark, sf_dir, "documents"), q, 20)
     return retrieval.rerank(candidates, q, doc_vectors(spark, sf_dir)).withColumn("score", F.col("score").cast("decimal(10,6)"))
+
+
+def _corpus_sql(name, documents, embeddings):
+    """The fused search over a part of both tables."""
+    part = HYBRID.replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {documents})").replace("FROM qv, embeddings", f"FROM qv, (SELECT * FROM embeddings WHERE {embeddings}) AS embeddings")
+    return f"SELECT '{name}' corpus, query_id, doc_id, CAST(score AS DECIMAL(18,9)) score, rank FROM (WITH {part} SELECT * FROM top WHERE rank<=5)"
+
+
+CORPORA = {"reports": ("lang='en'", "label<4"), "knowledge": ("lang='de'", "label BETWEEN 4 AND 6"), "chunks": ("lang NOT IN ('en','de') OR lang IS NULL", "label>6")}
+
+
+@query("corpora_search", "CP10", " UNION ALL ".join(_corpus_sql(name, *parts) for name, parts in CORPORA.items()))
+def corpora_search(spark, sf_dir):
+    """Three corpora with their own statistics, searched for the same questions."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    corpora = {name: (table(spark, sf_dir, "documents").filter(d), vectors.filter(v).drop("label")) for name, (d, v) in CORPORA.items()}
+    found = search_corpora(corpora, text_and_vector_queries(spark, sf_dir), 5)
+    rows = [df.select(F.lit(name).alias("corpus"), "query_id", "doc_id", F.col("score").cast("decimal(18,9)").alias("score"), "rank") for name, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query("prefiltered_chunks", "JN11 TK4", f"WITH {TOKENS} SELECT query_id, doc_id, CAST(score AS DECIMAL(18,6)) score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, doc_id) rank FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE source='src3' AND n_chars//1000=1)) WHERE rank<=10")
+def prefiltered_chunks(spark, sf_dir):
+    """Candidates of one company and year; the statistics still cover all documents."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select("doc_id", F.col("source").alias("company"), F.floor(F.col("n_chars") / 1000).cast("int").alias("year"))
+    out = retrieval.bm25_top_k(docs, benchmark_queries(spark, sf_dir), 10, prefilter=retrieval.prefilter_chunks(chunks, "doc_id", "src3", 1))
+    return out.withColumn("score", F.col("score").cast("decimal(18,6)"))

@@ -174,15 +174,30 @@ def documents_by_source(spark, sf_dir):
     return topk.most_common(table(spark, sf_dir, "documents"), "source", 20)
 
 
-@query("whole_file_documents", "SRC6", "SELECT 'doc'||CAST(item_id AS VARCHAR)||'.md' file_name, md5(regexp_replace(text, '\\s+', ' ', 'g')) digest FROM benchmark")
-def whole_file_documents(spark, sf_dir):
-    """Texts written one per file by Spark tasks and read back whole."""
+BODIES = "f AS (SELECT item_id, '# '||CAST(item_id AS VARCHAR)||chr(10)||regexp_replace(text, '\\s+', ' ', 'g') body, item_id % 7 = 0 bad FROM benchmark)"
+
+
+def document_files(spark, sf_dir):
+    """Benchmark texts under their number as files of the caller, one each; every seventh ends in a byte that is no UTF-8."""
     path = work_path(spark, "notes")
-    d = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("name"), F.regexp_replace("text", r"\s+", " ").alias("value"))
-    d.write.partitionBy("name").text(path)
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(
-        F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"name=([^/]+)/", 1), F.lit(".md")).alias("file_name"), F.col("value").alias("text"))
-    return files.select("file_name", F.md5(F.regexp_replace("text", r"\n$", "")).alias("digest"))
+    number = F.col("item_id").cast("string")
+    body = F.concat(F.lit("# "), number, F.lit("\n"), F.regexp_replace("text", r"\s+", " "))
+    odd = F.when(F.col("item_id") % 7 == 0, F.expr("X'20FF78'")).otherwise(F.expr("X''"))
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("doc"), number).alias("name"), F.concat(F.encode(body, "UTF-8"), odd).cast("string").alias("value"))
+    rows.write.partitionBy("name").text(path)
+    return path
+
+
+@query("whole_file_documents", "SRC6", f"WITH {BODIES} SELECT item_id, md5(body||CASE WHEN bad THEN ' '||chr(65533)||'x' ELSE '' END||chr(10)) digest FROM f")
+def whole_file_documents(spark, sf_dir):
+    read = sources.read_documents(spark, document_files(spark, sf_dir), "*.txt")
+    return read.select(F.regexp_extract("text", r"^# (\d+)", 1).cast("long").alias("item_id"), F.md5("text").alias("digest"))
+
+
+@query("broken_documents", "SRC6", f"WITH {BODIES} SELECT CAST(strlen(body)+4 AS BIGINT) length, 1 n_replaced, COUNT(*) n FROM f WHERE bad GROUP BY 1")
+def broken_documents(spark, sf_dir):
+    bad = sources.broken_documents(spark, document_files(spark, sf_dir), "*.txt")
+    return bad.groupBy("length", "n_replaced").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_headings", "FN16", "SELECT page_id, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^\\s+|\\s+$', '', 'g') heading FROM pages")

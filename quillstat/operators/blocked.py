@@ -27,6 +27,10 @@ def _carried(ends: DataFrame, values: dict[str, Column]) -> DataFrame:
     return folded.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("_part"), "_group", *values)
 
 
+def _ends():
+    return W.partitionBy("_group").orderBy("_part")
+
+
 def _entering(rows: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
     """Rows with the values carried to their sequence; ``carried`` has one row per partition."""
     c = carried.withColumnRenamed("_part", "_to")
@@ -34,9 +38,6 @@ def _entering(rows: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(F.broadcast(c), same, "left").drop("_to", "_group")
 
 
-_ENDS = W.partitionBy("_group").orderBy("_part")
-
-
 def carry_forward(df: DataFrame, by: list[str], position: str, columns: list[str], partitions: int | None = None,
                   suffix: str = "", before: bool = False) -> DataFrame:
     """Fill nulls of each column with the last value at or before the position (with ``before``: strictly before)."""
@@ -46,7 +47,7 @@ def carry_forward(df: DataFrame, by: list[str], position: str, columns: list[str
     ends = rows.groupBy("_part").agg(F.max(sequence).alias("_group"), *[F.max(F.when(F.col(c).isNotNull(), known[c])).alias(f"_k_{c}") for c in columns])
     own = {c: F.when(F.struct(*[F.col(f"_k_{c}.b{i}") for i in range(len(by))]).eqNullSafe(F.col("_group")), F.col(f"_k_{c}.value")) for c in columns}
     ends = ends.select("_part", "_group", *[own[c].alias(f"_l_{c}") for c in columns])
-    carried = _carried(ends, {f"_c_{c}": F.last(f"_l_{c}", ignorenulls=True).over(_ENDS) for c in columns})
+    carried = _carried(ends, {f"_c_{c}": F.last(f"_l_{c}", ignorenulls=True).over(_ends()) for c in columns})
     inside = W.partitionBy("_part", *by).orderBy(position).rowsBetween(W.unboundedPreceding, -1 if before else 0)
     out = _entering(rows, carried, by)
     filled = {c + suffix: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in columns}
@@ -58,7 +59,7 @@ def running_sum(df: DataFrame, by: list[str], position: str, value: Column, name
     rows = _ranged(df.withColumn("_v", value), by, position, partitions)
     sums = rows.groupBy("_part", *by).agg(F.sum("_v").alias("_s"))
     ends = sums.groupBy("_part").agg(F.max(F.struct(F.struct(*by).alias("g"), F.col("_s").alias("s"))).alias("_e")).select("_part", F.col("_e.g").alias("_group"), F.col("_e.s").alias("_s"))
-    carried = _carried(ends, {"_off": F.sum("_s").over(_ENDS)})
+    carried = _carried(ends, {"_off": F.sum("_s").over(_ends())})
     inside = W.partitionBy("_part", *by).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
     total = F.coalesce(F.col("_off"), F.lit(0)) + F.sum("_v").over(inside)
     return _entering(rows, carried, by).withColumn(name, total).drop("_part", "_v", "_off")

@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _whole_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path", "length", F.col("content").cast("string").alias("_text"))
+
+
 def read_documents(spark: SparkSession, path: str, suffix: str = "*.md") -> DataFrame:
-    """(file_name, text) with one whole file per row; undecodable bytes become replacement characters."""
-    return (spark.read.option("pathGlobFilter", suffix).text(path, wholetext=True)
-            .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
+    """(file_name, text) with one whole file per row; undecodable bytes become replacement characters, ``broken_documents`` lists their files."""
+    return _whole_files(spark, path, suffix).select("file_name", F.make_valid_utf8("_text").alias("text"))
+
+
+def broken_documents(spark: SparkSession, path: str, suffix: str = "*.md") -> DataFrame:
+    """(file_name, length, n_replaced): files whose bytes aren't UTF-8 throughout, with the number of replacement characters in their text."""
+    bad = _whole_files(spark, path, suffix).filter(~F.is_valid_utf8("_text"))
+    return bad.select("file_name", "length", F.regexp_count(F.make_valid_utf8("_text"), F.lit("\ufffd")).cast("long").alias("n_replaced"))
 
 
 def write_chunks(chunks: DataFrame, all_files: DataFrame, path: str, minimum: int = 50) -> None:

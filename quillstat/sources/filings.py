@@ -16,12 +16,25 @@ unit_info map<string, struct<unit_factor:bigint,unit_raw:string,unit_source_text
 data map<string, map<string,double>>"""
 
 
-def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON record per file; summaries are skipped and unreadable files dropped."""
-    df = spark.read.schema(FILING_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    name = F.col("_metadata.file_name")
-    return df.select("*", name.alias("source_file")).filter(
-        ~F.col("source_file").contains("_summary") & (F.col("stock_code").isNotNull() | F.col("stock_abbr").isNotNull()))
+def _filing_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Every record with the text of those that can't be parsed as ``_broken``; ``source_file`` is the record's own or the name of its file."""
+    schema = f"{FILING_SCHEMA}, source_file string, _broken string"
+    df = spark.read.schema(schema).options(multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").json(path)
+    return df.withColumn("source_file", F.coalesce("source_file", "_metadata.file_name"))
+
+
+def read_filings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One JSON record per file, or per line without ``multi_line``; summaries are skipped, records that ``broken_filings`` returns left out."""
+    rows = _filing_rows(spark, path, multi_line).filter(F.col("_broken").isNull()).drop("_broken")
+    return rows.filter(~F.col("source_file").contains("_summary") & (F.col("stock_code").isNotNull() | F.col("stock_abbr").isNotNull()))
+
+
+def broken_filings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(source_file, reason, content) of the records set aside: ``unreadable`` ones with their text, and those that name no company."""
+    rows = _filing_rows(spark, path, multi_line).filter(~F.col("source_file").contains("_summary"))
+    nobody = F.col("stock_code").isNull() & F.col("stock_abbr").isNull()
+    reason = F.when(F.col("_broken").isNotNull(), "unreadable").when(nobody, "unnamed")
+    return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select("source_file", "reason", F.col("_broken").alias("content"))
 
 
 def explode_facts(filings: DataFrame, catalog: DataFrame, ids: list[str]) -> DataFrame:
