@@ -144,12 +144,6 @@ def note_sections(spark, sf_dir):
                     textclean.classify_section(F.col("heading")).alias("section"))
 
 
-@query("note_chunks", "CP9 FLT15")
-def note_chunks(spark, sf_dir):
-    names, aliases = company_names(spark, sf_dir)
-    return chunk_documents(notes(spark, sf_dir), names, aliases)
-
-
 TOK = "CAST(floor(len(regexp_extract_all(body,'[\\x{4E00}-\\x{9FFF}]'))/1.5 + len(regexp_extract_all(body,'[a-zA-Z0-9]'))/3.5 + len(string_split(body, chr(10)))*0.5) AS INTEGER)"
 
 
@@ -159,6 +153,34 @@ def whole_section_chunks(spark, sf_dir):
     return c.filter(F.col("token_count") >= 50).select("doc_id", "section_no", "token_count", F.md5("text").alias("digest"))
 
 
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_SECTION = ("CASE WHEN regexp_matches(heading,'投资要点|核心观点|业绩') THEN '业绩分析' WHEN regexp_matches(heading,'财务|盈利|毛利|净利') THEN '财务分析' WHEN regexp_matches(heading,'风险|提示') THEN '风险提示' "
+            "WHEN regexp_matches(heading,'行业|市场|竞争') THEN '行业分析' WHEN regexp_matches(heading,'研发|创新|管线') THEN '研发创新' WHEN regexp_matches(heading,'评级|估值') THEN '评级与估值' ELSE '其他' END")
+# Greedy packing: a paragraph joins the open chunk while it fits; a chunk below 100 tokens is dropped when it closes.
+CHUNKS = f"""WITH RECURSIVE {CLEAN}{SECTIONS[len(NOTES):].replace("FROM notes", "FROM cleaned")},
+sized AS (SELECT *, {TOK} tok FROM bodies WHERE body<>'' AND heading<>'目录'),
+pl AS (SELECT doc_id, section_no, n, line, SUM(CASE WHEN {_STRIPPED.format("line")}='' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, section_no ORDER BY n) g
+ FROM sec JOIN sized USING (doc_id, section_no) WHERE tok>512 AND NOT regexp_matches(line, '^[\\t\\r ]*##? ')),
+pa AS (SELECT doc_id, section_no, g, {_STRIPPED.format("string_agg(regexp_replace(line, '\\s+$', ''), chr(10) ORDER BY n)")} body FROM pl WHERE {_STRIPPED.format("line")}<>'' AND NOT starts_with({_STRIPPED.format("line")}, '###') GROUP BY 1,2,3),
+pn AS (SELECT doc_id, section_no, body t, {TOK} k, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY g) i, count(*) OVER (PARTITION BY doc_id, section_no) n FROM pa WHERE body<>''),
+pk AS (SELECT doc_id, section_no, i, n, t, k, CAST(NULL AS VARCHAR) done, 0 size FROM pn WHERE i=1
+ UNION ALL SELECT p.doc_id, p.section_no, p.i, p.n, CASE WHEN pk.k+p.k<=512 THEN pk.t||chr(10)||chr(10)||p.t ELSE p.t END, CASE WHEN pk.k+p.k<=512 THEN pk.k+p.k ELSE p.k END,
+ CASE WHEN pk.k+p.k>512 AND pk.k>=100 THEN pk.t END, pk.k FROM pk JOIN pn p ON p.doc_id=pk.doc_id AND p.section_no=pk.section_no AND p.i=pk.i+1),
+cut AS (SELECT doc_id, section_no, i, done text, size FROM pk WHERE done IS NOT NULL UNION ALL SELECT doc_id, section_no, i+1, t, k FROM pk WHERE i=n AND k>=100),
+parts AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i)-1 part, text, size FROM cut
+ UNION ALL SELECT doc_id, section_no, 0, body, tok FROM sized WHERE tok<=512 AND (tok>=100 OR section_no=4))"""
+
+
+@query("note_chunks", "CP9 FLT15", f"""{CHUNKS} SELECT file_name source_file, CAST(section_no AS INTEGER) section_no, CAST(part AS INTEGER) part, {_SECTION} section, text, CAST(size AS INTEGER) token_count,
+ CASE WHEN doc_id%10=7 THEN 'Real ' ELSE '' END||'Supplier'||lpad(CAST(doc_id%100 AS VARCHAR),3,'0') company, CASE WHEN doc_id%5=1 THEN '6000'||CAST(doc_id%100 AS VARCHAR) END stock_code,
+ CAST(2015+doc_id%10 AS INTEGER) AS year, CASE doc_id%5 WHEN 0 THEN 'FY' WHEN 1 THEN 'Q3' WHEN 3 THEN 'Q1' END AS period,
+ CASE doc_id%5 WHEN 0 THEN '年报点评' WHEN 1 THEN '三季报点评' WHEN 2 THEN '首次覆盖' WHEN 3 THEN '一季报点评' ELSE '公司点评' END report_type,
+ row_number() OVER (ORDER BY file_name, section_no, part)-1 chunk_index FROM parts JOIN bodies USING (doc_id, section_no) JOIN (SELECT doc_id, file_name FROM notes) USING (doc_id) WHERE size>=50""")
+def note_chunks(spark, sf_dir):
+    names, aliases = company_names(spark, sf_dir)
+    return chunk_documents(notes(spark, sf_dir), names, aliases)
+
+
 @query("corpus_summary", "AG14 SRC8", f"WITH {SECTIONS}, ok AS (SELECT doc_id, {TOK} tok FROM bodies WHERE body<>'' AND heading<>'目录' AND ({TOK}>=100 OR section_no=4) AND {TOK}>=50) "
        "SELECT (SELECT COUNT(*) FROM documents) files, COUNT(DISTINCT doc_id) ok, (SELECT COUNT(*) FROM documents)-COUNT(DISTINCT doc_id) failed, COUNT(*) chunks, CAST(SUM(tok) AS BIGINT) tokens, SUM(tok)/COUNT(*) mean_tokens, 50 min_tokens FROM ok")
 def corpus_summary(spark, sf_dir):
