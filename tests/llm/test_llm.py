@@ -478,7 +478,7 @@ def test_quality_counts_documents(spark):
 
 
 def test_licenses(nasty, empty):
-    assert len(licenses.rules()) > 200 and all(any(g in k for g in licenses.GATE) for _, _, k, *_ in licenses.rules())
+    assert len(licenses.FAMILIES) + len(licenses.WRITTEN) > 200 and max(r[3].count(" ") for r in licenses.rules()) < licenses.REACH and all(any(g in k for g in licenses.GATE) for _, _, k, *_ in licenses.rules())
     got = licenses.license_scan(nasty).collect()
     assert len(got) == len(nasty_rows())
     for r in got:
@@ -556,3 +556,13 @@ def test_registered():
 
     names = list(entry.queries())
     assert set(queries.QUERIES) <= set(names) and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_licenses_in_long_texts(spark):
+    """Very many detections in one text, which is spread over stretches of words: the same labels and counts as rule by rule."""
+    unit = "cc by sa 4 0 and gnu general public license version 2 or any later version all rights reserved "
+    rows = [(1, unit * 4000), (2, "x " * 63 + unit), (3, "x " * 60 + unit + "y " * 60 + unit)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_base == 3 * 4000 and got[1].first_word == 0 and got[1].last_word == 19 * 4000 - 3
+    for i, n in ((1, 4000), (2, 1), (3, 2)):
+        assert got[i].labels == "cc-by,cc-by-sa-4.0,gpl,gpl-2-or-later,reserved" and len(got[i].detections) == 3 * n
