@@ -100,22 +100,31 @@ class KernelModel:
 
 def fit(labelled: DataFrame) -> KernelModel | None:
     """Fit on a bounded sample of ``doc_id, text, lang``: for each language the rows with a letter that come first in a hashed order, those of at most
-    ``SAMPLE_CHARS`` characters before longer ones, of which that many characters from the first letter on count."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", (F.length("text") > SAMPLE_CHARS).alias("long"))
-    languages = rows.select("lang").distinct().count()
+    ``SAMPLE_CHARS`` characters before longer ones, of which that many characters from the first letter on count. Ties go by doc_id, then text.
+
+    The rows of every language are counted first; only those whose hash is below four times the share that is needed are ranked, so what one task ranks
+    doesn't grow with the corpus.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "doc_id", "lang", "text", (F.length("text") > SAMPLE_CHARS).alias("long"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("place"))
+    sizes = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long"))
+    languages = sizes.count()
     if not languages:
         return None
     most = max(LEAST_ROWS, min(SAMPLE_ROWS, SAMPLE_ROWS * LANGUAGES // languages))
+    below = lambda n: F.col("place") * F.col(n) < 4 * most * (1 << 32)
+    few = rows.join(sizes, "lang").where(F.when(F.col("long"), (F.col("n_short") < most) & below("n_long")).otherwise(below("n_short")))
     start = F.when(F.col("long"), F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)).otherwise(F.col("text"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "text"))
-    sample = rows.withColumn("text", start).withColumn("order", order).where(F.col("order") <= most).orderBy("lang", "order").collect()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("long", "place", "doc_id", "text"))
+    sample = few.withColumn("text", start).withColumn("order", order).where(F.col("order") <= most).orderBy("lang", "order").collect()
     return KernelModel([r.text for r in sample], [r.lang for r in sample])
 
 
 def identify(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text; a text that is null or has no letter is ``und`` with score 0, as is every text without a model.
 
-    Repeated rows each get a row; an empty table gives none.
+    Texts of any length are scored whole, in batches of bounded size; equal scores go to the language first in order. Repeated rows each get a row; an
+    empty table gives none.
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     d = documents(docs, "text").select("doc_id", "text", letters.alias("letters"))
