@@ -14,7 +14,7 @@ from quillstat.llm.common import written
 from quillstat.llm.shards import sharded, visits
 
 #: Rows of an index, centres of each of its two codebooks, rounds of fitting them, rows scored at a time, anchors that pass an index in one task.
-SHARD_ROWS, CENTRES, ROUNDS, STEP, SPAN = 8192, 32, 6, 512, 32768
+SHARD_ROWS, CENTRES, ROUNDS, STEP, SPAN = 8192, 16, 6, 512, 32768
 POSITIVES = "anchor_id long, positive_id long, positive_score long"
 NEGATIVES = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
