@@ -352,7 +352,7 @@ def _by_size(large: DataFrame, percent: int) -> DataFrame:
 
 def _live(percent: int):
     def visit(rows: pd.DataFrame) -> pd.DataFrame | None:
-        if not rows["top"].any():
+        if not rows["top"].any() or not rows["open"].any():
             return None
         top = rows["top"].to_numpy()
         doc, line, n, pos, part = (rows[c].to_numpy() for c in ("doc", "line", "n", "pos", "part"))
@@ -360,7 +360,7 @@ def _live(percent: int):
         b0, b1 = rows["b0"].to_numpy().view("uint64"), rows["b1"].to_numpy().view("uint64")
         across = rows["cell_a"].iloc[0] != rows["cell_b"].iloc[0]
         live, probe = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        for y in range(len(rows)):
+        for y in np.flatnonzero(rows["open"].to_numpy()):  # of the others it is known that they go
             ok = _may_match(percent, n, pos, b0, b1, n[y], pos[y], b0[y], b1[y]) & ((doc < doc[y]) | (doc == doc[y]) & (line < line[y]))
             if across:
                 ok &= part != part[y]
@@ -383,17 +383,19 @@ def _matched(percent: int):
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        both = np.zeros((len(sets), len(sets)), "float32")
+        asked = np.flatnonzero(rows["probe"].to_numpy())  # the others only serve as candidates here
+        both = np.zeros((len(asked), len(sets)), "float32")
         for low in range(0, len(values), 4096):
             a, b = np.searchsorted(column, [low, low + 4096])
             m = np.zeros((len(sets), 4096), "float32")
             m[owner[a:b], column[a:b] - low] = 1
-            both += m @ m.T
-        alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+            both += m[asked] @ m.T
+        alike = 100 * both >= percent * (sizes[asked, None] + sizes[None, :] - both)
         doc, line = rows["doc"].to_numpy(), rows["line"].to_numpy()
-        alike &= (doc[:, None] != doc[None, :]) | (line[:, None] != line[None, :])  # a line isn't similar to itself
-        later = np.tril(alike, -1).any(axis=1)
-        return rows.loc[later, ["doc", "line"]] if later.any() else None
+        alike &= (doc[asked, None] != doc[None, :]) | (line[asked, None] != line[None, :])  # a line isn't similar to itself
+        alike &= np.arange(len(sets))[None, :] < asked[:, None]
+        later = asked[alike.any(axis=1)]
+        return rows.iloc[later][["doc", "line"]] if len(later) else None
 
     return visit
 
@@ -414,22 +416,30 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     pairs = written(pairs.join(exact, (F.col("doc") == exact["doc_id"]) & (pairs["line"] == exact["line"]), "left_anti"), "pairs")
 
     large = _by_size(found.where("kind = 2").drop("n_rows").withColumn("id", F.xxhash64("doc", "line")), percent)
-    sizes = large.groupBy("key").agg(F.count("*").alias("n_rows"), F.bool_or("top").alias("any")).where("n_rows > 1 AND any").drop("any")
-    live = _in_cells(cells(large, sizes, "key", "id", GROUP_BLOCK), ["id", "doc", "line", "n", "pos", "b0", "b1", "top"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int, probe boolean")
-    live = written(live, "live")
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).unionByName(live.select("doc", "line")).distinct()
+    # In a large group each line is first compared with one line only, the earliest of its groups: in a group of copies that settles nearly all.
+    earliest = large.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("other"))
+    first = large.join(earliest, "key").where("struct(doc, line) > other").groupBy("doc", "line").agg(F.min("other").alias("other"))
+    first = first.select(F.lit(1).alias("kind"), "doc", "line", F.col("other.doc").alias("other_doc"), F.col("other.line").alias("other_line"))
+    first = first.join(exact.select(F.col("doc_id").alias("doc"), "line"), ["doc", "line"], "left_anti")
+    pairs = written(pairs.unionByName(first), "all-pairs")
+    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))).distinct()
     sets = written(line_sets(docs, wanted), "sets")
 
     held = lambda d, n, name: sets.select(F.col("doc").alias(d), F.col("line").alias(n), F.col("tokens").alias(name))
     with_sets = lambda p: p.select("doc", "line", "other_doc", "other_line").join(held("doc", "line", "a"), ["doc", "line"]).join(held("other_doc", "other_line", "b"), ["other_doc", "other_line"])
-    best = written(_confirmed(with_sets(pairs.where("kind = 1")), percent), "best")
-    rest = pairs.where("kind = 3").join(best, ["doc", "line"], "left_anti")
-    # Cells in which every line that has a candidate is removed already need no sets.
-    settled = best.unionByName(exact.select(F.col("doc_id").alias("doc"), "line")).distinct()
-    waiting = live.where("probe").join(settled, ["doc", "line"], "left_anti").select("key", "cell_a", "cell_b").distinct()
-    rows = live.join(waiting, ["key", "cell_a", "cell_b"]).join(sets, ["doc", "line"])
-    matched = _in_cells(rows, ["id", "doc", "line", "tokens"], _matched(percent), "doc long, line int")
-    gone = best.unionByName(_confirmed(with_sets(rest), percent)).unionByName(matched).select(F.col("doc").alias("doc_id"), "line")
+    best = written(_confirmed(with_sets(pairs.where("kind = 1")), percent).distinct(), "best")
+    rest = written(_confirmed(with_sets(pairs.where("kind = 3").join(best, ["doc", "line"], "left_anti")), percent).distinct(), "rest")
+
+    # What is still open meets the other lines of its groups, in cells.
+    settled = best.unionByName(rest).unionByName(exact.select(F.col("doc_id").alias("doc"), "line")).distinct().withColumn("gone", F.lit(True))
+    large = large.join(settled, ["doc", "line"], "left").withColumn("open", F.col("gone").isNull()).drop("gone")
+    sizes = large.groupBy("key").agg(F.count("*").alias("n_rows"), F.bool_or("top").alias("tops"), F.bool_or("open").alias("opens")).where("n_rows > 1 AND tops AND opens").drop("tops", "opens")
+    live = _in_cells(cells(large, sizes, "key", "id", GROUP_BLOCK, "open"), ["id", "doc", "line", "n", "pos", "b0", "b1", "top", "open"], _live(percent), "key long, cell_a int, cell_b int, part int, id long, doc long, line int, probe boolean")
+    live = written(live, "live")
+    others = live.select("doc", "line").distinct().join(wanted, ["doc", "line"], "left_anti")
+    sets = sets.unionByName(written(line_sets(docs, others), "sets"))
+    matched = _in_cells(live.join(sets, ["doc", "line"]), ["id", "doc", "line", "probe", "tokens"], _matched(percent), "doc long, line int")
+    gone = best.unionByName(rest).unionByName(matched).select(F.col("doc").alias("doc_id"), "line")
     return gone.unionByName(exact).distinct()
 
 
