@@ -15,6 +15,7 @@ from quillstat.plans.views import KEY_COLUMNS, amount_facts, statement, statemen
 from quillstat.session import durable, work_path
 from quillstat.sources import documents as text_sources
 from quillstat.sources import filings as source
+from quillstat.sources.bucketed import BucketedTable
 from quillstat.sources import statements as store
 
 DIMS = "stock_code, stock_abbr, report_year, report_period"
@@ -673,3 +674,17 @@ def dictionary_file(spark, sf_dir):
         F.struct(F.col("p_brand").alias("en"), F.col("p_type").alias("cn"), "aliases")).alias("columns"))).alias("tables"))
     doc.write.json(path)
     return source.read_field_dictionary(spark, path, multi_line=False)
+
+
+@query("bucketed_upsert", "SRC10 SRC11 SM3", sql(
+    "SELECT stock_code, report_year, report_period, CASE WHEN stock_code IN (SELECT DISTINCT stock_code FROM income ORDER BY 1 LIMIT 3) AND report_period='FY' THEN -1 WHEN report_period='H1' THEN CAST(CAST(total_operating_revenue AS DECIMAL(20,4))*CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(20,4)) ELSE CAST(total_operating_revenue AS DECIMAL(20,4)) END total_operating_revenue, net_profit FROM income"))
+def bucketed_upsert(spark, sf_dir):
+    """The statement in buckets of its key: rows of a few companies are overwritten, then one field of the half-year rows is set."""
+    keys = ["stock_code", "report_year", "report_period"]
+    rows = statement(spark, sf_dir, "income").select(*keys, F.col("total_operating_revenue").cast("decimal(20,4)").alias("total_operating_revenue"), "net_profit")
+    out = BucketedTable(spark, work_path(spark, "bucketed"), keys, buckets=32)
+    out.create(rows)
+    first = rows.select("stock_code").distinct().orderBy("stock_code").limit(3)
+    out.upsert(rows.join(first, "stock_code").filter("report_period = 'FY'").withColumn("total_operating_revenue", F.lit(-1).cast("decimal(20,4)")))
+    out.merge_facts(rows.filter("report_period = 'H1'").select(*keys, (F.col("total_operating_revenue") / 2).cast("decimal(20,4)").alias("total_operating_revenue")))
+    return out.read()

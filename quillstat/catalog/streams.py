@@ -64,7 +64,7 @@ def carry_slots_stream(spark, sf_dir):
     turns = event_stream(spark, sf_dir, closing=True).select(
         "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(t == "purchase", F.concat(F.lit("C"), (F.col("event_id") % 9).cast("string"))).alias("company"),
         F.when(t.isin("click", "purchase"), F.concat(F.lit("I"), (F.col("event_id") % 4).cast("string"))).alias("indicator"))
-    sessions.run_available(sessions.carry_slots_stream(turns, "user_id", "ts", ["company", "indicator"]), path)
+    sessions.run_available(sessions.carry_slots_stream(turns, "user_id", "ts", ["company", "indicator"], delay="10 minutes"), path)
     return spark.read.parquet(f"{path}/data").select("user_id", "event_id", "company", "indicator")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstat.functions import fixed
 from quillstat.functions.expr import settled
 from quillstat.functions.textclean import base_name, classify_section, estimate_tokens, strip
-from quillstat.operators.matching import contains_join, either_contains_join
+from quillstat.operators.matching import contains_join
 from quillstat.operators.windows import first_rows, numbered
 
 
@@ -123,18 +123,14 @@ def company_from_heading(docs: DataFrame, doc_id: str, text: str, file_name: str
 
 def lookup_company(d: DataFrame, doc_id: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """The lookup of :func:`company_from_heading` on (doc_id, named, code, before_colon, _file)."""
-    by_name = names.select(F.col("name").alias("_term"), F.col("name").alias("_real"), "pos")
-    by_alias = aliases.select(F.col("alias").alias("_term"), F.col("name").alias("_real"), "pos")
-
-    def tier(n, column, terms, both=False):
-        rows = d.filter(F.col(column).isNotNull() & (F.col(column) != "")).select(doc_id, F.col(column).alias("_text"))
-        hits = either_contains_join(rows, "_text", terms, "_term") if both else contains_join(rows, "_text", terms, "_term")
-        return hits.select(doc_id, F.lit(n).alias("_tier"), "pos", F.col("_real").alias("company"))
-
-    found = (
-        tier(1, "named", by_name).unionByName(tier(2, "named", by_alias)).unionByName(tier(3, "before_colon", by_name, True))
-        .unionByName(tier(4, "before_colon", by_alias)).unionByName(tier(5, "_file", by_name)).unionByName(tier(6, "_file", by_alias))
-    )
+    by_name = names.select(F.col("name").alias("_term"), F.col("name").alias("_real"), "pos", F.lit(0).alias("_kind"))
+    by_alias = aliases.select(F.col("alias").alias("_term"), F.col("name").alias("_real"), "pos", F.lit(1).alias("_kind"))
+    # One pass over all three texts of a document; a tier is a text and a kind of term. Heading before the colon: a name may also contain it.
+    parts = F.array(*[F.struct(F.lit(n).alias("_tier"), F.col(c).alias("_text")) for n, c in ((1, "named"), (3, "before_colon"), (5, "_file"))])
+    rows = d.select(doc_id, F.inline(parts)).filter("_text <> ''")
+    forward = contains_join(rows, "_text", by_name.unionByName(by_alias), "_term")
+    backward = contains_join(by_name, "_term", rows.filter("_tier = 3"), "_text", small="texts")
+    found = forward.unionByName(backward.select(*forward.columns)).select(doc_id, (F.col("_tier") + F.col("_kind")).alias("_tier"), "pos", F.col("_real").alias("company"))
     best = first_rows(found, [doc_id], [F.col("_tier"), F.col("pos")])
     return d.join(best, doc_id, "left").select(
         doc_id, F.coalesce("company", F.lit(fixed.INDUSTRY_BUCKET)).alias("company"),

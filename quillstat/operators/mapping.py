@@ -55,13 +55,40 @@ def mapping_frequency_score(observations: Column, successes: Column) -> Column:
     return F.when(n == 0, F.lit(5)).when(n < 3, F.floor(rate * 10) + 5).otherwise(many).cast("int")
 
 
+def without_prefix(label: Column) -> Column:
+    """The label after the first of the prefixes that it starts with; null without one."""
+    stripped = None
+    for p in fixed.LABEL_PREFIXES:  # in order of precedence
+        rest = F.substring(label, len(p) + 1, 10**6)
+        stripped = F.when(label.startswith(p), rest) if stripped is None else stripped.when(label.startswith(p), rest)
+    return stripped
+
+
+def label_candidates(labels: DataFrame, label: str, standard: DataFrame, most_frequent: int) -> DataFrame:
+    """(label, standard) of the names that may reach the threshold of 55 for a label, or that contain it or lie in it.
+
+    The characters of the label that a name holds are counted by the join on characters. They bound both the overlap and the edit similarity, since every edit
+    but an insertion costs one of them; with all that can be added for table, frequency (``most_frequent``), prefix and unit, names that stay below 55 go
+    before any edit distance is computed.
+    """
+    names = standard.select("standard").distinct()
+    held = names.select("standard", F.explode(F.array_distinct(characters(F.col("standard")))).alias("_ch"))
+    asked = labels.select(label, F.explode(characters(F.col(label))).alias("_ch")).groupBy(label, "_ch").agg(F.count(F.lit(1)).alias("_n"))
+    met = asked.join(held, "_ch").groupBy(label, "standard").agg(F.sum("_n").alias("_hits"))
+    a, s, rest = F.col(label), F.col("standard"), without_prefix(F.col(label))
+    share = lambda text: F.col("_hits") / F.greatest(F.length(text), F.length(s)) * 100
+    lexical = share(a) * 0.3
+    bonus = F.when((F.length(rest) >= 2) & ((share(rest) * 0.3 > 20) | s.contains(rest) | rest.contains(s)), 15).otherwise(0)
+    open_ = lexical + bonus + 15 + most_frequent + 10 >= 55 - 1e-6
+    return met.filter(a.contains(s) | s.contains(a) | open_).select(label, "standard")
+
+
 def map_fields(labels: DataFrame, dictionary: DataFrame, label: str = "label", context: str | None = None,
                pool: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """Adds field, table_name, standard, confidence to every row with a label; nulls when none qualifies.
 
-    ``dictionary`` has (standard, field, table_name) and is a small dimension. Candidates are the standard
-    names that share a character with the label or whose pooled synonyms contain it or lie in it; any other
-    name stays below the threshold of 55, so nothing is missed.
+    ``dictionary`` has (standard, field, table_name). Candidates are the standard names that :func:`label_candidates` leaves open
+    and those whose pooled synonyms contain the label or lie in it; any other name stays below the threshold of 55, so nothing is missed.
     """
     ctx = F.col(context) if context else F.lit(None).cast("string")
     work = labels.select(F.col(label).alias("_raw"), ctx.alias("_ctx")).distinct().withColumn("_label", clean_label(F.col("_raw")))
@@ -72,11 +99,10 @@ def map_fields(labels: DataFrame, dictionary: DataFrame, label: str = "label", c
         F.struct(strip_unit_suffix(F.col("_label")).alias("a"), (strip_unit_suffix(F.col("_label")) != F.col("_label")).alias("clean"))))).alias("_t"))
     attempts = attempts.select("_label", F.col("_t.a").alias("_a"), F.col("_t.clean").alias("_clean")).distinct()
 
-    # candidates: shared characters, plus synonyms of the pool
+    # candidates: names that the bound leaves open, plus synonyms of the pool
     std = dictionary.select("standard", F.col("field").alias("_f"), F.col("table_name").alias("_tab"))
-    std_chars = std.select("standard", F.explode(F.array_distinct(characters(F.col("standard")))).alias("_ch"))
     asked = attempts.select("_a").distinct()
-    shared = asked.select("_a", F.explode(F.array_distinct(characters(F.col("_a")))).alias("_ch")).join(std_chars, "_ch").select("_a", "standard").distinct()
+    shared = label_candidates(asked, "_a", std, 25 if history is not None else 20)
     if pool is None:
         pairs = shared.withColumn("_syn", F.lit(0))
     else:
@@ -84,12 +110,8 @@ def map_fields(labels: DataFrame, dictionary: DataFrame, label: str = "label", c
         syn = by_pool.join(std, F.col("_pf") == F.col("_f")).select("_a", "standard").distinct().withColumn("_syn", F.lit(25))
         pairs = shared.join(syn, ["_a", "standard"], "full").withColumn("_syn", F.coalesce("_syn", F.lit(0)))
 
-    # Prefixes in order of precedence.
     a, s = F.col("_a"), F.col("standard")
-    stripped = None
-    for p in fixed.LABEL_PREFIXES:
-        rest = F.substring(a, len(p) + 1, 10**6)
-        stripped = F.when(a.startswith(p), rest) if stripped is None else stripped.when(a.startswith(p), rest)
+    stripped = without_prefix(a)
     scored = pairs.join(std, "standard").withColumn("_lex", lexical_score(a, s)).withColumn("_rest", stripped)
     bonus = F.when((F.col("_syn") == 0) & (F.length("_rest") >= 2), F.when(lexical_score(F.col("_rest"), s) > 20, 15).otherwise(0)).otherwise(0)
     prior = F.when(reduce(lambda x, y: x | y, [s.contains(w) for w in fixed.COMMON_NAMES]), 20).otherwise(10)

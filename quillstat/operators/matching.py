@@ -189,13 +189,15 @@ def similar_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: f
 
 
 def fields_in_text(texts: DataFrame, text_id: str, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Terms that occur in a text, without those inside a longer term that occurs as well.
-
-    Adds ``score`` = length ratio × 0.8 + 0.2. Whether a term lies inside another depends on the dictionary alone, so the hits of a
-    text are never compared all with all.
-    """
+    """Terms that occur in a text, without those inside a longer term that occurs as well. Adds ``score`` = length ratio × 0.8 + 0.2."""
     hits = contains_join(texts.select(text_id, text), text, terms, term).drop_duplicates([text_id, term])
     hits = hits.withColumn("score", F.length(term) / F.greatest(F.length(text), F.lit(1)) * 0.8 + 0.2).drop(text)
+    return outer_terms(hits, text_id, terms, term)
+
+
+def outer_terms(hits: DataFrame, text_id: str, terms: DataFrame, term: str) -> DataFrame:
+    """Hits (text_id, term, …) without terms inside a longer one of the same text. Whether a term lies inside another depends on the dictionary alone, so the
+    hits of a text are never compared all with all."""
     inner = terms.select(F.col(term).alias("_short")).distinct()
     nested = contains_join(terms.select(F.col(term).alias("_long")).distinct(), "_long", inner, "_short").filter("_long <> _short")
     covered = (

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import MapType, VariantType
 
 from quillstat.keys import KEYS, PREFER_CUMULATIVE, PREFER_HALF_YEAR, EntityKeys, period_ordinal, period_priority
 from quillstat.operators.filters import present_count, row_is_sane
@@ -72,10 +73,15 @@ def rank(df: DataFrame, field: str, top_k: int | None = None, ascending: bool =
     return valid.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """A last tie-break: every column that has an order, so equal keys give the same row in every run."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+
+
 def dedupe_by_table_priority(df: DataFrame, priority: str, metrics: list[str], keys: EntityKeys = KEYS) -> DataFrame:
     """One row per key from the best table that has any of the metrics."""
     present = F.coalesce(*[F.col(m).cast("string") for m in metrics]).isNotNull()
-    return first_rows(df.filter(present), keys.row, [F.col(priority)])
+    return first_rows(df.filter(present), keys.row, [F.col(priority), *all_columns(df)])
 
 
 def best_period_per_entity(df: DataFrame, metrics: list[str], preferred: list[str] | None = None,
@@ -86,6 +92,7 @@ def best_period_per_entity(df: DataFrame, metrics: list[str], preferred: list[st
         period_priority(keys.period, preferred or PREFER_HALF_YEAR).desc(),
         present_count(metrics).desc(),
         F.col(keys.year).desc(),
+        *all_columns(df),
     ]
     return first_rows(df, [keys.code], order)
 
@@ -94,7 +101,7 @@ def best_period_per_year(df: DataFrame, metric: str, preferred: list[str] | None
                          keys: EntityKeys = KEYS) -> DataFrame:
     """One row per entity and year by period preference, with a note when it is not the annual one."""
     best = first_rows(df.filter(F.col(metric).isNotNull()), [keys.code, keys.year],
-                      [period_priority(keys.period, preferred or PREFER_CUMULATIVE).desc()])
+                      [period_priority(keys.period, preferred or PREFER_CUMULATIVE).desc(), *all_columns(df)])
     note = F.when(F.col(keys.period) != "FY",
                   F.concat(F.lit("no annual figure, "), F.col(keys.period), F.lit(" used")))
     return best.withColumn("note", note)
@@ -114,17 +121,17 @@ def period_fallback(df: DataFrame, requested: DataFrame, year: int, metric: str,
 
 
 def latest_per_entity(df: DataFrame, keys: EntityKeys = KEYS) -> DataFrame:
-    return first_rows(df, [keys.code], [F.col(keys.year).desc(), period_ordinal(keys.period).desc()])
+    return first_rows(df, [keys.code], [F.col(keys.year).desc(), period_ordinal(keys.period).desc(), *all_columns(df)])
 
 
 def recent_n(df: DataFrame, n: int, keys: EntityKeys = KEYS) -> DataFrame:
     """The newest ``n`` rows of each entity."""
-    return first_rows(df, [keys.code], [F.col(keys.year).desc(), period_ordinal(keys.period).desc()], n)
+    return first_rows(df, [keys.code], [F.col(keys.year).desc(), period_ordinal(keys.period).desc(), *all_columns(df)], n)
 
 
 def first_row_per_year(df: DataFrame, keys: EntityKeys = KEYS) -> DataFrame:
     """The newest row of each entity and year."""
-    return first_rows(df, [keys.code, keys.year], [period_ordinal(keys.period).desc()])
+    return first_rows(df, [keys.code, keys.year], [period_ordinal(keys.period).desc(), *all_columns(df)])
 
 
 def change_pct(current: Column, previous: Column, digits: int | None = 4) -> Column:

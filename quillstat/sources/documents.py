@@ -12,7 +12,8 @@ def _whole_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, suffix: str = "*.md") -> DataFrame:
-    """(file_name, text) with one whole file per row; undecodable bytes become replacement characters, ``broken_documents`` lists their files."""
+    """(file_name, text) with one whole file per row; undecodable bytes become replacement characters, ``broken_documents`` lists their
+    files. An empty file has no row."""
     return _whole_files(spark, path, suffix).select("file_name", F.make_valid_utf8("_text").alias("text"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,7 +23,9 @@ def _filing_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Every record with the text of those that can't be parsed as ``_broken``; ``source_file`` is the record's own or the name of its file."""
     schema = f"{FILING_SCHEMA}, source_file string, _broken string"
     df = spark.read.schema(schema).options(multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").json(path)
-    return df.withColumn("source_file", F.coalesce("source_file", "_metadata.file_name"))
+    # Fields that a query doesn't ask for aren't parsed, and what isn't parsed can't be found broken: count the fields of every record.
+    fields = reduce(add, [F.col(c).isNotNull().cast("int") for c in df.columns])
+    return df.filter(fields >= 0).withColumn("source_file", F.coalesce("source_file", "_metadata.file_name"))
 
 
 def read_filings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstat.keys import KEYS, EntityKeys
-from quillstat.operators.windows import first_rows
+from quillstat.operators.windows import all_columns, first_rows
 
 
 def read_statements(spark: SparkSession, path: str, columns: list[str] | None = None, fmt: str = "parquet",
@@ -40,9 +40,9 @@ def export_table(df: DataFrame, prefix: str, path: str, fmt: str = "csv", column
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Insert or overwrite on a key; of several source rows with one key the first in ``order`` wins."""
-    src = first_rows(source, keys, order) if order else source
+    src = first_rows(source, keys, [*order, *all_columns(source)]) if order else source
     rows = src.withColumn("_new", F.lit(1)).unionByName(target.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    return first_rows(rows, keys, [F.col("_new").desc()]).drop("_new")
+    return first_rows(rows, keys, [F.col("_new").desc(), *all_columns(rows)]).drop("_new")
 
 
 def merge_facts(target: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:

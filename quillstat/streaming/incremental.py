@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstat.operators.windows import first_rows
+from quillstat.operators.windows import all_columns, first_rows
 
 KEYS = ["stock_code", "report_year", "report_period"]
 
@@ -22,7 +22,7 @@ def incremental_load(spark: SparkSession, source: str, target: str, schema: str,
     reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader
 
     def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        latest = first_rows(batch, keys, [F.col(order).desc()]) if order else batch.dropDuplicates(keys)
+        latest = first_rows(batch, keys, [*([F.col(order).desc()] if order else []), *all_columns(batch)])
         latest.write.mode("overwrite").parquet(f"{target}/rows/epoch={epoch}")
 
     query = (reader.load(source).writeStream.foreachBatch(upsert_batch).option("checkpointLocation", f"{target}/_stream")
@@ -34,7 +34,7 @@ def current_rows(spark: SparkSession, target: str, keys: list[str] | None = None
     """The newest row per key: by ``order`` when given, else by epoch."""
     rows = spark.read.option("basePath", f"{target}/rows").parquet(f"{target}/rows")
     by = [F.col(order).desc()] if order else []
-    return first_rows(rows, keys or KEYS, [*by, F.col("epoch").desc()]).drop("epoch")
+    return first_rows(rows, keys or KEYS, [*by, F.col("epoch").desc(), *all_columns(rows)]).drop("epoch")
 
 
 def compact(spark: SparkSession, target: str, into: str, keys: list[str] | None = None, order: str | None = None) -> None:

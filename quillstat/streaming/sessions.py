@@ -105,8 +105,8 @@ class _SlotCarrier(StatefulProcessor):
     there one by one.
     """
 
-    def __init__(self, kept: list[str], ts: str, slots: list[str], types: str, idle: int):
-        self.kept, self.ts, self.slots, self.types, self.idle = kept, ts, slots, types, idle * 1_000_000
+    def __init__(self, kept: list[str], ts: str, slots: list[str], types: str, idle: int, waits: bool):
+        self.kept, self.ts, self.slots, self.types, self.idle, self.waits = kept, ts, slots, types, idle * 1_000_000, waits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -118,11 +118,15 @@ class _SlotCarrier(StatefulProcessor):
             at = frame[self.ts].astype("datetime64[us]").astype("int64").tolist()
             values = frame[[*self.kept, *self.slots]].astype(object).where(frame[[*self.kept, *self.slots]].notna(), None)
             self.waiting.appendList([(t, *v) for t, v in zip(at, values.itertuples(index=False, name=None))])
-            self.handle.registerTimer(min(at) // 1000 + 1)
-        yield from ()
+            if self.waits:
+                self.handle.registerTimer(min(at) // 1000 + 1)
+        if not self.waits:
+            yield from self._released(float("inf"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self._released(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _released(self, passed: float) -> Iterator[pd.DataFrame]:
         turns = [tuple(t) for t in self.waiting.get()] if self.waiting.exists() else []
         ready, left = [t for t in turns if t[0] <= passed], [t for t in turns if t[0] > passed]
         if not ready:
@@ -150,18 +154,20 @@ class _SlotCarrier(StatefulProcessor):
         pass
 
 
-def carry_slots_stream(turns: DataFrame, key: str, ts: str, slots: list[str], idle: int = IDLE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+def carry_slots_stream(turns: DataFrame, key: str, ts: str, slots: list[str], idle: int = IDLE_SECONDS, delay: str | None = None) -> DataFrame:
     """Stream form of the carry-forward: open slots inherit the latest value of the session, which ends after ``idle`` seconds.
 
-    A turn comes out once the watermark, ``delay`` behind the latest event, has passed it, so turns may arrive in any order within the delay and over
-    several micro-batches. Later ones are dropped; turns of the last ``delay`` wait for further events.
+    With ``delay`` a turn comes out once the watermark, that far behind the latest event, has passed it, so turns may arrive in any order within the delay and
+    over several micro-batches; later ones are dropped, turns of the last ``delay`` wait for further events. Without it the turns of a micro-batch come out
+    at once, in order, and those of earlier batches must be the earlier ones.
     """
     kept = [c for c in turns.columns if c not in (ts, *slots)]
     types = [f"{c} {turns.schema[c].dataType.simpleString()}" for c in kept] + [f"{s} string" for s in slots]
-    rows = turns.select(F.col(ts).cast("timestamp").alias(ts), *kept, *[F.col(s).cast("string").alias(s) for s in slots]).withWatermark(ts, delay)
+    rows = turns.select(F.col(ts).cast("timestamp").alias(ts), *kept, *[F.col(s).cast("string").alias(s) for s in slots])
+    rows = rows.withWatermark(ts, delay) if delay else rows
     out = rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_SlotCarrier(kept, ts, slots, ", ".join(types), idle), outputStructType=", ".join([f"{ts} timestamp", *types]),
-        outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_SlotCarrier(kept, ts, slots, ", ".join(types), idle, delay is not None), outputStructType=", ".join([f"{ts} timestamp", *types]),
+        outputMode="Append", timeMode="EventTime" if delay else "None")
     return out.select(*turns.columns)
 
 

@@ -10,6 +10,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillstat.functions import fixed
 from quillstat.operators import blocked, chunking, mapping, matching, pages, questions, retrieval, stats, windows
 from quillstat.session import work_path
 from quillstat.streaming import sessions
@@ -342,7 +343,7 @@ def test_slots_over_several_batches_out_of_order(spark):
     rows.append((99, 0, max(x[2] for x in rows) + datetime.timedelta(days=1), None))
     stream = arriving(spark, work_path(spark, "turns"), rows, schema, [*files, [len(rows) - 1]])
     path = work_path(spark, "slots")
-    sessions.run_available(sessions.carry_slots_stream(stream, "user", "ts", ["slot"]), path)
+    sessions.run_available(sessions.carry_slots_stream(stream, "user", "ts", ["slot"], delay="10 minutes"), path)
     got = {(x.user, x.k): x.slot for x in spark.read.parquet(f"{path}/data").collect()}
     want = {}
     for user in range(6):
@@ -367,3 +368,21 @@ def test_sessions_merge_over_several_batches(spark):
     batch = sessions.session_activity(spark.createDataFrame(rows, schema), "user", "ts")
     assert got == sorted((x.user, x.session_start, x.session_end, x.n_events) for x in batch.collect())
     assert [x[3] for x in got if x[0] == 50] == [3]
+
+
+def test_label_candidates_are_few_and_complete(spark):
+    """The bound drops most names that share a character, and none that would be mapped."""
+    r = random.Random(5)
+    names = sorted({label for *_, label in fixed.FIELDS})
+    labels = {r.choice(["", "本期", "期末", "其中：", "减："]) + (n if r.random() < 0.5 else n[: r.randint(1, len(n))] + r.choice(["合计", "净额", "", "额"])) for n in names for _ in range(4)}
+    labels = sorted(x for x in labels if len(x) >= 2)
+    std = spark.createDataFrame([(label, f, t) for f, t, _, label in fixed.FIELDS], "standard string, field string, table_name string")
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    kept = {(x.label, x.standard) for x in mapping.label_candidates(df, "label", std, 20).collect()}
+    sharing = {(x, n) for x in labels for n in names if set(x) & set(n)}
+    assert kept <= sharing and len(kept) < 0.6 * len(sharing)
+    scored = spark.createDataFrame(sorted(sharing), "a string, s string").withColumn("lex", mapping.lexical_score(F.col("a"), F.col("s")))
+    rest = mapping.without_prefix(F.col("a"))
+    bonus = F.when((F.length(rest) >= 2) & (mapping.lexical_score(rest, F.col("s")) > 20), 15).otherwise(0)
+    for x in scored.withColumn("most", F.col("lex") + bonus + 15 + 20 + 10).collect():
+        assert (x.a, x.s) in kept or (x.most < 55 and x.a not in x.s and x.s not in x.a), x

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.textclean import clean_all
 from quillstat.plans.filings import load_filings
+from quillstat.session import work_path
 from quillstat.sources import documents, filings, statements
+from quillstat.sources.bucketed import BucketedTable
 from quillstat.streaming import incremental, sessions
 
 
@@ -108,3 +110,62 @@ def test_entry(spark, name, rows):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == rows and name in entry.queries()
+
+
+def test_a_load_rewrites_its_own_buckets(spark):
+    """Ten keys touch their buckets only; a load cut off after staging is finished by the next one, one cut off before has changed nothing."""
+    import os
+
+    path = work_path(spark, "bucketed")
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit("a").alias("w"))
+    out = BucketedTable(spark, path, ["k"], 64)
+    out.create(rows)
+
+    def files():
+        return {d: {f: os.stat(f"{path}/rows/{d}/{f}").st_mtime_ns for f in os.listdir(f"{path}/rows/{d}")} for d in os.listdir(f"{path}/rows") if d.startswith("_bucket=")}
+
+    before = files()
+    new = spark.createDataFrame([(i * 37, -i, "b") for i in range(9)] + [(99_999, 1, "b")], "k long, v long, w string")
+    touched = out.upsert(new)
+    after = files()
+    assert len(before) == 64 and 0 < len(touched) <= 10 and {int(d.split("=")[1]) for d in after if after[d] != before[d]} == set(touched)
+    want = {i: (2 * i, "a") for i in range(5000)} | {i * 37: (-i, "b") for i in range(9)} | {99_999: (1, "b")}
+    assert {r.k: (r.v, r.w) for r in out.read().collect()} == want
+    out.merge_facts(spark.createDataFrame([(5, 55), (70_000, 7)], "k long, v long"))
+    want |= {5: (55, "a"), 70_000: (7, None)}
+    assert {r.k: (r.v, r.w) for r in out.read().collect()} == want
+    apply = BucketedTable._apply
+    BucketedTable._apply = lambda self, staged: (_ for _ in ()).throw(RuntimeError("lost"))
+    try:
+        with pytest.raises(RuntimeError):
+            out.upsert(spark.createDataFrame([(6, 66, "c")], "k long, v long, w string"))
+    finally:
+        BucketedTable._apply = apply
+    spark.createDataFrame([(7, 0, "x")], "k long, v long, w string").write.parquet(f"{path}/staged/half")
+    os.remove(f"{path}/staged/half/_SUCCESS")
+    assert {r.k: (r.v, r.w) for r in out.read().collect()} == want
+    out.recover()
+    assert {r.k: (r.v, r.w) for r in out.read().collect()} == want | {6: (66, "c")} and os.listdir(f"{path}/staged") == []
+
+
+def test_broken_filings_are_set_aside(spark, tmp_path):
+    """One record per file: unreadable ones, wrong types and records without a company are quarantined, summaries skipped."""
+    (tmp_path / "good.json").write_text('{"stock_code": "600001", "report_year": 2020, "data": {"income_sheet": {"net_profit": 1.5}}}')
+    (tmp_path / "cut.json").write_text('{"stock_code": "600002", "report_year": ')
+    (tmp_path / "nobody.json").write_text('{"report_year": 2020}')
+    (tmp_path / "x_summary.json").write_text('{"oops"')
+    (tmp_path / "typed.json").write_text('{"stock_code": "600003", "report_year": "no year"}')
+    assert [r.stock_code for r in filings.read_filings(spark, str(tmp_path)).collect()] == ["600001"]
+    got = {r.source_file: (r.reason, r.content) for r in filings.broken_filings(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"cut.json": "unreadable", "nobody.json": "unnamed", "typed.json": "unreadable"}
+    assert got["cut.json"][1] == '{"stock_code": "600002", "report_year": ' and got["nobody.json"][1] is None
+
+
+def test_broken_documents_are_listed(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("# 标题\nok".encode())
+    (tmp_path / "b.md").write_bytes(b"bad \xff\xfe bytes")
+    (tmp_path / "c.txt").write_bytes(b"\xff")
+    (tmp_path / "d.md").write_bytes(b"")
+    got = {r.file_name: r.text for r in documents.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": "# 标题\nok", "b.md": "bad \ufffd\ufffd bytes"}  # an empty file has no row
+    assert [tuple(r) for r in documents.broken_documents(spark, str(tmp_path)).collect()] == [("b.md", 12, 2)]
