@@ -566,3 +566,83 @@ def test_licenses_in_long_texts(spark):
     assert got[1].n_base == 3 * 4000 and got[1].first_word == 0 and got[1].last_word == 19 * 4000 - 3
     for i, n in ((1, 4000), (2, 1), (3, 2)):
         assert got[i].labels == "cc-by,cc-by-sa-4.0,gpl,gpl-2-or-later,reserved" and len(got[i].detections) == 3 * n
+
+
+def test_language_kernel_against_brute_force():
+    """Kernel values, the Nyström map and the ridge scores by their definitions, gram by gram."""
+    r = np.random.default_rng(4)
+    speech = {"a": "the of and there which".split(), "b": "der die und nicht über".split(), "c": "que los una está año".split()}
+    langs = [("a", "b", "c")[i % 3] for i in range(45)]
+    texts = [" ".join(r.choice(speech[g], 9)) for g in langs]
+    model = langid.KernelModel(texts, langs, 12)
+
+    def fold(t):
+        return bytes(b + 32 if 65 <= b < 91 else 32 if b < 128 and not chr(b).isalpha() else b for b in t.encode())
+
+    def grams(t):
+        t = fold(t)
+        codes = [(n, int.from_bytes(t[i : i + n], "big")) for n in langid.ORDERS for i in range(len(t) - n + 1)]
+        return {((code + n) * 2654435769 % 2**32) >> (32 - langid.SLOT_BITS) for n, code in codes}
+
+    order = sorted(range(45), key=lambda i: (langs[: i + 1].count(langs[i]), langs[i]))[:12]
+    landmarks = [grams(texts[i]) for i in order]
+    held = collections.Counter(x for g in landmarks for x in g)
+    known = {x for x, n in held.items() if n > 1}
+    kernel = lambda x, y: len(x & y & known) / np.sqrt(max(1, len(x & known)) * max(1, len(y & known)))
+    asked = texts[:20] + ["", "x", "Über die THE que"]
+    want = np.array([[kernel(grams(t), g) for g in landmarks] for t in asked])
+    assert np.abs(model.kernel(pa.array(asked)) - want).max() < 1e-5
+    between = np.array([[kernel(x, y) for y in landmarks] for x in landmarks])
+    values, vectors = np.linalg.eigh(between)
+    root = vectors / np.sqrt(np.maximum(values, langid.JITTER))
+    mapped = np.array([[kernel(grams(t), g) for g in landmarks] for t in texts]) @ root
+    signs = np.array([[1.0 if x == g else -1.0 for x in model.names] for g in langs])
+    weights = np.linalg.solve(mapped.T @ mapped + langid.RIDGE * len(texts) * np.eye(12), mapped.T @ signs)
+    scores = want @ root @ weights
+    best, score = model.predict(pa.array(asked))
+    assert best.tolist() == scores.argmax(axis=1).tolist() and np.abs(model.kernel(pa.array(asked)) @ model.scorer - scores).max() < 1e-2
+
+
+def test_language_sample_is_thresholded(spark):
+    """Many rows of one language: the rows learned are the first of its hashed order, as without the threshold."""
+    rows = [(i, f"the word {i} of and there", "en") for i in range(6000)] + [(10_000 + i, f"der die und {i}", "de") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert model.names == ["de", "en"]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(df, model).collect()}
+    assert np.mean([got[i] == g for i, _, g in rows]) > 0.99
+
+
+def test_chat_odd_conversations(spark):
+    """Empty table, repeated turns, columns of other names that clash, and one very long conversation."""
+    schema = "conv_id long, turn long, role string, text string"
+    none = chat.conversation_digests(chat.format_turns(chat.text_messages(spark.createDataFrame([], schema))))
+    assert none.count() == 0
+    long = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} <|end|> \\" * (t % 7)) for t in range(6000)]
+    rows = long + [(2, 0, "user", "hi"), (2, 1, "assistant", "same"), (2, 1, "assistant", "same"), (3, 0, "assistant", "x" * 400_000)]
+    df = spark.createDataFrame(rows, schema).withColumn("content", F.lit("clash")).withColumn("formatted", F.lit("clash")).withColumn("loss_start", F.lit("clash")).repartition(5)
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(chat.text_messages(df))).collect()}
+    for i in (1, 2, 3):
+        mine = [x for x in rows if x[0] == i]
+        said = "".join(x[3] for x in mine if x[2] == "assistant")
+        assert got[i].turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest(), i
+        assert (got[i].n_turns, got[i].loss_chars, got[i].loss_sha256) == (len(mine), len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    """Stage by stage on a small corpus: junk, repeated lines and near copies go, the others stay as they are."""
+    clean = {i: text(1000 + i, 120) for i in range(12)}
+    rows = [(i, t, "en", f"src{i % 2}") for i, t in clean.items()]
+    rows += [(100, "too short", "en", "src0"), (101, clean[3].replace(clean[3].split()[5], "changed", 1), "en", "src1"), (102, clean[4].split("\n")[0] + "\n" + text(2000, 90), "en", "src0")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["quality_rules"](spark, docs, "")
+    assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t, *_ in rows if i != 100}
+    after = {r.doc_id: r.text for r in stages["line_dedup"](spark, after, "").collect()}
+    assert {i: after[i] for i in clean} == clean and after[102] == text(2000, 90) and len(after.get(101, "").split("\n")) < 5
+    near = spark.createDataFrame([(1, " ".join(clean[1].split()), "en", "s", 0), (2, " ".join(clean[1].split()[:-1]), "en", "s", 0), (3, clean[2], "en", "s", 0)], SCHEMA)
+    assert {r.doc_id for r in stages["minhash_near_dedup"](spark, near, "").collect()} == {1, 3}
+    mixed = stages["source_mixing"](spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= {(i, t) for i, t, *_ in rows} and len(mixed) == len({r.doc_id for r in mixed}) >= 11
+    packed = stages["best_fit_packing"](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {i for i, *_ in rows}
