@@ -405,7 +405,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
 
     A line is the set of its distinct words in lower case; lines are ordered by doc_id and number, and two match if
     ``100 * |A & B| >= percent * |A | B|``. Lines are judged on the input, so a line also goes if the line it matches goes. Lines of fewer than
-    ``least`` distinct words take no part, nor do rows without doc_id or text. Rows with the same doc_id share line numbers.
+    ``least`` distinct words take no part, nor do rows without doc_id or text. Rows with the same doc_id share line numbers. Texts and lines of any
+    length are whole; an empty table gives no rows.
     """
     rarity, common_from = token_rarity(docs)
     size = documents(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0

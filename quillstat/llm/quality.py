@@ -78,7 +78,8 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     the lines that go) and ``kept``.
 
     A row is kept unless its base rules fail or the frequent lines of its host hold at least ``depleted`` of its words. A null
-    text is empty and fails; a null host is the host ''. Repeated rows each get the same verdict; an empty table gives no rows.
+    text is empty and fails; a null host is the host ''. Repeated rows each get the same verdict; texts of any length are measured whole in
+    their row; an empty table gives no rows.
     """
     lines = host_lines(docs, source)
     removed = (
