@@ -9,6 +9,8 @@ from quillstat.session import work_path
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shards grow in number with the input; beyond this many, several go through one partition one after the other.
+MOST_PARTITIONS = 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

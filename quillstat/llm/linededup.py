@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, taken, unpack
-from quillstat.llm.common import cells, documents, written
+from quillstat.llm.common import MOST_PARTITIONS, cells, documents, written
 from quillstat.llm.neardup import _in_cells
 from quillstat.llm.words import mix
 
@@ -330,8 +330,9 @@ def matching_lines(docs: DataFrame, rarity: bytes, common_from: int, percent: in
         return pa.table({m: pa.array(np.concatenate(v).astype("int32" if m in ints else "int64")) for m, v in columns.items()})
 
     rows = documents(docs, "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    met = rows.mapInArrow(deal, "shard long, packed binary").repartition(shards, "shard").groupBy("shard").applyInArrow(meet, BLOBS)
-    return met.repartition(shards, "shard").groupBy("shard").applyInArrow(settle, MATCHES)
+    partitions = min(shards, MOST_PARTITIONS)
+    met = rows.mapInArrow(deal, "shard long, packed binary").repartition(partitions, "shard").groupBy("shard").applyInArrow(meet, BLOBS)
+    return met.repartition(partitions, "shard").groupBy("shard").applyInArrow(settle, MATCHES)
 
 
 def size_classes(percent: int, most: int = 1 << 40) -> list[int]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cells, documents, written
+from quillstat.llm.common import MOST_PARTITIONS, cells, documents, written
 from quillstat.llm.components import connected_components
 from quillstat.llm.words import Signer, mix, shingle_sets
 
@@ -121,7 +121,7 @@ def shared_keys(signatures: DataFrame, shards: int) -> DataFrame:
         pairs = np.unique(np.stack([pivots, ids])[:, pivots != ids], axis=1)
         return pa.table({"pivot": pairs[0], "id": pairs[1]})
 
-    dealt = signatures.select("id", "signature").mapInArrow(deal, "shard long, packed binary").repartition(shards, "shard")
+    dealt = signatures.select("id", "signature").mapInArrow(deal, "shard long, packed binary").repartition(min(shards, MOST_PARTITIONS), "shard")
     return dealt.groupBy("shard").applyInArrow(meet, "pivot long, id long")
 
 

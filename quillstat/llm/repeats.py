@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, ragged, taken, unpack
-from quillstat.llm.common import documents
+from quillstat.llm.common import MOST_PARTITIONS, documents
 from quillstat.llm.linededup import text_bytes
 from quillstat.llm.suffixes import common_prefixes, suffix_array, words_at
 from quillstat.llm.words import mix
@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     named, bare = d.where("doc_id IS NOT NULL"), d.where("doc_id IS NULL")
-    spread = lambda df, n=shards: df.repartition(n, "shard").groupBy("shard")
+    spread = lambda df, n=shards: df.repartition(min(n, MOST_PARTITIONS), "shard").groupBy("shard")
     segment_shards = SEGMENT_SHARDS * shards
     # The document's shard is computed by the same function here and in the tasks.
     texts = named.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(doc_shard(b.column(0).to_numpy(), shards)), b.column(0), b.column(1)], ["shard", "doc_id", "text"]) for b in batches), "shard long, doc_id long, text string")
