@@ -418,9 +418,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     pairs = written(pairs.join(exact, (F.col("doc") == exact["doc_id"]) & (pairs["line"] == exact["line"]), "left_anti"), "pairs")
 
     large = _by_size(found.where("kind = 2").drop("n_rows").withColumn("id", F.xxhash64("doc", "line")), percent)
-    # In a large group each line is first compared with one line only, the earliest of its groups: in a group of copies that settles nearly all.
+    # In large groups each line is first compared with two lines only, the first and the last of the earliest lines of its groups: copies settle there.
     earliest = large.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("other"))
-    first = large.join(earliest, "key").where("struct(doc, line) > other").groupBy("doc", "line").agg(F.min("other").alias("other"))
+    first = large.join(earliest, "key").where("struct(doc, line) > other").groupBy("doc", "line").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    first = first.select("doc", "line", F.explode(F.array_distinct(F.array("low", "high"))).alias("other"))
     first = first.select(F.lit(1).alias("kind"), "doc", "line", F.col("other.doc").alias("other_doc"), F.col("other.line").alias("other_line"))
     first = first.join(exact.select(F.col("doc_id").alias("doc"), "line"), ["doc", "line"], "left_anti")
     pairs = written(pairs.unionByName(first), "all-pairs")
