@@ -29,7 +29,8 @@ def top_n_revenue(spark, sf_dir):
 
 @query("lookup_by_name_part", "FLT1 CP8 FLT5", sql(
     f"SELECT {DIMS}, total_operating_revenue, net_profit, false AS substituted FROM income "
-    "WHERE report_year=1998 AND report_period='FY' AND (stock_abbr='Supplier#000000007' OR stock_code='000012' OR stock_abbr LIKE '%#00000002%')"))
+    # each name is looked for as a name, a code and a part of a name: 000012 also lies in Supplier#000000120
+    "WHERE report_year=1998 AND report_period='FY' AND (" + " OR ".join(f"stock_abbr='{x}' OR stock_code='{x}' OR contains(stock_abbr,'{x}')" for x in ("Supplier#000000007", "000012", "#00000002")) + ")"))
 def lookup_by_name_part(spark, sf_dir):
     request = MetricRequest("lookup", ["total_operating_revenue", "net_profit"], ["seven", "000012", "#00000002"],
                             year=1998, period="全年", aliases={"seven": "Supplier#000000007"})
