@@ -13,21 +13,23 @@ from quillstat.streaming import incremental, sessions
 FILES = 4
 
 
-def event_stream(spark, sf_dir, closing: bool = False):
-    """The events as a stream of several files, one per micro-batch, each up to eight minutes out of order and reaching into the next file. ``closing`` adds a
-    file with one event a day later, of a user of its own, which lets the watermark pass all others."""
+def over_arrivals(spark, sf_dir, process, closing: bool = False):
+    """Call ``process(stream)`` after each of several arrivals of events, all read by one stream: each is written by as many tasks as the table has splits, is up to
+    eight minutes out of order and reaches into the next one. ``closing`` adds one event a day later, of a user of its own, which lets the watermark pass all others."""
     path = work_path(spark, "arriving")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(480_000_000))
-    bounds = events.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high"), F.max("ts").alias("newest"))
-    dealt = events.crossJoin(F.broadcast(bounds)).withColumn("file", F.least(F.lit(FILES - 1), F.floor((arrival - F.col("low")) * FILES / F.greatest(F.col("high") - F.col("low"), F.lit(1)))))
-    for i in range(FILES):  # one after the other: a file source reads in order of modification
-        dealt.filter(F.col("file") == i).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    newest = events.agg(F.max("ts").alias("newest"))
+    bounds = events.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    file = F.least(F.lit(FILES - 1), F.floor((arrival - F.lit(bounds.low)) * FILES / F.lit(max(bounds.high - bounds.low, 1) if bounds.low is not None else 1)))
+    parts = [events.filter(file == i) for i in range(FILES)]
     if closing:
         nulls = [F.lit(None).cast(t).alias(c) for c, t in events.dtypes if c not in ("user_id", "ts")]
-        last = bounds.select(F.lit(-1).cast(dict(events.dtypes)["user_id"]).alias("user_id"), (F.col("newest") + F.expr("INTERVAL 1 DAY")).alias("ts"), *nulls)
-        last.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        last = newest.select(F.lit(-1).cast(dict(events.dtypes)["user_id"]).alias("user_id"), (F.col("newest") + F.expr("INTERVAL 1 DAY")).alias("ts"), *nulls)
+        parts.append(last.select(*events.columns))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        process(spark.readStream.schema(events.schema).parquet(path))
 
 
 def _wall_clock():
@@ -50,7 +52,7 @@ def session_activity(spark, sf_dir):
 def session_activity_stream(spark, sf_dir):
     sessions.use_rocksdb(spark)
     path = work_path(spark, "sessions")
-    sessions.run_session_updates(sessions.session_updates(event_stream(spark, sf_dir), "user_id", "ts"), path)
+    over_arrivals(spark, sf_dir, lambda events: sessions.run_session_updates(sessions.session_updates(events, "user_id", "ts"), path))
     return sessions.current_sessions(spark, path, "user_id").select("user_id", *_wall_clock(), "n_events")
 
 
@@ -61,10 +63,14 @@ def carry_slots_stream(spark, sf_dir):
     sessions.use_rocksdb(spark)
     path = work_path(spark, "slots")
     t = F.col("event_type")
-    turns = event_stream(spark, sf_dir, closing=True).select(
-        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(t == "purchase", F.concat(F.lit("C"), (F.col("event_id") % 9).cast("string"))).alias("company"),
-        F.when(t.isin("click", "purchase"), F.concat(F.lit("I"), (F.col("event_id") % 4).cast("string"))).alias("indicator"))
-    sessions.run_available(sessions.carry_slots_stream(turns, "user_id", "ts", ["company", "indicator"], delay="10 minutes"), path)
+
+    def process(events):
+        turns = events.select(
+            "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(t == "purchase", F.concat(F.lit("C"), (F.col("event_id") % 9).cast("string"))).alias("company"),
+            F.when(t.isin("click", "purchase"), F.concat(F.lit("I"), (F.col("event_id") % 4).cast("string"))).alias("indicator"))
+        sessions.run_available(sessions.carry_slots_stream(turns, "user_id", "ts", ["company", "indicator"], delay="10 minutes"), path)
+
+    over_arrivals(spark, sf_dir, process, closing=True)
     return spark.read.parquet(f"{path}/data").select("user_id", "event_id", "company", "indicator")
 
 

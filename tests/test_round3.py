@@ -4,6 +4,9 @@ import datetime
 
 import check_oracle
 import duckdb
+from pyspark.sql import Row
+
+from quillstat.streaming import sessions
 
 LINEITEM = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
             "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
@@ -34,3 +37,29 @@ def test_word_number_at_two_places(spark, tmp_path):
     # from a million parts on, line 1 of part 1000005 and line 2 of part 5 have the same word number
     lines = [line(order=o, part=p, number=n, quantity=3) for o in (1, 2) for n, p in ((1, 1_000_005), (2, 5), (2, 5), (3, 7))]
     assert message(spark, tmp_path, "assign_columns", lineitem=(lines, LINEITEM)) == (6, "")
+
+
+def test_messages_to_the_state_do_not_grow_with_sessions():
+    """Sessions of a key share one read, one write and one timer in a micro-batch."""
+
+    class Handle:
+        calls = 0
+
+        def getValueState(self, *_):
+            return self
+
+        def call(self, *_):
+            Handle.calls += 1
+
+        get = update = clear = registerTimer = call
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    merger = sessions._SessionMerger("user", 1_800_000_000)
+    merger.init(Handle())
+    rows = [Row(_at=k * 3_600_000_000) for k in range(500)]
+    got = list(merger.handleInputRows((7,), iter(rows), Times()))
+    assert [(x.user, x.first, x.end, x.n_events, x.alive) for x in got] == [(7, r._at, r._at + 1_800_000_000, 1, True) for r in rows]
+    assert Handle.calls <= 3
