@@ -11,7 +11,7 @@ from quillstat.functions import fixed
 from quillstat.functions.numbers import normalize
 from quillstat.operators import mapping, pages, quality
 from quillstat.operators.windows import first_rows
-from quillstat.session import broadcast_if_small, durable
+from quillstat.session import broadcast_if_small, durable, stored
 from quillstat.sources import filings as source
 from quillstat.sources import statements as store
 
@@ -23,8 +23,8 @@ def clean_cells(cells: DataFrame, table: list[str]) -> tuple[DataFrame, DataFram
 
     Every step looks at its input more than once (sizes, then rows), so the input of each is stored.
     """
-    heads, data = pages.split_header(durable(pages.sparse_columns(cells, table)), table)
-    return durable(heads), pages.merge_split_rows(durable(data), table)
+    heads, data = pages.split_header(stored(pages.sparse_columns(cells, table)), table)
+    return stored(heads), pages.merge_split_rows(stored(data), table)
 
 
 def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame, table: list[str], filing: list[str] = FILING,
@@ -34,7 +34,7 @@ def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame
     ``cells`` has the filing keys, the columns of ``table`` (which include table_name), row, col, text and
     unit_factor; ``dictionary`` is (standard, field, table_name) and ``fields`` (field, unit).
     """
-    cells = durable(cells)
+    cells = stored(cells)
     heads, data = clean_cells(cells, table)
     info = cells.groupBy(*table).agg(*[F.first(c).alias(c) for c in filing if c not in table], F.first("unit_factor").alias("unit_factor"))
     target = pages.target_columns(heads, table)
@@ -42,12 +42,12 @@ def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame
     rows = data.join(target, table).groupBy(*table, "row").agg(
         F.max(F.when(F.col("col") == 0, text)).alias("label"),
         F.max(F.when(F.col("col") == F.col("target_col"), text)).alias("raw")).join(info, table)
-    mapped = mapping.map_fields(durable(rows.filter(F.col("label").isNotNull())), dictionary, "label", "table_name", pool, history)
+    mapped = mapping.map_fields(stored(rows.filter(F.col("label").isNotNull())), dictionary, "label", "table_name", pool, history)
     units = fields.select("field", "unit")
     valued = mapped.filter(F.col("field").isNotNull()).join(broadcast_if_small(units), "field").withColumn(
         "value", normalize(F.col("raw"), F.col("unit_factor"), F.col("unit"), digits=digits))
     best = mapping.best_value_per_field(valued, [*filing, "table_name"])
-    return mapping.cross_fill(durable(best.select(*filing, "table_name", "field", "value")), filing)
+    return mapping.cross_fill(stored(best.select(*filing, "table_name", "field", "value")), filing)
 
 
 @dataclass

@@ -59,6 +59,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: for many rows with repeated keys, which a checkpoint writes out in full."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
     """Broadcast hint only when rows and bytes (as JSON) are proven to be within both limits.
 

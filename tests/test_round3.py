@@ -5,7 +5,9 @@ import datetime
 import check_oracle
 import duckdb
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from quillstat.session import shared_dir, stored
 from quillstat.streaming import sessions
 
 LINEITEM = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
@@ -63,3 +65,13 @@ def test_messages_to_the_state_do_not_grow_with_sessions():
     got = list(merger.handleInputRows((7,), iter(rows), Times()))
     assert [(x.user, x.first, x.end, x.n_events, x.alive) for x in got] == [(7, r._at, r._at + 1_800_000_000, 1, True) for r in rows]
     assert Handle.calls <= 3
+
+
+def test_stored_cells_are_small(spark):
+    """Cells repeat their keys in every row; a checkpoint writes them out, a stored table doesn't."""
+    cells = spark.range(20_000).select(F.lit("000012").alias("stock_code"), F.lit("Supplier#000000012").alias("stock_abbr"), (F.col("id") % 5).alias("col"), F.col("id").alias("row"))
+    before = spark.sparkContext._jvm.java.io.File(shared_dir(spark))
+    table = stored(cells, "small-cells")
+    folder = next(f for f in before.listFiles() if f.getName().startswith("small-cells"))
+    assert sum(f.length() for f in folder.listFiles()) < 20_000 * 16
+    assert table.schema == cells.schema and table.exceptAll(cells).isEmpty() and table.count() == 20_000
