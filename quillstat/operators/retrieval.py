@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillstat.functions.expr import settled
 from quillstat.functions.textclean import tokenize
 from quillstat.operators.windows import first_rows
-from quillstat.session import durable, spread
+from quillstat.session import broadcast_if_small, durable, spread
 
 K1, B = 1.5, 0.75
 #: Documents of a block of postings; vectors and queries of a block of the vector search, queries multiplied at a time.
@@ -45,7 +45,7 @@ def postings(rows: DataFrame, doc_id: str, vocabulary: DataFrame | None = None)
     """(doc_id, doc_len, term, tf); with a vocabulary other terms are dropped before anything is shuffled."""
     t = rows.select(doc_id, "doc_len", F.explode("tokens").alias("term"))
     if vocabulary is not None:
-        t = t.join(vocabulary.select("term").distinct(), "term", "left_semi")
+        t = t.join(broadcast_if_small(vocabulary.select("term").distinct()), "term", "left_semi")
     return t.groupBy(doc_id, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -71,9 +71,15 @@ def weighted_postings(posting: DataFrame, weights: DataFrame, doc_id: str, k1: f
     return posting.join(weights, "term").select(doc_id, "term", w.alias("weight"), block_of(doc_id, F.col("n_docs")).alias("block"))
 
 
+def by_block(df: DataFrame) -> DataFrame:
+    """Rows of a block in one partition, so what is asked of a block meets its postings there and scores are added up without another shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+
+
 def _block_scores(weighted: DataFrame, asked: DataFrame, doc_id: str, query_id: str) -> DataFrame:
     """(query_id, doc_id, score) of the documents of the asked (query, block, term)."""
-    return weighted.join(asked.select(query_id, "block", "term"), ["block", "term"]).groupBy(query_id, doc_id).agg(F.sum("weight").alias("score"))
+    met = by_block(weighted).join(by_block(asked.select(query_id, "block", "term")), ["block", "term"])
+    return met.groupBy("block", query_id, doc_id).agg(F.sum("weight").alias("score")).drop("block")
 
 
 def block_bounds(weighted: DataFrame, terms: DataFrame, k: int, doc_id: str, query_id: str, maxima: DataFrame | None = None,
@@ -84,8 +90,8 @@ def block_bounds(weighted: DataFrame, terms: DataFrame, k: int, doc_id: str, que
     the ``seed_blocks`` blocks with the highest bounds: no document of a block whose bound is lower can be among the k best.
     """
     if maxima is None:
-        maxima = weighted.groupBy("block", "term").agg(F.max("weight").alias("largest"))
-    asked = terms.join(maxima, "term")
+        maxima = by_block(weighted).groupBy("block", "term").agg(F.max("weight").alias("largest"))
+    asked = broadcast_if_small(terms).join(maxima, "term")
     bounds = asked.groupBy(query_id, "block").agg(F.sum("largest").alias("bound"))
     seeds = first_rows(bounds, [query_id], [F.col("bound").desc(), F.col("block")], seed_blocks)
     seen = ranked(_block_scores(weighted, asked.join(seeds.select(query_id, "block"), [query_id, "block"], "left_semi"), doc_id, query_id), query_id, doc_id, k, digits)
@@ -114,10 +120,16 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "d
     terms = query_terms(queries, query_id, query_text, tokens)
     # document frequencies and scores read the same postings: write them once instead of tokenising twice
     post = durable(postings(rows, doc_id, terms))
-    weights = idf(post, corpus_size(rows))
+    weights = broadcast_if_small(durable(idf(post, corpus_size(rows))))
     candidates = post if prefilter is None else post.join(prefilter.select(doc_id), doc_id, "left_semi")
-    weighted = durable(weighted_postings(candidates, weights, doc_id).repartition("block"))
-    return ranked(bm25_scores(weighted, terms, k, doc_id, query_id), query_id, doc_id, k)
+    weighted = durable(weighted_postings(candidates, weights, doc_id))
+    conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")  # both sides lie by block already: the join on (block, term) keeps them there
+    try:
+        return durable(ranked(bm25_scores(weighted, terms, k, doc_id, query_id), query_id, doc_id, k))
+    finally:
+        conf.set(name, before)
 
 
 def report_text(file_name: Column, text: Column, limit: int | None = None) -> Column:

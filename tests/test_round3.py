@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quillstat.operators import retrieval
 from quillstat.session import shared_dir, stored
 from quillstat.streaming import sessions
 
@@ -74,4 +75,17 @@ def test_stored_cells_are_small(spark):
     table = stored(cells, "small-cells")
     folder = next(f for f in before.listFiles() if f.getName().startswith("small-cells"))
     assert sum(f.length() for f in folder.listFiles()) < 20_000 * 16
-    assert table.schema == cells.schema and table.exceptAll(cells).isEmpty() and table.count() == 20_000
+    assert table.dtypes == cells.dtypes and table.exceptAll(cells).isEmpty() and table.count() == 20_000
+
+
+def test_scores_are_added_up_where_the_postings_lie(spark):
+    """Postings and what is asked of them are dealt by block; no pair of query and document is shuffled before the k best are taken."""
+    weighted = spark.createDataFrame([(i, f"t{i % 3}", 1.0, i % 4) for i in range(40)], "doc_id long, term string, weight double, block int")
+    asked = spark.createDataFrame([(q, b, f"t{t}") for q in range(2) for b in range(4) for t in range(2)], "query_id long, block int, term string")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(name, "false")
+    try:
+        plan = retrieval._block_scores(weighted, asked, "doc_id", "query_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(name)
+    assert plan.count("Exchange hashpartitioning(block") == plan.count("Exchange ") == 2
