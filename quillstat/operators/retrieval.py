@@ -112,6 +112,17 @@ def ranked(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int =
     return first_rows(scores, [query_id], [F.round("score", digits).desc(), F.col(doc_id)], k, "rank")
 
 
+def best_scores(weighted: DataFrame, terms: DataFrame, k: int, doc_id: str, query_id: str, maxima: DataFrame | None = None) -> DataFrame:
+    """The k best documents of every query, computed now: both sides of the join on (block, term) lie by block, which this setting lets them keep."""
+    conf, name = weighted.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return durable(ranked(bm25_scores(weighted, terms, k, doc_id, query_id, maxima), query_id, doc_id, k))
+    finally:
+        conf.set(name, before)
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text",
                query_id: str = "query_id", query_text: str = "query", prefilter: DataFrame | None = None,
                tokens=tokenize) -> DataFrame:
@@ -123,13 +134,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "d
     weights = broadcast_if_small(durable(idf(post, corpus_size(rows))))
     candidates = post if prefilter is None else post.join(prefilter.select(doc_id), doc_id, "left_semi")
     weighted = durable(weighted_postings(candidates, weights, doc_id))
-    conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(name)
-    conf.set(name, "false")  # both sides lie by block already: the join on (block, term) keeps them there
-    try:
-        return durable(ranked(bm25_scores(weighted, terms, k, doc_id, query_id), query_id, doc_id, k))
-    finally:
-        conf.set(name, before)
+    return best_scores(weighted, terms, k, doc_id, query_id)
 
 
 def report_text(file_name: Column, text: Column, limit: int | None = None) -> Column:
