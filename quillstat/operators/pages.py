@@ -1,7 +1,7 @@
 """Lines, words, cells and pages of filings: tagging, scoring, units, spans and table clean-up.
 
-Neighbouring pages meet through equi-joins on (document, page ± offset), so a document of any length is
-never one window group.
+Neighbouring pages meet in blocks of pages that reach a few pages beyond their ends, so every page is read and dealt once and a document of any
+length is never one window group.
 """
 
 from __future__ import annotations
@@ -16,10 +16,29 @@ from quillstat.functions import fixed
 from quillstat.functions.expr import settled
 from quillstat.functions.numbers import detect_unit, parse_number, unit_name
 from quillstat.operators.blocked import carry_forward
-from quillstat.operators.filters import contains_any
+from quillstat.operators.filters import contains_any, first_word
 from quillstat.operators.windows import first_rows
 
 
+#: Pages of a block. A block starts ``FIRST_PAGES`` before a multiple of it, so short documents lie in one block.
+PAGE_BLOCK, FIRST_PAGES = 64, 16
+
+
+def with_neighbours(pages: DataFrame, page: str, above: int, below: int) -> DataFrame:
+    """Rows with ``_block``; a page is also a row, with ``_mine`` false, of other blocks whose pages look up to ``above`` pages up or ``below`` pages down for it."""
+    def block(p):
+        return F.floor((p + FIRST_PAGES) / PAGE_BLOCK)
+
+    p = F.col(page)
+    seen = pages.select("*", block(p).alias("_b"), F.explode_outer(F.sequence(block(p - below), block(p + above))).alias("_block"))
+    return seen.withColumn("_mine", F.col("_block").eqNullSafe(F.col("_b"))).drop("_b")
+
+
+def _around(doc: str, page: str, first: int, last: int):
+    """The pages of a block from ``first`` to ``last`` pages further on."""
+    return W.partitionBy(doc, "_block").orderBy(page).rangeBetween(first, last)
+
+
 # lines
 
 def tag_line(line: Column) -> Column:
@@ -72,6 +91,14 @@ def tabular_section_pages(blocks: DataFrame, doc: str, page: str) -> DataFrame:
     return blocks.filter("tag = 'table_header'").select(doc, F.col("sub_tag").alias("table_name"), page).distinct()
 
 
+def title_tables(text: Column) -> Column:
+    """Array of the statements with a title line in the text, as :func:`tag_line` finds them; lines are only judged where a title occurs."""
+    words = [w for w, _ in fixed.TABLE_TITLES]
+    metadata = lambda x: reduce(lambda a, b: a | b, [x.rlike(p) for p, _ in fixed.METADATA_LINES])
+    hits = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: contains_any(x, words) & ~metadata(x))
+    return F.when(contains_any(text, words), F.array_distinct(F.transform(hits, lambda x: first_word(x, fixed.TABLE_TITLES))))
+
+
 # scores
 
 def count_of(text: Column, word: str) -> Column:
@@ -92,30 +119,33 @@ def _title_points(section: list[str]):
     return points
 
 
-def page_scores(pages: DataFrame, ids: list[str], text: str = "text", titles: str | None = None) -> DataFrame:
+def page_scores(pages: DataFrame, ids: list[str], text: str = "text", titles: str | None = None, starts: bool = False) -> DataFrame:
     """(ids…, table_name, header, title, lines, words, numbers, score): one row per page and statement type.
 
     Everything is computed in the row of the page; ``titles`` names a column of title context
-    (array of struct offset, line).
+    (array of struct offset, line). With ``starts`` a column ``start`` tells whether the page has a title line of the statement.
     """
     t = F.col(text)
     line_count = F.size(F.filter(F.split(t, "\n"), lambda x: (F.length(F.trim(x)) > 10) & x.rlike(r"\d")))
     numbers = F.regexp_extract_all(t, F.lit(r"([+-]?\d[\d,]*\.?\d*(?:万|亿|元)?)"), F.lit(1))
-    big = F.size(F.filter(numbers, lambda n: (F.length(F.regexp_replace(n, r"[,.]", "")) >= 5) | n.contains("万") | n.contains("亿")))
+    big = F.size(F.filter(numbers, lambda n: (F.length(F.translate(n, ",.", "")) >= 5) | n.contains("万") | n.contains("亿")))
     context = F.col(titles) if titles else F.array().cast("array<struct<offset:int,line:string>>")
     per_type = []
     for name, profile in fixed.PROFILES.items():
         header = F.least(sum((F.when(t.contains(w), 15).otherwise(0) for w in profile["section"]), F.lit(0)), F.lit(30))
-        words = sum((F.least(count_of(t, w), F.lit(3)) * pts for w, pts in profile["weights"]), F.lit(0))
+        # most words are not on a page: they are looked for before they are counted
+        words = sum((F.when(t.contains(w), F.least(count_of(t, w), F.lit(3)) * pts).otherwise(0) for w, pts in profile["weights"]), F.lit(0))
 
         title = F.least(F.aggregate(F.transform(context, _title_points(profile["section"])), F.lit(0), lambda a, x: a + x), F.lit(15))
         per_type.append(F.struct(F.lit(name).alias("table_name"), header.alias("header"), title.alias("title"), words.alias("_w"),
-                                 contains_any(t, profile["ends"]).alias("foreign"), contains_any(t, profile["own"]).alias("own")))
-    rows = settled(pages, _lines=line_count, _big=big).select(*ids, "_lines", "_big", F.inline(F.array(*per_type)))
+                                 contains_any(t, profile["ends"]).alias("foreign"), contains_any(t, profile["own"]).alias("own"),
+                                 *([F.coalesce(F.array_contains("_titles", name), F.lit(False)).alias("start")] if starts else [])))
+    made = {"_lines": line_count, "_big": big} | ({"_titles": title_tables(t)} if starts else {})
+    rows = settled(pages, **made).select(*ids, "_lines", "_big", F.inline(F.array(*per_type)))
     scored = rows.select(
         *ids, "table_name", "header", "title", F.least("_lines", F.lit(20)).alias("lines"),
         _scaled(F.least(F.floor(F.col("_w") / 5), F.lit(25)), F.col("_lines")).alias("words"),
-        _scaled(F.least(F.col("_big") * 3, F.lit(25)), F.col("_lines")).alias("numbers"), "foreign", "own")
+        _scaled(F.least(F.col("_big") * 3, F.lit(25)), F.col("_lines")).alias("numbers"), "foreign", "own", *(["start"] if starts else []))
     return scored.withColumn("score", F.col("header") + F.col("title") + F.col("lines") + F.col("words") + F.col("numbers"))
 
 
@@ -126,15 +156,22 @@ def page_kind(page: Column, text: Column) -> Column:
     return F.when((page == 0) & (hits >= 3) & ~blocked, "summary").otherwise("statement")
 
 
-def title_context(pages: DataFrame, doc: str, page: str, text: str = "text", above: int = 3) -> DataFrame:
-    """(doc, page, titles): first title-like line of each of the pages above, by join on the page offset."""
-    title = F.trim(F.regexp_extract(text, rf"(?m)^([^\n]*[{''.join(fixed.TITLE_CHARACTERS)}][^\n]*)$", 1))
-    source = pages.select(doc, page, title.alias("line")).filter("line <> ''")
-    shifted = source.select(doc, "line", F.col(page).alias("_p"), F.explode(F.sequence(F.lit(1), F.lit(above))).alias("offset")).select(
-        doc, (F.col("_p") + F.col("offset")).alias(page), "offset", "line")
-    grouped = shifted.groupBy(doc, page).agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("int").alias("offset"), "line"))).alias("titles"))
-    none = F.array().cast("array<struct<offset:int,line:string>>")
-    return pages.select(doc, page).join(grouped, [doc, page], "left").withColumn("titles", F.coalesce("titles", none))
+def title_context(pages: DataFrame, doc: str, page: str, text: str = "text", above: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """(doc, page, keep…, titles): first title-like line of each of the pages above."""
+    keep = keep or []
+    rows = with_neighbours(titled(pages.select(doc, page, *dict.fromkeys([text, *keep])), text).select(doc, page, *keep, "_title"), page, above, 0)
+    return rows.withColumn("titles", titles_above(doc, page, above)).filter("_mine").select(doc, page, *keep, "titles")
+
+
+def titled(pages: DataFrame, text: str) -> DataFrame:
+    """Pages with ``_title``, their first title-like line."""
+    return settled(pages, _title=F.trim(F.regexp_extract(text, rf"(?m)^([^\n]*[{''.join(fixed.TITLE_CHARACTERS)}][^\n]*)$", 1)))
+
+
+def titles_above(doc: str, page: str, above: int) -> Column:
+    """Array of struct (offset, line) from the ``_title`` of the pages above; for rows of :func:`with_neighbours`."""
+    found = F.collect_list(F.when(F.col("_title") != "", F.struct(F.col(page).alias("at"), F.col("_title").alias("line")))).over(_around(doc, page, -above, -1))
+    return F.array_sort(F.transform(found, lambda x: F.struct((F.col(page) - x.getField("at")).cast("int").alias("offset"), x.getField("line").alias("line"))))
 
 
 def matrix_score(text: Column, table: str) -> Column:
@@ -165,23 +202,21 @@ def nearest_unit(pages: DataFrame, doc: str, page: str, text: str = "text", up:
     head = F.regexp_extract(t, rf"(?s)^(.*?)(?:{marks}|\z)", 1)
     p = settled(pages.filter(F.trim(text) != "").select(doc, page, text), _head=detect_unit(head), _all=detect_unit(t), _mark=t.rlike(marks))
     own = F.when(F.col("_head.found"), F.col("_head")).when(F.col("_all.found"), F.col("_all"))
-    offsets = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(o).alias("off")) for d, n in ((1, up), (2, down)) for o in range(1, n + 1)])
-    others = p.select(doc, F.col(page).alias("_p"), "_all", "_mark", F.inline(offsets)).select(
-        doc, F.when(F.col("dir") == 1, F.col("_p") + F.col("off")).otherwise(F.col("_p") - F.col("off")).alias(page), "dir", "off", "_all", "_mark")
+    p = with_neighbours(p.select(doc, page, own.alias("_own"), "_all", "_mark"), page, up, down)
     # at most up + down rows meet per page
-    last = others.groupBy(doc, page).agg(
-        F.min(F.when((F.col("dir") == 1) & F.col("_mark"), F.col("off"))).alias("_s1"),
-        F.min(F.when((F.col("dir") == 2) & F.col("_mark"), F.col("off"))).alias("_s2"),
-        F.min(F.when(F.col("_all.found"), F.struct("dir", "off", "_all"))).alias("_any"),
-        F.collect_list(F.when(F.col("_all.found"), F.struct("dir", "off", "_all"))).alias("_found"))
-    admissible = F.filter("_found", lambda x: x.getField("off") <= F.coalesce(
-        F.when(x.getField("dir") == 1, F.col("_s1")).otherwise(F.col("_s2")), F.lit(99)))
-    near = last.select(doc, page, F.array_min(admissible).getField("_all").alias("_near"))
-    out = p.select(doc, page, own.alias("_own")).join(near, [doc, page], "left")
-    unit = F.coalesce("_own", "_near")
-    return out.select(doc, page, F.coalesce(unit.getField("factor"), F.lit(1)).alias("factor"),
-                      unit_name(F.coalesce(unit.getField("factor"), F.lit(1))).alias("unit"),
-                      F.coalesce(unit.getField("source"), F.lit("default")).alias("source"))
+    told = F.when(F.col("_all.found") | F.col("_mark"), F.struct(F.col(page).alias("at"), F.col("_all").alias("all"), F.col("_mark").alias("mark")))
+    seen = p.withColumn("_seen", F.collect_list(told).over(_around(doc, page, -up, down))).filter("_mine")
+    others = F.transform(F.filter("_seen", lambda x: x.getField("at") != F.col(page)), lambda x: F.struct(
+        F.when(x.getField("at") < F.col(page), 1).otherwise(2).alias("dir"), F.abs(x.getField("at") - F.col(page)).alias("off"), x.getField("all").alias("_all"), x.getField("mark").alias("mark")))
+    rows = settled(seen.select(doc, page, "_own", "_seen"), _others=others)
+    stop = lambda d: F.array_min(F.transform(F.filter("_others", lambda x: (x.getField("dir") == d) & x.getField("mark")), lambda x: x.getField("off")))
+    rows = settled(rows.select(doc, page, "_own", "_others"), _s1=stop(1), _s2=stop(2))
+    admissible = F.filter("_others", lambda x: x.getField("_all").getField("found") & (x.getField("off") <= F.coalesce(
+        F.when(x.getField("dir") == 1, F.col("_s1")).otherwise(F.col("_s2")), F.lit(max(up, down)))))
+    near = F.array_min(F.transform(admissible, lambda x: F.struct(x.getField("dir"), x.getField("off"), x.getField("_all").alias("_all")))).getField("_all")
+    out = settled(rows, _unit=F.coalesce("_own", near)).select(doc, page, F.col("_unit.factor").alias("factor"), F.col("_unit.source").alias("source"))
+    return out.select(doc, page, F.coalesce("factor", F.lit(1)).alias("factor"), unit_name(F.coalesce("factor", F.lit(1))).alias("unit"),
+                      F.coalesce("source", F.lit("default")).alias("source"))
 
 
 def majority_unit(pages: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:
@@ -200,14 +235,29 @@ def statement_page_span(starts: DataFrame, scores: DataFrame, doc: str, page: st
     The start must score ``minimum`` and carry its own title when another section starts on it; then it is
     followed by up to ``further`` pages, up to the next page with a foreign section.
     """
-    s = scores.select(doc, page, "table_name", (F.col("score") - F.col("title")).alias("score"), "foreign", "own")
-    ok = starts.join(s, [doc, page, "table_name"]).filter((F.col("score") >= minimum) & (~F.col("foreign") | F.col("own"))).select(
-        doc, "table_name", F.col(page).alias("start_page"), F.col("foreign").alias("_shared"))
-    wanted = ok.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(further)))).withColumn(page, F.col("start_page") + F.col("_off"))
-    seen = wanted.join(s.select(doc, page, "table_name", "foreign"), [doc, page, "table_name"], "left")
-    group = W.partitionBy(doc, "table_name", "start_page")  # at most 1 + further rows
-    stop = F.min(F.when((F.col("_off") > 0) & (F.coalesce("foreign", F.lit(True)) | F.col("_shared")), F.col("_off"))).over(group)
-    return seen.withColumn("_stop", F.coalesce(stop, F.lit(further + 1))).filter(F.col("_off") < F.col("_stop")).select(doc, "table_name", "start_page", page)
+    s = scores.select(doc, page, "table_name", "score", "title", "foreign", "own")
+    at = starts.select(doc, page, "table_name").distinct().withColumn("start", F.lit(True))
+    return span_pages(s.join(at, [doc, page, "table_name"], "left").withColumn("start", F.coalesce("start", F.lit(False))), doc, page, minimum, further)
+
+
+def span_pages(scores: DataFrame, doc: str, page: str, minimum: int = 40, further: int = 4) -> DataFrame:
+    """:func:`statement_page_span` on scores with a column ``start``."""
+    # a page with a foreign section ends a span just as a missing one does
+    rows = scores.filter(F.col("start") | ~F.col("foreign")).select(doc, page, "table_name", "start", "score", "title", "foreign", "own")
+    spans = with_neighbours(rows, page, 0, further).withColumn("_more", further_pages(doc, page, minimum, further)).filter("_mine AND _more IS NOT NULL")
+    return spans.select(doc, "table_name", F.col(page).alias("start_page"), F.explode(F.sequence(F.lit(0), "_more")).alias("_off")).select(
+        doc, "table_name", "start_page", (F.col("start_page") + F.col("_off")).alias(page))
+
+
+def further_pages(doc: str, page: str, minimum: int, further: int) -> Column:
+    """Number of pages after a page that starts a statement, null on others; for rows of :func:`with_neighbours` by page and statement."""
+    w = W.partitionBy(doc, "_block", "table_name").orderBy(page).rangeBetween(1, further)
+    foreign = F.coalesce("foreign", F.lit(True))
+    away = lambda c: F.collect_set(F.when(c, F.col(page))).over(w)
+    free = F.transform(F.array_except(away(~foreign), away(foreign)), lambda x: x - F.col(page))  # at most ``further``
+    run = F.aggregate(F.array_sort(free), F.lit(0), lambda n, x: F.when(x == n + 1, n + 1).otherwise(n))
+    begins = F.col("start") & (F.col("score") - F.col("title") >= minimum) & (~F.col("foreign") | F.col("own"))
+    return F.when(begins, F.when(F.col("foreign"), 0).otherwise(run))
 
 
 def merge_cross_page_table(rows: DataFrame, statement: list[str], label: str, score: str, page: str, row: str) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillstat.functions import fixed
 from quillstat.functions.numbers import normalize
@@ -130,19 +131,21 @@ def locate_statements(page_texts: DataFrame, doc: str = "doc", page: str = "page
     the stop score, else the best page, is taken when it reaches the acceptance score; below it the page is
     kept with method ``paragraph`` for reading facts out of running text.
     """
-    p = page_texts.select(doc, page, text).filter(F.trim(text) != "")
-    context = pages.title_context(p, doc, page, text)
-    scores = durable(pages.page_scores(p.join(context, [doc, page]), [doc, page], text, "titles"))
-    blocks = pages.tag_lines(p, [doc, page], text)
-    starts = pages.tabular_section_pages(blocks, doc, page)
-    spans = pages.statement_page_span(starts, scores, doc, page).select(doc, "table_name", page).distinct()
-    located = spans.join(scores.select(doc, "table_name", page, "score"), [doc, "table_name", page]).withColumn("method", F.lit("section"))
-    found = spans.select(doc, "table_name").distinct()
+    above, further, minimum = 3, 4, 40
+    p = page_texts.select(doc, page, text).filter((F.trim(text) != "") & F.col(doc).isNotNull() & F.col(page).isNotNull())
+    # every page is read and dealt once: scores, titles and spans are all found inside its block
+    dealt = pages.with_neighbours(pages.titled(p, text), page, max(above, further), further).withColumn("titles", pages.titles_above(doc, page, above))
+    scores = pages.page_scores(dealt, [doc, page, "_block", "_mine"], text, "titles", starts=True)
+    spans = scores.withColumn("_end", F.col(page) + pages.further_pages(doc, page, minimum, further))
+    before = W.partitionBy(doc, "_block", "table_name").orderBy(page).rangeBetween(-further, 0)
+    judged = spans.withColumn("_in", F.coalesce(F.max("_end").over(before) >= F.col(page), F.lit(False))).filter("_mine AND (_in OR score > 0)")
+    rows = stored(judged.select(doc, "table_name", page, "score", "_in"), "scores")
+    located = rows.filter("_in").withColumn("method", F.lit("section"))
     limit = lambda key: F.create_map(*[F.lit(x) for t, pr in fixed.PROFILES.items() for x in (t, pr[key])])[F.col("table_name")]
     order = F.when(F.col("score") >= limit("stop"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col(page).alias("c"))).otherwise(
         F.struct(F.lit(1).alias("a"), (-F.col("score")).alias("b"), F.col(page).alias("c")))
-    best = scores.join(found, [doc, "table_name"], "left_anti").filter("score > 0").groupBy(doc, "table_name").agg(
-        F.min_by(F.struct(F.col(page).alias("page"), "score"), order).alias("_b")).select(doc, "table_name", F.col("_b.page").alias(page), F.col("_b.score").alias("score"))
+    best = rows.groupBy(doc, "table_name").agg(F.max("_in").alias("_found"), F.min_by(F.struct(F.col(page).alias("page"), "score"), F.when(F.col("score") > 0, order)).alias("_b"))
+    best = best.filter("NOT _found").select(doc, "table_name", F.col("_b.page").alias(page), F.col("_b.score").alias("score"))
     fallback = best.withColumn("method", F.when(F.col("score") >= limit("accept"), "score").otherwise("paragraph"))
     cols = [doc, "table_name", page, "score", "method"]
     return located.select(*cols).unionByName(fallback.select(*cols))
