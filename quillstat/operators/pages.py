@@ -59,18 +59,18 @@ def tag_line(line: Column) -> Column:
 
 def tag_lines(pages: DataFrame, ids: list[str], text: str = "text", cells: DataFrame | None = None) -> DataFrame:
     """(ids…, line_no, line, tag, sub_tag) of all non-blank lines; text lines that hold a cell become table lines."""
-    lines = pages.select(*ids, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "_l")).withColumn("line", F.trim("_l")).filter("line <> ''").drop("_l")
-    tagged = settled(lines, _t=tag_line(F.col("line"))).select(*ids, "line_no", "line", "_t.tag", "_t.sub_tag")
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
     if cells is None:
-        return tagged
-    # a cell lies in a line of its own page: the page is part of the key, the leading pair narrows it
-    words = cells.select(*ids, F.trim("text").alias("_cell")).filter("_cell <> ''").distinct().withColumn("_a", F.substring("_cell", 1, 2))
-    from quillstat.functions.textclean import bigrams
-
-    text_lines = tagged.filter("tag = 'text'").select(*ids, "line_no", "line", F.explode(bigrams(F.col("line"), True)).alias("_a"))
-    inside = text_lines.join(words, [*ids, "_a"]).filter(F.contains("line", "_cell")).select(*ids, "line_no").distinct().withColumn("_in", F.lit(True))
-    return tagged.join(inside, [*ids, "line_no"], "left").withColumn(
-        "tag", F.when(F.col("_in"), F.lit("table")).otherwise(F.col("tag"))).drop("_in")
+        rows = pages.select(*ids, F.posexplode(lines).alias("line_no", "line")).filter("line <> ''")
+        return settled(rows, _t=tag_line(F.col("line"))).select(*ids, "line_no", "line", "_t.tag", "_t.sub_tag")
+    # a cell lies in a line of its own page, so they meet in the row of the page
+    words = cells.select(*ids, F.trim("text").alias("_cell")).filter("_cell <> ''").groupBy(*ids).agg(F.collect_set("_cell").alias("_cells"))
+    held = lambda x: F.coalesce(F.exists("_cells", lambda c: F.contains(x, c)), F.lit(False))
+    both = F.transform(lines, lambda x: F.struct(x.alias("line"), held(x).alias("held")))
+    rows = pages.select(*ids, text).join(words, ids, "left").select(*ids, F.posexplode(both).alias("line_no", "_l")).select(*ids, "line_no", "_l.*").filter("line <> ''")
+    tagged = settled(rows, _t=tag_line(F.col("line")))
+    tag = F.when((F.col("_t.tag") == "text") & F.col("held"), F.lit("table")).otherwise(F.col("_t.tag"))
+    return tagged.select(*ids, "line_no", "line", tag.alias("tag"), "_t.sub_tag")
 
 
 def first_match(blocks: DataFrame, doc: str, kind: str, order: list[str]) -> DataFrame:

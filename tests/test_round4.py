@@ -103,3 +103,16 @@ def test_statements_are_located_in_one_pass(spark, tmp_path, monkeypatch):
         if x.method != "section":
             assert (x.doc, x.table_name) not in {w[:2] for w in want}
     assert passes == [1]
+
+
+def test_cells_meet_their_lines_without_a_shuffle_of_pairs(spark, tmp_path):
+    p = page_file(spark, tmp_path, [("a", 0, "甲乙丙 1\n 甲乙 2 \n\n单位：元 甲乙丙"), ("a", 1, "甲乙丙"), ("b", 0, "x"), ("b", 1, None)])
+    cells = spark.createDataFrame([("a", 0, " 甲乙丙 "), ("a", 0, "甲乙丙"), ("a", 0, ""), ("a", 0, None), ("b", 0, "x"), ("c", 0, "x")], "doc string, page int, text string")
+    out = pages.tag_lines(p, ["doc", "page"], cells=cells)
+    assert sorted((x.doc, x.page, x.line_no, x.line, x.tag) for x in out.collect()) == [
+        ("a", 0, 0, "甲乙丙 1", "table"), ("a", 0, 1, "甲乙 2", "text"), ("a", 0, 3, "单位：元 甲乙丙", "metadata"), ("a", 1, 0, "甲乙丙", "text"), ("b", 0, 0, "x", "table")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert exchanges(pages.tag_lines(p, ["doc", "page"], cells=cells)) <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
