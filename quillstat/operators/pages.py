@@ -337,28 +337,43 @@ def merge_split_rows(cells: DataFrame, table: list[str]) -> DataFrame:
     return kept.groupBy(*table, "_to", "col").agg(F.array_join(F.transform(pair, lambda x: x.getField("t")), "").alias("text")).withColumnRenamed("_to", "row")
 
 
-def header_rows(cells: DataFrame, table: list[str]) -> DataFrame:
-    """(table…, header_from, header_to): first of the first three rows with a header word, else the first row.
+def header_cells(cells: DataFrame, table: list[str]) -> DataFrame:
+    """(table…, header_from, header_to, heads): the header rows of every table and their cells, array of struct (row, col, t).
 
-    The next row belongs to the header when it has no digit.
+    First of the first three rows with a header word, else the first row; the next row belongs to the header when it has no digit. Only the
+    first four rows are looked at, in one group per table.
     """
-    top = cells.filter(F.col("row") < 4).groupBy(*table, "row").agg(
-        F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x.getField("t"))).alias("_t"))
-    hit = F.min(F.when((F.col("row") < 3) & contains_any(F.col("_t"), fixed.HEADER_WORDS), F.col("row")))
-    head = top.groupBy(*table).agg(F.coalesce(hit, F.min("row")).alias("header_from"))
-    second = top.withColumn("header_from", F.col("row") - 1).select(*table, "header_from", (~F.col("_t").rlike(r"\d")).alias("_more"))
-    return head.join(second, [*table, "header_from"], "left").select(
-        *table, "header_from", F.when(F.col("_more"), F.col("header_from") + 1).otherwise(F.col("header_from")).alias("header_to"))
+    text = lambda c: F.concat_ws("", F.transform(c, lambda x: F.coalesce(x.getField("t"), F.lit(""))))
+    top = cells.filter(F.col("row") < 4).groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row", "col", F.col("text").alias("t")))).alias("_top"))
+    rows = F.array_distinct(F.transform("_top", lambda x: x.getField("row")))
+    texts = F.transform(rows, lambda r: F.struct(r.alias("row"), text(F.filter("_top", lambda x: x.getField("row") == r)).alias("t")))
+    rows = settled(top, _rows=texts)
+    hits = F.filter("_rows", lambda x: (x.getField("row") < 3) & contains_any(x.getField("t"), fixed.HEADER_WORDS))
+    head = F.coalesce(F.array_min(F.transform(hits, lambda x: x.getField("row"))), F.array_min(F.transform("_rows", lambda x: x.getField("row"))))
+    rows = settled(rows, header_from=head)
+    more = F.exists("_rows", lambda x: (x.getField("row") == F.col("header_from") + 1) & ~x.getField("t").rlike(r"\d"))
+    rows = settled(rows, header_to=F.when(more, F.col("header_from") + 1).otherwise(F.col("header_from")))
+    return rows.select(*table, "header_from", "header_to", F.filter("_top", lambda x: x.getField("row").between(F.col("header_from"), F.col("header_to"))).alias("heads"))
+
+
+def header_rows(cells: DataFrame, table: list[str]) -> DataFrame:
+    """(table…, header_from, header_to) of every table, see :func:`header_cells`."""
+    return header_cells(cells, table).drop("heads")
+
+
+def head_texts(headers: DataFrame, kept: list[str]) -> DataFrame:
+    """(kept…, col, text) of the columns of :func:`header_cells`; two header rows are joined per column."""
+    of = lambda c: F.filter("heads", lambda x: x.getField("col") == c)
+    joined = lambda c: F.array_join(F.transform(of(c), lambda x: F.coalesce(F.trim(x.getField("t")), F.lit(""))), "")
+    columns = F.array_distinct(F.transform("heads", lambda x: x.getField("col")))
+    return headers.select(*kept, F.inline(F.transform(columns, lambda c: F.struct(c.alias("col"), joined(c).alias("text")))))
 
 
 def split_header(cells: DataFrame, table: list[str]) -> tuple[DataFrame, DataFrame]:
     """(heads: table…, col, text; data: table…, row, col, text); two header rows are joined per column."""
-    rows = cells.join(header_rows(cells, table), table)
-    pair = F.array_sort(F.collect_list(F.struct("row", F.coalesce(F.trim("text"), F.lit("")).alias("t"))))  # one or two cells
-    heads = rows.filter(F.col("row").between(F.col("header_from"), F.col("header_to"))).groupBy(*table, "col").agg(
-        F.array_join(F.transform(pair, lambda x: x.getField("t")), "").alias("text"))
-    data = rows.filter(F.col("row") > F.col("header_to")).drop("header_from", "header_to")
-    return heads, data
+    headers = header_cells(cells, table)
+    rows = cells.join(headers.drop("heads"), table)
+    return head_texts(headers, table), rows.filter(F.col("row") > F.col("header_to")).drop("header_from", "header_to")
 
 
 def column_role(text: Column, report_year: Column, report_period: Column) -> Column:

@@ -116,3 +116,15 @@ def test_cells_meet_their_lines_without_a_shuffle_of_pairs(spark, tmp_path):
         assert exchanges(pages.tag_lines(p, ["doc", "page"], cells=cells)) <= 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_headers_take_one_shuffle(spark):
+    rows = [(1, r, c, t) for r, line in enumerate([("表", None), ("项目", "期末余额"), ("", " 调整后 "), ("存货", "7")]) for c, t in enumerate(line)]
+    rows += [(2, r, 0, t) for r, t in ((3, "附注"), (4, "甲"))] + [(3, 0, 1, "2020"), (3, 0, 0, "x"), (3, 1, 0, "y")]
+    cells = spark.createDataFrame(rows, "t int, row int, col int, text string")
+    headers = pages.header_cells(cells, ["t"])
+    assert exchanges(headers) == 1
+    assert sorted((x.t, x.header_from, x.header_to) for x in headers.collect()) == [(1, 1, 2), (2, 3, 3), (3, 0, 1)]
+    heads, data = pages.split_header(cells, ["t"])
+    assert sorted(tuple(x) for x in heads.collect()) == [(1, 0, "项目"), (1, 1, "期末余额调整后"), (2, 0, "附注"), (3, 0, "xy"), (3, 1, "2020")]
+    assert sorted(tuple(x) for x in data.select("t", "row", "col", "text").collect()) == [(1, 3, 0, "存货"), (1, 3, 1, "7"), (2, 4, 0, "甲")]
