@@ -13,8 +13,17 @@ from quillstat.functions.expr import let
 HAN = r"\x{4E00}-\x{9FFF}"
 
 
+#: What ``\s`` matches in a regular expression.
+SPACES = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def count_characters(text: Column, kind: str) -> Column:
+    """Number of characters of a class (like ``a-z``); runs of them are taken out at once."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{kind}]++", ""))
 
 
 def clean_latex(text: Column, keep_percent: bool = False) -> Column:
@@ -76,22 +85,24 @@ def clean_html_tables(text: Column) -> Column:
 
 
 def clean_characters(text: Column) -> Column:
-    """Keep Han, CJK punctuation and forms, full-width, printable ASCII, tab and line ends."""
-    return F.regexp_replace(text, rf"[^{HAN}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}\x20-\x7E\n\r\t\x{{FE30}}-\x{{FE4F}}]", "")
+    """Keep Han, CJK punctuation and forms, full-width, printable ASCII, tab and line ends; runs of what is kept are read at once."""
+    kept = rf"[\x20-\x7E\n\r\t]++|[{HAN}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}\x{{FE30}}-\x{{FE4F}}]++"
+    return F.array_join(F.regexp_extract_all(text, F.lit(kept), F.lit(0)), "")
 
 
 def clean_footer(text: Column, guard: float = 0.05) -> Column:
     """Cut from the paragraph of the first disclaimer phrase; empty when less than ``guard`` is left."""
-    phrases = "|".join(fixed.FOOTER_PHRASES)
+    def said(x):
+        return reduce(lambda a, b: a | b, [x.contains(p) for p in fixed.FOOTER_PHRASES])
 
     def cut(lines):
-        hit = F.array_position(F.transform(lines, lambda x: x.rlike(phrases)), True)
+        hit = F.array_position(F.transform(lines, lambda x: said(x)), True)
         before = F.slice(lines, 1, F.greatest((hit - 1).cast("int"), F.lit(0)))
         return let(before, lambda b: strip(F.array_join(F.slice(b, 1, F.coalesce(F.array_max(F.transform(
             b, lambda x, i: F.when(x.rlike(r"^\s*$"), i + 1).otherwise(0))), F.lit(0))), "\n")))
 
     kept = let(let(F.split(text, "\n"), cut), lambda k: F.when(F.length(k) < F.length(text) * guard, F.lit("")).otherwise(k))
-    return F.when(text.rlike(phrases), kept).otherwise(text)
+    return F.when(said(text), kept).otherwise(text)
 
 
 def clean_all(text: Column, keep_percent: bool = False) -> Column:
@@ -102,9 +113,9 @@ def clean_all(text: Column, keep_percent: bool = False) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """⌊Han/1.5 + alphanumerics/3.5 + lines·0.5⌋."""
-    han = F.regexp_count(text, F.lit(f"[{HAN}]"))
-    alnum = F.regexp_count(text, F.lit("[a-zA-Z0-9]"))
-    return F.floor(han / F.lit(1.5) + alnum / F.lit(3.5) + F.size(F.split(text, "\n")) * F.lit(0.5)).cast("int")
+    han, alnum = count_characters(text, HAN), count_characters(text, "a-zA-Z0-9")
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.floor(han / F.lit(1.5) + alnum / F.lit(3.5) + lines * F.lit(0.5)).cast("int")
 
 
 def classify_section(heading: Column) -> Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import fixed
 from quillstat.functions.expr import settled
-from quillstat.functions.textclean import base_name, classify_section, estimate_tokens, strip
+from quillstat.functions.textclean import SPACES, base_name, classify_section, estimate_tokens, strip
 from quillstat.operators.matching import contains_join
 from quillstat.operators.windows import first_rows, numbered
 
 
 def _body(section: Column) -> Column:
     """Lines without blanks and third-level headings."""
-    kept = F.filter(F.split(section, "\n"), lambda x: (strip(x) != "") & ~strip(x).startswith("###"))
-    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
+    lines = F.transform(F.split(section, "\n"), lambda x: F.rtrim(x, F.lit(SPACES)))
+    return strip(F.array_join(F.filter(lines, lambda x: (x != "") & ~strip(x).startswith("###")), "\n"))
 
 
 def sections(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
@@ -27,18 +27,13 @@ def sections(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = N
     headed = F.filter(parts, lambda p: p.rlike(r"^[^\S\n]*##? "))
     keep = keep or []
     rows = settled(docs.select(doc_id, *keep, text), _h=headed).withColumn("_n", F.size("_h"))
-    many = (
-        rows.filter(F.col("_n") > 1).select(doc_id, *keep, "_n", F.posexplode("_h").alias("_i", "_s"))
-        .select(
-            doc_id, *keep, (F.col("_i") + 1).alias("section_no"),
-            strip(F.regexp_replace(F.regexp_extract("_s", r"^([^\n]*)", 1), r"^[^\S\n]*##? ", "")).alias("heading"),
-            F.regexp_replace("_s", r"^[^\n]*\n?", "").alias("raw"), (F.col("_i") + 1 == F.col("_n")).alias("is_last"))
-    )
-    many = settled(many, body=_body(F.col("raw")))
-    whole = rows.filter(F.col("_n") <= 1).select(
-        doc_id, *keep, F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("heading"), F.col(text).alias("raw"),
-        F.lit(True).alias("is_last"), strip(F.col(text)).alias("body"))
-    return many.unionByName(whole)
+    # both kinds of documents take one way, so that a text is read once
+    title = lambda p: strip(F.regexp_replace(F.regexp_extract(p, r"^([^\n]*)", 1), r"^[^\S\n]*##? ", ""))
+    part = lambda no, heading, raw, last: F.struct(no.alias("section_no"), heading.alias("heading"), raw.alias("raw"), last.alias("is_last"))
+    whole = F.array(part(F.lit(1), F.lit(None).cast("string"), F.col(text), F.lit(True)))
+    many = F.transform("_h", lambda p, i: part(i + 1, title(p), F.regexp_replace(p, r"^[^\n]*\n?", ""), i + 1 == F.col("_n")))
+    out = rows.select(doc_id, *keep, F.inline(F.when(F.col("_n") <= 1, whole).otherwise(many)))
+    return settled(out, body=F.when(F.col("heading").isNull(), strip(F.col("raw"))).otherwise(_body(F.col("raw"))))
 
 
 def pack(paragraphs: Column, minimum: int, maximum: int, carry: bool = False) -> Column:
@@ -93,12 +88,13 @@ def chunks(docs: DataFrame, doc_id: str, text: str, minimum: int = 100, maximum:
         doc_id, *keep, "section_no", "part", "section", F.col("_c.text").alias("text"), F.col("_c.tokens").alias("token_count"))
 
 
-def number_chunks(rows: DataFrame, order: list[str]) -> DataFrame:
+def number_chunks(rows: DataFrame, order: list[str], more: DataFrame | None = None, on: str | None = None) -> DataFrame:
     """Corpus-wide chunk index from 0 in the given order; only the keys are sorted, not the texts.
 
-    The rows are read twice, so pass a stored frame.
+    The rows are read twice, so pass a stored frame. The columns of ``more`` meet the keys by ``on``, so the texts are dealt once.
     """
     keys = numbered(rows.select(*order), [F.col(c) for c in order], "_p")
+    keys = keys if more is None else keys.join(more, on)
     return rows.join(keys, order).withColumn("chunk_index", F.col("_p") - 1).drop("_p")
 
 

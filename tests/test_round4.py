@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillstat.functions import textclean
 from quillstat.functions.numbers import detect_unit
-from quillstat.operators import pages
+from quillstat.operators import chunking, pages
 from quillstat.plans import filings as plans
 
 
@@ -128,3 +129,26 @@ def test_headers_take_one_shuffle(spark):
     heads, data = pages.split_header(cells, ["t"])
     assert sorted(tuple(x) for x in heads.collect()) == [(1, 0, "项目"), (1, 1, "期末余额调整后"), (2, 0, "附注"), (3, 0, "xy"), (3, 1, "2020")]
     assert sorted(tuple(x) for x in data.select("t", "row", "col", "text").collect()) == [(1, 3, 0, "存货"), (1, 3, 1, "7"), (2, 4, 0, "甲")]
+
+
+def test_notes_are_read_once(spark, tmp_path):
+    """Sections of headed and of plain notes come from one pass."""
+    texts = ["# 甲公司\n正文 1\n## 乙\n\t尾  \n### 丙\n 末 ", "没有标题\n正文", "# 只有标题\n正文", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "d int, text string").write.parquet(f"{tmp_path}/notes")
+    out = chunking.sections(spark.read.parquet(f"{tmp_path}/notes"), "d", "text")
+    assert scans(out) == 1
+    got = sorted((x.d, x.section_no, x.heading or "", x.raw, x.is_last, x.body) for x in out.collect())
+    assert got == [(0, 1, "甲公司", "正文 1\n", False, "正文 1"), (0, 2, "乙", "\t尾  \n### 丙\n 末 ", True, "尾\n 末"), (1, 1, "", "没有标题\n正文", True, "没有标题\n正文"),
+                   (2, 1, "", "# 只有标题\n正文", True, "# 只有标题\n正文"), (4, 1, "", "", True, "")]
+
+
+def test_text_measures_by_definition(spark):
+    r = random.Random(4)
+    letters = "aZ09 \t\n\r\x0b\f中文，、。（）éПриа 😀#-"
+    texts = ["", " \n", *("".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    kept = lambda c: "\x20" <= c <= "\x7e" or c in "\n\r\t" or any(a <= c <= b for a, b in ("一鿿", "　〿", "＀￯", "︰﹏"))
+    for x in df.select("x", textclean.estimate_tokens(F.col("x")).alias("n"), textclean.clean_characters(F.col("x")).alias("c"), textclean.strip(F.col("x")).alias("s")).collect():
+        han, alnum = sum("一" <= c <= "鿿" for c in x.x), sum(c.isascii() and c.isalnum() for c in x.x)
+        assert x.n == int(han / 1.5 + alnum / 3.5 + (x.x.count("\n") + 1) * 0.5)
+        assert x.c == "".join(c for c in x.x if kept(c)) and x.s == x.x.strip(" \t\n\x0b\f\r")
