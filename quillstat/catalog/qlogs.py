@@ -11,7 +11,7 @@ from quillstat.operators import blocked, joins, matching, questions
 from quillstat.operators.windows import numbered
 from quillstat.plans.enrich_questions import enrich_questions
 from quillstat.plans.views import table
-from quillstat.session import durable, work_path
+from quillstat.session import stored, work_path
 from quillstat.sources import documents as text_sources
 from quillstat.sources.filings import dictionary_report, field_dictionary
 
@@ -210,7 +210,8 @@ def bio_spans(spark, sf_dir):
 @query("entity_scores", "AG22", f"WITH g AS {SPANS(0)}, p AS {SPANS(1)}, j AS (SELECT entity, COUNT(*) FILTER (gg AND pp) tp, COUNT(*) FILTER (pp) np, COUNT(*) FILTER (gg) support FROM (SELECT COALESCE(g.entity,p.entity) entity, g.s IS NOT NULL gg, p.s IS NOT NULL pp FROM g FULL JOIN p ON g.conv_id=p.conv_id AND g.turn=p.turn AND g.s=p.s AND g.e=p.e AND g.entity=p.entity) GROUP BY 1), "
        "m AS (SELECT entity, COALESCE(tp/NULLIF(np,0),0) pr, COALESCE(tp/NULLIF(support,0),0) rc, support FROM (SELECT * FROM j UNION ALL SELECT 'micro avg', SUM(tp), SUM(np), SUM(support) FROM j)), f AS (SELECT *, COALESCE(2.0*pr*rc/NULLIF(pr+rc,0),0) f1 FROM m) SELECT entity, CAST(pr AS DECIMAL(10,6)) AS precision, CAST(rc AS DECIMAL(10,6)) recall, CAST(f1 AS DECIMAL(10,6)) f1, CAST(support AS BIGINT) support FROM f UNION ALL SELECT 'macro avg', CAST(AVG(pr) AS DECIMAL(10,6)), CAST(AVG(rc) AS DECIMAL(10,6)), CAST(AVG(f1) AS DECIMAL(10,6)), CAST(SUM(support) AS BIGINT) FROM f WHERE entity<>'micro avg'")
 def entity_scores(spark, sf_dir):
-    spans = [durable(questions.bio_spans(tagged(spark, sf_dir, s), ["conv_id", "turn"], "pos", "token", "label")) for s in (0, 1)]
+    # only the places of the spans are compared, so their texts are not put together
+    spans = [stored(questions.bio_spans(tagged(spark, sf_dir, s), ["conv_id", "turn"], "pos", "token", "label").drop("text"), "spans") for s in (0, 1)]
     out = questions.entity_prf(spans[0], spans[1], ["conv_id", "turn"])
     return out.select("entity", *[F.col(c).cast("decimal(10,6)").alias(c) for c in ("precision", "recall", "f1")], "support")
 

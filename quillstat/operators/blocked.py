@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillstat.session import durable
+from quillstat.session import stored
 
 
 def _ranged(df: DataFrame, by: list[str], position: str, partitions: int | None) -> DataFrame:
     """Rows with ``_part``, the number of their range partition; stored, because the bounds are sampled."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return durable(df.repartitionByRange(n, *by, position).withColumn("_part", F.spark_partition_id()))
+    return stored(df.repartitionByRange(n, *by, position).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
 def _carried(ends: DataFrame, values: dict[str, Column]) -> DataFrame:

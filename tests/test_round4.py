@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions import textclean
 from quillstat.functions.numbers import detect_unit
-from quillstat.operators import chunking, pages
+from quillstat.operators import blocked, chunking, pages
 from quillstat.plans import filings as plans
 
 
@@ -152,3 +152,10 @@ def test_text_measures_by_definition(spark):
         han, alnum = sum("一" <= c <= "鿿" for c in x.x), sum(c.isascii() and c.isalnum() for c in x.x)
         assert x.n == int(han / 1.5 + alnum / 3.5 + (x.x.count("\n") + 1) * 0.5)
         assert x.c == "".join(c for c in x.x if kept(c)) and x.s == x.x.strip(" \t\n\x0b\f\r")
+
+
+def test_ranges_are_stored_as_parquet(spark):
+    """Rows of running values repeat their keys: a checkpoint wrote them out in full."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("s"), F.col("id").alias("t"))
+    ranged = blocked._ranged(df, ["s"], "t", 5)
+    assert scans(ranged) == 1 and ranged.drop("_part").exceptAll(df).isEmpty() and ranged.count() == 1000
