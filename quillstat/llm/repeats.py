@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, ragged, taken, unpack
+from quillstat.llm.blobs import BLOBS, blob_table, dealt, joined, pack, ragged, taken, unpack
 from quillstat.llm.common import MOST_PARTITIONS, documents
 from quillstat.llm.linededup import text_bytes
 from quillstat.llm.suffixes import common_prefixes, suffix_array, words_at
@@ -20,12 +19,15 @@ LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 6 << 20
 SEGMENT_SHARDS = 2  # suffix arrays for each shard of documents: sorting holds some hundred bytes per byte
+TOGETHER = 4  # suffix arrays, and shards' worth of keys, that one group of rows holds: fewer and larger values travel
 PART_BYTES = 2 << 20
 KEY_BITS = 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
-#: Columns of what travels: anchors, segments (their bytes follow) and spans.
-ANCHOR = [("key", "<u8", 6), ("doc", "<i8", 8), ("tag", "<u2", 2), ("start", "<u4", 4), ("length", "u1", 1)]
-SPAN = [("doc", "<i8", 8), ("tag", "<u2", 2), ("start", "<u4", 4), ("end", "<u4", 4)]
+#: Columns of what travels: ascending keys as differences (the shard they come from follows), segments (their bytes follow) and spans.
+STEP = [("step", "<u8", 7)]
+SEGMENT = [("doc", "<i8", 8), ("copy", "<u4", 4), ("start", "<u4", 4), ("length", "u1", 1), ("part", "u1", 1)]
+SPAN = [("doc", "<i8", 8), ("copy", "<u4", 4), ("start", "<u4", 4), ("end", "<u4", 4)]
+
 
 def doc_shard(docs: np.ndarray, shards: int) -> np.ndarray:
     return (mix(docs.astype("int64").view("uint64") + np.uint64(3)) % np.uint64(shards)).astype("int64")
@@ -62,11 +64,11 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(a)]]) - 1
     text = np.searchsorted(bounds[1:], windows[first], "right")
-    return h[a[first]] >> np.uint64(64 - KEY_BITS), text, windows[first], windows[last] - windows[first] + LENGTH
+    return mix(h[a[first]]) >> np.uint64(64 - KEY_BITS), text, windows[first], windows[last] - windows[first] + LENGTH
 
 
-def _parts(table, doc: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, bounds, doc ids and text tags in parts of bounded size."""
+def _parts(table, doc: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, bounds, doc ids, numbers among the differing texts of the same doc id, and whether it is the first row of that text, in parts of bounded size."""
     ids, texts = table.column(doc), table.column(text)
     if isinstance(texts, pa.ChunkedArray):
         texts, ids = texts.combine_chunks(), ids.combine_chunks()
@@ -74,65 +76,75 @@ def _parts(table, doc: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray,
             texts = pa.concat_arrays(texts.chunks)
     data, bounds = text_bytes(texts)
     ids = ids.to_numpy(zero_copy_only=False).astype("int64")
+    copies, fresh = np.zeros(len(ids), "uint32"), np.ones(len(ids), bool)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]])) if len(ids) else order
+    for at, end in zip(first, np.append(first[1:], len(ids))):
+        if end - at > 1:  # numbered by their bytes, so that rows may come in any order
+            own = [data[bounds[i] : bounds[i + 1]].tobytes() for i in order[at:end]]
+            number = {t: n for n, t in enumerate(sorted(set(own)))}
+            copies[order[at:end]] = [number[t] for t in own]
+            fresh[order[at:end]] = False
+            fresh[[order[at + i] for i in {t: i for i, t in enumerate(own)}.values()]] = True
     start = 0
     while start < len(ids):
         end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + PART_BYTES, "right")) - 1)
-        own = data[bounds[start] : bounds[end]]
-        b = bounds[start : end + 1] - bounds[start]
-        tags = np.array([zlib.crc32(own[x:y]) & 0xFFFF for x, y in zip(b[:-1], b[1:])], "uint16")
-        yield own, b, ids[start:end], tags
+        yield data[bounds[start] : bounds[end]], bounds[start : end + 1] - bounds[start], ids[start:end], copies[start:end], fresh[start:end]
         start = end
 
 
-def _deal_anchors(shards: int):
-    """Anchors to the shards of their keys. A key that several documents of the batch hold is known to be repeated: its rows pass by (kind 1), and one row tells the shard (kind 2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
-            parts = []
-            for data, bounds, ids, tags in _parts(batch, 0, 1):
-                key, text, start, length = anchors(data, bounds)
-                parts.append({"key": key, "doc": ids[text], "tag": tags[text], "start": start - bounds[text], "length": length})
-            c = joined(parts, ANCHOR)
-            if not len(c["key"]):
-                continue
-            order = np.argsort(c["key"], kind="stable")
-            key, doc = c["key"][order], c["doc"][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.concatenate([first, [len(key)]]))
-            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            known = np.zeros(len(key), bool)
-            known[order] = np.repeat(several, sizes)
-            by_key = (c["key"] % np.uint64(shards)).astype("int64")
-            told = order[first[several]]
-            rows = dealt(taken(c, ~known), by_key[~known], ANCHOR, 0, shards) + dealt(taken(c, told), by_key[told], ANCHOR, 2, shards)
-            rows += dealt(taken(c, known), doc_shard(c["doc"][known], shards), ANCHOR, 1, shards)
-            yield from blob_table(rows).to_batches()
+def _by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and whether several documents hold them."""
+    if not len(key):
+        return key, np.zeros(0, bool)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+
+
+def _numbers(ascending: np.ndarray, to: np.ndarray, shards: int, source: int) -> list[tuple[int, int, bytes]]:
+    """Rows of ascending numbers by their shard."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(shards + 1))
+    return [(int(s), 0, pack({"step": np.diff(ascending[order[cut[s] : cut[s + 1]]], prepend=np.uint64(0))}, STEP, source.to_bytes(8, "little"))) for s in np.flatnonzero(np.diff(cut))]
+
+
+def _read_numbers(blob: bytes) -> tuple[np.ndarray, int]:
+    c, source = unpack(blob, STEP)
+    return np.cumsum(c["step"]), int.from_bytes(source, "little")
+
+
+def _deal_keys(key_shards: int):
+    """Each key of a shard of documents once, doubled, and one more if several of its documents hold it, to the shards of the keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, docs = [], []
+        for data, bounds, ids, *_ in _parts(table, 1, 2):
+            key, text, *_ = anchors(data, bounds)
+            keys.append(key)
+            docs.append(ids[text])
+        key, several = _by_key(np.concatenate(keys), np.concatenate(docs))
+        to = (key % np.uint64(key_shards)).astype("int64")
+        return blob_table(_numbers(key * np.uint64(2) + several.astype("uint64"), to, key_shards, table.column("shard")[0].as_py()))
 
     return run
 
 
-def _repeated_anchors(shards: int):
-    """Anchors whose key occurs in several documents, to the shards of their documents."""
+def _repeated_keys(shards: int):
+    """Keys that several shards of documents hold, to those of the shards that do not know them as repeated."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        blobs = table.column("packed").to_pylist()
-        c = joined([unpack(b, ANCHOR)[0] for k, b in zip(kinds, blobs) if k == 0], ANCHOR)
-        known = np.unique(joined([unpack(b, ANCHOR)[0] for k, b in zip(kinds, blobs) if k == 2], ANCHOR)["key"])
-        shard = table.column("shard")[0].as_py()
-        rows = [(shard, 1, b) for k, b in zip(kinds, blobs) if k == 1]  # dealt by document already
-        if len(c["key"]):
-            order = np.argsort(c["key"], kind="stable")
-            key, doc = c["key"][order], c["doc"][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            several |= np.isin(key[first], known)
-            hit = np.zeros(len(key), bool)
-            hit[order] = np.repeat(several, np.diff(np.concatenate([first, [len(key)]])))
-            found = taken(c, hit)
-            rows += dealt(found, doc_shard(found["doc"], shards), ANCHOR, 1, shards)
-        return blob_table(rows)
+        read = [_read_numbers(b) for b in table.column("packed").to_pylist()]
+        code = np.concatenate([n for n, _ in read])
+        source = np.repeat([s for _, s in read], [len(n) for n, _ in read])
+        order = np.argsort(code, kind="stable")
+        code, source = code[order], source[order]
+        key = code >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        asked = np.repeat(sizes > 1, sizes) & (code & np.uint64(1) == 0)
+        return blob_table(_numbers(key[asked], source[asked], shards, table.column("shard")[0].as_py()))
 
     return run
 
@@ -149,29 +161,42 @@ def _content(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
+def merged(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans in order, those of one text that overlap or touch as one."""
+    if not len(s["doc"]):
+        return s
+    s = taken(s, np.lexsort((s["start"], s["copy"], s["doc"])))
+    text = np.concatenate([[0], np.cumsum((s["doc"][1:] != s["doc"][:-1]) | (s["copy"][1:] != s["copy"][:-1]))]) << 33
+    end = np.maximum.accumulate(text + s["end"])
+    head = np.flatnonzero(np.concatenate([[True], text[1:] + s["start"][1:] > end[:-1]]))
+    tail = np.append(head[1:], len(end)) - 1
+    return taken(s, head) | {"end": (end - text)[tail].astype("uint32")}
+
+
 def _cut_segments(shards: int, segment_shards: int):
     """Segments (the bytes of all windows of an anchor) of the repeated anchors, to the shards of their keys. Equal ones of later documents in the same shard are
     spans to remove at once (kind 1)."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        rows: list = []
-        if not texts.num_rows or not found.num_rows:
-            return blob_table(rows)
-        c = joined([unpack(b, ANCHOR)[0] for b in found.column("packed").to_pylist()], ANCHOR)
+        if not texts.num_rows:
+            return blob_table([])
+        parts = [(data, bounds, ids, copies, fresh, *anchors(data, bounds)) for data, bounds, ids, copies, fresh in _parts(texts, 1, 2)]
+        key, several = _by_key(np.concatenate([p[5] for p in parts]), np.concatenate([p[2][p[6]] for p in parts]))
+        known = np.concatenate([key[several], *[_read_numbers(b)[0] for b in (found.column("packed").to_pylist() if found.num_rows else [])]])
         kept, bodies = [], []
-        for data, bounds, ids, tags in _parts(texts, 1, 2):
-            where = {(d, t): b for d, t, b in zip(ids.tolist(), tags.tolist(), bounds[:-1].tolist())}
-            here = np.isin(c["doc"], ids)
-            own = taken(c, here)
-            base = np.array([where.get(x, -1) for x in zip(own["doc"].tolist(), own["tag"].tolist())], "int64")
-            own, base = taken(own, base >= 0), base[base >= 0]
-            kept.append(own)
-            bodies.append(ragged(data, base + own["start"], own["length"].astype("int64")))
-        c, data = joined(kept, ANCHOR), np.concatenate(bodies) if bodies else np.zeros(0, "uint8")
-        if not len(c["key"]):
-            return blob_table(rows)
+        for data, bounds, ids, copies, fresh, key, text, start, length in parts:
+            hit = np.flatnonzero(fresh[text] & np.isin(key, known))
+            key, text, start, length = key[hit], text[hit], start[hit], length[hit]
+            place = (key % np.uint64(segment_shards)).astype("int64")
+            kept.append({"doc": ids[text], "copy": copies[text], "start": start - bounds[text], "length": length, "part": place % TOGETHER, "group": place // TOGETHER})
+            bodies.append(ragged(data, start, length))
+        c, data = joined(kept, [*SEGMENT, ("group", "<i8", 8)]), np.concatenate(bodies)
+        if not len(c["doc"]):
+            return blob_table([])
         lengths = c["length"].astype("int64")
         starts = np.cumsum(lengths) - lengths
+        order = np.lexsort((c["start"], c["copy"], c["doc"]))
+        c, starts, lengths = taken(c, order), starts[order], lengths[order]
         content = _content(data, starts, lengths)
         order = np.lexsort((c["doc"], content))
         first = np.concatenate([[True], content[order][1:] != content[order][:-1]])
@@ -180,8 +205,9 @@ def _cut_segments(shards: int, segment_shards: int):
         later[order] = c["doc"][order] > least
         gone = taken(c, later)
         gone["end"] = gone["start"] + gone["length"]
+        gone = merged(gone)
         stay = taken(c, ~later)
-        rows = dealt(stay, (stay["key"] % np.uint64(segment_shards)).astype("int64"), ANCHOR, 0, segment_shards, data, starts[~later])
+        rows = dealt(stay, stay["group"], SEGMENT, 0, -(-segment_shards // TOGETHER), data, starts[~later])
         rows += dealt(gone, doc_shard(gone["doc"], shards), SPAN, 1, shards)
         return blob_table(rows)
 
@@ -226,41 +252,53 @@ def earlier_windows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
     return owner[hit], offset[hit]
 
 
+def _late_spans(c: dict[str, np.ndarray], data: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """Spans of segments, or of windows in them, that an earlier document holds."""
+    lengths = c["length"].astype("int64")
+    starts = np.cumsum(lengths) - lengths
+    content = _content(data, starts, lengths)
+    order = np.lexsort((c["doc"], content))
+    first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+    distinct = order[first]  # the occurrence in the smallest document
+    owner, offset = earlier_windows(data, starts[distinct], lengths[distinct], c["doc"][distinct])
+    late = order[c["doc"][order] > c["doc"][distinct][of]]
+    spans = [{"doc": c["doc"][late], "copy": c["copy"][late], "start": c["start"][late], "end": c["start"][late] + lengths[late]}]
+    if len(owner):
+        o = np.lexsort((offset, owner))
+        owner, offset = owner[o], offset[o]
+        head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] > offset[:-1] + LENGTH)])
+        low = np.flatnonzero(head)
+        high = np.concatenate([low[1:], [len(owner)]]) - 1
+        # All occurrences in the smallest document have the same windows removed.
+        counts = np.bincount(owner[low], minlength=len(first))
+        begin = np.cumsum(counts) - counts
+        same = np.flatnonzero(c["doc"][order] == c["doc"][distinct][of])
+        same = same[counts[of[same]] > 0]
+        per = counts[of[same]]
+        which = np.repeat(begin[of[same]] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+        row = np.repeat(order[same], per)
+        spans.append({"doc": c["doc"][row], "copy": c["copy"][row], "start": c["start"][row] + offset[low][which], "end": c["start"][row] + offset[high][which] + LENGTH})
+    return spans
+
+
 def _sort_segments(shards: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("packed").to_pylist()
         shard = table.column("shard")[0].as_py()
         rows = [(shard, 1, b) for k, b in zip(kinds, blobs) if k == 1]
-        parts = [unpack(b, ANCHOR) for k, b in zip(kinds, blobs) if k == 0]
+        parts = [unpack(b, SEGMENT) for k, b in zip(kinds, blobs) if k == 0]
         if parts:
-            c = joined([p[0] for p in parts], ANCHOR)
+            c = joined([p[0] for p in parts], SEGMENT)
             data = np.frombuffer(b"".join(p[1] for p in parts), "uint8")
+            del parts
             lengths = c["length"].astype("int64")
             starts = np.cumsum(lengths) - lengths
-            content = _content(data, starts, lengths)
-            order = np.lexsort((c["doc"], content))
-            first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
-            of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
-            distinct = order[first]  # the occurrence in the smallest document
-            owner, offset = earlier_windows(data, starts[distinct], lengths[distinct], c["doc"][distinct])
-            late = order[c["doc"][order] > c["doc"][distinct][of]]
-            spans = [{"doc": c["doc"][late], "tag": c["tag"][late], "start": c["start"][late], "end": c["start"][late] + lengths[late]}]
-            if len(owner):
-                o = np.lexsort((offset, owner))
-                owner, offset = owner[o], offset[o]
-                head = np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] > offset[:-1] + LENGTH)])
-                low = np.flatnonzero(head)
-                high = np.concatenate([low[1:], [len(owner)]]) - 1
-                # All occurrences in the smallest document have the same windows removed.
-                counts = np.bincount(owner[low], minlength=len(first))
-                begin = np.cumsum(counts) - counts
-                same = np.flatnonzero(c["doc"][order] == c["doc"][distinct][of])
-                same = same[counts[of[same]] > 0]
-                per = counts[of[same]]
-                which = np.repeat(begin[of[same]] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-                row = np.repeat(order[same], per)
-                spans.append({"doc": c["doc"][row], "tag": c["tag"][row], "start": c["start"][row] + offset[low][which], "end": c["start"][row] + offset[high][which] + LENGTH})
-            s = joined(spans, SPAN)
+            spans = []
+            for part in np.unique(c["part"]):
+                own = np.flatnonzero(c["part"] == part)
+                spans += _late_spans(taken(c, own), ragged(data, starts[own], lengths[own]))
+            s = merged(joined(spans, SPAN))
             rows += dealt(s, doc_shard(s["doc"], shards), SPAN, 1, shards)
         return blob_table(rows)
 
@@ -268,22 +306,15 @@ def _sort_segments(shards: int):
 
 
 def _apply(texts: pa.Table, spans: pa.Table) -> pa.Table:
-    s = joined([unpack(b, SPAN)[0] for b in spans.column("packed").to_pylist()] if spans.num_rows else [], SPAN)
-    order = np.lexsort((s["start"], s["tag"], s["doc"]))
-    s = taken(s, order)
-    first = np.flatnonzero(np.concatenate([[True], (s["doc"][1:] != s["doc"][:-1]) | (s["tag"][1:] != s["tag"][:-1])])) if len(order) else np.zeros(0, "int64")
-    where = {(int(s["doc"][a]), int(s["tag"][a])): (a, b) for a, b in zip(first, np.concatenate([first[1:], [len(order)]]))} if len(first) else {}
+    s = merged(joined([unpack(b, SPAN)[0] for b in spans.column("packed").to_pylist()] if spans.num_rows else [], SPAN))
+    first = np.flatnonzero(np.concatenate([[True], (s["doc"][1:] != s["doc"][:-1]) | (s["copy"][1:] != s["copy"][:-1])])) if len(s["doc"]) else np.zeros(0, "int64")
+    where = {(int(s["doc"][a]), int(s["copy"][a])): (a, b) for a, b in zip(first, np.append(first[1:], len(s["doc"])))}
     out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")}
-    for data, bounds, ids, tags in _parts(texts, 1, 2) if texts.num_rows else ():
-        for i, (doc, tag) in enumerate(zip(ids.tolist(), tags.tolist())):
+    for data, bounds, ids, copies, _ in _parts(texts, 1, 2) if texts.num_rows else ():
+        for i, (doc, copy) in enumerate(zip(ids.tolist(), copies.tolist())):
             own = data[bounds[i] : bounds[i + 1]]
-            runs: list[tuple[int, int]] = []
-            a, b = where.get((doc, tag), (0, 0))
-            if a < b:
-                start, end = s["start"][a:b].astype("int64"), np.maximum.accumulate(s["end"][a:b].astype("int64"))
-                head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
-                tail = np.concatenate([head[1:], [b - a]]) - 1
-                runs = list(zip(start[head].tolist(), end[tail].tolist()))
+            a, b = where.get((doc, copy), (0, 0))
+            runs = list(zip(s["start"][a:b].tolist(), s["end"][a:b].tolist()))
             edges = [0, *[x for r in runs for x in r], len(own)]
             kept = b"".join(own[edges[k] : edges[k + 1]].tobytes() for k in range(0, len(edges), 2))
             for c, v in zip(out, (doc, len(own), len(own) - len(kept), len(runs), kept, [{"start": x, "end": y} for x, y in runs])):
@@ -299,8 +330,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Strings are judged on the input and may overlap; none reaches over the end of a text. A null text is empty. A row without doc_id neither
     loses bytes nor counts as earlier; repeated rows lose the same bytes, and none because of each other. An empty table gives no rows.
 
-    Windows pick anchors; only the bytes around anchors of several documents travel on, to the shard of their key, where a suffix array by
-    induced sorting and its permuted common prefixes find the windows that an earlier document holds.
+    Windows pick anchors; each shard of documents sends every key of its anchors once and learns which ones other shards hold. Only the bytes around
+    anchors of several documents travel on, to the shard of their key, where a suffix array by induced sorting and its permuted common prefixes find the
+    windows that an earlier document holds. Rows of one doc_id that differ are told apart by the order of their bytes.
     """
     d = documents(docs, "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -310,7 +342,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     segment_shards = SEGMENT_SHARDS * shards
     # The document's shard is computed by the same function here and in the tasks.
     texts = named.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(doc_shard(b.column(0).to_numpy(), shards)), b.column(0), b.column(1)], ["shard", "doc_id", "text"]) for b in batches), "shard long, doc_id long, text string")
-    repeated = spread(named.mapInArrow(_deal_anchors(shards), BLOBS)).applyInArrow(_repeated_anchors(shards), BLOBS)
+    key_shards = -(-shards // TOGETHER)
+    keys = spread(texts).applyInArrow(_deal_keys(key_shards), BLOBS)
+    repeated = spread(keys, key_shards).applyInArrow(_repeated_keys(shards), BLOBS)
     segments = spread(texts).cogroup(spread(repeated)).applyInArrow(_cut_segments(shards, segment_shards), BLOBS)
     spans = spread(segments, segment_shards).applyInArrow(_sort_segments(shards), BLOBS)
     found = spread(texts).cogroup(spread(spans)).applyInArrow(_apply, RESULT)
