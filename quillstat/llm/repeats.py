@@ -18,14 +18,15 @@ from quillstat.llm.words import mix
 LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 6 << 20
-SEGMENT_SHARDS = 2  # suffix arrays for each shard of documents: sorting holds some hundred bytes per byte
-TOGETHER = 4  # suffix arrays, and shards' worth of keys, that one group of rows holds: fewer and larger values travel
+TOGETHER = 8  # suffix arrays (one for each shard of documents), and shards' worth of keys, that one group of rows holds: fewer and larger values travel
 PART_BYTES = 2 << 20
+BLOCK = 1 << 13  # places hashed at a time, so that they stay in the processor's cache
+REACH = -(-(LENGTH - GRAM) // 2)  # bytes before or behind its anchor that a window has at least
 KEY_BITS = 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 #: Columns of what travels: ascending keys as differences (the shard they come from follows), segments (their bytes follow) and spans.
 STEP = [("step", "<u8", 7)]
-SEGMENT = [("doc", "<i8", 8), ("copy", "<u4", 4), ("start", "<u4", 4), ("length", "u1", 1), ("part", "u1", 1)]
+SEGMENT = [("doc", "<i8", 8), ("copy", "<u4", 4), ("start", "<u4", 4), ("length", "u1", 1), ("anchor", "u1", 1), ("part", "u1", 1)]
 SPAN = [("doc", "<i8", 8), ("copy", "<u4", 4), ("start", "<u4", 4), ("end", "<u4", 4)]
 
 
@@ -33,38 +34,59 @@ def doc_shard(docs: np.ndarray, shards: int) -> np.ndarray:
     return (mix(docs.astype("int64").view("uint64") + np.uint64(3)) % np.uint64(shards)).astype("int64")
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one anchor: key, text number, first start (in ``data``) and bytes covered.
+def _grams(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the GRAM bytes from each place."""
+    w = words_at(data)
+    h = np.empty(len(data) - GRAM + 1, "uint64")
+    for low in range(0, len(h), BLOCK):
+        high = min(len(h), low + BLOCK)
+        x = np.zeros(high - low, "uint64")
+        for off in range(0, GRAM, 8):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + w[low + off : high + off] + np.uint64(7))
+        h[low:high] = x
+    return h
+
+
+def _least_places(h: np.ndarray, span: int) -> np.ndarray:
+    """The place of the smallest hash (the first of equal ones) among ``span`` from each place."""
+    bits = max(20, int(len(h)).bit_length())
+    low_bits = np.uint64((1 << bits) - 1)
+    out = np.empty(len(h) - span + 1, "int64")
+    for low in range(0, len(out), BLOCK):
+        high = min(len(out), low + BLOCK)
+        m, width = (h[low : high + span - 1] & ~low_bits) | np.arange(low, high + span - 1, dtype="uint64"), 1
+        while 2 * width <= span:
+            m = np.minimum(m[: len(m) - width], m[width:])
+            width *= 2
+        if width < span:
+            m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
+        out[low:high] = m & low_bits
+    return out
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts with one anchor: key, text number, first start (in ``data``), bytes covered and the anchor's place in them.
 
     Each window of LENGTH bytes inside a text picks the GRAM-byte string in it with the smallest hash (the first of equal ones), so equal windows
     pick the same one at the same place.
     """
     nothing = np.zeros(0, "int64")
-    if len(data) < LENGTH:
-        return nothing.astype("uint64"), nothing, nothing, nothing
-    w = words_at(data)
-    h = np.zeros(len(data) - GRAM + 1, "uint64")
-    for off in range(0, GRAM, 8):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[off : off + len(h)] + np.uint64(7))
-    bits = max(20, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    m = (h & ~low) | np.arange(len(h), dtype="uint64")
-    span, width = LENGTH - GRAM + 1, 1
-    while 2 * width <= span:
-        m = np.minimum(m[: len(m) - width], m[width:])
-        width *= 2
-    if width < span:
-        m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
-    anchor = (m & low).astype("int64")
-    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
-    windows = np.flatnonzero(left[: len(anchor)] >= LENGTH)
-    if not len(windows):
-        return nothing.astype("uint64"), nothing, nothing, nothing
-    a = anchor[windows]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-    last = np.concatenate([first[1:], [len(a)]]) - 1
-    text = np.searchsorted(bounds[1:], windows[first], "right")
-    return mix(h[a[first]]) >> np.uint64(64 - KEY_BITS), text, windows[first], windows[last] - windows[first] + LENGTH
+    lengths = np.diff(bounds)
+    if not len(lengths) or lengths.max() < LENGTH:
+        return nothing.astype("uint64"), nothing, nothing, nothing, nothing
+    h = _grams(data)
+    a = _least_places(h, LENGTH - GRAM + 1)
+    # a run begins where the anchor changes and at the first window of a text, and ends before the next one and at the text's last window
+    change = np.ones(len(a), bool)
+    change[1:] = a[1:] != a[:-1]
+    held = np.flatnonzero(lengths >= LENGTH)
+    change[bounds[held]] = True
+    first = np.flatnonzero(change)
+    text = np.searchsorted(bounds, first, "right") - 1
+    inside = first <= bounds[text + 1] - LENGTH
+    last = np.minimum(np.append(first[1:], len(a)) - 1, bounds[text + 1] - LENGTH)[inside]
+    first, text = first[inside], text[inside]
+    return mix(h[a[first]]) >> np.uint64(64 - KEY_BITS), text, first, last - first + LENGTH, a[first] - first
 
 
 def _parts(table, doc: int, text: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,9 +195,9 @@ def merged(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return taken(s, head) | {"end": (end - text)[tail].astype("uint32")}
 
 
-def _cut_segments(shards: int, segment_shards: int):
-    """Segments (the bytes of all windows of an anchor) of the repeated anchors, to the shards of their keys. Equal ones of later documents in the same shard are
-    spans to remove at once (kind 1)."""
+def _cut_segments(shards: int):
+    """Segments (the bytes of all windows of an anchor) of the repeated anchors, to the groups of their keys. Equal ones of later documents in the same shard are
+    spans to remove at once (kind 1), which pass through one of the groups."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -184,11 +206,11 @@ def _cut_segments(shards: int, segment_shards: int):
         key, several = _by_key(np.concatenate([p[5] for p in parts]), np.concatenate([p[2][p[6]] for p in parts]))
         known = np.concatenate([key[several], *[_read_numbers(b)[0] for b in (found.column("packed").to_pylist() if found.num_rows else [])]])
         kept, bodies = [], []
-        for data, bounds, ids, copies, fresh, key, text, start, length in parts:
+        for data, bounds, ids, copies, fresh, key, text, start, length, anchor in parts:
             hit = np.flatnonzero(fresh[text] & np.isin(key, known))
-            key, text, start, length = key[hit], text[hit], start[hit], length[hit]
-            place = (key % np.uint64(segment_shards)).astype("int64")
-            kept.append({"doc": ids[text], "copy": copies[text], "start": start - bounds[text], "length": length, "part": place % TOGETHER, "group": place // TOGETHER})
+            key, text, start, length, anchor = key[hit], text[hit], start[hit], length[hit], anchor[hit]
+            place = (key % np.uint64(shards)).astype("int64")
+            kept.append({"doc": ids[text], "copy": copies[text], "start": start - bounds[text], "length": length, "anchor": anchor, "part": place % TOGETHER, "group": place // TOGETHER})
             bodies.append(ragged(data, start, length))
         c, data = joined(kept, [*SEGMENT, ("group", "<i8", 8)]), np.concatenate(bodies)
         if not len(c["doc"]):
@@ -207,8 +229,10 @@ def _cut_segments(shards: int, segment_shards: int):
         gone["end"] = gone["start"] + gone["length"]
         gone = merged(gone)
         stay = taken(c, ~later)
-        rows = dealt(stay, stay["group"], SEGMENT, 0, -(-segment_shards // TOGETHER), data, starts[~later])
-        rows += dealt(gone, doc_shard(gone["doc"], shards), SPAN, 1, shards)
+        groups = -(-shards // TOGETHER)
+        rows = dealt(stay, stay["group"], SEGMENT, 0, groups, data, starts[~later])
+        if len(gone["doc"]):
+            rows.append((texts.column("shard")[0].as_py() % groups, 1, pack(gone, SPAN)))
         return blob_table(rows)
 
     return run
@@ -252,6 +276,16 @@ def earlier_windows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
     return owner[hit], offset[hit]
 
 
+def _may_share(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Whether a window of a segment may stand in another of these, which all differ: both then agree on the anchor and REACH bytes before or behind it."""
+    met = np.zeros(len(starts), bool)
+    for at, room in ((starts + anchor - REACH, anchor >= REACH), (starts + anchor, lengths - anchor >= GRAM + REACH)):
+        rows = np.flatnonzero(room)
+        _, which, counts = np.unique(_content(data, at[rows], np.full(len(rows), GRAM + REACH)), return_inverse=True, return_counts=True)
+        met[rows] |= counts[which] > 1
+    return met
+
+
 def _late_spans(c: dict[str, np.ndarray], data: np.ndarray) -> list[dict[str, np.ndarray]]:
     """Spans of segments, or of windows in them, that an earlier document holds."""
     lengths = c["length"].astype("int64")
@@ -261,7 +295,11 @@ def _late_spans(c: dict[str, np.ndarray], data: np.ndarray) -> list[dict[str, np
     first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
     of = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
     distinct = order[first]  # the occurrence in the smallest document
-    owner, offset = earlier_windows(data, starts[distinct], lengths[distinct], c["doc"][distinct])
+    shared = np.flatnonzero(_may_share(data, starts[distinct], lengths[distinct], c["anchor"][distinct].astype("int64")))
+    owner = offset = np.zeros(0, "int64")
+    if len(shared):
+        owner, offset = earlier_windows(data, starts[distinct[shared]], lengths[distinct[shared]], c["doc"][distinct[shared]])
+        owner = shared[owner]
     late = order[c["doc"][order] > c["doc"][distinct][of]]
     spans = [{"doc": c["doc"][late], "copy": c["copy"][late], "start": c["start"][late], "end": c["start"][late] + lengths[late]}]
     if len(owner):
@@ -285,8 +323,7 @@ def _late_spans(c: dict[str, np.ndarray], data: np.ndarray) -> list[dict[str, np
 def _sort_segments(shards: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("packed").to_pylist()
-        shard = table.column("shard")[0].as_py()
-        rows = [(shard, 1, b) for k, b in zip(kinds, blobs) if k == 1]
+        spans = [unpack(b, SPAN)[0] for k, b in zip(kinds, blobs) if k == 1]
         parts = [unpack(b, SEGMENT) for k, b in zip(kinds, blobs) if k == 0]
         if parts:
             c = joined([p[0] for p in parts], SEGMENT)
@@ -294,13 +331,11 @@ def _sort_segments(shards: int):
             del parts
             lengths = c["length"].astype("int64")
             starts = np.cumsum(lengths) - lengths
-            spans = []
             for part in np.unique(c["part"]):
                 own = np.flatnonzero(c["part"] == part)
                 spans += _late_spans(taken(c, own), ragged(data, starts[own], lengths[own]))
-            s = merged(joined(spans, SPAN))
-            rows += dealt(s, doc_shard(s["doc"], shards), SPAN, 1, shards)
-        return blob_table(rows)
+        s = merged(joined(spans, SPAN))
+        return blob_table(dealt(s, doc_shard(s["doc"], shards), SPAN, 1, shards))
 
     return run
 
@@ -331,22 +366,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     loses bytes nor counts as earlier; repeated rows lose the same bytes, and none because of each other. An empty table gives no rows.
 
     Windows pick anchors; each shard of documents sends every key of its anchors once and learns which ones other shards hold. Only the bytes around
-    anchors of several documents travel on, to the shard of their key, where a suffix array by induced sorting and its permuted common prefixes find the
-    windows that an earlier document holds. Rows of one doc_id that differ are told apart by the order of their bytes.
+    anchors of several documents travel on, to the group of their key. Those that differ and agree with another one around their anchor, far enough for a common
+    window, meet in a suffix array by induced sorting, whose permuted common prefixes find the windows that an earlier document holds. Rows of one doc_id that differ are told apart by the order of their bytes.
     """
     d = documents(docs, "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     named, bare = d.where("doc_id IS NOT NULL"), d.where("doc_id IS NULL")
     spread = lambda df, n=shards: df.repartition(min(n, MOST_PARTITIONS), "shard").groupBy("shard")
-    segment_shards = SEGMENT_SHARDS * shards
     # The document's shard is computed by the same function here and in the tasks.
     texts = named.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(doc_shard(b.column(0).to_numpy(), shards)), b.column(0), b.column(1)], ["shard", "doc_id", "text"]) for b in batches), "shard long, doc_id long, text string")
     key_shards = -(-shards // TOGETHER)
     keys = spread(texts).applyInArrow(_deal_keys(key_shards), BLOBS)
     repeated = spread(keys, key_shards).applyInArrow(_repeated_keys(shards), BLOBS)
-    segments = spread(texts).cogroup(spread(repeated)).applyInArrow(_cut_segments(shards, segment_shards), BLOBS)
-    spans = spread(segments, segment_shards).applyInArrow(_sort_segments(shards), BLOBS)
+    segments = spread(texts).cogroup(spread(repeated)).applyInArrow(_cut_segments(shards), BLOBS)
+    spans = spread(segments).applyInArrow(_sort_segments(shards), BLOBS)  # more partitions than groups, so that few hold two
     found = spread(texts).cogroup(spread(spans)).applyInArrow(_apply, RESULT)
     alone = bare.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                         F.encode("text", "UTF-8").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))

@@ -118,13 +118,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one little-endian number (zeros past the end)."""
-    padded = np.concatenate([data, np.zeros(16, "uint8")])
-    n = len(data)
-    out = np.empty(n + 8, "uint64")
-    for o in range(8):
-        m = (n + 8 - o + 7) // 8
-        out[o::8][:m] = np.frombuffer(padded[o : o + 8 * m].tobytes(), "<u8")[: len(out[o::8])]
-    return out[:n]
+    return np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, "uint8")]), 0, (1,))
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, places: np.ndarray, limit: int) -> np.ndarray:

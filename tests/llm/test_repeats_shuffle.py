@@ -78,3 +78,36 @@ def test_texts_of_one_doc_id_are_told_apart(spark):
             break
     rows = [(1, passage), (2, pair[0]), (2, pair[1]), (2, pair[0]), (3, pair[1][5:])]
     assert collected(repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == brute_force(rows)
+
+
+def test_suffix_arrays_hold_only_what_may_share_a_window(monkeypatch):
+    """Texts that share an anchor and less than a window, or are copies of one another, are settled without a suffix array."""
+    sorted_bytes, sort = [], repeats.earlier_windows
+    monkeypatch.setattr(repeats, "earlier_windows", lambda data, starts, lengths, docs: sorted_bytes.append(int(lengths.sum())) or sort(data, starts, lengths, docs))
+    r = np.random.default_rng(5)
+    tail = lambda n: bytes(r.integers(97, 123, n, dtype="uint8"))
+    common, passage = b"~sixteen bytes.~", tail(90)
+    texts = [tail(40) + common + tail(40) for _ in range(40)] * 2 + [tail(30) + passage + tail(30) for _ in range(3)]
+    data, bounds = np.frombuffer(b"".join(texts), "uint8"), np.cumsum([0, *map(len, texts)])
+    _, text, start, length, anchor = repeats.anchors(data, bounds)
+    c = {"doc": text, "copy": np.zeros(len(text), "uint32"), "start": start - bounds[text], "length": length, "anchor": anchor}
+    spans = repeats._late_spans(c, repeats.ragged(data, start, length))
+    s = repeats.merged(repeats.joined(spans, repeats.SPAN))
+    gone = dict.fromkeys(range(len(texts)), 0)
+    for d, a, b in zip(s["doc"].tolist(), s["start"].tolist(), s["end"].tolist()):
+        gone[d] += b - a
+    assert {d: [n] for d, n in gone.items()} == brute_force([(d, t.decode()) for d, t in enumerate(texts)])
+    assert sum(sorted_bytes) < 3 * 200 < length.sum() / 4
+
+
+def test_values_between_shards_are_few():
+    """Eight shards of documents share a group of segments, and what a shard removes at once travels to one of the groups."""
+    import pyarrow as pa
+
+    rows, shards = corpus(600), 16
+    ids, texts = np.array([d for d, _ in rows]), np.array([t for _, t in rows], dtype=object)
+    place = repeats.doc_shard(ids, shards)
+    nothing = pa.table({"packed": pa.array([], pa.binary())})
+    per = [repeats._cut_segments(shards)(pa.table({"shard": np.full(int(m.sum()), s), "doc_id": ids[m], "text": pa.array(texts[m], pa.string())}), nothing).num_rows
+           for s in range(shards) if (m := place == s).any()]
+    assert max(per) <= -(-shards // 8) + 1
