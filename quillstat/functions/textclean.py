@@ -150,7 +150,7 @@ def tokenize(text: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit(rf"([\p{{L}}\p{{N}}&&[^{HAN}]]+)"), F.lit(1))
     pairs = F.regexp_extract_all(low, F.lit(rf"(?=([{HAN}]{{2}}))"), F.lit(1))
     single = F.regexp_extract_all(low, F.lit(rf"(?<![{HAN}])([{HAN}])(?![{HAN}])"), F.lit(1))
-    return F.concat(words, pairs, single)
+    return F.when(low.rlike(f"[{HAN}]"), F.concat(words, pairs, single)).otherwise(words)
 
 
 def bigrams(text: Column, with_single: bool = False) -> Column:

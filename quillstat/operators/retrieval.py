@@ -51,8 +51,12 @@ def postings(rows: DataFrame, doc_id: str, vocabulary: DataFrame | None = None)
 
 def idf(posting: DataFrame, size: DataFrame) -> DataFrame:
     """(term, df, idf, n_docs, avg_len); idf = ln((N − df + 0.5)/(df + 0.5) + 1)."""
-    df = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(1))
-    return df.join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k").drop("_k").withColumn(
+    return with_idf(posting.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size)
+
+
+def with_idf(df: DataFrame, size: DataFrame) -> DataFrame:
+    """The same from (term, df)."""
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k").drop("_k").withColumn(
         "idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quillstat.operators import retrieval
+from quillstat.session import broadcast_if_small, stored
 from quillstat.sources.index import SearchIndex, search_postings
 
 
@@ -24,7 +25,8 @@ def search_index(index: SearchIndex, queries: DataFrame, k: int = 5, prefilter:
     """The same over a stored index, with chunk text and metadata attached."""
     words = search_postings(index, queries, k * overfetch, doc_id, query_id, prefilter=prefilter)
     near = retrieval.vector_top_k(index.vectors, queries, k * overfetch, doc_id, query_id=query_id, prefilter=prefilter)
-    return retrieval.attach(retrieval.rrf_fuse([words, near], query_id, doc_id, k), index.chunks, doc_id)
+    fused = stored(retrieval.rrf_fuse([words, near], query_id, doc_id, k), "fused")
+    return retrieval.attach(broadcast_if_small(fused), index.chunks, doc_id)  # k rows per query: the texts stay where they are read
 
 
 def search_corpora(corpora: dict[str, tuple[DataFrame, DataFrame]], queries: DataFrame, k: int = 5, **options) -> dict[str, DataFrame]:
