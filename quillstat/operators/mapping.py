@@ -9,10 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillstat.functions import fixed
 from quillstat.operators.matching import either_contains_join, similar_join, similarity
 from quillstat.operators.windows import first_rows
+from quillstat.session import broadcast_if_small, stored
 
 
 def strip_unit_suffix(label: Column) -> Column:
@@ -132,7 +134,8 @@ def map_fields(labels: DataFrame, dictionary: DataFrame, label: str = "label", c
     accepted = best.filter(F.col("_total") >= F.when(inside, 40).otherwise(55)).select(
         "_raw", "_ctx", F.col("_f").alias("field"), F.col("_tab").alias("mapped_table"), "standard", F.round("_total", 1).alias("confidence"))
     out = labels.withColumn("_raw", F.col(label)).withColumn("_ctx", ctx)
-    joined = out.alias("l").join(accepted.alias("r"), (F.col("l._raw") == F.col("r._raw")) & F.col("l._ctx").eqNullSafe(F.col("r._ctx")), "left")
+    # one row per distinct label: rows stay where they are unless these are many
+    joined = out.alias("l").join(broadcast_if_small(stored(accepted, "mapped")).alias("r"), (F.col("l._raw") == F.col("r._raw")) & F.col("l._ctx").eqNullSafe(F.col("r._ctx")), "left")
     return joined.select(*[F.col(f"l.{c}") for c in labels.columns], "r.field", "r.mapped_table", "r.standard", "r.confidence")
 
 
@@ -158,16 +161,17 @@ def best_value_per_field(rows: DataFrame, by: list[str], order: str = "row") ->
 def cross_fill(facts: DataFrame, filing: list[str], tables: list[str] | None = None) -> DataFrame:
     """A field found in one statement of a filing fills the filing's other statements that lack it.
 
-    The source is the first table in order. Tables per filing are at most the statement types, so the
-    join on the filing multiplies a field by that small number.
+    The source is the first table in order. Tables per filing are at most the statement types and fields those of the dictionary, so the facts of a
+    filing meet once.
     """
     order = [*fixed.TABLE_PRIORITY, fixed.CORE_TABLE] if tables is None else tables
     pos = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("table_name"))
-    source = facts.groupBy(*filing, "field").agg(F.min_by("value", pos).alias("value"), F.collect_set("table_name").alias("_have"))
-    present = facts.groupBy(*filing).agg(F.collect_set("table_name").alias("_tables"))
-    missing = source.join(present, filing).select(*filing, "field", "value", F.explode(F.array_except("_tables", "_have")).alias("table_name"))
-    return facts.select(*filing, "table_name", "field", "value").withColumn("filled", F.lit(False)).unionByName(
-        missing.withColumn("filled", F.lit(True)))
+    per_field = facts.groupBy(*filing, "field").agg(F.min_by("value", pos).alias("_value"), F.collect_list(F.struct("table_name", "value")).alias("_own"))
+    have = F.transform("_own", lambda x: x.getField("table_name"))
+    all_ = per_field.withColumn("_tables", F.array_distinct(F.flatten(F.collect_list(F.array_distinct(have)).over(W.partitionBy(*filing)))))
+    own = F.transform("_own", lambda x: F.struct(x.getField("table_name").alias("table_name"), x.getField("value").alias("value"), F.lit(False).alias("filled")))
+    filled = F.transform(F.array_except("_tables", have), lambda t: F.struct(t.alias("table_name"), F.col("_value").alias("value"), F.lit(True).alias("filled")))
+    return all_.select(*filing, "field", F.inline(F.concat(own, filled))).select(*filing, "table_name", "field", "value", "filled")
 
 
 def without_suffix(name: Column) -> Column:

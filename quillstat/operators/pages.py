@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from quillstat.functions import fixed
 from quillstat.functions.expr import settled
 from quillstat.functions.numbers import detect_unit, parse_number, unit_name
-from quillstat.operators.blocked import carry_forward
 from quillstat.operators.filters import contains_any, first_word
 from quillstat.operators.windows import first_rows
 
@@ -294,45 +293,52 @@ def assign_columns(words: DataFrame, bands: DataFrame, page: list[str], word_id:
 
 # cells: (table…, row, col, text)
 
+def _sorted_whole(table: list[str], *order: str):
+    """All cells of a table, in an order that what follows needs as well: they are shuffled by table first and sorted once."""
+    return W.partitionBy(*table).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def sparse_columns(cells: DataFrame, table: list[str], threshold: float = 0.30) -> DataFrame:
     """Cells without the columns filled in less than the threshold of the rows, unless only one would stay.
 
-    The remaining columns are numbered again from 0.
+    The remaining columns are numbered again from 0. The cells of a table meet once, sorted by column.
     """
-    filled = cells.groupBy(*table, "col").agg(F.count_if(F.trim("text") != "").alias("_f"), F.min("row").alias("_lo"), F.max("row").alias("_hi"))
-    per_table = W.partitionBy(*table)  # one row per column of a table
-    n_rows = F.max("_hi").over(per_table) - F.min("_lo").over(per_table) + 1
-    keep = filled.withColumn("_keep", F.col("_f") / n_rows >= threshold)
-    keep = keep.withColumn("_enough", F.sum(F.col("_keep").cast("int")).over(per_table) > 1).filter(F.col("_keep") | ~F.col("_enough"))
-    renumbered = keep.select(*table, "col", (F.row_number().over(per_table.orderBy("col")) - 1).alias("_new"))
-    return cells.join(renumbered, [*table, "col"]).withColumn("col", F.col("_new")).drop("_new")
+    per_table = _sorted_whole(table, "col")
+    rows = cells.withColumn("_n", F.max("row").over(per_table) - F.min("row").over(per_table) + 1)
+    counted = rows.withColumn("_keep", F.count_if(F.trim("text") != "").over(W.partitionBy(*table, "col")) / F.col("_n") >= threshold)
+    counted = counted.withColumn("_enough", F.size(F.collect_set(F.when(F.col("_keep"), F.col("col"))).over(per_table)) > 1)
+    kept = counted.filter(F.col("_keep") | ~F.col("_enough"))
+    return kept.withColumn("col", F.dense_rank().over(W.partitionBy(*table).orderBy("col")) - 1).drop("_n", "_keep", "_enough")
 
 
 # Cell texts that count as empty.
 EMPTY = ["", "-", "--", "—"]
 
 
-def merge_split_rows(cells: DataFrame, table: list[str]) -> DataFrame:
-    """A label row without values absorbs the next row; pairs do not overlap.
+def split_pairs(cells: DataFrame, table: list[str]) -> DataFrame:
+    """Cells with ``_to``, the row they are merged into: a label row without values absorbs the next row and keeps its label only; pairs do not overlap.
 
     Inside a run of such rows every second one starts a pair, so the start is the parity of the distance to
-    the last row with values, which is carried along the table in blocks. Rows are numbered without gaps.
+    the last row with values. Rows are numbered without gaps. The cells of a table meet once, sorted by row.
     """
     text = F.coalesce(F.trim("text"), F.lit(""))
-    rows = cells.groupBy(*table, "row").agg(
-        F.max(F.when((F.col("col") == 0) & (text != ""), 1).otherwise(0)).alias("_label"),
-        F.max(F.when((F.col("col") > 0) & ~text.isin(EMPTY), 1).otherwise(0)).alias("_values"))
-    ends = rows.groupBy(*table).agg(F.max("row").alias("_end"), F.min("row").alias("_start"))
-    marked = rows.join(ends, table).withColumn("_open", (F.col("_label") == 1) & (F.col("_values") == 0))
-    marked = carry_forward(marked.withColumn("_closed", F.when(~F.col("_open"), F.col("row"))), table, "row", ["_closed"], suffix="_at")
-    since = F.col("row") - F.coalesce(F.col("_closed_at"), F.col("_start") - 1) - 1
-    start = F.col("_open") & (since % 2 == 0) & (F.col("row") < F.col("_end"))
+    per_row, per_table, along = W.partitionBy(*table, "row"), _sorted_whole(table, "row"), W.partitionBy(*table).orderBy("row")
+    label = F.max(F.when((F.col("col") == 0) & (text != ""), 1).otherwise(0)).over(per_row)
+    values = F.max(F.when((F.col("col") > 0) & ~text.isin(EMPTY), 1).otherwise(0)).over(per_row)
+    ended = cells.withColumns({"_start": F.min("row").over(per_table), "_end": F.max("row").over(per_table)})
+    marked = ended.withColumn("_open", (label == 1) & (values == 0))
+    closed = F.max(F.when(~F.col("_open"), F.col("row"))).over(along.rangeBetween(W.unboundedPreceding, 0))
+    since = F.col("row") - F.coalesce(closed, F.col("_start") - 1) - 1
+    marked = marked.withColumn("_first", F.col("_open") & (since % 2 == 0) & (F.col("row") < F.col("_end")))
     # the row after a start carries the values and takes the start's number
-    starts = marked.filter(start).select(*table, "row")
-    follow = starts.select(*table, (F.col("row") + 1).alias("row"), F.lit(1).alias("_second"))
-    out = cells.join(starts.withColumn("_first", F.lit(1)), [*table, "row"], "left").join(follow, [*table, "row"], "left")
-    target = F.when(F.col("_second") == 1, F.col("row") - 1).otherwise(F.col("row"))
-    kept = out.withColumn("_to", target).filter((F.col("col") == 0) | F.col("_first").isNull())
+    marked = marked.withColumn("_to", F.coalesce(F.max(F.when(F.col("_first"), F.col("row"))).over(along.rangeBetween(-1, -1)), F.col("row")))
+    return marked.filter((F.col("col") == 0) | ~F.col("_first")).drop("_open", "_start", "_end", "_first")
+
+
+def merge_split_rows(cells: DataFrame, table: list[str]) -> DataFrame:
+    """(table…, row, col, text) with the rows of :func:`split_pairs` as one."""
+    text = F.coalesce(F.trim("text"), F.lit(""))
+    kept = split_pairs(cells, table)
     pair = F.array_sort(F.collect_list(F.struct(F.col("row").alias("r"), text.alias("t"))))  # one or two cells
     return kept.groupBy(*table, "_to", "col").agg(F.array_join(F.transform(pair, lambda x: x.getField("t")), "").alias("text")).withColumnRenamed("_to", "row")
 
@@ -369,11 +375,32 @@ def head_texts(headers: DataFrame, kept: list[str]) -> DataFrame:
     return headers.select(*kept, F.inline(F.transform(columns, lambda c: F.struct(c.alias("col"), joined(c).alias("text")))))
 
 
+def with_header(cells: DataFrame, table: list[str]) -> DataFrame:
+    """Cells with the header_from and header_to of their table, as :func:`header_cells` finds them; the cells of a table meet once, sorted by row."""
+    per_table = _sorted_whole(table, "row", "col")
+    in_row = W.partitionBy(*table, "row").orderBy("col").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    row = F.col("row")
+    top = cells.withColumn("_top", F.min(F.when(row < 4, row)).over(per_table)).filter(F.col("_top").isNotNull())
+    texts = top.withColumn("_t", F.when(row < 4, F.concat_ws("", F.collect_list(F.when(row < 4, F.coalesce("text", F.lit("")))).over(in_row))))
+    first = F.coalesce(F.min(F.when((row < 3) & contains_any(F.col("_t"), fixed.HEADER_WORDS), row)).over(per_table), F.col("_top"))
+    headed = texts.withColumn("header_from", first)
+    more = F.max(F.when((row == F.col("header_from") + 1) & (row < 4) & ~F.col("_t").rlike(r"\d"), 1).otherwise(0)).over(per_table)
+    return headed.withColumn("header_to", F.col("header_from") + more).drop("_t", "_top")
+
+
+def with_target(cells: DataFrame, table: list[str]) -> DataFrame:
+    """Cells of :func:`with_header` with the target_col of their table, as :func:`target_columns` finds it in the joined heads."""
+    per_table = W.partitionBy(*table)
+    head, col = F.col("row").between(F.col("header_from"), F.col("header_to")), F.col("col")
+    noted = cells.withColumn("_note", F.min(F.when(head & F.col("text").contains("附"), col)).over(per_table))
+    found = noted.withColumn("_next", F.min(F.when(head & (col > F.col("_note")) & (F.trim("text") != ""), col)).over(per_table))
+    return found.withColumn("target_col", F.when(F.col("_note").isNull(), 1).otherwise(F.coalesce("_next", F.col("_note") + 1)).cast("int")).drop("_note", "_next")
+
+
 def split_header(cells: DataFrame, table: list[str]) -> tuple[DataFrame, DataFrame]:
     """(heads: table…, col, text; data: table…, row, col, text); two header rows are joined per column."""
-    headers = header_cells(cells, table)
-    rows = cells.join(headers.drop("heads"), table)
-    return head_texts(headers, table), rows.filter(F.col("row") > F.col("header_to")).drop("header_from", "header_to")
+    data = with_header(cells, table).filter(F.col("row") > F.col("header_to")).drop("header_from", "header_to")
+    return head_texts(header_cells(cells, table), table), data
 
 
 def column_role(text: Column, report_year: Column, report_period: Column) -> Column:

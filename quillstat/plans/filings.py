@@ -19,13 +19,20 @@ from quillstat.sources import statements as store
 FILING = ["stock_code", "stock_abbr", "report_year", "report_period"]
 
 
-def clean_cells(cells: DataFrame, table: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(heads, data): sparse columns dropped, header rows joined, split rows merged.
+def table_rows(cells: DataFrame, table: list[str], extra: list[str]) -> DataFrame:
+    """(table…, row, label, raw, extra…): sparse columns dropped, header rows taken off, split rows merged; the texts of the label and of the target column.
+    ``extra`` columns have one value per table.
 
-    Every step looks at its input more than once (sizes, then rows), so the input of each is stored.
+    The cells of a table meet once: all steps keep them where they are, and shuffle nothing that already lies by the columns of ``table`` or some of them.
     """
-    heads, data = pages.split_header(stored(pages.sparse_columns(cells, table)), table)
-    return stored(heads), pages.merge_split_rows(stored(data), table)
+    targeted = pages.with_target(pages.with_header(pages.sparse_columns(cells, table), table), table).filter(F.col("row") > F.col("header_to"))
+    text, row, col = F.coalesce(F.trim("text"), F.lit("")), F.col("row"), F.col("col")
+    read = pages.split_pairs(targeted, table).filter((col == 0) | (col == F.col("target_col")))
+    of = lambda rows: F.max(F.when((col == 0) & rows, text))
+    rows = read.groupBy(*table, "_to").agg(of(row == F.col("_to")).alias("_a"), of(row > F.col("_to")).alias("_b"), F.max(F.when(col > 0, text)).alias("raw"),
+                                           *[F.first(c).alias(c) for c in extra])
+    label = F.when(F.col("_a").isNotNull() | F.col("_b").isNotNull(), F.concat_ws("", "_a", "_b"))
+    return rows.select(*table, F.col("_to").alias("row"), label.alias("label"), "raw", *extra)
 
 
 def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame, table: list[str], filing: list[str] = FILING,
@@ -35,20 +42,14 @@ def normalize_filings(cells: DataFrame, dictionary: DataFrame, fields: DataFrame
     ``cells`` has the filing keys, the columns of ``table`` (which include table_name), row, col, text and
     unit_factor; ``dictionary`` is (standard, field, table_name) and ``fields`` (field, unit).
     """
-    cells = stored(cells)
-    heads, data = clean_cells(cells, table)
-    info = cells.groupBy(*table).agg(*[F.first(c).alias(c) for c in filing if c not in table], F.first("unit_factor").alias("unit_factor"))
-    target = pages.target_columns(heads, table)
-    text = F.col("text")
-    rows = data.join(target, table).groupBy(*table, "row").agg(
-        F.max(F.when(F.col("col") == 0, text)).alias("label"),
-        F.max(F.when(F.col("col") == F.col("target_col"), text)).alias("raw")).join(info, table)
-    mapped = mapping.map_fields(stored(rows.filter(F.col("label").isNotNull())), dictionary, "label", "table_name", pool, history)
+    extra = [*[c for c in filing if c not in table], "unit_factor"]
+    rows = table_rows(cells, table, extra).filter(F.col("label").isNotNull())
+    mapped = mapping.map_fields(rows, dictionary, "label", "table_name", pool, history)
     units = fields.select("field", "unit")
     valued = mapped.filter(F.col("field").isNotNull()).join(broadcast_if_small(units), "field").withColumn(
         "value", normalize(F.col("raw"), F.col("unit_factor"), F.col("unit"), digits=digits))
     best = mapping.best_value_per_field(valued, [*filing, "table_name"])
-    return mapping.cross_fill(stored(best.select(*filing, "table_name", "field", "value")), filing)
+    return mapping.cross_fill(best.select(*filing, "table_name", "field", "value"), filing)
 
 
 @dataclass

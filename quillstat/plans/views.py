@@ -155,10 +155,12 @@ def statement_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def amount_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long facts (keys, table, field, value) of the three amount statements, from one scan."""
+def amount_facts(spark: SparkSession, sf_dir: str, by_filing: bool = False) -> DataFrame:
+    """Long facts (keys, table, field, value) of the three amount statements, from one scan; with ``by_filing`` those of a filing lie in one partition, so what
+    is grouped by filing or by more than that isn't shuffled again."""
     cols = _columns()
-    wide = statement_base(spark, sf_dir).select(
+    base = statement_base(spark, sf_dir)
+    wide = (base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY_COLUMNS) if by_filing else base).select(
         *KEY_COLUMNS,
         *[F.struct(*cols[n]).alias(n) for n in ("income", "balance", "cashflow")],
     )
