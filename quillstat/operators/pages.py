@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillstat.functions import fixed
-from quillstat.functions.expr import settled
+from quillstat.functions.expr import let, settled
 from quillstat.functions.numbers import detect_unit, parse_number, unit_name
 from quillstat.operators.filters import contains_any, first_word
 from quillstat.operators.windows import first_rows
@@ -404,41 +404,53 @@ def split_header(cells: DataFrame, table: list[str]) -> tuple[DataFrame, DataFra
 
 
 def column_role(text: Column, report_year: Column, report_period: Column) -> Column:
-    """Struct (role, year, period, cumulative) of a column head."""
-    year = F.nullif(F.regexp_extract(text, r"(20\d{2})", 1), F.lit("")).try_cast("int")
-    word = reduce(lambda acc, w: acc.when(text.contains(w[0]), w[1]), fixed.HEAD_WORDS[1:], F.when(text.contains(fixed.HEAD_WORDS[0][0]), fixed.HEAD_WORDS[0][1]))
-    pattern = reduce(lambda acc, w: acc.when(text.rlike(w[0]), w[1]), fixed.HEAD_PATTERNS[1:], F.when(text.rlike(fixed.HEAD_PATTERNS[0][0]), fixed.HEAD_PATTERNS[0][1]))
-    dated = F.when(text.rlike("累计|1-9|1-12"), "target_cumulative").otherwise("absolute_year")
-    kind = F.coalesce(word, F.when(year.isNotNull(), dated), pattern, F.lit("other"))
-
-    first = fixed.HEAD_PERIODS[0]
-    named = reduce(lambda acc, w: acc.when(text.contains(w[0]), w[1]), fixed.HEAD_PERIODS[1:], F.when(text.contains(first[0]), first[1]))
-    cumulated = F.when(text.rlike("累计|1-9|前三季度"), "Q3").when(text.rlike("上半年|1-6"), "H1").when(text.contains("1-12"), "FY")
-    period = F.coalesce(cumulated, named, report_period)
-    read_year = F.when(cumulated.isNull() & named.isNotNull(), year).otherwise(F.coalesce(year, report_year))
-    dated_kind = kind.isin("quarter", "half", "absolute_year")
-    role = (F.when(kind.isin("target", "target_cumulative"), "target").when(kind.isin("prev", "delta"), kind)
-            .when(dated_kind & (read_year == report_year), "target").when(dated_kind & (read_year == report_year - 1), "prev").otherwise("other"))
-    return F.struct(
-        role.alias("role"),
-        F.when(kind == "target", report_year).when(kind == "target_cumulative", F.coalesce(read_year, report_year)).when(kind == "prev", report_year - 1)
-        .when(dated_kind, read_year).cast("int").alias("year"),
-        F.when(kind.isin("target", "prev"), report_period).when(kind.isin("target_cumulative", "quarter", "half", "absolute_year"), period).alias("period"),
-        F.coalesce((kind.isin("target_cumulative", "quarter", "half", "absolute_year")) & cumulated.isNotNull(), F.lit(False)).alias("cumulative"))
+    """Struct (role, year, period, cumulative) of a column head; what is found in the text is looked for once."""
+    def first_of(test, entries):
+        return reduce(lambda acc, w: acc.when(test(w[0]), w[1]), entries[1:], F.when(test(entries[0][0]), entries[0][1]))
+
+    def found(x):
+        year = F.nullif(F.regexp_extract(x, r"(20\d{2})", 1), F.lit("")).try_cast("int")
+        dated = F.when(x.rlike("累计|1-9|1-12"), "target_cumulative").otherwise("absolute_year")
+        return F.struct(
+            F.coalesce(first_of(x.contains, fixed.HEAD_WORDS), F.when(year.isNotNull(), dated), first_of(x.rlike, fixed.HEAD_PATTERNS), F.lit("other")).alias("kind"),
+            year.alias("year"), first_of(x.contains, fixed.HEAD_PERIODS).alias("named"),
+            F.when(x.rlike("累计|1-9|前三季度"), "Q3").when(x.rlike("上半年|1-6"), "H1").when(x.contains("1-12"), "FY").alias("cumulated"))
+
+    def judged(f):
+        year, named, cumulated = f.getField("year"), f.getField("named"), f.getField("cumulated")
+        return F.struct(
+            f.getField("kind").alias("kind"), F.when(cumulated.isNull() & named.isNotNull(), year).otherwise(F.coalesce(year, report_year)).alias("year"),
+            F.coalesce(cumulated, named, report_period).alias("period"), cumulated.isNotNull().alias("cumulated"))
+
+    def role(j):
+        kind, read_year, period = j.getField("kind"), j.getField("year"), j.getField("period")
+        dated_kind = kind.isin("quarter", "half", "absolute_year")
+        name = (F.when(kind.isin("target", "target_cumulative"), "target").when(kind.isin("prev", "delta"), kind)
+                .when(dated_kind & (read_year == report_year), "target").when(dated_kind & (read_year == report_year - 1), "prev").otherwise("other"))
+        return F.struct(
+            name.alias("role"),
+            F.when(kind == "target", report_year).when(kind == "target_cumulative", F.coalesce(read_year, report_year)).when(kind == "prev", report_year - 1)
+            .when(dated_kind, read_year).cast("int").alias("year"),
+            F.when(kind.isin("target", "prev"), report_period).when(kind.isin("target_cumulative", "quarter", "half", "absolute_year"), period).alias("period"),
+            F.coalesce((kind.isin("target_cumulative", "quarter", "half", "absolute_year")) & j.getField("cumulated"), F.lit(False)).alias("cumulative"))
+
+    return let(text, lambda x: let(found(x), lambda f: let(judged(f), role)))
 
 
 def target_columns(heads: DataFrame, table: list[str]) -> DataFrame:
     """(table…, target_col): the first filled head after a notes column, else column 1."""
-    note = heads.filter(F.col("text").contains("附")).groupBy(*table).agg(F.min("col").alias("_note"))
-    filled = heads.join(note, table).filter((F.col("col") > F.col("_note")) & (F.trim("text") != "")).groupBy(*table).agg(F.min("col").alias("_next"))
-    return heads.select(*table).distinct().join(note, table, "left").join(filled, table, "left").select(
-        *table, F.when(F.col("_note").isNull(), 1).otherwise(F.coalesce("_next", F.col("_note") + 1)).cast("int").alias("target_col"))
+    per = heads.groupBy(*table).agg(F.min(F.when(F.col("text").contains("附"), F.col("col"))).alias("_note"), F.collect_set(F.when(F.trim("text") != "", F.col("col"))).alias("_filled"))
+    following = F.array_min(F.filter("_filled", lambda x: x > F.col("_note")))
+    return per.select(*table, F.when(F.col("_note").isNull(), 1).otherwise(F.coalesce(following, F.col("_note") + 1)).cast("int").alias("target_col"))
 
 
 def analyze_columns(heads: DataFrame, table: list[str], report_year: str, report_period: str) -> DataFrame:
-    """Heads with role, year, period and cumulative; column 0 is the label, the target column is forced."""
-    roles = settled(heads, _r=column_role(F.col("text"), F.col(report_year), F.col(report_period)))
-    joined = roles.join(target_columns(heads, table), table)
+    """Heads with role, year, period and cumulative; column 0 is the label, the target column is forced. The heads of a table meet once."""
+    per_table = W.partitionBy(*table)
+    noted = heads.withColumn("_note", F.min(F.when(F.col("text").contains("附"), F.col("col"))).over(per_table))
+    found = noted.withColumn("_next", F.min(F.when((F.col("col") > F.col("_note")) & (F.trim("text") != ""), F.col("col"))).over(per_table))
+    target = F.when(F.col("_note").isNull(), 1).otherwise(F.coalesce("_next", F.col("_note") + 1)).cast("int")
+    joined = settled(found.withColumn("target_col", target), _r=column_role(F.col("text"), F.col(report_year), F.col(report_period)))
     role = F.when(F.col("col") == 0, "label").when(F.col("col") == F.col("target_col"), "target").otherwise(F.col("_r.role"))
     known = F.col("col") > 0
     return joined.select(*table, "col", "text", role.alias("role"), F.when(known, F.col("_r.year")).alias("year"),

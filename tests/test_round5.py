@@ -114,3 +114,15 @@ def test_facts_of_a_filing_are_filled_in_one_shuffle(spark):
     assert sorted((x.f, x.table_name, x.field, x.filled) for x in out.collect()) == sorted([
         ("a", "balance_sheet", "x", False), ("a", "income_sheet", "x", False), ("a", "cash_flow_sheet", "x", True), ("a", "cash_flow_sheet", "y", False),
         ("a", "balance_sheet", "y", True), ("a", "income_sheet", "y", True), ("b", "income_sheet", "x", False)])
+
+
+def test_heads_are_read_once(spark):
+    """What is found in a head is looked for once, and the heads of a table meet once."""
+    heads = spark.createDataFrame([(t, c, x) for t in (1, 2) for c, x in enumerate(("项目", "附注" if t == 1 else "2022年", "", "2023年1-9月", "上期金额"))], "t int, col int, text string")
+    out = pages.analyze_columns(heads.withColumns({"y": F.lit(2023), "p": F.lit("FY")}), ["t"], "y", "p")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("前三季度") <= 2
+    got = {(x.t, x.col): (x.role, x.year, x.period, x.cumulative) for x in out.collect()}
+    assert got[1, 3] == ("target", 2023, "Q3", True) and got[1, 4] == ("prev", 2022, "FY", False) and got[1, 0][0] == got[2, 0][0] == "label"
+    assert got[2, 1] == ("target", 2022, "FY", False) and got[1, 1][0] == got[1, 2][0] == "other"
+    assert {x.t: x.target_col for x in pages.target_columns(heads, ["t"]).collect()} == {1: 3, 2: 1}
